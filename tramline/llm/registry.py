@@ -9,6 +9,7 @@ MODULES = {
     "op3_packing": "packing",
     "op4_token_output": "token_output",
     "op9_warc": "warc",
+    "op10_quality": "quality",
 }
 
 #: DuckDB SQL where it can express a query over whole tables.
