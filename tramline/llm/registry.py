@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op3_packing": "packing",
     "op4_token_output": "token_output",
+    "op8_decontamination": "decontaminate",
     "op9_warc": "warc",
     "op10_quality": "quality",
 }
