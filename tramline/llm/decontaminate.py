@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become lower-case literals without outer punctuation; numbers, names
-(capitalised words that do not open a sentence) and units become typed
+(capitalised words that neither open a sentence nor are all capitals) and units become typed
 placeholders.  Windows of five template words are hashed and joined between
 documents and benchmark items.  A matched window counts if its slots agree
 with those matched before: within one document and item an item's value always
@@ -65,7 +65,7 @@ class _Words(dict):
             kind = UNIT << 2
         else:
             kind = (xxhash.xxh3_64_intdigest(low) | (1 << 10)) & ~3 & ((1 << 63) - 1)
-            if bare[:1].isupper() and len(bare) > 1:
+            if bare[:1].isupper() and not bare.isupper():
                 kind |= 1
         out = kind | (2 if word.endswith(ENDS) else 0)
         if len(self) > 500_000:

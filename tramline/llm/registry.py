@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> its module here, where a function of the same name makes it.
 MODULES = {
+    "op1_pii": "pii",
     "op3_packing": "packing",
     "op4_token_output": "token_output",
     "op8_decontamination": "decontaminate",
