@@ -7,6 +7,7 @@ from importlib import import_module
 #: query -> its module here, where a function of the same name makes it.
 MODULES = {
     "op1_pii": "pii",
+    "op2_line_dedup": "linededup",
     "op3_packing": "packing",
     "op4_token_output": "token_output",
     "op8_decontamination": "decontaminate",
@@ -15,7 +16,7 @@ MODULES = {
 }
 
 #: DuckDB SQL where it can express a query over whole tables.
-SQL: dict[str, str] = {}
+from tramline.llm.oracle import SQL  # noqa: E402
 
 
 def queries() -> dict:
