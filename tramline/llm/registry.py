@@ -10,6 +10,7 @@ MODULES = {
     "op2_line_dedup": "linededup",
     "op3_packing": "packing",
     "op4_token_output": "token_output",
+    "op5_ngram_join": "ngram_join",
     "op8_decontamination": "decontaminate",
     "op9_warc": "warc",
     "op10_quality": "quality",
