@@ -11,6 +11,7 @@ MODULES = {
     "op3_packing": "packing",
     "op4_token_output": "token_output",
     "op5_ngram_join": "ngram_join",
+    "op6_ann": "ann",
     "op7_lm_score": "lm_score",
     "op8_decontamination": "decontaminate",
     "op9_warc": "warc",
