@@ -197,18 +197,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_WINDOW
     return spark.createDataFrame([], FOUND) if found is None else found
 
 
+def _is_clean(sent):
+    """Column function of a text: whether none of the items sent is found in it."""
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Benchmark(sent.value)
+        for texts in batches:
+            yield pd.Series([not known.matches(t) for t in texts], dtype=bool)
+
+    return clean
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_WINDOWS) -> DataFrame:
     """The documents in which no benchmark item is found, with all their columns."""
-    spark = docs.sparkSession
     for items in blocks(benchmark, most):
-        sent = spark.sparkContext.broadcast(items)
-
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            known = Benchmark(sent.value)
-            for texts in batches:
-                yield pd.Series([not known.matches(t) for t in texts], dtype=bool)
-
+        clean = _is_clean(docs.sparkSession.sparkContext.broadcast(items))
         docs = docs.where(clean(docs["text"].cast("string")))
     return docs
 
