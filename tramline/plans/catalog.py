@@ -1,6 +1,564 @@
-"""Queries over the test tables and their DuckDB SQL."""
+"""Queries over the test tables and their DuckDB SQL.
+
+The tables stand in for schedule data: an order is a trip, a line item a stop
+time (supplier = stop, line number = sequence, return flag R = no boarding), a
+part a route, a customer or supplier a place with coordinates derived from its
+key, an event a departure sample.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tramline.functions import geo, modes, text, times
+from tramline.operators import calendar, journeys, metrics, mvt, normalise, poi, rail, routing, store
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- views of the tables ---------------------------------------------------------
+
+LINE_ORDER = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]
+ST = f"""st AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(LINE_ORDER)}) AS rn FROM lineitem) WHERE rn = 1)"""
+
+
+def stop_times(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as stop times; of repeated sequence numbers the first row by a total order."""
+    df = store.first_wins(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], LINE_ORDER)
+    seconds = (F.col("l_quantity") * 60 + F.col("l_linenumber") * 300).cast("int")
+    return df.select(
+        F.col("l_orderkey").alias("trip_id"),
+        F.col("l_linenumber").alias("stop_sequence"),
+        F.col("l_suppkey").alias("stop"),
+        F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 0).alias("pickup_type"),
+        F.when(F.col("l_linestatus") == "F", 0).alias("drop_off_type"),
+        F.col("l_partkey").alias("route"),
+        seconds.alias("arrival_s"),
+        (seconds + 30).alias("departure_s"),
+        "l_quantity",
+        "l_extendedprice",
+        "l_shipdate",
+    )
+
+
+TIMES = f"""{ST}, times AS (SELECT l_orderkey AS trip_id, l_linenumber AS stop_sequence, l_suppkey AS stop,
+  CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 0 END AS pickup_type, CASE l_linestatus WHEN 'F' THEN 0 END AS drop_off_type, l_partkey AS route,
+  CAST(l_quantity * 60 + l_linenumber * 300 AS INTEGER) AS arrival_s, CAST(l_quantity * 60 + l_linenumber * 300 AS INTEGER) + 30 AS departure_s FROM st)"""
+
+
+def places(spark: SparkSession, d: str, name: str = "customer") -> DataFrame:
+    """Customers or suppliers with coordinates in and around northern Germany."""
+    k = f"{name[0]}_{'cust' if name == 'customer' else 'supp'}key"
+    df = table(spark, d, name)
+    return df.withColumns({"id": F.col(k), "lon": 6.5 + (F.col(k) * 37 % 800) / 100.0, "lat": 52.0 + (F.col(k) * 53 % 300) / 100.0})
+
+
+PLACES = "places AS (SELECT *, c_custkey AS id, 6.5 + (c_custkey * 37 % 800) / 100.0::DOUBLE AS lon, 52.0 + (c_custkey * 53 % 300) / 100.0::DOUBLE AS lat FROM customer)"
+HALTS = "halts AS (SELECT *, s_suppkey AS id, 6.5 + (s_suppkey * 37 % 800) / 100.0::DOUBLE AS lon, 52.0 + (s_suppkey * 53 % 300) / 100.0::DOUBLE AS lat FROM supplier)"
+
+
+def samples(spark: SparkSession, d: str) -> DataFrame:
+    """Per line item: requested at the order's date, arrived at the ship date, some hours apart or before it."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate", "l_linenumber", "l_discount")
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    days = F.date_diff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date"))
+    return j.select(F.col("l_suppkey").alias("destination"), F.lit(0).alias("requested_s"), (F.col("l_linenumber") * 60).alias("first_departure_s"), (days * 60).alias("arrival_s"), (F.col("l_linenumber") - 1).alias("transfers"), (F.col("l_linenumber") == 1).alias("direct"), (F.col("l_linenumber") * 30).alias("initial_wait_s"), F.lit(60).alias("walk_s"), F.lit(300).alias("in_vehicle_s"))
+
+
+SAMPLES = """samples AS (SELECT l_suppkey AS destination, 60 * date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS total, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+# --- joins and schedule queries ---------------------------------------------------
+
+
+@query(f"""WITH {TIMES}, o AS (SELECT trip_id, min(stop_sequence) AS b FROM times JOIN supplier ON stop = s_suppkey WHERE s_nationkey = 3 AND coalesce(pickup_type, 0) <> 1 GROUP BY trip_id)
+SELECT stop AS destination, count(DISTINCT times.trip_id) AS trips FROM times JOIN o ON o.trip_id = times.trip_id AND stop_sequence > b WHERE coalesce(drop_off_type, 0) <> 1 GROUP BY stop""")
+def direct_connections(spark, d):
+    """Trips that lead without a change from the stops of one nation to each stop."""
+    origin = table(spark, d, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("stop"), F.lit(True).alias("is_origin"))
+    rows = stop_times(spark, d).join(origin, "stop", "left")
+    return normalise.direct_connections(rows, F.coalesce("is_origin", F.lit(False)))
+
+
+@query(f"""WITH {TIMES}, n AS (SELECT route, stop, lead(stop) OVER (PARTITION BY trip_id ORDER BY stop_sequence) AS nxt FROM times)
+SELECT DISTINCT least(stop, nxt) AS from_id, greatest(stop, nxt) AS to_id FROM n WHERE nxt IS NOT NULL AND nxt <> stop""")
+def stop_segments(spark, d):
+    """Unordered pairs of stops that follow each other on some trip."""
+    return normalise.stop_pairs(stop_times(spark, d), ["trip_id"], "stop_sequence", "stop").select(F.col("low").alias("from_id"), F.col("high").alias("to_id")).distinct()
+
+
+SIGNED = f"""{TIMES}, signed AS (SELECT trip_id, md5(string_agg(stop || ':' || coalesce(CAST(pickup_type AS VARCHAR), '') || ':' || coalesce(CAST(drop_off_type AS VARCHAR), ''), '>' ORDER BY stop_sequence)) AS stop_hash FROM times GROUP BY trip_id)"""
+
+
+@query(f"WITH {SIGNED} SELECT stop_hash, min(trip_id) AS representative, count(*) AS trips FROM signed GROUP BY stop_hash")
+def route_pattern_signature(spark, d):
+    """Trips with one stop sequence share a pattern; its smallest trip stands for it."""
+    signed = normalise.signature(stop_times(spark, d), parts=("stop", "pickup_type", "drop_off_type"))
+    return signed.groupBy(F.md5(F.col("signature").cast("binary")).alias("stop_hash")).agg(F.min("trip_id").alias("representative"), F.count(F.lit(1)).alias("trips"))
+
+
+LABELS = f"{TIMES}, labels AS (SELECT DISTINCT stop, p_brand || ' · ' || p_type AS label FROM times JOIN part ON route = p_partkey)"
+
+
+@query(f"""WITH {LABELS}, r AS (SELECT *, row_number() OVER (PARTITION BY stop ORDER BY label) AS rn, count(*) OVER (PARTITION BY stop) AS n FROM labels)
+SELECT stop, string_agg(label, ', ' ORDER BY label) FILTER (WHERE rn <= 5) || CASE WHEN max(n) > 5 THEN ', +' || (max(n) - 5) || ' more' ELSE '' END AS summary, max(n) AS route_count FROM r GROUP BY stop""")
+def route_label_top5(spark, d):
+    """First five route labels of each stop and how many it has."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("route"), text.route_label(F.col("p_brand"), F.lit(None).cast("string"), F.col("p_name"), F.col("p_type")).alias("label"))
+    rows = stop_times(spark, d).select("stop", "route").join(part, "route").select("stop", "label").distinct()
+    w = Window.partitionBy("stop")
+    ranked = rows.withColumns({"rn": F.row_number().over(w.orderBy("label")), "n": F.count(F.lit(1)).over(w)})
+    out = ranked.groupBy("stop").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("rn") <= 5, F.col("label")))), ", ").alias("labels"), F.max("n").alias("route_count"))
+    return out.select("stop", text.route_summary(F.col("labels"), F.col("route_count")).alias("summary"), "route_count")
+
+
+@query(f"""WITH {TIMES}, served AS (SELECT DISTINCT stop, p_size % 8 AS k, p_name FROM times JOIN part ON route = p_partkey),
+m AS (SELECT stop, list_sort(list(DISTINCT CASE k WHEN 0 THEN 'TRAM' WHEN 1 THEN 'U' WHEN 3 THEN 'BUS' WHEN 4 THEN 'FERRY' WHEN 2 THEN CASE WHEN lower(p_name) LIKE 's%' THEN 'S' WHEN lower(p_name) LIKE 're%' THEN 'RE' ELSE 'RAIL' END ELSE 'OTHER' END)) AS modes FROM served WHERE k = stop % 8 OR k = (stop + 3) % 8 GROUP BY stop)
+SELECT s_suppkey AS stop, array_to_string(coalesce(modes, []), ',') AS modes, CASE WHEN list_has_any(coalesce(modes, []), ['RAIL', 'RE']) THEN 'regional' WHEN list_has_any(coalesce(modes, []), ['S', 'U']) THEN 'urban_rail' WHEN len(coalesce(modes, [])) > 0 AND len(list_filter(modes, lambda x: x NOT IN ('BUS', 'TRAM'))) = 0 THEN 'bus_only' ELSE 'other' END AS priority FROM supplier LEFT JOIN m ON stop = s_suppkey""")
+def stop_modes_array(spark, d):
+    """Sorted modes of the routes that serve each stop, and the priority that they give it; unserved stops have none."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("route"), (F.col("p_size") % 8).alias("k"), "p_name")
+    served = stop_times(spark, d).select("stop", "route").join(part, "route").where((F.col("k") == F.col("stop") % 8) | (F.col("k") == (F.col("stop") + 3) % 8))
+    found = served.groupBy("stop").agg(F.array_sort(F.collect_set(modes.mode_of(F.col("k"), F.col("p_name")))).alias("modes"))
+    out = table(spark, d, "supplier").select(F.col("s_suppkey").alias("stop")).join(found, "stop", "left")
+    m = F.coalesce("modes", F.array().cast("array<string>"))
+    return out.select("stop", F.array_join(m, ",").alias("modes"), modes.stop_priority(m).alias("priority"))
+
+
+@query("""WITH p AS (SELECT p_partkey, (p_size * 37) % 1700 AS t, p_name FROM part)
+SELECT p_partkey, CASE WHEN t = 0 OR t BETWEEN 900 AND 999 THEN 'TRAM' WHEN t = 1 OR t BETWEEN 400 AND 405 THEN 'U'
+  WHEN (t = 2 OR t BETWEEN 100 AND 199) AND regexp_matches(p_name, '^(ICE|IC|EC)', 'i') THEN 'ICE' WHEN (t = 2 OR t BETWEEN 100 AND 199) AND regexp_matches(p_name, '^S', 'i') THEN 'S'
+  WHEN (t = 2 OR t BETWEEN 100 AND 199) AND regexp_matches(p_name, '^RE', 'i') THEN 'RE' WHEN (t = 2 OR t BETWEEN 100 AND 199) AND regexp_matches(p_name, '^RB', 'i') THEN 'RB'
+  WHEN t = 2 OR t BETWEEN 100 AND 199 THEN 'RAIL' WHEN t = 3 OR t BETWEEN 700 AND 799 THEN 'BUS' WHEN t = 4 OR t = 1000 THEN 'FERRY' WHEN t BETWEEN 1500 AND 1599 THEN 'TAXI' ELSE 'OTHER' END AS mode FROM p""")
+def mode_classification(spark, d):
+    """Mode of each route from its type number and name."""
+    return table(spark, d, "part").select("p_partkey", modes.mode_of((F.col("p_size") * 37) % 1700, F.col("p_name")).alias("mode"))
+
+
+@query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '#' || substr(md5(p_name), 1, 6) WHEN 1 THEN substr(md5(p_name), 1, 6) ELSE p_name END AS c FROM part)
+SELECT p_partkey, CASE WHEN regexp_full_match(c, '#?[0-9A-Fa-f]{6}') THEN '#' || right(c, 6) END AS colour FROM p""")
+def colour_normalise(spark, d):
+    """Route colours as #RRGGBB, null where they are none."""
+    raw = F.substring(F.md5(F.col("p_name").cast("binary")), 1, 6)
+    c = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("#"), raw)).when(F.col("p_partkey") % 3 == 1, raw).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", modes.colour(c).alias("colour"))
+
+
+@query("""SELECT c_nationkey, o_orderkey, o_orderstatus FROM (SELECT c_nationkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN o_orderstatus <> 'O' THEN o_orderdate END DESC NULLS LAST, o_orderdate DESC, o_orderkey) AS rn FROM orders JOIN customer ON o_custkey = c_custkey) WHERE rn = 1""")
+def latest_run(spark, d):
+    """The latest run of each profile: completed ones first, unfinished last."""
+    runs = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    done = F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate"))
+    return store.first_wins(runs, ["c_nationkey"], [done.desc_nulls_last(), F.desc("o_orderdate"), F.col("o_orderkey")]).select("c_nationkey", "o_orderkey", "o_orderstatus")
+
+
+@query("""WITH kids AS (SELECT c_custkey, c_acctbal, c_custkey % 50 AS parent FROM customer WHERE c_custkey % 5 <> 0), parents AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 5 = 0 AND c_custkey < 40)
+SELECT p.c_custkey AS place, CASE WHEN p.c_acctbal > 0 THEN p.c_acctbal ELSE round(avg(k.c_acctbal), 6) END AS value, 'parent' AS kind FROM parents p LEFT JOIN kids k ON k.parent = p.c_custkey GROUP BY p.c_custkey, p.c_acctbal
+UNION ALL SELECT c_custkey, c_acctbal, 'orphan' FROM kids k WHERE NOT EXISTS (SELECT 1 FROM parents p WHERE p.c_custkey = k.parent)""")
+def orphan_places(spark, d):
+    """Parents, their value from children where they have none, and children whose parent is missing."""
+    c = table(spark, d, "customer")
+    kids = c.where("c_custkey % 5 <> 0").select("c_custkey", "c_acctbal", (F.col("c_custkey") % 50).alias("parent"))
+    parents = c.where("c_custkey % 5 = 0 AND c_custkey < 40").select("c_custkey", "c_acctbal")
+    mean = kids.groupBy("parent").agg(F.round(F.avg("c_acctbal"), 6).alias("mean"))
+    own = parents.join(mean, F.col("c_custkey") == F.col("parent"), "left").select(F.col("c_custkey").alias("place"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).otherwise(F.col("mean")).alias("value"), F.lit("parent").alias("kind"))
+    orphans = kids.join(parents.select(F.col("c_custkey").alias("parent")), "parent", "left_anti").select(F.col("c_custkey").alias("place"), F.col("c_acctbal").alias("value"), F.lit("orphan").alias("kind"))
+    return own.unionByName(orphans)
+
+
+#: A triangle and a box, as states.
+POLYGONS = {"HH": [[(8.0, 52.5), (11.0, 52.5), (9.5, 54.5)]], "SH": [[(9.0, 53.0), (13.0, 53.0), (13.0, 54.0), (9.0, 54.0)]]}
+
+
+def _inside(ring: list[tuple[float, float]]) -> str:
+    parts = []
+    for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]], strict=True):
+        if y1 != y2:
+            parts.append(f"CAST((({y1}::DOUBLE > lat) <> ({y2}::DOUBLE > lat)) AND lon < (lat - {y1}::DOUBLE) * {(x2 - x1) / (y2 - y1)!r}::DOUBLE + {x1}::DOUBLE AS INTEGER)")
+    return f"(({' + '.join(parts)}) % 2 = 1)"
+
+
+@query(f"WITH {PLACES} SELECT id, CASE WHEN {_inside(POLYGONS['HH'][0])} THEN 'HH' WHEN {_inside(POLYGONS['SH'][0])} THEN 'SH' END AS state_code FROM places")
+def state_assignment(spark, d):
+    """State of each place by the polygons that hold it."""
+    return poi.states_of_points(places(spark, d).select("id", "lon", "lat"), POLYGONS).select("id", "state_code")
+
+
+@query(f"WITH {PLACES} SELECT id FROM places WHERE NOT {_inside(POLYGONS['HH'][0])} AND NOT {_inside(POLYGONS['SH'][0])}")
+def outside_regions(spark, d):
+    """Places outside all polygons."""
+    return poi.states_of_points(places(spark, d).select("id", "lon", "lat"), POLYGONS).where("state_code IS NULL").select("id")
+
+
+@query("WITH " + PLACES + """ SELECT id, CASE WHEN lon BETWEEN 9.72 AND 10.35 AND lat BETWEEN 53.38 AND 53.75 THEN 'HH' WHEN lon BETWEEN 7.85 AND 11.35 AND lat BETWEEN 53.35 AND 55.12 THEN 'SH'
+  WHEN lon BETWEEN 10.55 AND 14.50 AND lat BETWEEN 53.05 AND 54.85 THEN 'MV' WHEN lon BETWEEN 6.60 AND 11.65 AND lat BETWEEN 51.25 AND 53.95 THEN 'NI' END AS state_code FROM places""")
+def state_by_box(spark, d):
+    """State of each place by the first box that holds it."""
+    return places(spark, d).select("id", poi.state_of_box(F.col("lon"), F.col("lat")).alias("state_code"))
+
+
+HAVERSINE = "2 * 6371008.8 * asin(least(sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)), 1))"
+
+
+@query(f"""WITH {PLACES}, {HALTS}, j AS (SELECT a.id AS place, b.id AS stop, {HAVERSINE} AS m FROM places a JOIN halts b ON abs(a.lon - b.lon) <= 0.1 AND abs(a.lat - b.lat) <= 0.1),
+r AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY m, stop) AS rank FROM j WHERE m <= 8000) SELECT place, stop, CAST(rank AS INTEGER) AS rank, round(m, 3) AS meters FROM r WHERE rank <= 3""")
+def nearest_snap_top3(spark, d):
+    """The three nearest stops within reach of each place, by a grid join."""
+    left = places(spark, d).select(F.col("id").alias("place"), "lon", "lat")
+    right = places(spark, d, "supplier").select(F.col("id").alias("stop"), "lon", "lat")
+    return rail.nearest_within(left, right, 8000.0, 0.1, 3, "place", "stop").select("place", "stop", "rank", F.round("distance_m", 3).alias("meters"))
+
+
+@query(f"""WITH {PLACES}, t AS (SELECT id, (radians(lon) * 6378137.0 + 20037508.342789244) / (2 * 20037508.342789244 / 256) AS fx, (20037508.342789244 - ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0) / (2 * 20037508.342789244 / 256) AS fy FROM places)
+SELECT CAST(floor(fx) AS INTEGER) AS x, CAST(floor(fy) AS INTEGER) AS y, count(*) AS n FROM t GROUP BY ALL""")
+def tile_membership(spark, d):
+    """Places per tile at zoom 8."""
+    x, y = geo.tile_of(F.col("lon"), F.col("lat"), 8)
+    return places(spark, d).groupBy(x.alias("x"), y.alias("y")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT c_custkey, c_name FROM customer WHERE c_name ILIKE '%r#0000000_7%' AND c_mktsegment IN ('BUILDING', 'MACHINERY') ORDER BY c_name, c_custkey LIMIT 20""")
+def stop_search(spark, d):
+    """Search by name with live wildcards and a list filter, the first 20 by name."""
+    c = table(spark, d, "customer")
+    return c.where(text.contains_pattern(F.col("c_name"), "r#0000000_7") & text.one_of(F.col("c_mktsegment"), ["BUILDING", "MACHINERY"])).orderBy("c_name", "c_custkey").limit(20).select("c_custkey", "c_name")
+
+
+@query(f"""WITH {TIMES}, {SAMPLES}, stats AS (SELECT destination, min(total) FILTER (WHERE total >= 0) AS fastest FROM samples GROUP BY destination),
+n AS (SELECT stop, lead(stop) OVER (PARTITION BY trip_id ORDER BY stop_sequence) AS nxt FROM times), pairs AS (SELECT DISTINCT least(stop, nxt) AS from_id, greatest(stop, nxt) AS to_id FROM n WHERE nxt IS NOT NULL AND nxt <> stop)
+SELECT from_id, to_id, a.fastest AS from_fastest, b.fastest AS to_fastest FROM pairs LEFT JOIN stats a ON a.destination = from_id LEFT JOIN stats b ON b.destination = to_id
+WHERE (a.fastest IS NULL OR a.fastest <= 1800) AND (b.fastest IS NULL OR b.fastest <= 1800)""")
+def endpoint_double_join(spark, d):
+    """Segments whose ends both lie in the chosen travel-time band."""
+    fastest = metrics.travel_time_statistics(samples(spark, d), ["destination"]).select("destination", "fastest_s")
+    side = lambda s: fastest.select(F.col("destination").alias(f"{s}_id"), F.col("fastest_s").alias(f"{s}_fastest"))
+    out = QUERIES["stop_segments"](spark, d).join(side("from"), "from_id", "left").join(side("to"), "to_id", "left")
+    return out.where(modes.in_bands(F.col("from_fastest"), [30]) & modes.in_bands(F.col("to_fastest"), [30])).select("from_id", "to_id", "from_fastest", "to_fastest")
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS trips FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def trip_counts_left(spark, d):
+    """Trips per pattern, counted before the join; none counts as 0."""
+    n = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("trips"))
+    return table(spark, d, "customer").select("c_custkey").join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("trips", F.lit(0)).alias("trips"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, 'line' AS layer, o_orderstatus AS mode, NULL::DOUBLE AS length_m FROM orders WHERE o_orderstatus NOT IN ('F')
+UNION ALL SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey, 'segment', l_returnflag, l_extendedprice FROM lineitem WHERE l_extendedprice <= CASE l_returnflag WHEN 'R' THEN 8000 WHEN 'A' THEN 15000 ELSE 20000 END""")
+def union_layers(spark, d):
+    """Lines and length-capped segments as one layer, columns that one lacks null."""
+    lines = table(spark, d, "orders").where(~F.col("o_orderstatus").isin("F")).select(F.col("o_orderkey").cast("string").alias("id"), F.lit("line").alias("layer"), F.col("o_orderstatus").alias("mode"))
+    li = table(spark, d, "lineitem").withColumn("m", F.when(F.col("l_returnflag") == "R", "U").when(F.col("l_returnflag") == "A", "S").otherwise("RE"))
+    segments = li.where(F.col("l_extendedprice") <= modes.line_cap(F.col("m"))).select(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey").alias("id"), F.lit("segment").alias("layer"), F.col("l_returnflag").alias("mode"), F.col("l_extendedprice").alias("length_m"))
+    return lines.unionByName(segments, allowMissingColumns=True)
+
+
+# --- calendars, samples and statistics ------------------------------------------------
+
+
+@query("""WITH c AS (SELECT o_orderkey AS service_id, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 20 AS INTEGER) AS b FROM orders WHERE o_orderkey % 7 = 0),
+w AS (SELECT service_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS service_date FROM c), weekly AS (SELECT * FROM w WHERE isodow(service_date) <= 5),
+x AS (SELECT service_id, a AS service_date, 2 AS kind FROM c WHERE service_id % 2 = 0 UNION SELECT service_id, b + 1, 1 FROM c)
+SELECT coalesce(weekly.service_id, x.service_id) AS service_id, CAST(coalesce(weekly.service_date, x.service_date) AS VARCHAR) AS service_date, coalesce(kind = 1, true) AS is_active, CASE WHEN kind IS NOT NULL THEN 'calendar_dates' ELSE 'calendar' END AS source FROM weekly FULL JOIN x USING (service_id, service_date)""")
+def service_dates(spark, d):
+    """Weekday services over a range, with one date taken off and one added."""
+    a = F.col("o_orderdate").cast("date")
+    c = table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("service_id"), a.alias("a"), F.date_add(a, (F.col("o_orderkey") % 20).cast("int")).alias("b"))
+    flags = {day: F.lit("1" if i < 5 else "0") for i, day in enumerate(calendar.DAYS)}
+    weekly = c.select("service_id", times.to_gtfs_date(F.col("a")).alias("start_date"), times.to_gtfs_date(F.col("b")).alias("end_date")).withColumns(flags)
+    off = c.where("service_id % 2 = 0").select("service_id", times.to_gtfs_date(F.col("a")).alias("date"), F.lit("2").alias("exception_type"))
+    on = c.select("service_id", times.to_gtfs_date(F.date_add("b", 1)).alias("date"), F.lit("1").alias("exception_type"))
+    return calendar.service_dates(weekly, off.unionByName(on)).withColumn("service_date", F.col("service_date").cast("string"))
+
+
+@query("""WITH g AS (SELECT unnest(range(0, 86400, 300)) AS sample), e AS (SELECT CAST(floor((epoch(ts) % 86400) / 300) AS BIGINT) * 300 AS sample, count(*) AS n FROM events GROUP BY 1)
+SELECT CAST(g.sample AS INTEGER) AS sample, coalesce(n, 0) AS n FROM g LEFT JOIN e USING (sample)""")
+def sample_grid(spark, d):
+    """Departures per five-minute sample of the day, empty samples included."""
+    grid = spark.range(1).select(F.explode(times.sample_seconds(0, 86400, 300)).alias("sample"))
+    second = F.hour("ts") * 3600 + F.minute("ts") * 60
+    n = table(spark, d, "events").groupBy((F.floor(second / 300) * 300).cast("int").alias("sample")).agg(F.count(F.lit(1)).alias("n"))
+    return grid.join(n, "sample", "left").select("sample", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""SELECT user_id, max(gap) AS max_gap FROM (SELECT user_id, date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts), ts) AS gap FROM events) GROUP BY user_id""")
+def max_service_gap(spark, d):
+    """The longest pause between departures, in microseconds."""
+    e = table(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return metrics.widest_gap(e, ["user_id"], "at")
+
+
+@query(f"""WITH {SAMPLES}, s AS (SELECT destination, count(*) AS sample_count, count(*) FILTER (WHERE total >= 0) AS reachable_count, min(total) FILTER (WHERE total >= 0) AS fastest_s, avg(total) FILTER (WHERE total >= 0) AS a,
+  median(total) FILTER (WHERE total >= 0) AS m, CAST(quantile_disc(total, 0.9) FILTER (WHERE total >= 0) AS DOUBLE) AS p, avg(l_linenumber - 1) AS t FROM samples GROUP BY destination)
+SELECT destination, sample_count, reachable_count, fastest_s, round(a, 6) AS average_s, CASE WHEN reachable_count / sample_count >= 0.5 THEN m END AS median_s, CASE WHEN reachable_count / sample_count >= 0.9 THEN p END AS p90_s, round(t, 6) AS average_transfers FROM s""")
+def travel_time_stats(spark, d):
+    """Counts, fastest, mean, gated median and ninetieth percentile, and mean transfers per destination."""
+    s = metrics.travel_time_statistics(samples(spark, d), ["destination"])
+    return s.select("destination", "sample_count", "reachable_count", "fastest_s", F.round("average_s", 6).alias("average_s"), F.col("median_s").cast("double").alias("median_s"), F.col("p90_s").cast("double").alias("p90_s"), F.round("average_transfers", 6).alias("average_transfers"))
+
+
+@query("""SELECT l_orderkey AS sample, l_suppkey AS place, min(l_quantity) AS seconds, arg_min(l_partkey, struct_pack(a := l_quantity, b := l_partkey)) AS stop FROM lineitem WHERE l_quantity <= 40 GROUP BY ALL""")
+def best_per_place(spark, d):
+    """Fastest arrival of each sample and place, the first of equal ones."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample"), F.col("l_suppkey").alias("place"), F.col("l_partkey").alias("stop"), F.col("l_quantity").alias("seconds"), F.lit(1).alias("legs"), F.col("l_partkey").alias("position"))
+    return metrics.best_per_place(rows, 40).select("sample", "place", "seconds", "stop")
+
+
+@query(f"""WITH {SAMPLES} SELECT CASE WHEN total IS NULL THEN NULL WHEN total <= 1800 THEN 30 WHEN total <= 2700 THEN 45 WHEN total <= 3600 THEN 60 WHEN total <= 4500 THEN 75 WHEN total <= 5400 THEN 90 ELSE 999 END AS band, count(*) AS n,
+  count(*) FILTER (WHERE total IS NULL OR (total > 1800 AND total <= 2700) OR (total > 4500 AND total <= 5400)) AS shown FROM samples GROUP BY 1""")
+def time_window_bucket(spark, d):
+    """Samples per travel-time band, and how many two chosen bands show."""
+    s = samples(spark, d).select("arrival_s")
+    return s.groupBy(modes.band_of(F.col("arrival_s")).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count_if(modes.in_bands(F.col("arrival_s"), [45, 90])).alias("shown"))
+
+
+@query("""WITH b AS (SELECT l_orderkey AS sample, l_suppkey AS place, min(struct_pack(s := l_quantity, p := l_partkey, l := l_linenumber)) AS x FROM lineitem WHERE l_quantity <= 20 GROUP BY ALL),
+g AS (SELECT *, sample - lag(sample) OVER (PARTITION BY place ORDER BY sample) AS gap FROM b)
+SELECT s_suppkey AS place, count(g.place) AS reachable_count, min(x.s) AS fastest_s, min(sample) AS first_sample, max(sample) AS last_sample, max(gap) AS max_gap, min(greatest(x.l - 1, 0)) AS min_transfers, count(*) FILTER (WHERE x.l <= 1) AS direct_count FROM supplier LEFT JOIN g ON g.place = s_suppkey GROUP BY s_suppkey""")
+def accumulator_full(spark, d):
+    """Service summary of each target place, those never reached included."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample"), F.col("l_suppkey").alias("place"), F.col("l_partkey").alias("stop"), F.col("l_quantity").alias("seconds"), F.col("l_linenumber").alias("legs"), F.col("l_partkey").alias("position"))
+    targets = table(spark, d, "supplier").select(F.col("s_suppkey").alias("place"))
+    out = metrics.service_summary(targets, metrics.best_per_place(rows, 20), 1000)
+    return out.select("place", "reachable_count", "fastest_s", "first_sample", "last_sample", "max_gap", "min_transfers", "direct_count")
+
+
+@query(f"""WITH {TIMES}, o AS (SELECT trip_id, stop_sequence AS id, arrival_s AS a, departure_s % 700 AS b, route % 3 AS c, stop AS e FROM times)
+SELECT trip_id, id FROM o x WHERE NOT EXISTS (SELECT 1 FROM o y WHERE y.trip_id = x.trip_id AND y.id <> x.id AND y.a <= x.a AND y.b <= x.b AND y.c <= x.c AND y.e <= x.e)""")
+def dominance_filter(spark, d):
+    """Options of a trip that no other option matches or beats on all four criteria."""
+    o = stop_times(spark, d).select("trip_id", F.col("stop_sequence").alias("id"), F.col("arrival_s").alias("a"), (F.col("departure_s") % 700).alias("b"), (F.col("route") % 3).alias("c"), F.col("stop").alias("e"))
+    return routing.not_dominated(o, ["trip_id"], "id", ["a", "b", "c", "e"]).select("trip_id", "id")
+
+
+@query(f"""WITH {TIMES}, rides AS (SELECT o.stop AS a, x.stop AS b, o.departure_s AS dep, x.arrival_s AS arr FROM times o JOIN times x ON o.trip_id = x.trip_id AND x.stop_sequence > o.stop_sequence WHERE x.arrival_s >= o.departure_s),
+f AS (SELECT b AS stop, min(arr) AS arrival_s FROM rides WHERE a = 1 GROUP BY b), s AS (SELECT b AS stop, min(arr) AS arrival_s FROM f JOIN rides ON a = f.stop AND dep >= f.arrival_s + 120 GROUP BY b)
+SELECT stop, min(arrival_s) AS arrival_s FROM (SELECT * FROM f UNION ALL SELECT * FROM s) GROUP BY stop""")
+def earliest_arrival(spark, d):
+    """Earliest arrival from one stop with at most one change."""
+    return routing.two_leg_arrivals(stop_times(spark, d).select("trip_id", "stop_sequence", "stop", "departure_s", "arrival_s"), F.col("a") == 1, 120)
+
+
+@query()
+def reachability_scan(spark, d):
+    """Connection scan over all trips for eight samples: stops reached, seconds and rides."""
+    t = stop_times(spark, d).select(F.col("trip_id").cast("string").alias("trip_id"), "stop_sequence", F.col("stop").cast("string").alias("stop_id"), "arrival_s", "departure_s", "pickup_type", "drop_off_type")
+    trips = t.select("trip_id").distinct().withColumn("service_id", F.lit("day"))
+    active = spark.range(1).select(F.lit("day").alias("service_id"), F.lit(0).alias("day_offset"))
+    walks = spark.createDataFrame([], "from_stop_id string, to_stop_id string, seconds int")
+    network = routing.Network.build(routing.day_connections(t, trips, active), walks, 60)
+    grid = spark.range(1).select(F.explode(times.sample_seconds(0, 2400, 300)).alias("sample")).repartition(4)
+    return routing.reach(grid, network, ["1"], 7200)
+
+
+# --- changes, search and points of interest -------------------------------------------
+
+
+@query("""WITH old AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0), new AS (SELECT c_custkey AS id, upper(c_name) AS name, c_acctbal + 1 AS v FROM customer WHERE c_custkey % 2 = 0)
+SELECT coalesce(new.id, old.id) AS id, CASE WHEN new.id IS NULL THEN old.name ELSE new.name END AS name, CASE WHEN new.id IS NULL THEN old.v ELSE new.v END AS v FROM old FULL JOIN new ON old.id = new.id""")
+def upsert_merge(spark, d):
+    """New rows replace or join old ones by key."""
+    c = table(spark, d, "customer")
+    old = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("v"))
+    new = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.upper("c_name").alias("name"), (F.col("c_acctbal") + 1).alias("v"))
+    return store.upsert(old, new, ["id"])
+
+
+@query("""WITH old AS (SELECT c_custkey AS id, c_mktsegment AS source, c_name AS name, CASE WHEN c_custkey % 11 = 0 THEN TIMESTAMP '2024-01-01' END AS deleted_at FROM customer),
+new AS (SELECT c_custkey AS id, c_mktsegment AS source FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey % 2 = 0)
+SELECT old.id, old.source, old.name, strftime(CASE WHEN new.id IS NOT NULL THEN NULL WHEN old.source = 'BUILDING' AND deleted_at IS NULL THEN TIMESTAMP '2024-06-01' ELSE deleted_at END, '%Y-%m-%d') AS deleted_at FROM old LEFT JOIN new ON old.id = new.id""")
+def soft_delete(spark, d):
+    """A source brought anew: its missing rows become deleted, its rows revive, other sources stay."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("source"), F.col("c_name").alias("name"))
+    old = c.withColumn("deleted_at", F.when(F.col("id") % 11 == 0, F.lit("2024-01-01").cast("timestamp")))
+    new = c.where("source = 'BUILDING' AND id % 2 = 0")
+    out = store.replace_source(old, new, ["id"], "source", F.lit("2024-06-01").cast("timestamp"))
+    return out.withColumn("deleted_at", F.date_format("deleted_at", "yyyy-MM-dd"))
+
+
+@query("""SELECT o_orderkey AS public_id, CASE WHEN o_orderkey = 10 THEN 'active' WHEN o_orderkey = 3 THEN 'archived' ELSE 'imported' END AS status, o_orderkey = 10 AS is_active FROM orders WHERE o_orderkey < 50""")
+def activate_snapshot(spark, d):
+    """One snapshot goes live, the one before is archived."""
+    o = table(spark, d, "orders").where("o_orderkey < 50").select(F.col("o_orderkey").alias("public_id"))
+    control = o.select("public_id", F.when(F.col("public_id") == 3, "active").otherwise("imported").alias("status"), (F.col("public_id") == 3).alias("is_active"))
+    return store.activate(control, 10)
+
+
+@query("""SELECT c_mktsegment AS source, c_nationkey AS id, c_custkey AS kept FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) AS rn FROM customer) WHERE rn = 1""")
+def dedupe_first(spark, d):
+    """The first row of each source and id."""
+    return store.first_wins(table(spark, d, "customer"), ["c_mktsegment", "c_nationkey"], ["c_custkey"]).select(F.col("c_mktsegment").alias("source"), F.col("c_nationkey").alias("id"), F.col("c_custkey").alias("kept"))
+
+
+@query("""WITH c AS (SELECT c_custkey, 'hof ' || (c_custkey % 40) AS name, CASE WHEN c_custkey % 3 = 0 THEN 'weg ' || (c_custkey % 5) END AS address, CASE WHEN c_custkey % 4 = 0 THEN 'http' END AS website, CASE WHEN c_custkey % 2 = 0 THEN round(53 + (c_custkey % 7) / 10.0::DOUBLE, 4) END AS lat,
+  CASE WHEN c_custkey % 2 = 0 THEN round(9 + (c_custkey % 7) / 10.0::DOUBLE, 4) END AS lon, 'SH' AS state_code FROM customer),
+k AS (SELECT *, CASE WHEN address IS NOT NULL THEN 'address:' || name || ':' || address WHEN lat IS NOT NULL THEN 'geo:' || CAST(lat AS VARCHAR) || ':' || CAST(lon AS VARCHAR) || ':' || name ELSE 'name:SH:' || name END AS key,
+  CASE WHEN lat IS NOT NULL THEN 100 ELSE 0 END + CASE WHEN address IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN website IS NOT NULL THEN 10 ELSE 0 END AS score FROM c)
+SELECT c_custkey, name, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, c_custkey) AS rn FROM k) WHERE rn = 1""")
+def dedupe_best(spark, d):
+    """The best-scored candidate of each name, address or place."""
+    k = F.col("c_custkey")
+    at = lambda base: F.when(k % 2 == 0, F.round(F.lit(float(base)) + (k % 7) / 10.0, 4))
+    c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("hof "), k % 40).alias("name"), F.when(k % 3 == 0, F.concat(F.lit("weg "), k % 5)).alias("address"), F.when(k % 4 == 0, "http").alias("website"), at(53).alias("lat"), at(9).alias("lon"), F.lit("SH").alias("state_code"), F.lit("listing_link").alias("confidence"))
+    out = poi.dedupe_best(c, "c_custkey")
+    return out.select("c_custkey", "name", poi.candidate_score(out).alias("score"))
+
+
+@query(f"""SELECT doc_id, trim(regexp_replace(regexp_replace(translate(replace(replace(replace(replace(lower(split_part(text, chr(10), 1)), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '{text.MARKED}', '{text.PLAIN}'), '\\bhbf\\b', 'hauptbahnhof', 'g'), '[^a-z0-9]+', ' ', 'g')) AS name FROM documents WHERE lang IN ('en', 'de')""")
+def name_normalise(spark, d):
+    """The first line of English and German documents as a name for comparison."""
+    docs = table(spark, d, "documents").where(F.col("lang").isin("en", "de"))
+    return docs.select("doc_id", text.german_name(F.split_part("text", F.lit("\n"), F.lit(1))).alias("name"))
+
+
+@query("""WITH p AS (SELECT DISTINCT p_name AS n FROM part), w AS (SELECT a.n AS a, b.n AS b, list_distinct(string_split(a.n, ' ')) AS x, list_distinct(string_split(b.n, ' ')) AS y FROM p a JOIN p b ON split_part(a.n, ' ', 1) = split_part(b.n, ' ', 1))
+SELECT a, b, round(CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.85 ELSE 2.0 * len(list_intersect(x, y)) / (len(x) + len(y)) END, 6) AS similarity FROM w""")
+def dice_similarity(spark, d):
+    """Similarity of part names that share their first word."""
+    n = table(spark, d, "part").select(F.col("p_name").alias("a")).distinct().withColumn("k", F.split_part("a", F.lit(" "), F.lit(1)))
+    pairs = n.join(n.withColumnRenamed("a", "b"), "k")
+    return pairs.select("a", "b", F.round(text.dice(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+@query("""SELECT c_custkey, array_to_string(list_distinct(list_transform(regexp_extract_all('1' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') || ' x' || lpad(CAST(c_custkey AS VARCHAR), 7, '0'), '[0-9]{7,8}'), lambda x: CASE WHEN length(x) = 8 AND x LIKE '1%' THEN substr(x, 2) ELSE x END)), ',') AS ids FROM customer""")
+def id_extract(spark, d):
+    """Stop numbers in a text, an eighth leading 1 dropped, each once."""
+    k = F.lpad(F.col("c_custkey").cast("string"), 7, "0")
+    return table(spark, d, "customer").select("c_custkey", F.array_join(text.stop_numbers(F.concat(F.lit("1"), k, F.lit(" x"), k)), ",").alias("ids"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'given-' || c_custkey ELSE substr(sha1(c_name || '|' || c_mktsegment), 1, 16) END AS id FROM customer""")
+def stable_id(spark, d):
+    """The given id, or one made from name and segment."""
+    given = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("given-"), "c_custkey"))
+    return table(spark, d, "customer").select("c_custkey", text.stable_id(given, F.col("c_name"), F.col("c_mktsegment")).alias("id"))
+
+
+def _unescape(expr: str) -> str:
+    for entity, plain in text.ENTITIES.items():
+        expr = f"replace({expr}, '{entity}', '{plain}')".replace("'''", "''''")
+    return expr
+
+
+@query(f"""SELECT page_id, md5(trim(regexp_replace({_unescape("regexp_replace(html, '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g'))) AS text_md5 FROM pages""")
+def html_text(spark, d):
+    """Whole text of each page, as its digest."""
+    return table(spark, d, "pages").select("page_id", F.md5(text.html_text(F.col("html")).cast("binary")).alias("text_md5"))
+
+
+@query("""WITH m AS (SELECT url, regexp_extract_all(html, '(?is)<a[^>]*href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1) AS h FROM pages) SELECT url, len(h) AS links, coalesce(h[1], '') AS first_href, coalesce(h[-1], '') AS last_href FROM m WHERE len(h) > 0""")
+def html_links(spark, d):
+    """Links of each page: how many, the first and the last."""
+    links = poi.page_links(table(spark, d, "pages").select("page_id", "url", "html").withColumn("url", F.concat_ws("\n", "page_id", "url")))
+    out = links.groupBy("url").agg(F.count(F.lit(1)).alias("links"), F.min_by("href", "nth").alias("first_href"), F.max_by("href", "nth").alias("last_href"))
+    return out.withColumn("url", F.substring_index("url", "\n", -1))
+
+
+@query("""SELECT event_type, count(*) AS n, count(*) FILTER (WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) >= 50) AS large, sum(CAST(json_extract_string(props, '$.k') AS INTEGER))::BIGINT AS total FROM events GROUP BY event_type""")
+def json_props(spark, d):
+    """Typed values out of JSON properties."""
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(k >= 50).alias("large"), F.sum(k.cast("long")).alias("total"))
+
+
+@query("""SELECT conv_id, greatest(count(*) FILTER (WHERE role = 'user') - 1, 0) AS transfers, CAST(sum(length(text)) FILTER (WHERE role = 'user') AS BIGINT) AS in_vehicle, arg_max(length(text), turn) FILTER (WHERE text <> '') AS last_length FROM conversations GROUP BY conv_id""")
+def legs_summary(spark, d):
+    """Turns as legs of a journey: rides less one, time in rides, the last filled value."""
+    legs = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").alias("s"), (F.col("text") != "").alias("filled")))).alias("legs"))
+    rides = F.filter("legs", lambda x: x["role"] == "user")
+    last = journeys.last_filled(F.transform("legs", lambda x: F.when(x["filled"], x["s"])))
+    total = F.when(F.size(rides) > 0, F.aggregate(rides, F.lit(0).cast("bigint"), lambda s, x: s + x["s"]))
+    return legs.select("conv_id", F.greatest(F.size(rides) - 1, F.lit(0)).cast("long").alias("transfers"), total.alias("in_vehicle"), last.cast("long").alias("last_length"))
+
+
+@query(f"""WITH {HALTS}, c AS (SELECT id, radians(lon) AS lo, radians(lat) AS la, (500 + id % 1000) / 6371000.0::DOUBLE AS d, unnest(range(0, 33)) AS i FROM halts),
+p AS (SELECT *, asin(sin(la) * cos(d) + cos(la) * sin(d) * cos(i * 2 * pi() / 32)) AS y FROM c)
+SELECT id, CAST(i AS INTEGER) AS i, round(degrees(lo + atan2(sin(i * 2 * pi() / 32) * sin(d) * cos(la), cos(d) - sin(la) * sin(y))), 7) AS lon, round(degrees(y), 7) AS lat FROM p""")
+def circle_polygon(spark, d):
+    """Circles around stops, as closed rings of 33 points."""
+    ring = geo.circle(F.col("lon"), F.col("lat"), (F.lit(500) + F.col("id") % 1000).cast("double"))
+    return places(spark, d, "supplier").select("id", F.posexplode(ring).alias("i", "p")).select("id", "i", F.round("p.lon", 7).alias("lon"), F.round("p.lat", 7).alias("lat"))
+
+
+# --- graphs and tiles ---------------------------------------------------------------
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").where("l_partkey % 29 = 0").select(F.concat(F.lit("s"), F.col("l_suppkey") * 7 % 1000).alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), (F.col("l_partkey") % 17 + 1).cast("double").alias("cost"))
+    return li.groupBy("source", "target").agg(F.min("cost").alias("cost")).withColumn("edge_id", F.concat_ws("-", "source", "target"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || (l_suppkey * 7 % 1000) AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_partkey % 29 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, other) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.other) SELECT node, min(other) AS component FROM r GROUP BY node""")
+def components(spark, d):
+    """Components of a graph of stops and routes."""
+    from tramline.plans.stages import stored
+
+    return rail.components(_edges(spark, d), stored)
+
+
+@query()
+def shortest_paths(spark, d):
+    """Cheapest ways between pairs of stops of one component."""
+    from tramline.plans.stages import stored
+
+    e = stored(_edges(spark, d))
+    stops = e.select("source").distinct().orderBy("source")
+    pairs = stops.withColumn("k", F.substring("source", 2, 9).cast("int"))
+    pairs = pairs.join(pairs.select(F.col("source").alias("target"), (F.col("k") - 7).alias("k")), "k").select("source", "target")
+    paths = rail.shortest_paths(e, pairs, rail.components(e, stored))
+    return paths.groupBy("source", "target").agg(F.count(F.lit(1)).alias("steps"), F.sum("cost").alias("cost"))
+
+
+@query("""WITH p AS (SELECT p_partkey, (p_size * 40)::DOUBLE AS snap, p_partkey % 4 AS failed, p_partkey % 5 AS total, CASE WHEN p_partkey % 6 > 0 THEN 1 + (p_size % 20) / 10.0::DOUBLE END AS detour, p_partkey % 3 = 0 AS service, (p_partkey % 3000)::DOUBLE AS h FROM part),
+s AS (SELECT p_partkey, greatest(0, least(1, 1 - (snap / 800 * 0.25 + CASE WHEN total = 0 THEN 1 ELSE failed / total END * 0.45 + greatest(coalesce(detour, 10) - 1.8, 0) * 0.15 + CASE WHEN service THEN 0.08 ELSE 0 END + least(h / 5000, 0.25)))) AS c FROM p)
+SELECT p_partkey, round(c, 6) AS confidence, CASE WHEN round(c, 6) >= 0.70 THEN 'matched' WHEN round(c, 6) >= 0.45 THEN 'low_confidence' ELSE 'fallback' END AS status FROM s""")
+def rail_confidence(spark, d):
+    """Confidence and status of line matches."""
+    k = F.col("p_partkey")
+    score = F.round(rail.confidence((F.col("p_size") * 40).cast("double"), (k % 4).cast("double"), (k % 5).cast("double"), F.when(k % 6 > 0, 1 + (F.col("p_size") % 20) / 10.0), k % 3 == 0, (k % 3000).cast("double")), 6)
+    return table(spark, d, "part").select("p_partkey", score.alias("confidence")).withColumn("status", rail.match_status(F.col("confidence"), F.lit(True)))
+
+
+@query()
+def stop_tiles(spark, d):
+    """Places as encoded vector tiles at zoom 8: bytes and digest of each tile."""
+    x, y = geo.tile_of(F.col("lon"), F.col("lat"), 8)
+    rows = places(spark, d).select(F.lit(8).alias("z"), x.alias("x"), y.alias("y"), F.array(F.struct("lon", "lat")).alias("points"), F.col("id").cast("string").alias("id"), F.col("c_name").alias("name"))
+    out = mvt.tiles(rows, "stops", ["id", "name"])
+    return out.select("z", "x", "y", F.octet_length("tile").alias("bytes"), F.md5("tile").alias("md5"))
+
+
+@query("""SELECT 'c_mktsegment' AS kind, c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR), count(*) FROM customer GROUP BY 2""")
+def run_report(spark, d):
+    """Counts by segment and nation, in one pass."""
+    return store.counts_by(table(spark, d, "customer"), ["c_mktsegment", "c_nationkey"])
+
+
+@query("""SELECT count(*) >= 100 AS enough_rows, count(DISTINCT c_nationkey) >= 4 AS enough_states, min(c_acctbal) >= 0 AS no_debt FROM customer""")
+def verification_gates(spark, d):
+    """Whether the imported tables meet their conditions."""
+    return table(spark, d, "customer").agg((F.count(F.lit(1)) >= 100).alias("enough_rows"), (F.count_distinct("c_nationkey") >= 4).alias("enough_states"), (F.min("c_acctbal") >= 0).alias("no_debt"))
+
+
