@@ -123,16 +123,17 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, labels: DataFrame) -> Dat
     own = edges.join(of, "source").select("component", "edge_id", "source", "target", "cost")
     other = labels.select(F.col("node").alias("target"), F.col("component").alias("c2"))
     asked = pairs.select("source", "target").distinct().where("source != target").join(of, "source").join(other, "target").where("component = c2").select("component", "source", "target")
-    own = own.join(asked.select("component").distinct(), "component", "left_semi")
+    asked = asked.select(F.col("component").alias("part"), F.col("source").alias("s"), F.col("target").alias("t"))
+    own = own.join(asked.select(F.col("part").alias("component")).distinct(), "component", "left_semi")
 
     def run(key: tuple, graph: pa.Table, ask: pa.Table) -> pa.Table:
-        rows = dijkstra(list(zip(*(graph.column(c).to_pylist() for c in ("edge_id", "source", "target", "cost")), strict=True)), list(zip(ask.column("source").to_pylist(), ask.column("target").to_pylist(), strict=True)))
+        rows = dijkstra(list(zip(*(graph.column(c).to_pylist() for c in ("edge_id", "source", "target", "cost")), strict=True)), list(zip(ask.column("s").to_pylist(), ask.column("t").to_pylist(), strict=True)))
         kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64()]
         columns = list(zip(*rows, strict=True)) or [[]] * 5
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["source", "target", "step", "edge_id", "cost"])
 
-    own = own.withColumn("edge_id", F.col("edge_id").cast("string"))
-    return own.groupBy("component").cogroup(asked.groupBy("component")).applyInArrow(run, "source string, target string, step int, edge_id string, cost double")
+    own = own.select("component", F.col("edge_id").cast("string").alias("edge_id"), "source", "target", "cost")
+    return own.groupBy("component").cogroup(asked.groupBy("part")).applyInArrow(run, "source string, target string, step int, edge_id string, cost double")
 
 
 def confidence(max_snap_m: Column, failed: Column, total: Column, detour: Column, uses_service: Column, hausdorff_m: Column) -> Column:
