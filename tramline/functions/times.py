@@ -86,7 +86,7 @@ def seconds_between(start: Column, end: Column, clamp: bool = False) -> Column:
     """Seconds between two ISO timestamps; null if one is invalid; negative gives null, or 0 with clamp."""
     at = lambda c: F.unix_millis(F.try_to_timestamp(c))
     diff = half_up((at(end) - at(start)) / 1000)
-    return F.greatest(diff, F.lit(0)) if clamp else F.when(diff >= 0, diff)
+    return F.when(diff.isNotNull(), F.greatest(diff, F.lit(0))) if clamp else F.when(diff >= 0, diff)
 
 
 def local_to_utc(local: Column, zone: str = "Europe/Berlin") -> Column:
