@@ -68,7 +68,7 @@ class _Words(dict):
             if bare[:1].isupper() and not bare.isupper():
                 kind |= 1
         out = kind | (2 if word.endswith(ENDS) else 0)
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         if len(word) <= 64:
             self[word] = out
@@ -78,13 +78,13 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def template(text: str | None, opening: bool = True) -> tuple[list[str], np.ndarray]:
-    """The words of a text, and the template word of each as a number; opening: the first word opens a sentence."""
+def template(text: str | None, opening: bool = True, names: bool = True) -> tuple[list[str], np.ndarray]:
+    """The words of a text, and the template word of each as a number; opening: the first word opens a sentence; names: they become placeholders."""
     words = (text or "").split()
     got = np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))
     opens = np.full(len(words), opening)
     opens[1:] = got[:-1] & 2 > 0
-    return words, np.where((got & 1 > 0) & ~opens, NAME << 2, got & ~np.int64(3))
+    return words, np.where((got & 1 > 0) & ~opens & names, NAME << 2, got & ~np.int64(3))
 
 
 def windows(kinds: np.ndarray) -> np.ndarray:
@@ -102,7 +102,8 @@ class Benchmark:
     """Items and their windows: sorted hashes for the join, and where each occurs.
 
     An item may stand inside a sentence of a document, where its first word
-    reads as a name; its first windows are therefore kept in both readings.
+    reads as a name, or in capitals throughout, where no word does; its windows
+    are therefore kept in these readings too.
     """
 
     def __init__(self, items: list[tuple[int, str | None]]):
@@ -116,6 +117,9 @@ class Benchmark:
                 self.at[h].append((n, pos))
             if found and (other := int(windows(template(text, False)[1][:WINDOW])[0])) != found[0]:
                 self.at[other].append((n, 0))
+            for pos, other in enumerate(windows(template(text, names=False)[1]).tolist()):
+                if other != found[pos]:
+                    self.at[other].append((n, pos))
         self.total = [len(set(x)) for x in self.first]
         self.sorted = np.sort(np.fromiter(self.at, U, len(self.at)))
         self.maybe = np.zeros(1 << 20, bool)

@@ -146,8 +146,8 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
 
 
 def _views(text, source, lang, n_chars) -> tuple[np.ndarray, np.ndarray]:
-    x = np.array([text_features(t) for t in text]).reshape(len(text), -1)
-    z = np.array([meta_features(s, g, None if pd.isna(n) else n) for s, g, n in zip(source, lang, n_chars, strict=True)]).reshape(len(text), -1)
+    x = np.array([text_features(t) for t in text]).reshape(len(text), len(text_features("")))
+    z = np.array([meta_features(s, g, None if pd.isna(n) else n) for s, g, n in zip(source, lang, n_chars, strict=True)]).reshape(len(text), 2 * BUCKETS + 1)
     return x, z
 
 
@@ -175,7 +175,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, po
     rows = own.join(wanted, "doc_id", "left_semi").select("doc_id", features(*COLUMNS).alias("f")).dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r.doc_id)))
     known, rest = [r for r in rows if r.doc_id in y], [r for r in rows if r.doc_id not in y]
-    take = lambda some, k: np.array([r.f[k] for r in some]).reshape(len(some), -1)
+    width = {"x": len(text_features("")), "z": len(meta_features("", "", 0))}
+    take = lambda some, k: np.array([r.f[k] for r in some]).reshape(len(some), width[k])
     return co_train((take(known, "x"), take(known, "z")), np.array([y[r.doc_id] for r in known]), (take(rest, "x"), take(rest, "z")))
 
 
