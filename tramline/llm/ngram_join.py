@@ -13,13 +13,20 @@ occupies more than k parts hence shares a signature with every partner.  A set
 that occupies fewer also emits its empty parts, which only such sets do.
 
 Buckets.  Up to ``SMALL`` sets with one signature are all paired.  In larger
-buckets each set is paired with the first; what is left is settled as follows.
+buckets each set is paired with the first.  Linked sets share as many
+signatures of an instance as the set occupies parts beyond k (its spare), so a
+pair is compared only if the small buckets that it shares, and as many large
+ones as it can share at most, come to that.  What is left of the large buckets
+is settled as follows.
 A set with more occupied parts outside large buckets than k shares one of
 those with every partner and needs no large bucket.  The sets that remain are
 mostly true copies of each other: after the pairs above are verified and their
 components known, only pairs from different components are left to verify.
-So a group of copies costs about its size, no pair of different components
-goes unseen, and no bucket is cut off.
+Of these, shingles that no other remaining set holds bound the intersection
+(sizes a and b less such shingles), and pairs whose bound cannot reach the
+threshold are left out in the join itself.  No pair of different components
+that could link goes unseen, and no bucket is cut off; a group of copies most
+of which miss the threshold narrowly still costs more than its size.
 
 Sets with equal content are one class from the start.  Signatures travel in
 packed columns (five bytes and an eight-byte class each), by hash label.
@@ -207,7 +214,7 @@ def packed_signatures(docs: DataFrame, labels: int) -> DataFrame:
 
 
 def buckets(packed: DataFrame) -> DataFrame:
-    """kind, x, y: candidate pairs of classes (kind 0), and signature and class of members of large buckets (kind 1)."""
+    """kind, x, y, odd, n: pairs of classes and how many small buckets of an instance they share (kind 0; n is 0 for a pair of a large bucket), and signature and class of members of large buckets (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners = [], []
@@ -235,35 +242,43 @@ def buckets(packed: DataFrame) -> DataFrame:
         size = np.diff(np.concatenate([first, [len(key)]]))
         rank = np.arange(len(key)) - np.repeat(first, size)
         sizes = np.repeat(size, size)
-        pairs = []
+        odd, pairs = (key & U(1)).astype(np.int32), []
         for step in range(1, SMALL):  # small buckets: each with the step-th before it; large ones: with the first alone
             at = np.flatnonzero((rank >= step) & (sizes <= SMALL))
-            pairs.append(np.stack([cls[at - step], cls[at]]))
+            pairs.append(np.stack([cls[at - step], cls[at], odd[at], np.ones(len(at), np.int64)]))
         at = np.flatnonzero((rank > 0) & (sizes > SMALL))
-        pairs.append(np.stack([cls[at - rank[at]], cls[at]]))
-        pair = np.unique(np.concatenate(pairs, 1), axis=1)
+        pairs.append(np.stack([cls[at - rank[at]], cls[at], odd[at], np.zeros(len(at), np.int64)]))
+        x, y, half, n = np.concatenate(pairs, 1)
+        order = np.lexsort((half, y, x))
+        x, y, half, n = x[order], y[order], half[order], n[order]
+        start = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (half[1:] != half[:-1])]))
         large = np.flatnonzero(sizes > SMALL)
-        for kind, x, y in ((0, pair[0], pair[1]), (1, key[large].view(np.int64), cls[large])):
-            for a in range(0, len(x), 100_000):
-                n = len(x[a : a + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(x[a : a + n]), pa.array(y[a : a + n])], ["kind", "x", "y"])
+        for kind, *columns in ((0, x[start], y[start], half[start], np.add.reduceat(n, start)), (1, key[large].view(np.int64), cls[large], odd[large], np.zeros(len(large), np.int64))):
+            for a in range(0, len(columns[0]), 100_000):
+                some = [c[a : a + 100_000] for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some[0]), kind, np.int32)), pa.array(some[0]), pa.array(some[1]), pa.array(some[2].astype(np.int32)), pa.array(some[3])], ["kind", "x", "y", "odd", "n"])
 
-    return packed.mapInArrow(run, "kind int, x long, y long")
+    return packed.mapInArrow(run, "kind int, x long, y long, odd int, n long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, work: Workspace) -> DataFrame:
-    """The pairs (x, y) of classes whose sets link, compared in full."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
+def contents(docs: DataFrame, wanted: DataFrame, classes: DataFrame, work: Workspace) -> DataFrame:
+    """cls, content: the sets of the classes wanted (cls), stored; their texts are read again."""
     reps = work.store(classes.join(wanted, "cls", "left_semi").select("node").distinct(), "reps")
-    reps = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
-    texts = _texts(docs).join(reps, F.col("doc_id") == F.col("node"), "left_semi")
+    few = reps.count() <= BROADCAST_IDS
+    texts = _texts(docs).join(F.broadcast(reps) if few else reps, F.col("doc_id") == F.col("node"), "left_semi")
 
-    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t) for t in batch.column("text").to_pylist()]
             if found:
                 yield _batch([(class_of(s), s.tobytes()) for s in found], [pa.int64(), pa.binary()], ["cls", "content"])
 
+    return work.store(texts.select("text").mapInArrow(run, "cls long, content binary").dropDuplicates(["cls"]), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
+    """The pairs (x, y) of classes whose sets (cls, content) link, compared in full."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -273,13 +288,25 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, work: Worksp
             if rows:
                 yield _batch(rows, [pa.int64()] * 2, ["x", "y"])
 
-    sets = work.store(texts.select("text").mapInArrow(contents, "cls long, content binary").dropDuplicates(["cls"]), "sets")
     a, b = sets.select(F.col("cls").alias("x"), F.col("content").alias("a")), sets.select(F.col("cls").alias("y"), F.col("content").alias("b"))
-    # no partial order of the joins matters: one content travels with each pair, the other comes from its own side
+    # one content travels with each pair, the other comes from its own side
     both = pairs.select(F.greatest("x", "y").alias("y"), F.least("x", "y").alias("x")).join(b, "y").join(a, "x").select("x", "y", "a", "b")
-    out = work.store(both.mapInArrow(compare, "x long, y long"), "links")
-    work.drop(sets, reps)
-    return out
+    return work.store(both.mapInArrow(compare, "x long, y long"), "links")
+
+
+def common_shingles(sets: DataFrame) -> DataFrame:
+    """cls, common: how many shingles of each set some other one of sets holds too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cls, raw in zip(batch.column("cls").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                h = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), cls, np.int64))], ["h", "cls"])
+
+    each = sets.mapInArrow(run, "h long, cls long")
+    single = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("cls")).where("n = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("single"))
+    sizes = sets.select("cls", F.expr("cast(octet_length(content) / 8 as long)").alias("size"))
+    return sizes.join(single, "cls", "left").select("cls", "size", (F.col("size") - F.coalesce("single", F.lit(0))).alias("common"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -287,31 +314,44 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     work, p = Workspace(spark, "ngram-join"), partitions(spark)
     rows = work.store(sets_of(docs), "rows")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("node"), F.max("even").alias("even"), F.max("odd").alias("odd"))
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("even").alias("even"), F.max("odd").alias("odd"))
     classes = work.store(classes, "classes")
     packed = packed_signatures(docs, min(1 << 15, 8 * p)).repartition(p, "label")
     found = work.store(buckets(packed), "buckets")
-    pairs = found.where("kind = 0").select("x", "y").distinct()
-    links = verified(docs, pairs, classes, work)
+    members = found.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("cls"), "odd")
+    counted = members.groupBy("cls", "odd").agg(F.count(F.lit(1)).alias("large"))
+    spares = classes.select("cls", "node", "n", F.explode(F.array(F.struct(F.lit(0).alias("odd"), F.col("even").alias("spare")), F.struct(F.lit(1).alias("odd"), F.col("odd").alias("spare")))).alias("s"))
+    spares = work.store(spares.select("cls", "node", "n", "s.odd", "s.spare").join(counted, ["cls", "odd"], "left").withColumn("large", F.coalesce("large", F.lit(0))), "spares")
+    side = lambda c: spares.select(F.col("cls").alias(c), "odd", F.col("n").alias(f"n{c}"), F.col("spare").alias(f"s{c}"), F.col("large").alias(f"l{c}"))
+    shared = found.where("kind = 0").groupBy("x", "y", "odd").agg(F.sum("n").alias("n")).join(side("x"), ["x", "odd"]).join(side("y"), ["y", "odd"])
+    enough = F.col("n") + F.least("lx", "ly") >= F.greatest("sx", "sy", F.lit(1))
+    near = F.least("nx", "ny") * DENOMINATOR >= F.greatest("nx", "ny") * NUMERATOR
+    pairs = work.store(shared.where(enough & near).select("x", "y").distinct(), "pairs")
+    sets = contents(docs, pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), classes, work)
+    links = verified(pairs, sets, work)
+    work.drop(sets)
     nodes = lambda links: links.join(classes.select(F.col("cls").alias("x"), F.col("node").alias("a")), "x").join(classes.select(F.col("cls").alias("y"), F.col("node").alias("b")), "y").select("a", "b")
     edges = nodes(links)
     roots = connected_components(edges, work)
 
     # Members of large buckets that smaller ones do not settle, and their components so far.
-    members = found.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("cls"), F.col("x").bitwiseAND(1).alias("odd_one"))
-    counted = members.groupBy("cls", "odd_one").agg(F.count(F.lit(1)).alias("large"))
-    spare = F.when(F.col("odd_one") == 1, F.col("odd")).otherwise(F.col("even"))
-    unsettled = counted.join(classes, "cls").where(F.col("large") >= spare).select("cls", "odd_one", "node")
-    left = members.join(unsettled, ["cls", "odd_one"]).join(roots, "node", "left").select("sig", "cls", F.coalesce("root", "node").alias("root"))
+    unsettled = spares.where("large > 0 and large >= spare").select("cls", "odd", "node")
+    left = members.join(unsettled, ["cls", "odd"]).join(roots, "node", "left").select("sig", "cls", F.coalesce("root", "node").alias("root"))
     left = work.store(left, "unsettled")
     mixed = left.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sig")
     left = work.store(left.join(mixed, "sig", "left_semi"), "mixed")
     if left.limit(1).count():
-        # Each member of the smaller components meets the members of all others in its bucket; the largest component's do not meet each other.
-        a, b = left.select("sig", F.col("cls").alias("x"), F.col("root").alias("r")), left.select("sig", F.col("cls").alias("y"), F.col("root").alias("s"))
-        more = a.join(b, "sig").where("r < s").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        sets = contents(docs, left.select("cls").distinct(), classes, work)
+        bound = work.store(common_shingles(sets).where(F.col("common") * DENOMINATOR >= F.col("size") * NUMERATOR), "bounds")
+        left = left.join(bound, "cls")
+        a = left.select("sig", F.col("cls").alias("x"), F.col("root").alias("r"), F.col("size").alias("p"), F.col("common").alias("c"))
+        b = left.select("sig", F.col("cls").alias("y"), F.col("root").alias("s"), F.col("size").alias("q"), F.col("common").alias("d"))
+        can = F.least("c", "d") * (NUMERATOR + DENOMINATOR) >= (F.col("p") + F.col("q")) * NUMERATOR
+        met = a.join(b, (a["sig"] == b["sig"]) & (F.col("r") < F.col("s")) & can)
+        more = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         more = more.join(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
-        edges = edges.unionByName(nodes(verified(docs, work.store(more, "crossing"), classes, work)))
+        edges = edges.unionByName(nodes(verified(work.store(more, "crossing"), sets, work)))
+        work.drop(sets)
         roots = connected_components(edges, work)
     of_class = classes.join(roots, "node", "left").select(F.col("cls").alias("c"), F.coalesce("root", "node").alias("root"))
     own = (F.col("cls") == F.col("c")) & (F.col("n") > 0) & F.col("doc_id").isNotNull()
