@@ -44,6 +44,7 @@ class Workspace:
         self.spark = spark
         self.uri = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.serial = 0
+        self.stored: list[str] = []
 
     def path(self, name: str) -> str:
         self.serial += 1
@@ -54,8 +55,17 @@ class Workspace:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tramline_path = path
+        self.stored.append(path)
         return out
 
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Remove all stored tables but these."""
+        kept = {t._tramline_path for t in tables}
+        for path in self.stored:
+            if path not in kept:
+                self.delete(path)
+        self.stored = [p for p in self.stored if p in kept]
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             self.delete(getattr(t, "_tramline_path", None))

@@ -39,5 +39,7 @@ def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
         edges = after
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out._tramline_path = edges._tramline_path
+            return out
         state = now

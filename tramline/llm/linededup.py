@@ -30,53 +30,68 @@ from pyspark.sql import functions as F
 from tramline.llm.common import Workspace, load
 
 MIN_WORDS = 5
+#: Lines named in a table that goes to all executors, at most (about 60 bytes each); beyond it the texts are shuffled instead.
+BROADCAST_LINES = 1_000_000
+LINE_BITS = 1 << 32
 
 
-def _words(line):
-    return F.filter(F.split(F.lower(line), "[ \\t\\x0B\\f\\r]+"), lambda w: w != "")
+def _normal(docs: DataFrame, *more: str) -> DataFrame:
+    """doc, the lines of its text, and further columns: lower case, white space within a line made single blanks, ends not trimmed.
 
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc, line_no, words of every line."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc", "line_no", _words(F.col("line")).alias("words"))
-
-
-def _half(words, kind: str, start, length):
-    return F.xxhash64(F.lit(kind), length, F.concat_ws(" ", F.slice(words, start, length)))
+    The whole text is rewritten at once, and only where it holds what is to be replaced.
+    """
+    other = "\t\x0b\x0c\r"
+    has = F.lit(False)
+    for c in other:
+        has = has | F.contains("t", F.lit(c))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc"), F.lower("text").alias("t"), *more)
+    out = out.withColumn("t", F.when(has, F.translate("t", other, "    ")).otherwise(F.col("t")))
+    out = out.withColumn("t", F.when(F.contains("t", F.lit("  ")), F.regexp_replace("t", "  +", " ")).otherwise(F.col("t")))
+    return out.select("doc", F.split("t", "\n").alias("lines"), *more)
 
 
 def _place(doc, line_no):
-    """A place that sorts, null doc_ids last."""
-    return F.struct(doc.isNull().alias("late"), doc.alias("doc"), line_no.alias("line_no"))
+    """A place as one number that sorts by doc_id, null ones last, and line number."""
+    at = F.coalesce(doc.cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
+    return (at * F.lit(LINE_BITS).cast("decimal(11,0)") + line_no.cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
 def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Places of the lines that take part: doc, line_no, key (hash pair), n, and hashes of their halves."""
-    w, n = F.col("words"), F.col("n")
-    lower = F.floor(n / 2).cast("int")
-    small = F.floor((n - 1) / 2).cast("int")
-    text = F.concat_ws(" ", w)
-    rows = _lines(docs).withColumn("n", F.size("words")).where(n >= min_words)
-    halves = F.array_distinct(F.array(_half(w, "a", F.lit(1), lower), _half(w, "a", F.lit(1), small), _half(w, "b", lower + 1, n - lower), _half(w, "b", n - (n - 1 - small) + 1, n - 1 - small)))
-    return rows.select("doc", "line_no", F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"), "n", halves.alias("halves"))
+    """Places of the lines that take part: doc, line_no, k1, k2 (hash pair), and hashes of their halves."""
+    lines = _normal(docs).select("doc", F.posexplode("lines").alias("line_no", "line"))
+    norm = F.col("norm")
+    rows = lines.select("doc", "line_no", F.trim("line").alias("norm"))
+    rows = rows.withColumn("n", F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1).where((norm != "") & (F.col("n") >= min_words))
+    lower, small = F.expr("cast(n div 2 as int)"), F.expr("cast((n - 1) div 2 as int)")
+    head = lambda k: F.xxhash64(F.lit("a"), k, F.call_function("substring_index", norm, F.lit(" "), k))
+    tail = lambda k: F.xxhash64(F.lit("b"), k, F.call_function("substring_index", norm, F.lit(" "), -k))
+    halves = F.array_distinct(F.array(head(lower), head(small), tail(F.col("n") - lower), tail(F.col("n") - 1 - small)))
+    return rows.select("doc", "line_no", F.xxhash64(norm).alias("k1"), F.hash(norm).alias("k2"), halves.alias("halves"))
+
+
+def _to_all(table: DataFrame, lines: int) -> DataFrame:
+    """The table, for broadcast where the lines it names are few enough."""
+    return F.broadcast(table) if lines <= BROADCAST_LINES else table
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame, work: Workspace) -> DataFrame:
+def near_lines(docs: DataFrame, places: DataFrame, distinct: DataFrame, work: Workspace) -> DataFrame:
     """Keys (k1, k2) of the distinct lines that have an earlier line within one word edit."""
-    half = distinct.select("k1", "k2", F.explode("halves").alias("half"))
-    shared = half.groupBy("half").agg(F.min(F.struct("k1", "k2")).alias("a"), F.max(F.struct("k1", "k2")).alias("b")).where("a != b").select("half")
-    wanted = half.join(shared, "half").select("k1", "k2").distinct()
-    places = distinct.join(wanted, ["k1", "k2"], "left_semi").select("k1", "k2", "first.doc", "first.line_no")
-    by_doc = places.groupBy("doc").agg(F.collect_list(F.struct("line_no", "k1", "k2")).alias("wanted"))
-    taken = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(by_doc.withColumnRenamed("doc", "at"), F.col("doc").eqNullSafe(F.col("at")))
-    each = taken.select("doc", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    rows = each.select("w.k1", "w.k2", "doc", "w.line_no", _words(F.get("lines", F.col("w.line_no"))).alias("words"))
-    text = F.concat_ws(" ", "words")
-    lines = rows.where((F.xxhash64(text) == F.col("k1")) & (F.hash(text) == F.col("k2"))).dropDuplicates(["k1", "k2"])
-    lines = work.store(lines.withColumn("n", F.size("words")), "lines")
-
-    word = lines.select("k1", "k2", "n", F.struct(F.col("doc").isNull().alias("late"), "doc", "line_no", "k1", "k2").alias("own"), F.posexplode("words").alias("i", "w"))
-    word = word.withColumn("here", F.xxhash64("w", "i")).withColumn("before", F.xxhash64("w", F.col("i") - 1))
+    half = places.select("k1", "k2", F.explode("halves").alias("half"))
+    shared = half.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a != b").select("half")
+    wanted = half.join(shared, "half", "left_semi").select("k1", "k2").distinct()
+    line_no = F.pmod("first", F.lit(LINE_BITS).cast("decimal(38,0)"))
+    doc = ((F.col("first") - line_no) / F.lit(LINE_BITS)).cast("decimal(20,0)")
+    named = distinct.join(wanted, ["k1", "k2"], "left_semi").select("k1", "k2", "first", line_no.cast("int").alias("line_no"), F.when(doc < F.lit(str(1 << 63)).cast("decimal(20,0)"), doc.cast("long")).alias("at"))
+    by_doc = work.store(named.groupBy("at").agg(F.collect_list(F.struct("line_no", "k1", "k2", "first")).alias("wanted")), "wanted")
+    lines_named = by_doc.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0]
+    texts = docs.select("doc_id", "text").join(_to_all(by_doc, lines_named), F.col("doc_id").cast("long").eqNullSafe(F.col("at")))
+    each = _normal(texts, "wanted").select("lines", F.explode("wanted").alias("w"))
+    rows = each.select("w.k1", "w.k2", F.col("w.first").alias("own"), F.trim(F.get("lines", F.col("w.line_no"))).alias("norm"))
+    lines = rows.where((F.xxhash64("norm") == F.col("k1")) & (F.hash("norm") == F.col("k2"))).dropDuplicates(["k1", "k2"])
+    lines = work.store(lines.select("k1", "k2", "own", F.split("norm", " ").alias("words")).withColumn("n", F.size("words")), "lines")
+
+    word = lines.select("k1", "k2", "n", "own", F.posexplode("words").alias("i", "w"))
+    word = word.select("k1", "k2", "n", "own", "i", F.xxhash64("w", "i").alias("here"), F.xxhash64("w", F.col("i") - 1).alias("before"))
     line = Window.partitionBy("k1", "k2")
     upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     sums = word.withColumns({"a": F.expr("bit_xor(here)").over(upto), "b": F.expr("bit_xor(before)").over(upto), "all_b": F.expr("bit_xor(before)").over(line)})
@@ -87,14 +102,14 @@ def near_lines(docs: DataFrame, distinct: DataFrame, work: Workspace) -> DataFra
 
     slot = variants.groupBy("key", "len", "pos").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("rows"))
     both = slot.groupBy("key", "len").agg(F.min(F.when(F.col("pos") < 0, F.col("first"))).alias("full"), F.min(F.when(F.col("pos") >= 0, F.col("first"))).alias("cut"), F.sum("rows").alias("rows")).where("rows > 1")
-    slot = slot.where("rows > 1 and pos >= 0").select("key", "len", "pos", F.col("first").alias("same"))
-    met = variants.join(both.select("key", "len", "full", "cut"), ["key", "len"]).join(slot, ["key", "len", "pos"], "left")
+    both = work.store(both.drop("rows"), "met")
+    met = variants.join(both, ["key", "len"])
+    same = met.where("pos >= 0").groupBy("key", "len", "pos").agg(F.min("own").alias("same"))
+    met = met.join(same, ["key", "len", "pos"], "left")
     other = F.when(F.col("pos") < 0, F.col("cut")).otherwise(F.least("full", "same"))
-    best = met.select("own", other.alias("other")).where("other < own").groupBy("own").agg(F.min("other").alias("other"))
-    pairs = best.select(F.col("own.k1").alias("k1"), F.col("own.k2").alias("k2"), F.col("other.k1").alias("o1"), F.col("other.k2").alias("o2"))
-    a = lines.select("k1", "k2", F.col("words").alias("x"))
-    b = lines.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("words").alias("y"))
-    return pairs.join(a, ["k1", "k2"]).join(b, ["o1", "o2"]).where(within_one(F.col("x"), F.col("y"))).select("k1", "k2")
+    pairs = met.select("own", other.alias("other")).where("other < own").groupBy("own").agg(F.min("other").alias("other"))
+    b = lines.select(F.col("own").alias("other"), F.col("words").alias("y"))
+    return pairs.join(lines.select("own", "k1", "k2", F.col("words").alias("x")), "own").join(b, "other").where(within_one(F.col("x"), F.col("y"))).select("k1", "k2").distinct()
 
 
 def within_one(x, y):
@@ -108,9 +123,10 @@ def dropped_lines(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS)
     """doc, exact and near: the line numbers that go, by reason, of each document that loses lines."""
     places = work.store(line_table(docs, min_words), "places")
     place = _place(F.col("doc"), F.col("line_no"))
-    distinct = places.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("halves").alias("halves"))
+    distinct = places.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows"))
     distinct = work.store(distinct, "distinct")
-    near = work.store(near_lines(docs, distinct, work), "near")
+    near = work.store(near_lines(docs, places, distinct, work), "near")
+    work.keep_only(places, distinct, near)
     marked = distinct.select("k1", "k2", "first", "rows").join(near.withColumn("near", F.lit(True)), ["k1", "k2"], "left").where("rows > 1 or near").drop("rows")
     gone = places.select("doc", "line_no", "k1", "k2").join(marked, ["k1", "k2"]).where(F.coalesce("near", F.lit(False)) | (place != F.col("first")))
     later = F.when(~F.coalesce("near", F.lit(False)), F.col("line_no"))
@@ -121,9 +137,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Documents with all their columns, text without the lines that go; n_lines, n_exact and n_near are added as struct _lines."""
     work = Workspace(docs.sparkSession, "line-dedup")
     gone = work.store(dropped_lines(docs.select("doc_id", "text"), work, min_words), "gone")
+    work.keep_only(gone)
     gone = gone.select(F.col("doc").alias("_gone_doc"), F.col("exact").alias("_gone_exact"), F.col("near").alias("_gone_near"))
     none = F.array().cast("array<int>")
-    both = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_doc")), "left")
+    lines_gone = gone.agg(F.coalesce(F.sum(F.size("_gone_exact") + F.size("_gone_near")), F.lit(0))).first()[0]
+    both = docs.join(_to_all(gone, lines_gone), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_doc")), "left")
     exact, near = F.coalesce("_gone_exact", none), F.coalesce("_gone_near", none)
     out = F.array_union(exact, near)
     text = F.when(F.size(out) == 0, F.col("text")).otherwise(F.concat_ws("\n", F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(out, i))))

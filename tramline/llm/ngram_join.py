@@ -353,6 +353,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         edges = edges.unionByName(nodes(verified(work.store(more, "crossing"), sets, work)))
         work.drop(sets)
         roots = connected_components(edges, work)
+    work.keep_only(rows, classes, roots)
     of_class = classes.join(roots, "node", "left").select(F.col("cls").alias("c"), F.coalesce("root", "node").alias("root"))
     own = (F.col("cls") == F.col("c")) & (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return rows.join(of_class, own, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
