@@ -58,7 +58,7 @@ def _place(doc, line_no):
 
 def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Places of the lines that take part: doc, line_no, k1, k2 (hash pair), and hashes of their halves."""
-    lines = _normal(docs).select("doc", F.posexplode("lines").alias("line_no", "line"))
+    lines = _normal(docs).select("doc", F.posexplode_outer("lines").alias("line_no", "line"))  # the outer form adds no filter that would rewrite the text again
     norm = F.col("norm")
     rows = lines.select("doc", "line_no", F.trim("line").alias("norm"))
     rows = rows.withColumn("n", F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1).where((norm != "") & (F.col("n") >= min_words))
