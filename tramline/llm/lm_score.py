@@ -54,7 +54,7 @@ U = np.uint64
 class _WordHash(dict):
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh3_64_intdigest(word.encode()) | 1
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         if len(word) <= 64:
             self[word] = h
