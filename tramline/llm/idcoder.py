@@ -48,7 +48,7 @@ class _Model:
         self.t1 = np.zeros(symbols, np.uint32)
         self.t2 = np.zeros(1 << BITS2, np.uint32)
         self.seen = np.full((128, 3), (2, 1, 4), np.float64)
-        self.fresh_weights = np.zeros(384, np.int64)
+        self.fresh_weights = np.zeros(512, np.int64)
         self.counts0 = np.zeros(symbols, np.int64)
         self.pending: list[np.ndarray] = []
         self.step = 0
@@ -56,11 +56,12 @@ class _Model:
         self._order0()
 
     def _weights(self) -> None:
-        self.seen += self.fresh_weights.reshape(128, 3)
+        self.seen += self.fresh_weights.reshape(128, 4)[:, :3]
         self.fresh_weights[:] = 0
         self.seen *= np.where(self.seen.sum(1, keepdims=True) > 50_000, 0.5, 1.0)
         f = np.floor(self.seen / self.seen.sum(1, keepdims=True) * (WEIGHTS - 3)).astype(np.int64) + 1
         f[:, 2] += WEIGHTS - f.sum(1)
+        f = np.pad(f, ((0, 0), (0, 1)))  # four cells a row, the last one empty
         self.weight = f.ravel().astype(U)
         self.weight_start = (np.cumsum(f, 1) - f).ravel().astype(U)
 
@@ -84,16 +85,19 @@ class _Model:
         """Predictions of order 2 and 1 and the row of the weights."""
         e2, e1 = self.t2[hashed], self.t1[before1]
         p2, p1 = e2 >> 3, e1 >> 3
-        row = ((e2 & 7) << 4) | ((e1 & 7) << 1) | (p2 == p1)
-        return e2, e1, p2, p1, row.astype(np.int64) * 3
+        row = ((e2 & 7) << 6) | ((e1 & 7) << 3) | ((p2 == p1).view(np.uint8) << np.uint32(2))
+        return e2, e1, p2, p1, row.astype(np.int64)
 
     def learn(self, ids, before1, hashed, e2, e1, hit2, hit1, cell, missed) -> None:
+        fresh = (ids << np.uint32(3)) | np.uint32(1)
         for table, at, e, hit in ((self.t2, hashed, e2, hit2), (self.t1, before1, e1, hit1)):
-            kept = e & 7
-            good = e + (hit & (kept < 7))
-            bad = np.where(kept > 1, (e & ~np.uint32(7)) | (kept >> 1), (ids << 3) | 1)
-            table[at] = np.where(hit, good, bad)
-        self.fresh_weights += np.bincount(cell, minlength=384)
+            kept = e & np.uint32(7)
+            after = np.where(kept > 1, e - (kept + np.uint32(1) >> np.uint32(1)), fresh)
+            hit = np.flatnonzero(hit)
+            good = e[hit]
+            after[hit] = good + (good & np.uint32(7) < 7)
+            table[at] = after
+        self.fresh_weights += np.bincount(cell, minlength=512)
         self.pending.append(missed)
         self.step += 1
         s = self.step
@@ -104,8 +108,9 @@ class _Model:
 
 
 def _hashed(before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
-    h = before2.astype(U) * U(0x9E3779B97F4A7C15) + before1.astype(U) * U(0xC2B2AE3D27D4EB4F)
-    return ((h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9) >> U(64 - BITS2)).astype(np.int64)
+    h = before2 * np.uint32(0x9E3779B1) + before1 * np.uint32(0x85EBCA77)
+    h ^= h >> np.uint32(15)
+    return (h * np.uint32(0xC2B2AE3D) >> np.uint32(32 - BITS2)).astype(np.int64)
 
 
 def encode_block(ids: np.ndarray) -> bytes:
