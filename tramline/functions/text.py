@@ -106,10 +106,9 @@ def route_summary(label_list: Column, total: Column, more: str = "+{n} more", sh
     return F.when(rest > 0, F.concat(label_list, extra)).otherwise(label_list)
 
 
-def contains_pattern(value: Column, query: str | Column) -> Column:
+def contains_pattern(value: Column, query: str) -> Column:
     """Case-blind substring search in which ``%`` and ``_`` of the query stay wildcards."""
-    q = F.lit(query) if isinstance(query, str) else query
-    return F.lower(value).like(F.concat(F.lit("%"), F.lower(q), F.lit("%"))) if not isinstance(query, str) else value.ilike(f"%{query}%")
+    return value.ilike(f"%{query}%")
 
 
 def csv_items(value: str | None) -> list[str]:
