@@ -56,7 +56,9 @@ NUMERATOR, DENOMINATOR = 75, 100
 SMALL = 8
 #: Ids sent to all executors at most (8 bytes each); beyond it a shuffled join takes over.
 BROADCAST_IDS = 1_000_000
-FLUSH = 1_000_000
+FLUSH = 500_000
+#: Texts or pairs that a worker takes out of an Arrow batch at a time.
+SLICE = 512
 U = np.uint64
 #: Band i holds the sizes from BOUNDS[i] up to below BOUNDS[i + 1].
 BOUNDS = [1]
@@ -73,7 +75,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         if len(word) <= 64:
             self[word] = h
@@ -147,6 +149,12 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, SLICE):
+            yield batch.slice(a, SLICE)
+
+
 def _batch(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -155,7 +163,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
     """doc_id, n, cls, even, odd: size and class of each set, and its spare parts in the even and odd instance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found, spare = shingles(text), [0, 0]
@@ -194,12 +202,12 @@ def packed_signatures(docs: DataFrame, labels: int) -> DataFrame:
                 ["label", "sigs", "classes"],
             )
 
-        for batch in batches:
+        for batch in _slices(batches):
             for text in batch.column("text").to_pylist():
                 found = shingles(text)
                 if not len(found) or (cls := class_of(found)) in seen:
                     continue
-                if len(seen) < 2_000_000:
+                if len(seen) < 200_000:
                     seen.add(cls)
                 for _, s, _ in signatures(found):
                     sigs.append(s)
@@ -268,7 +276,7 @@ def contents(docs: DataFrame, wanted: DataFrame, classes: DataFrame, work: Works
     texts = _texts(docs).join(F.broadcast(reps) if few else reps, F.col("doc_id") == F.col("node"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = [shingles(t) for t in batch.column("text").to_pylist()]
             if found:
                 yield _batch([(class_of(s), s.tobytes()) for s in found], [pa.int64(), pa.binary()], ["cls", "content"])
@@ -280,7 +288,7 @@ def verified(pairs: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
     """The pairs (x, y) of classes whose sets (cls, content) link, compared in full."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for x, y, a, b in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "a", "b")), strict=True):
                 if linked(np.frombuffer(a, U), np.frombuffer(b, U)):
