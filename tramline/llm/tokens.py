@@ -17,6 +17,7 @@ words do, so their ids are kept in a dictionary of bounded size.
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 
@@ -25,8 +26,8 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 UNITS = re.compile(rf"[ \n]*[{LATIN}]++(?=[ \n!-/:-@\[-^`{{-~]|\Z)|[ \n]*[^ \n]+|[ \n]+\Z")
 #: White space beside space and newline, and separators that engines class differently.
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f-\u2060\u3000\ufeff<]")
-#: Entries kept per worker; beyond it the dictionary starts anew.
-CACHE_ENTRIES = 800_000
+#: Entries per worker; beyond it the first half, which holds the frequent words, stays.
+CACHE_ENTRIES = 500_000
 
 
 class _Ids(dict):
@@ -38,12 +39,17 @@ class _Ids(dict):
 
     def __missing__(self, part):
         out = np.array(self.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
+        self.make_room(1)
         if len(part) <= 64:
             self[part] = out
         return out
 
+    def make_room(self, more: int) -> None:
+        if len(self) + more > CACHE_ENTRIES:
+            first = list(islice(self.items(), CACHE_ENTRIES // 2))
+            self.clear()
+            self.update(first)
+
 
 class WordCachedTokenizer:
     """``encode(text)``: the ids of ``Tokenizer.encode(text, add_special_tokens=False)``."""
@@ -60,8 +66,7 @@ class WordCachedTokenizer:
 
     def _learn(self, new: list[str]) -> None:
         """Encode many letter-only parts in one call, a comma (always a pre-token of its own) between them."""
-        if len(self.ids) + len(new) > CACHE_ENTRIES:
-            self.ids.clear()
+        self.ids.make_room(len(new))
         for a in range(0, len(new), 8192):
             some = new[a : a + 8192]
             got = np.array(self.tokenizer.encode_batch_fast([",".join(some) + ","], add_special_tokens=False)[0].ids, dtype="<u4")
