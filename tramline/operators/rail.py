@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -85,11 +86,18 @@ def components(edges: DataFrame, store) -> DataFrame:
 
 
 def dijkstra(edges: list[tuple[str, str, str, float]], pairs: list[tuple[str, str]]) -> list[tuple]:
-    """(source, target, step, edge, cost) along the cheapest way of each pair, edges both ways; nothing where there is none."""
+    """(source, target, step, edge, cost) along the cheapest way of each pair, edges both ways; nothing where there is none.
+
+    Costs are not negative.  Ways dearer than the dearest known one to a target
+    still sought are not followed; edges lie by cost, so the rest of a node's is
+    skipped.  Ways of two edges give the first bound.
+    """
     around: dict[str, list[tuple[float, str, str]]] = {}
     for e, a, b, c in edges:
         around.setdefault(a, []).append((c, b, e))
         around.setdefault(b, []).append((c, a, e))
+    for near in around.values():
+        near.sort()
     wanted: dict[str, set[str]] = {}
     for s, t in pairs:
         wanted.setdefault(s, set()).add(t)
@@ -98,15 +106,28 @@ def dijkstra(edges: list[tuple[str, str, str, float]], pairs: list[tuple[str, st
         done: dict[str, float] = {}
         back: dict[str, tuple[str, str, float]] = {}
         queue, left = [(0.0, s, "", "", 0.0)], set(targets)
+        first: dict[str, float] = {}
+        for c, n, _ in around.get(s, []):
+            first.setdefault(n, c)
+        known = {t: min((c + first[n] for c, n, _ in around.get(t, []) if n in first), default=math.inf) for t in targets}
+        limit, best = max(known.values()), {}
         while queue and left:
             d, node, came, edge, cost = heapq.heappop(queue)
             if node in done:
                 continue
             done[node], back[node] = d, (came, edge, cost)
-            left.discard(node)
+            if node in left:
+                left.discard(node)
+                limit = max((known[t] for t in left), default=d)
             for c, n, e in around.get(node, []):
-                if n not in done:
+                if d + c > limit:
+                    break
+                if n not in done and (n not in best or (d + c, node, e) < best[n]):
+                    best[n] = (d + c, node, e)
                     heapq.heappush(queue, (d + c, n, node, e, c))
+                    if n in left and d + c < known[n]:
+                        known[n] = d + c
+                        limit = max(known[t] for t in left)
         for t in sorted(targets & done.keys()):
             way, node = [], t
             while node != s:

@@ -505,7 +505,7 @@ def circle_polygon(spark, d):
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_partkey % 29 = 0").select(F.concat(F.lit("s"), F.col("l_suppkey") * 7 % 1000).alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), (F.col("l_partkey") % 17 + 1).cast("double").alias("cost"))
+    li = table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey") * 7 % 1000).alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), (F.col("l_partkey") % 17 + 1).cast("double").alias("cost"))
     return li.groupBy("source", "target").agg(F.min("cost").alias("cost")).withColumn("edge_id", F.concat_ws("-", "source", "target"))
 
 
