@@ -1,6 +1,7 @@
 """Registered queries against brute force over every row of small tables."""
 
 import collections
+import datetime
 
 from tramline.operators import rail
 from tramline.plans import catalog
@@ -50,3 +51,20 @@ def test_bounded_search_finds_the_cheapest_ways():
             total[s, t] += c
         cost = {s: cheapest([e[1:] for e in edges], s) for s, _ in pairs}
         assert dict(total) == {(s, t): cost[s][t] for s, t in pairs if s != t and t in cost[s]}
+
+
+def test_every_order_has_service_dates(spark, tmp_path):
+    start = datetime.date(2024, 1, 1)
+    orders = [(k, start + datetime.timedelta(days=k % 9)) for k in range(60)]
+    d = write(spark, tmp_path, "orders", orders, "o_orderkey long, o_orderdate date")
+    want = {}
+    for k, a in orders:
+        b = a + datetime.timedelta(days=k % 20)
+        for i in range((b - a).days + 1):
+            if (a + datetime.timedelta(days=i)).isoweekday() <= 5:
+                want[k, str(a + datetime.timedelta(days=i))] = (True, "calendar")
+        want[k, str(b + datetime.timedelta(days=1))] = (True, "calendar_dates")
+        if k % 2 == 0:
+            want[k, str(a)] = (False, "calendar_dates")
+    got = catalog.QUERIES["service_dates"](spark, d).collect()
+    assert len(got) == len(want) and {(r.service_id, r.service_date): (r.is_active, r.source) for r in got} == want
