@@ -68,3 +68,14 @@ def test_every_order_has_service_dates(spark, tmp_path):
             want[k, str(a)] = (False, "calendar_dates")
     got = catalog.QUERIES["service_dates"](spark, d).collect()
     assert len(got) == len(want) and {(r.service_id, r.service_date): (r.is_active, r.source) for r in got} == want
+
+
+def test_every_snapshot_and_customer_is_there(spark, tmp_path):
+    d = write(spark, tmp_path, "orders", [(k,) for k in range(130)], "o_orderkey long")
+    got = {r.public_id: (r.status, r.is_active) for r in catalog.QUERIES["activate_snapshot"](spark, d).collect()}
+    assert got == {k: ("active" if k == 10 else "archived" if k == 3 else "imported", k == 10) for k in range(130)}
+    balance = {k: float(k % 7 - 3) for k in range(130)}
+    write(spark, tmp_path, "customer", list(balance.items()), "c_custkey long, c_acctbal double")
+    got = sorted((r.place, r.value, r.kind) for r in catalog.QUERIES["orphan_places"](spark, d).collect())
+    # no child's c_custkey % 50 is a multiple of five, so each child is an orphan and no parent has a mean
+    assert got == [(k, None if k % 5 == 0 and v <= 0 else v, "orphan" if k % 5 else "parent") for k, v in balance.items()]
