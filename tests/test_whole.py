@@ -79,3 +79,10 @@ def test_every_snapshot_and_customer_is_there(spark, tmp_path):
     got = sorted((r.place, r.value, r.kind) for r in catalog.QUERIES["orphan_places"](spark, d).collect())
     # no child's c_custkey % 50 is a multiple of five, so each child is an orphan and no parent has a mean
     assert got == [(k, None if k % 5 == 0 and v <= 0 else v, "orphan" if k % 5 else "parent") for k, v in balance.items()]
+
+
+def test_names_of_every_language(spark, tmp_path):
+    docs = [(1, "Köln Hbf\nx", "de"), (2, "Gare de l'Été – Besançon", "fr"), (3, "Estación Ñuñoa, Málaga", "es"), (4, "Łódź Straße", None), (5, None, "fr")]
+    d = write(spark, tmp_path, "documents", docs, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.name for r in catalog.QUERIES["name_normalise"](spark, d).collect()}
+    assert got == {1: "koeln hauptbahnhof", 2: "gare de l ete besancon", 3: "estacion nunoa malaga", 4: "lodz strasse", 5: None}

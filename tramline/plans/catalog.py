@@ -427,8 +427,8 @@ def dedupe_best(spark, d):
 
 @query(f"""SELECT doc_id, trim(regexp_replace(regexp_replace(translate(replace(replace(replace(replace(lower(split_part(text, chr(10), 1)), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '{text.MARKED}', '{text.PLAIN}'), '\\bhbf\\b', 'hauptbahnhof', 'g'), '[^a-z0-9]+', ' ', 'g')) AS name FROM documents WHERE lang IN ('en', 'de')""")
 def name_normalise(spark, d):
-    """The first line of English and German documents as a name for comparison."""
-    docs = table(spark, d, "documents").where(F.col("lang").isin("en", "de"))
+    """The first line of each document as a name for comparison."""
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", text.german_name(F.split_part("text", F.lit("\n"), F.lit(1))).alias("name"))
 
 
