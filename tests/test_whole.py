@@ -86,3 +86,12 @@ def test_names_of_every_language(spark, tmp_path):
     d = write(spark, tmp_path, "documents", docs, "doc_id long, text string, lang string")
     got = {r.doc_id: r.name for r in catalog.QUERIES["name_normalise"](spark, d).collect()}
     assert got == {1: "koeln hauptbahnhof", 2: "gare de l ete besancon", 3: "estacion nunoa malaga", 4: "lodz strasse", 5: None}
+
+
+def test_scan_covers_the_sample_grid(spark, tmp_path):
+    rows = [(1, n, s, n, q, 1.0, 0.0, 0.0, "d", "N", "O") for n, s, q in ((1, 1, 60.0), (2, 2, 70.0))] + [(2, n, s, n, q, 1.0, 0.0, 0.0, "d", "N", "O") for n, s, q in ((1, 1, 1400.0), (2, 3, 1420.0))]
+    d = write(spark, tmp_path, "lineitem", rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate string, l_returnflag string, l_linestatus string")
+    trips = [("2", 60 * 60 + 330, 70 * 60 + 600), ("3", 1400 * 60 + 330, 1420 * 60 + 600)]
+    want = sorted((t, stop, arr - t, 1) for t in range(0, 28 * 3600, 300) for stop, dep, arr in trips if t <= dep and arr <= t + 7200)
+    got = catalog.QUERIES["reachability_scan"](spark, d).collect()
+    assert max(t for t, *_ in want) > 80000 and sorted((r.sample, r.stop, r.seconds, r.legs) for r in got) == want

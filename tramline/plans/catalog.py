@@ -362,13 +362,13 @@ def earliest_arrival(spark, d):
 
 @query()
 def reachability_scan(spark, d):
-    """Connection scan over all trips for eight samples: stops reached, seconds and rides."""
+    """Connection scan over all trips for the 336 samples of a 28-hour day: stops reached, seconds and rides."""
     t = stop_times(spark, d).select(F.col("trip_id").cast("string").alias("trip_id"), "stop_sequence", F.col("stop").cast("string").alias("stop_id"), "arrival_s", "departure_s", "pickup_type", "drop_off_type")
     trips = t.select("trip_id").distinct().withColumn("service_id", F.lit("day"))
     active = spark.range(1).select(F.lit("day").alias("service_id"), F.lit(0).alias("day_offset"))
     walks = spark.createDataFrame([], "from_stop_id string, to_stop_id string, seconds int")
     network = routing.Network.build(routing.day_connections(t, trips, active), walks, 60)
-    grid = spark.range(1).select(F.explode(times.sample_seconds(0, 2400, 300)).alias("sample")).repartition(4)
+    grid = spark.range(1).select(F.explode(times.sample_seconds(0, 28 * 3600, 300)).alias("sample")).repartition(12)
     return routing.reach(grid, network, ["1"], 7200)
 
 
