@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document that had words and has lost all of them goes.
     """
     words = F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]")
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, short=True)
     lost = (F.col("_lines.n_exact") + F.col("_lines.n_near")) > 0
     out = out.where(~lost | words).withColumn("n_chars", F.when(lost, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.drop("_lines")

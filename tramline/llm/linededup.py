@@ -3,7 +3,10 @@
 Lines are compared as lower-case words.  A line of at least ``MIN_WORDS`` words
 is dropped when the same words stood at an earlier place, or when an earlier
 distinct line lies within one word edit (substitution, insertion, deletion).
-Place is (doc_id, line number), null doc_ids last.
+With ``short``, as the query and the pipeline ask for it, every line that is
+not blank takes part in the exact comparison, at any length and in any script;
+only the near one keeps the bound, since one word edit joins any two lines of
+one word.  Place is (doc_id, line number), null doc_ids last.
 
 Each distinct line emits its variants within the bound, the line itself and
 the line without word i, as hashed keys.  Equal keys join: two lines of n
@@ -17,8 +20,8 @@ Two lines within one edit have an equal first or second half, of lengths that
 differ by at most the edit; lines whose halves no other distinct line shares
 have no partner and emit no variants.
 
-Defined cases: a null text has no lines and stays null; shorter and blank
-lines are kept; rows that repeat a doc_id and a line number are one place and
+Defined cases: a null text has no lines and stays null; blank lines are
+kept, and without ``short`` shorter ones too; rows that repeat a doc_id and a line number are one place and
 are kept or dropped alike; an empty table gives no rows.
 """
 
@@ -56,17 +59,17 @@ def _place(doc, line_no):
     return (at * F.lit(LINE_BITS).cast("decimal(11,0)") + line_no.cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
-def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Places of the lines that take part: doc, line_no, k1, k2 (hash pair), and hashes of their halves."""
+def line_table(docs: DataFrame, min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
+    """Places of the lines that take part: doc, line_no, k1, k2 (hash pair), and hashes of their halves, none of lines below min_words."""
     lines = _normal(docs).select("doc", F.posexplode_outer("lines").alias("line_no", "line"))  # the outer form adds no filter that would rewrite the text again
     norm = F.col("norm")
     rows = lines.select("doc", "line_no", F.trim("line").alias("norm"))
-    rows = rows.withColumn("n", F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1).where((norm != "") & (F.col("n") >= min_words))
+    rows = rows.withColumn("n", F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1).where((norm != "") & (F.lit(short) | (F.col("n") >= min_words)))
     lower, small = F.expr("cast(n div 2 as int)"), F.expr("cast((n - 1) div 2 as int)")
     head = lambda k: F.xxhash64(F.lit("a"), k, F.call_function("substring_index", norm, F.lit(" "), k))
     tail = lambda k: F.xxhash64(F.lit("b"), k, F.call_function("substring_index", norm, F.lit(" "), -k))
     halves = F.array_distinct(F.array(head(lower), head(small), tail(F.col("n") - lower), tail(F.col("n") - 1 - small)))
-    return rows.select("doc", "line_no", F.xxhash64(norm).alias("k1"), F.hash(norm).alias("k2"), halves.alias("halves"))
+    return rows.select("doc", "line_no", F.xxhash64(norm).alias("k1"), F.hash(norm).alias("k2"), F.when(F.col("n") >= min_words, halves).otherwise(F.array().cast("array<bigint>")).alias("halves"))
 
 
 def _to_all(table: DataFrame, lines: int) -> DataFrame:
@@ -119,9 +122,9 @@ def within_one(x, y):
     return F.when(p == 0, F.lit(True)).when(F.size(x) == F.size(y), rest(x, 1) == rest(y, 1)).when(F.size(x) == F.size(y) + 1, rest(x, 1) == rest(y, 0)).when(F.size(y) == F.size(x) + 1, rest(y, 1) == rest(x, 0)).otherwise(False)
 
 
-def dropped_lines(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS) -> DataFrame:
+def dropped_lines(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
     """doc, exact and near: the line numbers that go, by reason, of each document that loses lines."""
-    places = work.store(line_table(docs, min_words), "places")
+    places = work.store(line_table(docs, min_words, short), "places")
     place = _place(F.col("doc"), F.col("line_no"))
     distinct = places.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows"))
     distinct = work.store(distinct, "distinct")
@@ -133,10 +136,10 @@ def dropped_lines(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS)
     return gone.groupBy("doc").agg(F.collect_set(later).alias("exact"), F.collect_set(F.when(F.col("near"), F.col("line_no"))).alias("near"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
     """Documents with all their columns, text without the lines that go; n_lines, n_exact and n_near are added as struct _lines."""
     work = Workspace(docs.sparkSession, "line-dedup")
-    gone = work.store(dropped_lines(docs.select("doc_id", "text"), work, min_words), "gone")
+    gone = work.store(dropped_lines(docs.select("doc_id", "text"), work, min_words, short), "gone")
     work.keep_only(gone)
     gone = gone.select(F.col("doc").alias("_gone_doc"), F.col("exact").alias("_gone_exact"), F.col("near").alias("_gone_near"))
     none = F.array().cast("array<int>")
@@ -152,4 +155,4 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: doc_id, text without the lines that go, n_lines, n_exact, n_near."""
     docs = load(spark, sf_dir, "documents", "doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "text", "_lines.n_lines", "_lines.n_exact", "_lines.n_near")
+    return dedup_lines(docs, short=True).select("doc_id", "text", "_lines.n_lines", "_lines.n_exact", "_lines.n_near")
