@@ -20,8 +20,8 @@ from tramline.llm.quality import keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labels table, accepts."""
-    return keep_good(docs, load(spark, sf_dir, "labels", "doc_id", "quality"))
+    """Documents that the quality classifier, fitted on the labels table, accepts and does not find toxic."""
+    return keep_good(docs, load(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,10 @@ length.  Each view has its own logistic regression.  Over a few rounds each
 view labels the pool rows that it is surest of and hands them to the other;
 then both are calibrated on held-out labelled rows and combined there.
 
+A second target, toxic, is co-trained in the same way; its text view sees which
+of the hashed words most bound to the label a text holds.  Without labels of
+both kinds no row is found toxic.
+
 The classifiers are fitted on at most ``LABELLED`` labelled and ``POOL``
 unlabelled rows, those with the smallest hash of doc_id; every row is scored.
 
@@ -18,6 +22,7 @@ each; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +39,8 @@ ROUNDS, SURE, HANDED = 4, 0.97, 0.05
 KEEP = 0.5
 BUCKETS = 64
 SYMBOLS = b"|!%$#&*<>{}=_;:?.,-\"'()"
+#: Word hashes, and how many of them the toxic target's text view takes.
+WORD_BUCKETS, WORDS = 1 << 16, 64
 COLUMNS = ("text", "source", "lang", "n_chars")
 
 
@@ -180,6 +187,83 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, po
     return co_train((take(known, "x"), take(known, "z")), np.array([y[r.doc_id] for r in known]), (take(rest, "x"), take(rest, "z")))
 
 
+def word_buckets(text: str | None) -> np.ndarray:
+    """Hashes of the distinct lower-case words of one whole text."""
+    return np.array(sorted({xxhash.xxh32_intdigest(w) % WORD_BUCKETS for w in set(re.findall(r"\w+", (text or "").lower()))}), np.uint16)
+
+
+def _meta(source, lang, n_chars) -> np.ndarray:
+    return np.array([meta_features(s, g, None if pd.isna(n) else n) for s, g, n in zip(source, lang, n_chars, strict=True)]).reshape(len(source), 2 * BUCKETS + 1)
+
+
+@dataclass
+class ToxicModel:
+    """The words that the text view looks for, and both views; without a model nothing is toxic."""
+
+    words: np.ndarray
+    model: QualityModel | None = None
+
+    def holds(self, found: list[np.ndarray]) -> np.ndarray:
+        return np.array([np.isin(self.words, b) for b in found], float).reshape(len(found), len(self.words))
+
+    def score(self, text: list, meta: np.ndarray) -> np.ndarray:
+        if self.model is None:
+            return np.zeros(len(text))
+        return self.model.score((self.holds([word_buckets(t) for t in text]), meta))[2]
+
+
+def telling_words(found: list[np.ndarray], y: np.ndarray, most: int = WORDS) -> np.ndarray:
+    """The hashes that depend most on the label, by chi square; fewer of them where the rarer label has few rows."""
+    most = max(1, min(most, int(min(y.sum(), len(y) - y.sum())) // 2))
+    held = lambda k: np.bincount(np.concatenate([np.zeros(0, np.int64), *(b for b, t in zip(found, y, strict=True) if t == k)]).astype(np.int64), minlength=WORD_BUCKETS).astype(float)
+    a, b, p, n = held(1.0), held(0.0), float(y.sum()), len(y)
+    rows = a + b
+    chi = n * (a * (n - p) - b * p) ** 2 / np.maximum(1.0, rows * (n - rows) * p * (n - p))
+    return np.argsort(-chi, kind="stable")[:most].astype(np.uint16)
+
+
+def fit_toxic(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> ToxicModel:
+    """Fit the second target on a sample bounded like that of fit_quality."""
+    none = ToxicModel(np.zeros(0, np.uint16))
+    if "toxic" not in labels.columns:
+        return none
+    spark, own = docs.sparkSession, _columns(docs)
+    mark = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("double")).alias("y"))
+    y = {r.doc_id: float(r.y > 0) for r in mark.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()}
+    if len(set(y.values())) < 2:
+        return none
+    others = own.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled + pool).collect()
+    ids = sorted(y) + sorted({r.doc_id for r in others} - set(y))[:pool]
+    wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long"))  # labelled + pool rows at most
+
+    @F.pandas_udf("struct<x binary, z array<double>>")
+    def features(text: pd.Series, source: pd.Series, lang: pd.Series, n: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"x": [word_buckets(t).tobytes() for t in text], "z": list(_meta(source, lang, n))})
+
+    rows = own.join(wanted, "doc_id", "left_semi").select("doc_id", features(*COLUMNS).alias("f")).dropDuplicates(["doc_id"]).collect()
+    rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r.doc_id)))
+    known, rest = [r for r in rows if r.doc_id in y], [r for r in rows if r.doc_id not in y]
+    words = lambda some: [np.frombuffer(r.f.x, np.uint16) for r in some]
+    meta = lambda some: np.array([r.f.z for r in some]).reshape(len(some), 2 * BUCKETS + 1)
+    truth = np.array([y[r.doc_id] for r in known])
+    fit = np.arange(len(truth)) % 5 != 0  # words are chosen without the rows that co_train holds out
+    if len(set(truth[fit])) < 2:
+        return none
+    out = ToxicModel(telling_words([b for b, k in zip(words(known), fit, strict=True) if k], truth[fit]))
+    model = co_train((out.holds(words(known)), meta(known)), truth, (out.holds(words(rest)), meta(rest)))
+    return ToxicModel(out.words, model) if model.views else none
+
+
+def toxic_column(model: ToxicModel):
+    """Column function of COLUMNS: the probability that a document is toxic."""
+
+    @F.pandas_udf("double")
+    def scores(text: pd.Series, source: pd.Series, lang: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series(model.score(list(text), _meta(source, lang, n)), dtype=float)
+
+    return lambda docs: scores(*(docs[c].cast("string") for c in COLUMNS[:3]), docs["n_chars"].cast("double"))
+
+
 def score_column(model: QualityModel):
     """Column function of COLUMNS: struct of the three probabilities, from one whole text at a time."""
 
@@ -193,13 +277,16 @@ def score_column(model: QualityModel):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns."""
-    column = score_column(fit_quality(docs, labels))
-    return docs.withColumn("_quality", column(docs)).where(F.col("_quality.score") >= keep).drop("_quality")
+    """The documents that the classifier accepts and does not find toxic, with all their columns."""
+    column, toxic = score_column(fit_quality(docs, labels)), toxic_column(fit_toxic(docs, labels))
+    scored = docs.withColumns({"_quality": column(docs), "_toxic": toxic(docs)})
+    return scored.where((F.col("_quality.score") >= keep) & (F.col("_toxic") < KEEP)).drop("_quality", "_toxic")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document: doc_id, text_score, meta_score, score, keep."""
+    """Every document: doc_id, text_score, meta_score, score, toxic_score, keep."""
     docs = load(spark, sf_dir, "documents", "doc_id", *COLUMNS)
-    column = score_column(fit_quality(docs, load(spark, sf_dir, "labels", "doc_id", "quality")))
-    return docs.select("doc_id", column(docs).alias("q")).select("doc_id", "q.*", (F.col("q.score") >= KEEP).alias("keep"))
+    labels = load(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    column, toxic = score_column(fit_quality(docs, labels)), toxic_column(fit_toxic(docs, labels))
+    scored = docs.select("doc_id", column(docs).alias("q"), toxic(docs).alias("toxic_score"))
+    return scored.select("doc_id", "q.*", "toxic_score", ((F.col("q.score") >= KEEP) & (F.col("toxic_score") < KEEP)).alias("keep"))
