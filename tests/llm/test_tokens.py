@@ -133,3 +133,29 @@ def test_packing_covers_all_ids(spark, make_docs, edge_texts):
         total += at
     assert total / (2048 * len(windows)) > 0.85
     assert packing.pack_documents(make_docs([])).count() == 0
+
+
+def test_windows_are_filled_for_any_lengths():
+    rng = np.random.default_rng(4)
+    cases = [[300] * 1000 + [512] * 24, [512] * 1024, [1025] * 100, [683] * 1024, rng.integers(1, 513, 1024).tolist(), [2047] * 40, [1], [2048]]
+    for lengths in cases:
+        windows = packing.pack_cut(lengths)
+        assert max(sum(n for _, _, n in w) for w in windows) <= packing.WINDOW
+        pieces = sorted(p for w in windows for p in w)
+        covered = [0] * len(lengths)
+        for i, start, n in pieces:
+            assert start == covered[i] and n > 0
+            covered[i] += n
+        assert covered == lengths
+        least = -(-sum(lengths) // packing.WINDOW)
+        assert len(windows) == least or sum(lengths) >= 0.97 * packing.WINDOW * len(windows)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_mixed_white_space_and_scripts_encode_as_the_tokenizer_does(name):
+    rng = random.Random(5)
+    parts = ["foo", "Bar", " ", "  ", "\n", "\n\n", " \n", "\n ", ",", ".", "!!", "é", "İstanbul", "ßx", "123", "3.5", "'s", "don't", "\t", "中文", "Σας", "x" * 70, "-", "(a)", "<|endoftext|>", "\xa0", "e\u0301", "Ǆ"]
+    tokenizer = FACTORY[name][1]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [None, "", " ", "\n"]
+    want = [np.array(tokenizer.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert tokenizer.encode_batch(texts) == want

@@ -6,8 +6,10 @@ Pools of such pieces are dealt to as few windows as hold them by the
 Karmarkar-Karp differencing method: partial partitions, each a tuple of
 window sums, are merged two at a time, largest spread first, the largest sums
 of one onto the smallest of the other.  When a window exceeds the capacity the
-number of windows rises and the pool is dealt anew.  Pools are filled within
-a task, so nothing is shuffled and the pieces, not their ids, are held.
+number of windows rises and the pool is dealt anew; where that would leave
+more than ``PADDING`` empty, the largest pieces of the windows that exceed are
+halved instead, as documents may be cut freely.  Pools are filled within a
+task, so nothing is shuffled and one pool of pieces is held.
 
 Defined cases: a null text is empty, its one id the end id; a null doc_id is
 carried; repeated rows are packed each; an empty table gives no rows; further
@@ -34,7 +36,8 @@ END_ID = 1
 WINDOW = 2048
 PIECE = 512
 POOL = 1024
-TEXTS = 512
+#: Share of the windows that may stay empty for the sake of fewer cuts.
+PADDING = 0.03
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -91,6 +94,30 @@ def pack(lengths: list[int], capacity: int = WINDOW) -> list[list[int]]:
         k += 1
 
 
+def pack_cut(lengths: list[int], capacity: int = WINDOW, padding: float = PADDING) -> list[list[tuple[int, int, int]]]:
+    """Windows of (item, start, length): few, or filled but for the padding; items are cut where whole ones would leave more empty."""
+    pieces = [(i, 0, n) for i, n in enumerate(lengths)]
+    total = sum(lengths)
+    k = max(1, -(-total // capacity))
+    most = max(k, int(total / ((1 - padding) * capacity)))
+    while True:
+        found = [[pieces[i] for i in w] for w in difference([n for _, _, n in pieces], k)]
+        over = [sum(n for _, _, n in w) > capacity for w in found]
+        if not any(over):
+            return [w for w in found if w]
+        if k < most:
+            k += 1
+            continue
+        pieces = []
+        for w, exceeds in zip(found, over, strict=True):
+            largest = max(w, key=lambda x: (x[2], x), default=None)
+            for i, start, n in w:
+                if exceeds and (i, start, n) == largest and n > 1:
+                    pieces += [(i, start, n // 2), (i, start + n // 2, n - n // 2)]
+                else:
+                    pieces.append((i, start, n))
+
+
 def cuts(n: int, capacity: int, piece: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids: full windows, then the rest in even pieces."""
     out = [(a, capacity) for a in range(0, n - n % capacity, capacity)]
@@ -106,17 +133,17 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     path = tokenizer or public_path(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = tokenizer_at(path).encode_batch, np.array([end_id], "<u4").tobytes()
-        names = [c.split()[0] for c in PACKED.split(", ")]
+        encode, names = tokenizer_at(path).encode, [c.split()[0] for c in PACKED.split(", ")]
         serial, rests, out = TaskContext.get().partitionId() << 32, [], []
 
         def deal() -> None:
             nonlocal serial, rests
-            for window in pack([r[2] for r in rests], capacity):
+            for window in pack_cut([len(raw) // 4 for _, _, _, raw in rests], capacity):
                 offset = 0
-                for i in window:
-                    out.append((*rests[i], serial, offset))
-                    offset += rests[i][2]
+                for i, a, n in window:
+                    doc_id, total, start, raw = rests[i]
+                    out.append((doc_id, start + a, n, zlib.crc32(raw[4 * a : 4 * (a + n)]), total, serial, offset))
+                    offset += n
                 serial += 1
             rests = []
 
@@ -127,18 +154,19 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
             return batch
 
         for batch in batches:
-            for a in range(0, batch.num_rows, TEXTS):
-                some = batch.slice(a, TEXTS)
-                for doc_id, raw in zip(some.column("doc_id").to_pylist(), encode(some.column("text").to_pylist()), strict=True):
-                    ids = raw + end
-                    n = len(ids) // 4
+            doc_ids = iter(batch.column("doc_id").to_pylist())
+            for ids, ends in encode(batch.column("text"), end_id):
+                ids, begin = ids.astype("<u4", copy=False), 0
+                for end in ends.tolist():
+                    doc_id, n = next(doc_ids), end - begin
                     for start, length in cuts(n, capacity, piece):
-                        row = (doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n)
+                        raw = ids[begin + start : begin + start + length].tobytes()
                         if length == capacity:
-                            out.append((*row, serial, 0))
+                            out.append((doc_id, start, length, zlib.crc32(raw), n, serial, 0))
                             serial += 1
                         else:
-                            rests.append((row[0], row[1], row[2], row[3], row[4]))
+                            rests.append((doc_id, n, start, raw))
+                    begin = end
                     if len(rests) >= pool:
                         deal()
                 if out:

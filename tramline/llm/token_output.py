@@ -31,7 +31,6 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_IDS = 2_000_000
 FILE_IDS = 64_000_000
-TEXTS = 512
 MAGIC = b"TLIDS01\n"
 TABLE = struct.Struct("<4sIII")  # magic, pieces, bytes of the table, its crc32
 PIECE = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("last", "u1"), ("n", "<u4")])
@@ -136,20 +135,22 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     spark, path = docs.sparkSession, tokenizer or public_path(TOKENIZER)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, serial = tokenizer_at(path).encode_batch, TaskContext.get().partitionId(), 0
-        writer, end = FileWriter(folder, block_ids, file_ids), np.array([end_id], "<u4").tobytes()
+        encode, part, serial = tokenizer_at(path).encode, TaskContext.get().partitionId(), 0
+        writer = FileWriter(folder, block_ids, file_ids)
 
         def done(found) -> pa.RecordBatch:
             name, n_docs, n, size = found
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([serial], pa.int32()), *map(pa.array, ([f"{folder}/{name}"], [n_docs], [n], [size]))], [c.split()[0] for c in MANIFEST.split(", ")])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, TEXTS):
-                some = batch.slice(a, TEXTS)
-                for doc_id, raw in zip(some.column("doc_id").to_pylist(), encode(some.column("text").to_pylist()), strict=True):
-                    if found := writer.add(doc_id, np.frombuffer(raw + end, "<u4")):
+            doc_ids = iter(batch.column("doc_id").to_pylist())
+            for ids, ends in encode(batch.column("text"), end_id):
+                start = 0
+                for end in ends.tolist():
+                    if found := writer.add(next(doc_ids), ids[start:end]):
                         yield done(found)
                         serial += 1
+                    start = end
         if found := writer.close():
             yield done(found)
 
