@@ -179,13 +179,45 @@ def test_signatures_meet_for_every_linked_pair(size):
         cut = rng.integers(0, size // 4 + 1)
         b = np.unique(np.concatenate([a[cut:], pool[size : size + rng.integers(0, size // 3 + 1)]]))
         if ngram_join.linked(a, b):
-            x = {(j, s) for j, sig, _ in ngram_join.signatures(a) for s in sig.tolist()}
-            y = {(j, s) for j, sig, _ in ngram_join.signatures(b) for s in sig.tolist()}
-            shared = collections.Counter(j for j, _ in x & y)
-            assert shared
+            hashes, ends = np.concatenate([a, b]), np.cumsum([len(a), len(b)])
+            sigs, owner = ngram_join.signatures(hashes, ends)
+            both = set(sigs[owner == 0].tolist()) & set(sigs[owner == 1].tolist())
+            assert both
             j = max(ngram_join.band(len(a)), ngram_join.band(len(b)))
-            spare = max(next(p for k, _, p in ngram_join.signatures(s) if k == j) for s in (a, b))
-            assert shared[j] >= max(spare, 1)
+            spare = max(ngram_join.instances(s, np.array([len(s)]), j - ngram_join.band(len(s)))[4][0] for s in (a, b))
+            assert sum(x & 1 == j & 1 for x in both) >= max(spare, 1)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_exact_copies_alone_over_partitions(make_docs, parts):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve thirteen"
+    texts = [(i, a if i % 3 else b) for i in range(12)] + [(50, None), (51, "alone among them all here")]
+    got = ngram_join.jaccard_components(make_docs(texts).repartition(parts)).collect()
+    assert sorted(map(tuple, got)) == brute_components(texts)
+
+
+def test_a_thousand_near_misses_stay_apart(make_docs):
+    rng = random.Random(8)
+    base = prose(rng, 60).split()
+    texts = []
+    for i in range(1000):
+        w = list(base)
+        for k in rng.sample(range(60), rng.choice([1, 2, 3, 3, 3])):
+            w[k] = f"x{rng.randrange(10**9)}"
+        texts.append((i, " ".join(w)))
+    got = ngram_join.jaccard_components(make_docs(texts).repartition(5)).collect()
+    want = brute_components(texts)
+    assert sorted(map(tuple, got)) == want
+    assert 1 < len({c for _, _, c in want}) < 1000
+
+
+def test_one_row_of_each_group_stays_where_ids_repeat(make_docs):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "another text that has no partner at all"
+    texts = [(3, a), (8, a), (8, c), (9, b), (9, b), (None, a), (4, None), (4, None), (5, "")]
+    kept = ngram_join.first_of_groups(make_docs(texts)).select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(3, a), (8, c), (9, b), (None, a), (4, None), (4, None), (5, "")]))
+    got = {(r.doc_id, r.component_id) for r in ngram_join.jaccard_components(make_docs([(3, a), (8, a), (8, c)])).collect()}
+    assert got == {(3, 3), (8, 3), (8, 8)}
 
 
 def test_components_of_paths_and_stars(spark):

@@ -11,8 +11,19 @@ from pyspark.sql import functions as F
 _OWN_DIR: list[str] = []
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches for Python of at most 16 MB, where the session names no bound: long texts come in tens of thousands of bytes each."""
+    if spark.conf.get("tramline.batches", "") != "bounded":
+        spark.conf.set("tramline.batches", "bounded")
+        spark.conf.set(BATCH_BYTES, str(16 << 20))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table; any further ones, whatever their names, are not read."""
+    bound_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -41,6 +52,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        bound_batches(spark)
         self.spark = spark
         self.uri = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.serial = 0

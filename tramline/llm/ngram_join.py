@@ -16,26 +16,32 @@ Buckets.  Up to ``SMALL`` sets with one signature are all paired.  In larger
 buckets each set is paired with the first.  Linked sets share as many
 signatures of an instance as the set occupies parts beyond k (its spare), so a
 pair is compared only if the small buckets that it shares, and as many large
-ones as it can share at most, come to that.  What is left of the large buckets
-is settled as follows.
-A set with more occupied parts outside large buckets than k shares one of
-those with every partner and needs no large bucket.  The sets that remain are
-mostly true copies of each other: after the pairs above are verified and their
-components known, only pairs from different components are left to verify.
-Of these, shingles that no other remaining set holds bound the intersection
-(sizes a and b less such shingles), and pairs whose bound cannot reach the
-threshold are left out in the join itself.  No pair of different components
-that could link goes unseen, and no bucket is cut off; a group of copies most
-of which miss the threshold narrowly still costs more than its size.
-
-Sets with equal content are one class from the start.  Signatures travel in
-packed columns (five bytes and an eight-byte class each), by hash label.
+ones as it can share at most, come to that.  A set with more occupied parts
+outside large buckets than k shares one of those with every partner and needs
+no large bucket.  The sets that remain are mostly true copies of each other:
+after the pairs above are verified and their components known, only links
+between different components that meet in a large bucket are left to find.
+
+Large buckets.  For equal-size sets of more than a few shingles no affordable
+enumeration of subsets of partitions tells a similarity of 0.7 from one of
+0.75, so the remaining sets are joined on rare shingles instead.  Linked sets
+of sizes p >= q share at least 3 (p + q) / 7 shingles; with the shingles in
+one order, rarest first, the first p - 0.75 p + 1 of the larger and the first
+q - 6 q / 7 + 1 of the smaller hence have one in common.  A shingle that no
+other remaining set holds takes a place there but joins nothing, so a near
+copy that misses the threshold mostly emits nothing at all.  Sizes are part of
+the key in steps of 1/20, and a key is joined only where two components meet
+in it.  Every link between components is found, and no bucket is cut off.
+
+Sets with equal content are one class from the start, and classes are the
+nodes of the components.  Signatures travel in packed columns (five bytes and
+an eight-byte class each), by hash label; a task holds one label at a time.
 
 Defined cases: a null or wordless text has an empty set and links with
 nothing; fewer than five words make one shingle of the whole; a null doc_id
 takes no part and has a null component; rows that repeat a doc_id are judged
-each by its own text, and share the node of their class's smallest doc_id;
-an empty table gives no rows; further columns are ignored.
+each by its own text; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +50,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,12 +65,15 @@ SMALL = 8
 BROADCAST_IDS = 1_000_000
 FLUSH = 500_000
 #: Texts or pairs that a worker takes out of an Arrow batch at a time.
-SLICE = 512
+SLICE = 2048
 U = np.uint64
 #: Band i holds the sizes from BOUNDS[i] up to below BOUNDS[i + 1].
 BOUNDS = [1]
 while BOUNDS[-1] < 1 << 40:
     BOUNDS.append(4 * BOUNDS[-1] // 3 + 1)
+BOUNDS_ARRAY = np.array(BOUNDS, np.int64)
+#: Step of the sizes that are part of a key in large buckets.
+SIZE_STEP = 1.05
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,30 +82,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) > 200_000:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_HASH = _WordHash()
+def _apart(ends: np.ndarray) -> np.ndarray:
+    """How many entries each run has, from where the runs end."""
+    return np.diff(ends, prepend=0)
+
+
+def shingle_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ends): sorted distinct hashes of each whole text's shingles, one text after the other; A-Z in lower case, words split at ASCII white space."""
+    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), ""))
+    cut = pc.ascii_split_whitespace(texts)
+    codes = cut.flatten().dictionary_encode()
+    words = codes.dictionary.cast(pa.binary()).to_pylist()
+    table = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words))
+    code = codes.indices.to_numpy()
+    upto = cut.offsets.to_numpy().astype(np.int64)
+    upto = upto - upto[0]
+    if b"" in words:  # white space at an end leaves an empty word
+        full = code != words.index(b"")
+        upto = np.concatenate([[0], np.cumsum(full)])[upto]
+        code = code[full]
+    h, sizes = table[code], np.diff(upto)
+    # every place begins a shingle but the last ones of a text of five words or more
+    left = np.repeat(upto[1:], sizes) - np.arange(len(h))
+    width = np.minimum(sizes, WORDS)
+    start = np.flatnonzero(left >= np.repeat(width, sizes))
+    each = np.repeat(width, sizes)[start]
+    out = each.astype(U)
+    for j in range(WORDS):
+        reaches = slice(None) if j == 0 else np.flatnonzero(each > j)
+        out[reaches] = mix(out[reaches] + h[start[reaches] + j] * U(0x9E3779B97F4A7C15))
+    ends = np.cumsum(np.where(sizes > 0, sizes - width + 1, 0))
+    sets = [np.unique(out[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    return np.concatenate([np.zeros(0, U), *sets]), np.cumsum(np.fromiter(map(len, sets), np.int64, len(sets)))
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of a whole text's shingles; A-Z in lower case, words split at ASCII white space."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, U)
-    h = np.fromiter(map(_HASH.__getitem__, words), U, len(words))
-    size = min(WORDS, len(h))
-    out = np.full(len(h) - size + 1, size, U)
-    for j in range(size):
-        out = mix(out + h[j : len(h) - size + 1 + j] * U(0x9E3779B97F4A7C15))
-    return np.unique(out)
+    """Sorted distinct hashes of a whole text's shingles."""
+    return shingle_runs(pa.array([text], pa.string()))[0]
 
 
 def class_of(found: np.ndarray) -> int:
@@ -116,37 +139,49 @@ def band(size: int) -> int:
     return int(np.searchsorted(BOUNDS, size, "right")) - 1
 
 
-def instance(found: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Hash and number of each occupied part, how many parts there are, and how many more than k are occupied."""
-    size, most = len(found), BOUNDS[j + 1] - 1
-    parts = 33 * most // 100 + 2
-    k = (3 * size + min(4 * size, 3 * most)) // 21
-    z = mix(found ^ U(0xA0761D6478BD642F + j))
-    part = ((z >> U(32)) * U(parts)) >> U(32)
-    order = np.argsort(part, kind="stable")
-    part, z = part[order], mix(z[order])
-    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    return np.add.reduceat(z, first), part[first], parts, len(first) - k
-
-
-def signatures(found: np.ndarray) -> list[tuple[int, np.ndarray, int]]:
-    """(instance, signatures, spare) of a set in its two instances; spare: occupied parts beyond k."""
-    out = []
-    if not len(found):
-        return out
-    i = band(len(found))
-    for j in (i, i + 1):
-        content, part, parts, spare = instance(found, j)
-        if spare <= 0:
-            empty = np.setdiff1d(np.arange(parts, dtype=U), part)
-            part, content = np.concatenate([part, empty]), np.concatenate([content, np.zeros(len(empty), U)])
-        sig = mix(content ^ mix(part + (U(j) << U(32))))
-        out.append((j, (sig & ~U(1)) | U(j & 1), spare))
-    return out
-
+def instances(hashes: np.ndarray, ends: np.ndarray, up: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of many sets in the instance of their band (up 0) or of the next (up 1).
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    Hash and number of each occupied part, where each set's parts end, how many
+    parts there are, and the spare of each set: parts occupied beyond k.
+    """
+    size = _apart(ends)
+    j = np.searchsorted(BOUNDS_ARRAY, size, "right") - 1 + up
+    most = BOUNDS_ARRAY[j + 1] - 1
+    parts = 33 * most // 100 + 2
+    k = (3 * size + np.minimum(4 * size, 3 * most)) // 21
+    owner = np.repeat(np.arange(len(size)), size)
+    z = mix(hashes ^ (U(0xA0761D6478BD642F) + j.astype(U))[owner])
+    part = ((z >> U(32)) * parts.astype(U)[owner]) >> U(32)
+    key = owner.astype(U) << U(40) | part
+    order = np.argsort(key)
+    key, z = key[order], mix(z[order])
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    content, part = (np.add.reduceat(z, first) if len(first) else z), key[first] & U((1 << 40) - 1)
+    upto = np.searchsorted(key[first] >> U(40), np.arange(len(size)).astype(U), "right")
+    return content, part, upto, parts, _apart(upto) - k
+
+
+def signatures(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, number of the set) of many sets in their two instances; the last bit says whether the instance is odd."""
+    sigs, owners = [], []
+    size = _apart(ends)
+    j = np.searchsorted(BOUNDS_ARRAY, size, "right") - 1
+    for up in (0, 1):
+        content, part, upto, parts, spare = instances(hashes, ends, up)
+        owner = np.repeat(np.arange(len(size)), _apart(upto))
+        for i in np.flatnonzero((spare <= 0) & (size > 0)).tolist():  # such a set also emits its empty parts
+            empty = np.setdiff1d(np.arange(parts[i], dtype=U), part[upto[i - 1] if i else 0 : upto[i]])
+            part, content, owner = np.concatenate([part, empty]), np.concatenate([content, np.zeros(len(empty), U)]), np.concatenate([owner, np.full(len(empty), i)])
+        at = (j + up).astype(U)[owner]
+        sig = mix(content ^ mix(part + (at << U(32))))
+        sigs.append((sig & ~U(1)) | at & U(1))
+        owners.append(owner)
+    return np.concatenate(sigs), np.concatenate(owners)
+
+
+def _texts(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *more)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,22 +195,24 @@ def _batch(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n, cls, even, odd: size and class of each set, and its spare parts in the even and odd instance."""
+    """doc_id, n, cls, even, odd and further columns of docs: size and class of each set, and its spare parts in the even and odd instance."""
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found, spare = shingles(text), [0, 0]
-                if len(found):
-                    i = band(len(found))
-                    for j in (i, i + 1):
-                        spare[j & 1] = instance(found, j)[3]
-                rows.append((doc_id, len(found), class_of(found), *spare))
-            if rows:
-                yield _batch(rows, [pa.int64()] * 3 + [pa.int32()] * 2, ["doc_id", "n", "cls", "even", "odd"])
+            hashes, ends = shingle_runs(batch.column("text"))
+            size = _apart(ends)
+            cls = [class_of(hashes[b - n : b]) for b, n in zip(ends.tolist(), size.tolist(), strict=True)]
+            j = np.searchsorted(BOUNDS_ARRAY, size, "right") - 1
+            spare = np.stack([np.where(size > 0, instances(hashes, ends, up)[4], 0) for up in (0, 1)])
+            even, odd = np.where(j % 2 == 0, spare, spare[::-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(size), pa.array(cls, pa.int64()), pa.array(even.astype(np.int32)), pa.array(odd.astype(np.int32)), *map(batch.column, more)],
+                ["doc_id", "n", "cls", "even", "odd", *more],
+            )
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, cls long, even int, odd int")
+    return _texts(docs, *more).mapInArrow(run, "doc_id long, n long, cls long, even int, odd int" + (f", {kinds}" if more else ""))
 
 
 def packed_signatures(docs: DataFrame, labels: int) -> DataFrame:
@@ -184,87 +221,104 @@ def packed_signatures(docs: DataFrame, labels: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         sigs: list[np.ndarray] = []
-        owners: list[tuple[int, int]] = []
-        held = 0
+        owners: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal sigs, owners, held
-            s, cls = np.concatenate(sigs), np.repeat(*(np.array(x, np.int64) for x in zip(*owners, strict=True)))
+            nonlocal sigs, owners
+            s, cls = np.concatenate(sigs), np.concatenate(owners)
             label = ((s >> U(48)) % U(labels)).astype(np.uint16)
             order = np.argsort(label, kind="stable")
             s, cls, label = s[order], cls[order], label[order]
             short = ((s >> U(8)) << U(1) | (s & U(1))).view(np.uint8).reshape(-1, 8)[:, :5].copy()
             first = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]])).tolist()
             ends = [*first[1:], len(s)]
-            sigs, owners, held = [], [], 0
+            sigs, owners = [], []
             return pa.RecordBatch.from_arrays(
                 [pa.array(label[first].astype(np.int32)), pa.array([short[a:b].tobytes() for a, b in zip(first, ends, strict=True)]), pa.array([cls[a:b].tobytes() for a, b in zip(first, ends, strict=True)])],
                 ["label", "sigs", "classes"],
             )
 
         for batch in _slices(batches):
-            for text in batch.column("text").to_pylist():
-                found = shingles(text)
-                if not len(found) or (cls := class_of(found)) in seen:
-                    continue
-                if len(seen) < 200_000:
-                    seen.add(cls)
-                for _, s, _ in signatures(found):
-                    sigs.append(s)
-                    owners.append((cls, len(s)))
-                    held += len(s)
-                if held >= FLUSH:
-                    yield flush()
-        if held:
+            hashes, ends = shingle_runs(batch.column("text"))
+            runs = [hashes[b - n : b] for b, n in zip(ends.tolist(), _apart(ends).tolist(), strict=True) if n]
+            fresh = {c: r for c, r in zip(map(class_of, runs), runs, strict=True) if c not in seen}
+            if not fresh:
+                continue
+            if len(seen) < 200_000:
+                seen.update(fresh)
+            cls, runs = np.fromiter(fresh, np.int64, len(fresh)), list(fresh.values())
+            s, owner = signatures(np.concatenate(runs), np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs))))
+            sigs.append(s)
+            owners.append(cls[owner])
+            if sum(map(len, sigs)) >= FLUSH:
+                yield flush()
+        if sigs:
             yield flush()
 
     return _texts(docs).where("doc_id is not null").mapInArrow(run, "label int, sigs binary, classes binary")
 
 
+def _bucket_pairs(key: np.ndarray, cls: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(kind, columns x, y, odd, n) of the buckets of one label, see buckets."""
+    order = np.argsort(key)
+    key = key[order]
+    same = key[1:] == key[:-1]
+    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    key, cls = key[shared], cls[order[shared]]
+    order = np.lexsort((cls, key))
+    key, cls = key[order], cls[order]
+    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])[: len(key)]
+    key, cls = key[fresh], cls[fresh]
+    if not len(key):
+        return
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.concatenate([first, [len(key)]]))
+    rank = np.arange(len(key)) - np.repeat(first, size)
+    sizes = np.repeat(size, size)
+    odd, pairs = (key & U(1)).astype(np.int32), []
+    for step in range(1, SMALL):  # small buckets: each with the step-th before it; large ones: with the first alone
+        at = np.flatnonzero((rank >= step) & (sizes <= SMALL))
+        pairs.append(np.stack([cls[at - step], cls[at], odd[at], np.ones(len(at), np.int64)]))
+    at = np.flatnonzero((rank > 0) & (sizes > SMALL))
+    pairs.append(np.stack([cls[at - rank[at]], cls[at], odd[at], np.zeros(len(at), np.int64)]))
+    x, y, half, n = np.concatenate(pairs, 1)
+    if len(x):  # a bucket may hold one class only, from several tasks
+        order = np.lexsort((half, y, x))
+        x, y, half, n = x[order], y[order], half[order], n[order]
+        start = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (half[1:] != half[:-1])]))
+        yield 0, [x[start], y[start], half[start], np.add.reduceat(n, start)]
+    large = np.flatnonzero(sizes > SMALL)
+    yield 1, [key[large].view(np.int64), cls[large], odd[large], np.zeros(len(large), np.int64)]
+
+
 def buckets(packed: DataFrame) -> DataFrame:
-    """kind, x, y, odd, n: pairs of classes and how many small buckets of an instance they share (kind 0; n is 0 for a pair of a large bucket), and signature and class of members of large buckets (kind 1)."""
+    """kind, x, y, odd, n: pairs of classes and how many small buckets of an instance they share (kind 0; n is 0 for a pair of a large bucket), and signature and class of members of large buckets (kind 1).
+
+    Rows come sorted by label within partitions; one label is held at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners = [], []
+        def out(label: int) -> Iterator[pa.RecordBatch]:
+            key, cls = np.concatenate(keys), np.concatenate(owners)
+            for kind, columns in _bucket_pairs(key, cls):
+                for a in range(0, len(columns[0]), 50_000):
+                    some = [c[a : a + 50_000] for c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some[0]), kind, np.int32)), pa.array(some[0]), pa.array(some[1]), pa.array(some[2].astype(np.int32)), pa.array(some[3])], ["kind", "x", "y", "odd", "n"])
+
+        keys, owners, held = [], [], None
         for batch in batches:
-            for label, s, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for i in range(batch.num_rows):
+                label, s, c = (batch.column(k)[i].as_py() for k in range(3))
+                if label != held and keys:
+                    yield from out(held)
+                    keys, owners = [], []
+                held = label
                 raw = np.zeros((len(s) // 5, 8), np.uint8)
                 raw[:, :5] = np.frombuffer(s, np.uint8).reshape(-1, 5)
                 keys.append(raw.view(U).ravel() | (U(label) << U(40)))
                 owners.append(np.frombuffer(c, np.int64))
-        if not keys:
-            return
-        key, cls = np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(key)
-        key = key[order]
-        same = key[1:] == key[:-1]
-        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        key, cls = key[shared], cls[order[shared]]
-        order = np.lexsort((cls, key))
-        key, cls = key[order], cls[order]
-        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]) if len(key) else np.zeros(0, bool)
-        key, cls = key[fresh], cls[fresh]
-        if not len(key):
-            return
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.concatenate([first, [len(key)]]))
-        rank = np.arange(len(key)) - np.repeat(first, size)
-        sizes = np.repeat(size, size)
-        odd, pairs = (key & U(1)).astype(np.int32), []
-        for step in range(1, SMALL):  # small buckets: each with the step-th before it; large ones: with the first alone
-            at = np.flatnonzero((rank >= step) & (sizes <= SMALL))
-            pairs.append(np.stack([cls[at - step], cls[at], odd[at], np.ones(len(at), np.int64)]))
-        at = np.flatnonzero((rank > 0) & (sizes > SMALL))
-        pairs.append(np.stack([cls[at - rank[at]], cls[at], odd[at], np.zeros(len(at), np.int64)]))
-        x, y, half, n = np.concatenate(pairs, 1)
-        order = np.lexsort((half, y, x))
-        x, y, half, n = x[order], y[order], half[order], n[order]
-        start = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (half[1:] != half[:-1])]))
-        large = np.flatnonzero(sizes > SMALL)
-        for kind, *columns in ((0, x[start], y[start], half[start], np.add.reduceat(n, start)), (1, key[large].view(np.int64), cls[large], odd[large], np.zeros(len(large), np.int64))):
-            for a in range(0, len(columns[0]), 100_000):
-                some = [c[a : a + 100_000] for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some[0]), kind, np.int32)), pa.array(some[0]), pa.array(some[1]), pa.array(some[2].astype(np.int32)), pa.array(some[3])], ["kind", "x", "y", "odd", "n"])
+        if keys:
+            yield from out(held)
 
     return packed.mapInArrow(run, "kind int, x long, y long, odd int, n long")
 
@@ -277,7 +331,8 @@ def contents(docs: DataFrame, wanted: DataFrame, classes: DataFrame, work: Works
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            found = [shingles(t) for t in batch.column("text").to_pylist()]
+            hashes, ends = shingle_runs(batch.column("text"))
+            found = [hashes[b - n : b] for b, n in zip(ends.tolist(), _apart(ends).tolist(), strict=True)]
             if found:
                 yield _batch([(class_of(s), s.tobytes()) for s in found], [pa.int64(), pa.binary()], ["cls", "content"])
 
@@ -288,13 +343,11 @@ def verified(pairs: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
     """The pairs (x, y) of classes whose sets (cls, content) link, compared in full."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            rows = []
-            for x, y, a, b in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "a", "b")), strict=True):
-                if linked(np.frombuffer(a, U), np.frombuffer(b, U)):
-                    rows.append((x, y))
-            if rows:
-                yield _batch(rows, [pa.int64()] * 2, ["x", "y"])
+        for batch in batches:
+            x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
+            good = [linked(np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U)) for a, b in zip(batch.column("a"), batch.column("b"), strict=True)]
+            if any(good):
+                yield pa.RecordBatch.from_arrays([pa.array(x[good]), pa.array(y[good])], ["x", "y"])
 
     a, b = sets.select(F.col("cls").alias("x"), F.col("content").alias("a")), sets.select(F.col("cls").alias("y"), F.col("content").alias("b"))
     # one content travels with each pair, the other comes from its own side
@@ -302,34 +355,57 @@ def verified(pairs: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
     return work.store(both.mapInArrow(compare, "x long, y long"), "links")
 
 
-def common_shingles(sets: DataFrame) -> DataFrame:
-    """cls, common: how many shingles of each set some other one of sets holds too."""
+def _size_step(size) -> F.Column:
+    return F.floor(F.log(size.cast("double")) / F.lit(float(np.log(SIZE_STEP)))).cast("int")
+
+
+def crossing_pairs(sets: DataFrame, roots: DataFrame, work: Workspace) -> DataFrame:
+    """x, y: pairs of sets (cls, content) of different roots (cls, root) that can link, by their rarest shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cls, raw in zip(batch.column("cls").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                h = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), cls, np.int64))], ["h", "cls"])
-
-    each = sets.mapInArrow(run, "h long, cls long")
-    single = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("cls")).where("n = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("single"))
-    sizes = sets.select("cls", F.expr("cast(octet_length(content) / 8 as long)").alias("size"))
-    return sizes.join(single, "cls", "left").select("cls", "size", (F.col("size") - F.coalesce("single", F.lit(0))).alias("common"))
+            for cls, raw in zip(batch.column("cls").to_pylist(), batch.column("content"), strict=True):
+                h = np.frombuffer(raw.as_buffer(), np.int64)
+                for a in range(0, len(h), 65_536):
+                    yield pa.RecordBatch.from_arrays([pa.array(h[a : a + 65_536]), pa.array(np.full(len(h[a : a + 65_536]), cls, np.int64))], ["h", "cls"])
+
+    each = work.store(sets.mapInArrow(run, "h long, cls long"), "shingles")
+    held = each.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    common = each.join(held, "h").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("m", "h"))).alias("order"))
+    size = F.col("size")
+    sized = sets.select("cls", F.expr("cast(octet_length(content) / 8 as long)").alias("size")).join(common, "cls").join(roots, "cls")
+    sized = sized.withColumn("common", F.size("order").cast("long"))
+    # as the larger set: at least 0.75 of it is shared; as the smaller: 6/7; single shingles take the first places
+    first = lambda share: F.greatest(size - F.ceil(size * share[0] / share[1]) + 1 - (size - F.col("common")), F.lit(0))
+    larger, smaller = (NUMERATOR, DENOMINATOR), (2 * NUMERATOR, NUMERATOR + DENOMINATOR)
+    sized = work.store(sized.select("cls", "root", "size", "common", F.transform(F.slice("order", F.lit(1), first(larger).cast("int")), lambda s: s["h"]).alias("probe"), first(smaller).cast("int").alias("n_index")).where(F.col("common") * DENOMINATOR >= size * NUMERATOR), "ordered")
+    entries = sized.where("n_index > 0").select(F.col("cls").alias("y"), F.col("root").alias("s"), F.col("size").alias("q"), F.col("common").alias("d"), _size_step(size).alias("step"), F.explode(F.slice("probe", F.lit(1), F.col("n_index"))).alias("h"))
+    least = F.ceil(size * NUMERATOR / DENOMINATOR)
+    most = F.least(size, F.floor(F.col("common") * (NUMERATOR + DENOMINATOR) / NUMERATOR).cast("long") - size)
+    probes = sized.where(most >= least).select(F.col("cls").alias("x"), F.col("root").alias("r"), F.col("size").alias("p"), F.col("common").alias("c"), F.explode(F.sequence(_size_step(least), _size_step(most))).alias("step"), "probe")
+    probes = probes.select("x", "r", "p", "c", "step", F.explode("probe").alias("h"))
+    keys = entries.groupBy("h", "step").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    probes = probes.join(keys, ["h", "step"]).where("lo != r or hi != r").drop("lo", "hi")
+    can = (F.least("c", "d") * (NUMERATOR + DENOMINATOR) >= (F.col("p") + F.col("q")) * NUMERATOR) & (F.col("q") <= F.col("p")) & (F.col("q") * DENOMINATOR >= F.col("p") * NUMERATOR)
+    met = probes.join(entries, ["h", "step"]).where((F.col("r") != F.col("s")) & can)
+    out = work.store(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "crossing")
+    work.drop(each, sized)
+    return out
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: a row for each row of documents (doc_id, text)."""
+def classes_and_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame, Workspace]:
+    """Rows (see sets_of), and root and component_id of each class (c) that holds a document; both stored."""
     spark = docs.sparkSession
     work, p = Workspace(spark, "ngram-join"), partitions(spark)
     rows = work.store(sets_of(docs), "rows")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("even").alias("even"), F.max("odd").alias("odd"))
     classes = work.store(classes, "classes")
-    packed = packed_signatures(docs, min(1 << 15, 8 * p)).repartition(p, "label")
+    packed = packed_signatures(docs.select("doc_id", "text"), min(1 << 15, 8 * p)).repartition(p, "label").sortWithinPartitions("label")
     found = work.store(buckets(packed), "buckets")
     members = found.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("cls"), "odd")
     counted = members.groupBy("cls", "odd").agg(F.count(F.lit(1)).alias("large"))
-    spares = classes.select("cls", "node", "n", F.explode(F.array(F.struct(F.lit(0).alias("odd"), F.col("even").alias("spare")), F.struct(F.lit(1).alias("odd"), F.col("odd").alias("spare")))).alias("s"))
-    spares = work.store(spares.select("cls", "node", "n", "s.odd", "s.spare").join(counted, ["cls", "odd"], "left").withColumn("large", F.coalesce("large", F.lit(0))), "spares")
+    spares = classes.select("cls", "n", F.explode(F.array(F.struct(F.lit(0).alias("odd"), F.col("even").alias("spare")), F.struct(F.lit(1).alias("odd"), F.col("odd").alias("spare")))).alias("s"))
+    spares = work.store(spares.select("cls", "n", "s.odd", "s.spare").join(counted, ["cls", "odd"], "left").withColumn("large", F.coalesce("large", F.lit(0))), "spares")
     side = lambda c: spares.select(F.col("cls").alias(c), "odd", F.col("n").alias(f"n{c}"), F.col("spare").alias(f"s{c}"), F.col("large").alias(f"l{c}"))
     shared = found.where("kind = 0").groupBy("x", "y", "odd").agg(F.sum("n").alias("n")).join(side("x"), ["x", "odd"]).join(side("y"), ["y", "odd"])
     enough = F.col("n") + F.least("lx", "ly") >= F.greatest("sx", "sy", F.lit(1))
@@ -338,39 +414,56 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = contents(docs, pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), classes, work)
     links = verified(pairs, sets, work)
     work.drop(sets)
-    nodes = lambda links: links.join(classes.select(F.col("cls").alias("x"), F.col("node").alias("a")), "x").join(classes.select(F.col("cls").alias("y"), F.col("node").alias("b")), "y").select("a", "b")
-    edges = nodes(links)
+    edges = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
     roots = connected_components(edges, work)
 
     # Members of large buckets that smaller ones do not settle, and their components so far.
-    unsettled = spares.where("large > 0 and large >= spare").select("cls", "odd", "node")
-    left = members.join(unsettled, ["cls", "odd"]).join(roots, "node", "left").select("sig", "cls", F.coalesce("root", "node").alias("root"))
+    unsettled = spares.where("large > 0 and large >= spare").select("cls", "odd")
+    left = members.join(unsettled, ["cls", "odd"]).join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
     left = work.store(left, "unsettled")
     mixed = left.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sig")
-    left = work.store(left.join(mixed, "sig", "left_semi"), "mixed")
+    left = work.store(left.join(mixed, "sig", "left_semi").select("cls", "root").distinct(), "mixed")
     if left.limit(1).count():
-        sets = contents(docs, left.select("cls").distinct(), classes, work)
-        bound = work.store(common_shingles(sets).where(F.col("common") * DENOMINATOR >= F.col("size") * NUMERATOR), "bounds")
-        left = left.join(bound, "cls")
-        a = left.select("sig", F.col("cls").alias("x"), F.col("root").alias("r"), F.col("size").alias("p"), F.col("common").alias("c"))
-        b = left.select("sig", F.col("cls").alias("y"), F.col("root").alias("s"), F.col("size").alias("q"), F.col("common").alias("d"))
-        can = F.least("c", "d") * (NUMERATOR + DENOMINATOR) >= (F.col("p") + F.col("q")) * NUMERATOR
-        met = a.join(b, (a["sig"] == b["sig"]) & (F.col("r") < F.col("s")) & can)
-        more = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        more = more.join(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
-        edges = edges.unionByName(nodes(verified(work.store(more, "crossing"), sets, work)))
+        sets = contents(docs, left.select("cls"), classes, work)
+        more = crossing_pairs(sets, left, work)
+        edges = edges.unionByName(verified(more, sets, work).select(F.col("x").alias("a"), F.col("y").alias("b")))
         work.drop(sets)
         roots = connected_components(edges, work)
-    work.keep_only(rows, classes, roots)
-    of_class = classes.join(roots, "node", "left").select(F.col("cls").alias("c"), F.coalesce("root", "node").alias("root"))
+    of_class = classes.select(F.col("cls").alias("c"), "node").join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "node", F.coalesce("root", "c").alias("root"))
+    least = of_class.groupBy("root").agg(F.min("node").alias("component_id"))
+    of_class = work.store(of_class.join(least, "root").select("c", "root", "component_id"), "components")
+    work.keep_only(rows, of_class)
+    return rows, of_class, work
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: a row for each row of documents (doc_id, text)."""
+    rows, of_class, _ = classes_and_roots(docs.select("doc_id", "text"))
     own = (F.col("cls") == F.col("c")) & (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    return rows.join(of_class, own, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    return rows.join(of_class, own, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest doc_id of their component, with all their columns."""
-    others = jaccard_components(docs.select("doc_id", "text")).where("doc_id != component_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others, F.col("doc_id").cast("long") == F.col("_other"), "left_anti")
+    """Of each component one document, with all columns: the smallest doc_id, of rows that repeat it the one whose text has the smallest hash.
+
+    Rows with a null doc_id, without text or without words are in no
+    component and stay; of rows that repeat doc_id and text one stays.
+    """
+    tag = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    rows, of_class, work = classes_and_roots(docs.select("doc_id", "text", tag.alias("tag")))
+    member = rows.where("n > 0 and doc_id is not null").join(of_class, F.col("cls") == F.col("c"))
+    each = member.groupBy("root", "doc_id", "tag").agg(F.count(F.lit(1)).alias("copies"))
+    first = each.groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.sum("copies").alias("rows")).where("rows > 1").drop("rows")
+    touched = each.join(first, "root").select(F.col("doc_id").alias("_at"), F.col("tag").alias("_tag"), ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag"))).alias("_stays"), F.col("copies").alias("_copies"))
+    touched = work.store(touched.where("not _stays or _copies > 1"), "touched")
+    gone = touched.where("not _stays")
+    out = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_at")) & (tag == F.col("_tag")), "left_anti")
+    repeated = touched.where("_stays")
+    if not repeated.limit(1).count():
+        return out
+    same = (F.col("doc_id").cast("long") == F.col("_at")) & (tag == F.col("_tag"))
+    once = out.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(repeated, same, "left_anti").unionByName(once)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
