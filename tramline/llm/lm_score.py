@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,29 +48,28 @@ BACKOFF = 0.4
 FLOOR = 0.5
 #: Bits of an n-gram within its label.
 VALUE = 40
+#: Bytes of text that a partition of two groups holds, about, at most.
+GROUP_BYTES = 24 << 20
 SCORES = "doc_id long, n_words long, n_backoff2 long, n_backoff1 long, score double"
 U = np.uint64
 
 
-class _WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.encode()) | 1
-        if len(self) > 300_000:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_HASH = _WordHash()
-
-
-def grams(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each order the hash at each word of all texts (0 where the text has too few words before it), and the texts' lengths."""
-    words = [(t or "").lower().split() for t in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter((_HASH[x] for w in words for x in w), U, int(sizes.sum()))
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+def grams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each order the hash at each word of all texts (0 where the text has too few words before it), and the texts' lengths.
+
+    Words are lower-cased and split at white space; each distinct one is hashed once.
+    """
+    cut = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    codes = cut.flatten().dictionary_encode()
+    words = codes.dictionary.cast(pa.binary()).to_pylist()
+    code, upto = codes.indices.to_numpy(), cut.offsets.to_numpy().astype(np.int64)
+    upto = upto - upto[0]
+    if b"" in words:  # white space at an end leaves an empty word
+        full = code != words.index(b"")
+        upto, code = np.concatenate([[0], np.cumsum(full)])[upto], code[full]
+    sizes = np.diff(upto)
+    flat = (np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words)) | U(1))[code]
+    place = np.arange(len(flat)) - np.repeat(upto[:-1], sizes)
     out, last = [], flat
     for order in range(1, ORDER + 1):
         if order > 1:
@@ -113,47 +113,73 @@ def _keys(gram: np.ndarray, labels: int) -> np.ndarray:
     return ((gram >> U(48)) % U(labels)) << U(VALUE) | value
 
 
-def _own(gram: list[np.ndarray], labels: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of a group, ascending, and their counts; key 0 counts the words."""
-    key, count = np.unique(_keys(np.concatenate([g[g > 0] for g in gram]), labels), return_counts=True)
-    return np.concatenate([np.zeros(1, U), key]), np.concatenate([[len(gram[0])], count])
-
-
-def exploded(groups: DataFrame, labels: int) -> DataFrame:
+def _own(gram: list[np.ndarray], labels: int, places: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Distinct keys of a group, ascending, their counts, and, if asked for, which of them stands at each place of each order; key 0 counts the words."""
+    every = np.concatenate([g[g > 0] for g in gram])
+    if not places:
+        key = np.sort(_keys(every, labels))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        at = None
+    else:
+        plain = _keys(every, labels)
+        order = np.argsort(plain)
+        key = plain[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        first, at = np.flatnonzero(new), np.empty(len(key), np.int32)
+        at[order] = np.cumsum(new)
+    counts = np.diff(np.concatenate([first, [len(key)]]))
+    return np.concatenate([np.zeros(1, U), key[first]]), np.concatenate([[len(gram[0])], counts]), at
+
+
+def evenly(spark: SparkSession, n: int, each: int) -> list[int]:
+    """each * n numbers, of which Spark's hash partitioning over n partitions deals each to every partition."""
+    ids = spark.range(n * (8 * each + 32)).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("part"))
+    found = ids.groupBy("part").agg(F.slice(F.array_sort(F.collect_list("id")), 1, each).alias("ids")).orderBy("part").collect()
+    return [r.ids[k] for k in range(each) for r in found if len(r.ids) > k]
+
+
+def exploded(groups: DataFrame, labels: list[int]) -> DataFrame:
     """label, grp, grams, counts: what the documents (grp, doc_id, text) of each group have, packed by label."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        gram, _ = grams(table.column("text").to_pylist())
-        keys, counts = _own(gram, labels)
+        gram, _ = grams(table.column("text").combine_chunks())
+        keys, counts, _ = _own(gram, len(labels))
         label = (keys >> U(VALUE)).astype(np.int32)
         value = keys & U((1 << VALUE) - 1)
         first = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]])).tolist()
         cut = list(zip(first, [*first[1:], len(label)], strict=True))
         return pa.table(
             {
-                "label": pa.array(label[first]),
+                "label": pa.array([labels[k] for k in label[first].tolist()], pa.int64()),
+                "nth": pa.array(label[first]),
                 "grp": pa.array([key[0].as_py()] * len(cut), pa.int64()),
                 "grams": pa.array([pack(value[a:b]) for a, b in cut], pa.binary()),
                 "counts": pa.array([pack_counts(counts[a:b]) for a, b in cut], pa.binary()),
             }
         )
 
-    return groups.groupBy("grp").applyInArrow(run, "label int, grp long, grams binary, counts binary")
+    return groups.groupBy("grp").applyInArrow(run, "label long, nth int, grp long, grams binary, counts binary")
 
 
 def counted(packed: DataFrame) -> DataFrame:
-    """grp, label, totals: for each group the corpus counts of its n-grams of a label, in its order."""
+    """grp, nth, totals: for each group the corpus counts of its n-grams of a label, in its order."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         sets = [unpack(x) for x in table.column("grams").to_pylist()]
-        counts = [unpack_counts(x) for x in table.column("counts").to_pylist()]
-        value, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate(counts), len(value)).astype(np.int64)[inverse]
         ends = np.cumsum([len(s) for s in sets]).tolist()
-        out = [pack_counts(total[e - len(s) : e]) for s, e in zip(sets, ends, strict=True)]
-        return pa.table({"grp": table.column("grp"), "label": table.column("label"), "totals": pa.array(out, pa.binary())})
+        value = np.concatenate(sets)
+        del sets
+        order = np.argsort(value)
+        value = value[order]
+        new = np.concatenate([[True], value[1:] != value[:-1]])
+        counts = np.concatenate([unpack_counts(x) for x in table.column("counts").to_pylist()])[order]
+        sums = np.add.reduceat(counts, np.flatnonzero(new))
+        total = np.empty(len(value), np.int64)
+        total[order] = sums[np.cumsum(new) - 1]
+        out = [pack_counts(total[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return pa.table({"grp": table.column("grp"), "nth": table.column("nth"), "totals": pa.array(out, pa.binary())})
 
-    return packed.groupBy("label").applyInArrow(run, "grp long, label int, totals binary")
+    return packed.groupBy("label").applyInArrow(run, "grp long, nth int, totals binary")
 
 
 def _others(at: np.ndarray, doc: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -162,21 +188,28 @@ def _others(at: np.ndarray, doc: np.ndarray, total: np.ndarray) -> np.ndarray:
     some = np.flatnonzero(at >= 0)
     some = some[total[at[some]] > 1]  # a count of 1 is the document's own
     if len(some):
-        _, inverse, own = np.unique(doc[some] * len(total) + at[some], return_inverse=True, return_counts=True)
-        out[some] = total[at[some]] - own[inverse]
+        pair = doc[some] * len(total) + at[some]
+        order = np.argsort(pair)
+        pair = pair[order]
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        own = np.empty(len(some), np.int64)
+        own[order] = np.repeat(np.diff(np.concatenate([first, [len(pair)]])), np.diff(np.concatenate([first, [len(pair)]])))
+        out[some] = total[at[some]] - own
     return out
 
 
-def score_texts(texts: list[str | None], keys: np.ndarray, total: np.ndarray, labels: int, backoff: float = BACKOFF) -> list[tuple]:
-    """(words, backed off once, twice, score) of each text, from the corpus counts of the group's keys."""
-    gram, sizes = grams(texts)
+def score_texts(gram: list[np.ndarray], sizes: np.ndarray, at: np.ndarray, total: np.ndarray, backoff: float = BACKOFF) -> list[tuple]:
+    """(words, backed off once, twice, score) of each text, from the corpus counts of the group's keys and the key at each place."""
     n, doc = len(gram[0]), np.repeat(np.arange(len(sizes)), sizes)
     if not n:
-        return [(0, 0, 0, None)] * len(texts)
-    c = []
+        return [(0, 0, 0, None)] * len(sizes)
+    c, start = [], 0
     for g in gram:
-        at = np.searchsorted(keys, _keys(g, labels))
-        c.append(_others(np.where(g > 0, at, -1), doc, total))
+        has = np.flatnonzero(g > 0)
+        place = np.full(n, -1, np.int64)
+        place[has] = at[start : start + len(has)]
+        start += len(has)
+        c.append(_others(place, doc, total))
     before = lambda x: np.concatenate([[0], x[:-1]])
     rest = np.maximum(int(total[0]) - sizes[doc], 1)
     s = backoff * backoff * np.maximum(c[0], FLOOR) / rest
@@ -196,28 +229,30 @@ def score_texts(texts: list[str | None], keys: np.ndarray, total: np.ndarray, la
 
 def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
     """SCORES, a row for each row of documents (doc_id, text)."""
-    p = partitions(docs.sparkSession)
-    labels = 2 * p
+    spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    groups = keyed.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * p))).repartition(p, "grp")
-    totals = counted(exploded(groups, labels))
+    held = keyed.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    n = max(partitions(spark), -(-held // GROUP_BYTES))
+    numbers = evenly(spark, n, 2)
+    nth = F.pmod(F.xxhash64("doc_id", "text"), F.lit(len(numbers))).cast("int")
+    groups = keyed.withColumn("grp", F.get(F.lit(numbers).cast("array<bigint>"), nth)).repartition(n, "grp")
+    totals = counted(exploded(groups, numbers).repartition(n, "label"))
     names = [c.split()[0] for c in SCORES.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
 
     def run(key: tuple, own: pa.Table, answers: pa.Table) -> pa.Table:
         if not own.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names)
-        texts, by_label = own.column("text").to_pylist(), {}
-        for label, raw in zip(answers.column("label").to_pylist(), answers.column("totals").to_pylist(), strict=True):
-            by_label[label] = unpack_counts(raw)
-        total = np.concatenate([by_label[k] for k in sorted(by_label)])
-        keys, _ = _own(grams(texts)[0], labels)
+        gram, sizes = grams(own.column("text").combine_chunks())
+        keys, _, at = _own(gram, len(numbers), places=True)
+        by_label = dict(zip(answers.column("nth").to_pylist(), answers.column("totals").to_pylist(), strict=True))
+        total = np.concatenate([unpack_counts(by_label[k]) for k in sorted(by_label)])
         if len(keys) != len(total):
             raise RuntimeError("the totals of a group do not fit its n-grams")
-        rows = [(d, *r) for d, r in zip(own.column("doc_id").to_pylist(), score_texts(texts, keys, total, labels, backoff), strict=True)]
+        rows = [(d, *r) for d, r in zip(own.column("doc_id").to_pylist(), score_texts(gram, sizes, at, total, backoff), strict=True)]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return groups.groupBy("grp").cogroup(totals.groupBy("grp")).applyInArrow(run, SCORES)
+    return groups.groupBy("grp").cogroup(totals.repartition(n, "grp").groupBy("grp")).applyInArrow(run, SCORES)
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
