@@ -28,6 +28,8 @@ BITS2 = 18
 TOTAL0 = 1 << 20
 WEIGHTS = 1 << 12
 REFRESH = 64
+#: Lanes from which halves take turns in teaching the model.
+HALVES = 64
 U = np.uint64
 
 
@@ -89,6 +91,10 @@ class _Model:
         return e2, e1, p2, p1, row.astype(np.int64)
 
     def learn(self, ids, before1, hashed, e2, e1, hit2, hit1, cell, missed) -> None:
+        """Tables and weights learn from one half of the lanes at a step and from the other at the next, order 0 from all."""
+        if len(ids) >= HALVES:
+            half = slice(0, len(ids) // 2) if self.step & 1 else slice(len(ids) // 2, len(ids))
+            ids, before1, hashed, e2, e1, hit2, hit1, cell = (v[half] for v in (ids, before1, hashed, e2, e1, hit2, hit1, cell))
         fresh = (ids << np.uint32(3)) | np.uint32(1)
         for table, at, e, hit in ((self.t2, hashed, e2, hit2), (self.t1, before1, e1, hit1)):
             kept = e & np.uint32(7)
