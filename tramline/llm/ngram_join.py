@@ -30,8 +30,8 @@ one order, rarest first, the first p - 0.75 p + 1 of the larger and the first
 q - 6 q / 7 + 1 of the smaller hence have one in common.  A shingle that no
 other remaining set holds takes a place there but joins nothing, so a near
 copy that misses the threshold mostly emits nothing at all.  Sizes are part of
-the key in steps of 1/20, and a key is joined only where two components meet
-in it.  Every link between components is found, and no bucket is cut off.
+the key in steps of 1/20, which shortens the prefix of the larger set for each
+step, and a set meets only those sets of a key that are of other components.  Every link between components is found, and no bucket is cut off.
 
 Sets with equal content are one class from the start, and classes are the
 nodes of the components.  Signatures travel in packed columns (five bytes and
@@ -382,12 +382,15 @@ def crossing_pairs(sets: DataFrame, roots: DataFrame, work: Workspace) -> DataFr
     entries = sized.where("n_index > 0").select(F.col("cls").alias("y"), F.col("root").alias("s"), F.col("size").alias("q"), F.col("common").alias("d"), _size_step(size).alias("step"), F.explode(F.slice("probe", F.lit(1), F.col("n_index"))).alias("h"))
     least = F.ceil(size * NUMERATOR / DENOMINATOR)
     most = F.least(size, F.floor(F.col("common") * (NUMERATOR + DENOMINATOR) / NUMERATOR).cast("long") - size)
-    probes = sized.where(most >= least).select(F.col("cls").alias("x"), F.col("root").alias("r"), F.col("size").alias("p"), F.col("common").alias("c"), F.explode(F.sequence(_size_step(least), _size_step(most))).alias("step"), "probe")
-    probes = probes.select("x", "r", "p", "c", "step", F.explode("probe").alias("h"))
-    keys = entries.groupBy("h", "step").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    probes = probes.join(keys, ["h", "step"]).where("lo != r or hi != r").drop("lo", "hi")
+    probes = sized.where(most >= least).select(F.col("cls").alias("x"), F.col("root").alias("r"), F.col("size").alias("p"), F.col("common").alias("c"), least.alias("least"), F.explode(F.sequence(_size_step(least), _size_step(most))).alias("step"), "probe")
+    # partners of a step are no smaller than its lower end, so fewer places of the larger set are needed
+    smallest = F.greatest(F.col("least"), F.floor(F.pow(F.lit(SIZE_STEP), F.col("step"))))
+    places = F.col("p") - F.ceil((F.col("p") + smallest) * NUMERATOR / (NUMERATOR + DENOMINATOR)) + 1 - (F.col("p") - F.col("c"))
+    probes = probes.select("x", "r", "p", "c", "step", F.explode(F.slice("probe", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))).alias("h"))
+    # a probe meets the components that a key holds before their sets, so sets of its own are never paired
+    probes = probes.join(entries.select("h", "step", "s").distinct(), ["h", "step"]).where("r != s")
     can = (F.least("c", "d") * (NUMERATOR + DENOMINATOR) >= (F.col("p") + F.col("q")) * NUMERATOR) & (F.col("q") <= F.col("p")) & (F.col("q") * DENOMINATOR >= F.col("p") * NUMERATOR)
-    met = probes.join(entries, ["h", "step"]).where((F.col("r") != F.col("s")) & can)
+    met = probes.join(entries, ["h", "step", "s"]).where(can)
     out = work.store(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "crossing")
     work.drop(each, sized)
     return out
