@@ -154,8 +154,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         if found := writer.close():
             yield done(found)
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
-    dealt = keyed.repartitionByRange(partitions(spark), F.asc_nulls_first("doc_id"), "tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    # by doc_id alone: the pass that samples the range then reads no text
+    dealt = keyed.repartitionByRange(partitions(spark), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
     return dealt.select("doc_id", "text").mapInArrow(write, MANIFEST)
 
 

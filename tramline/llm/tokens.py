@@ -39,21 +39,25 @@ PUNCTUATION = r"[!-/:-@\[-^`{-~]+$"
 FIRST = re.compile(r"[^ \n]*")
 #: White space beside space and newline, and separators that engines class differently.
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f-\u2060\u3000\ufeff<]")
-#: Entries per worker of each kind.
-CACHE_ENTRIES = 500_000
+#: Entries per worker: chunks in Arrow columns, units in a dictionary.
+CACHE_ENTRIES, UNIT_ENTRIES = 500_000, 100_000
 #: Longer parts are not kept.
 LONG = 64
-#: Words joined to one text for the model.
-CALL = 256
+#: Words joined to one text for the model, and texts encoded in one call.
+CALL, CALLS = 256, 32
 #: Bytes of text, and texts, cut and dictionary-encoded at a time.
-SLICE_BYTES, SLICE_TEXTS = 8 << 20, 4096
+SLICE_BYTES, SLICE_TEXTS = 4 << 20, 4096
 PROBE = ["word", "Word", "ÄRGER", "élève", "ɏx", "ŁÓDŹ", "a", "Internationalisation", "qzxwv", "ßtraße", "Ǆ"]
 
 
 def gather(pool: np.ndarray, offset: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The runs of pool that begin at offset, one after the other."""
     upto = np.cumsum(size)
-    return pool[np.repeat(offset - (upto - size), size) + np.arange(int(upto[-1]) if len(upto) else 0)]
+    total = int(upto[-1]) if len(upto) else 0
+    kind = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
+    at = np.repeat((offset - (upto - size)).astype(kind), size)
+    at += np.arange(total, dtype=kind)
+    return pool[at]
 
 
 def _ids(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +94,11 @@ class WordCachedTokenizer:
             return np.zeros(0, np.int64), np.zeros(0, np.uint32)
         cuts = pa.array([*range(0, len(words), CALL), len(words)], pa.int32())
         joined = pc.binary_join(pa.ListArray.from_arrays(cuts, words), f"\n,\n{before}").to_pylist()
-        encoded = self.model.encode_batch_fast([f"{before}{x}\n," for x in joined], add_special_tokens=False)
-        got = np.concatenate([np.array(e.ids, dtype="<u4") for e in encoded])
+        parts = []
+        for a in range(0, len(joined), CALLS):  # an encoding holds far more than its ids
+            encoded = self.model.encode_batch_fast([f"{before}{x}\n," for x in joined[a : a + CALLS]], add_special_tokens=False)
+            parts += [np.array(e.ids, dtype="<u4") for e in encoded]
+        got = np.concatenate(parts)
         at = np.flatnonzero(got == self.comma)
         if len(at) != len(words):
             raise RuntimeError("the tokenizer split a word at a comma")
@@ -101,7 +108,7 @@ class WordCachedTokenizer:
         found = self.units.get(part)
         if found is None:
             found = self._whole(part)
-            if len(part) <= LONG and len(self.units) < CACHE_ENTRIES:
+            if len(part) <= LONG and len(self.units) < UNIT_ENTRIES:
                 self.units[part] = found
         return found
 
