@@ -31,7 +31,9 @@ q - 6 q / 7 + 1 of the smaller hence have one in common.  A shingle that no
 other remaining set holds takes a place there but joins nothing, so a near
 copy that misses the threshold mostly emits nothing at all.  Sizes are part of
 the key in steps of 1/20, which shortens the prefix of the larger set for each
-step, and a set meets only those sets of a key that are of other components.  Every link between components is found, and no bucket is cut off.
+step, and a set meets only those sets of a key that are of other components.
+That is done twice: first with one pivot of each key, which ties most copies to
+their component, then with all that is left.  Every link between components is found, and no bucket is cut off.
 
 Sets with equal content are one class from the start, and classes are the
 nodes of the components.  Signatures travel in packed columns (five bytes and
@@ -359,8 +361,14 @@ def _size_step(size) -> F.Column:
     return F.floor(F.log(size.cast("double")) / F.lit(float(np.log(SIZE_STEP)))).cast("int")
 
 
-def crossing_pairs(sets: DataFrame, roots: DataFrame, work: Workspace) -> DataFrame:
-    """x, y: pairs of sets (cls, content) of different roots (cls, root) that can link, by their rarest shingles."""
+def ordered_sets(sets: DataFrame, work: Workspace) -> DataFrame:
+    """cls, size, common, probe, n_index of the sets (cls, content) that can link with another of them.
+
+    common: how many shingles some other set holds too; probe: those of them
+    that lie in the prefix as the larger set, rarest first; n_index: how many
+    of these lie in the prefix as the smaller one.  Single shingles take the
+    first places of a prefix.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -373,13 +381,24 @@ def crossing_pairs(sets: DataFrame, roots: DataFrame, work: Workspace) -> DataFr
     held = each.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     common = each.join(held, "h").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("m", "h"))).alias("order"))
     size = F.col("size")
-    sized = sets.select("cls", F.expr("cast(octet_length(content) / 8 as long)").alias("size")).join(common, "cls").join(roots, "cls")
-    sized = sized.withColumn("common", F.size("order").cast("long"))
-    # as the larger set: at least 0.75 of it is shared; as the smaller: 6/7; single shingles take the first places
+    sized = sets.select("cls", F.expr("cast(octet_length(content) / 8 as long)").alias("size")).join(common, "cls").withColumn("common", F.size("order").cast("long"))
     first = lambda share: F.greatest(size - F.ceil(size * share[0] / share[1]) + 1 - (size - F.col("common")), F.lit(0))
     larger, smaller = (NUMERATOR, DENOMINATOR), (2 * NUMERATOR, NUMERATOR + DENOMINATOR)
-    sized = work.store(sized.select("cls", "root", "size", "common", F.transform(F.slice("order", F.lit(1), first(larger).cast("int")), lambda s: s["h"]).alias("probe"), first(smaller).cast("int").alias("n_index")).where(F.col("common") * DENOMINATOR >= size * NUMERATOR), "ordered")
+    probe = F.transform(F.slice("order", F.lit(1), first(larger).cast("int")), lambda s: s["h"])
+    out = work.store(sized.where(F.col("common") * DENOMINATOR >= size * NUMERATOR).select("cls", "size", "common", probe.alias("probe"), first(smaller).cast("int").alias("n_index")), "ordered")
+    work.drop(each)
+    return out
+
+
+def crossing_pairs(ordered: DataFrame, roots: DataFrame, pivots: bool = False) -> DataFrame:
+    """x, y: pairs of ordered sets of different roots (cls, root) that can link; with pivots only those with one set of each key.
+
+    The pivot of a key is the set that has most in common with others.
+    """
+    sized, size = ordered.join(roots, "cls"), F.col("size")
     entries = sized.where("n_index > 0").select(F.col("cls").alias("y"), F.col("root").alias("s"), F.col("size").alias("q"), F.col("common").alias("d"), _size_step(size).alias("step"), F.explode(F.slice("probe", F.lit(1), F.col("n_index"))).alias("h"))
+    if pivots:
+        entries = entries.groupBy("h", "step").agg(F.max(F.struct("d", "y", "s", "q")).alias("b")).select("h", "step", "b.*")
     least = F.ceil(size * NUMERATOR / DENOMINATOR)
     most = F.least(size, F.floor(F.col("common") * (NUMERATOR + DENOMINATOR) / NUMERATOR).cast("long") - size)
     probes = sized.where(most >= least).select(F.col("cls").alias("x"), F.col("root").alias("r"), F.col("size").alias("p"), F.col("common").alias("c"), least.alias("least"), F.explode(F.sequence(_size_step(least), _size_step(most))).alias("step"), "probe")
@@ -391,9 +410,7 @@ def crossing_pairs(sets: DataFrame, roots: DataFrame, work: Workspace) -> DataFr
     probes = probes.join(entries.select("h", "step", "s").distinct(), ["h", "step"]).where("r != s")
     can = (F.least("c", "d") * (NUMERATOR + DENOMINATOR) >= (F.col("p") + F.col("q")) * NUMERATOR) & (F.col("q") <= F.col("p")) & (F.col("q") * DENOMINATOR >= F.col("p") * NUMERATOR)
     met = probes.join(entries, ["h", "step", "s"]).where(can)
-    out = work.store(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "crossing")
-    work.drop(each, sized)
-    return out
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def classes_and_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame, Workspace]:
@@ -428,10 +445,17 @@ def classes_and_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame, Workspace]
     left = work.store(left.join(mixed, "sig", "left_semi").select("cls", "root").distinct(), "mixed")
     if left.limit(1).count():
         sets = contents(docs, left.select("cls"), classes, work)
-        more = crossing_pairs(sets, left, work)
-        edges = edges.unionByName(verified(more, sets, work).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        ordered = ordered_sets(sets, work)
+        members = left.select("cls")
+        done = None
+        for pivots in (True, False):  # most true copies find their component by the pivots, and are not paired after that
+            of = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"))
+            more = crossing_pairs(ordered, of, pivots)
+            more = work.store(more if done is None else more.join(done, ["x", "y"], "left_anti"), "crossing")
+            done = more
+            edges = edges.unionByName(verified(more, sets, work).select(F.col("x").alias("a"), F.col("y").alias("b")))
+            roots = connected_components(edges, work)
         work.drop(sets)
-        roots = connected_components(edges, work)
     of_class = classes.select(F.col("cls").alias("c"), "node").join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "node", F.coalesce("root", "c").alias("root"))
     least = of_class.groupBy("root").agg(F.min("node").alias("component_id"))
     of_class = work.store(of_class.join(least, "root").select("c", "root", "component_id"), "components")
