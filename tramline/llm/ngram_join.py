@@ -19,8 +19,8 @@ pair is compared only if the small buckets that it shares, and as many large
 ones as it can share at most, come to that.  A set with more occupied parts
 outside large buckets than k shares one of those with every partner and needs
 no large bucket.  The sets that remain are mostly true copies of each other:
-after the pairs above are verified and their components known, only links
-between different components that meet in a large bucket are left to find.
+after the pairs above are verified, sets with a common neighbour share a label,
+and only links between different labels that meet in a large bucket are left.
 
 Large buckets.  For equal-size sets of more than a few shingles no affordable
 enumeration of subsets of partitions tells a similarity of 0.7 from one of
@@ -31,9 +31,10 @@ q - 6 q / 7 + 1 of the smaller hence have one in common.  A shingle that no
 other remaining set holds takes a place there but joins nothing, so a near
 copy that misses the threshold mostly emits nothing at all.  Sizes are part of
 the key in steps of 1/20, which shortens the prefix of the larger set for each
-step, and a set meets only those sets of a key that are of other components.
+step, and a set meets only those sets of a key that have other labels.
 That is done twice: first with one pivot of each key, which ties most copies to
-their component, then with all that is left.  Every link between components is found, and no bucket is cut off.
+their component, then with all that is left.  No link between different
+components is missed, and no bucket is cut off.
 
 Sets with equal content are one class from the start, and classes are the
 nodes of the components.  Signatures travel in packed columns (five bytes and
@@ -406,13 +407,25 @@ def crossing_pairs(ordered: DataFrame, roots: DataFrame, pivots: bool = False) -
     smallest = F.greatest(F.col("least"), F.floor(F.pow(F.lit(SIZE_STEP), F.col("step"))))
     places = F.col("p") - F.ceil((F.col("p") + smallest) * NUMERATOR / (NUMERATOR + DENOMINATOR)) + 1 - (F.col("p") - F.col("c"))
     probes = probes.select("x", "r", "p", "c", "step", F.explode(F.slice("probe", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))).alias("h"))
-    # a probe meets the components that a key holds before their sets, so sets of its own are never paired
+    # a probe meets the labels that a key holds before their sets, so sets of its own are never paired
     probes = probes.join(entries.select("h", "step", "s").distinct(), ["h", "step"]).where("r != s")
     can = (F.least("c", "d") * (NUMERATOR + DENOMINATOR) >= (F.col("p") + F.col("q")) * NUMERATOR) & (F.col("q") <= F.col("p")) & (F.col("q") * DENOMINATOR >= F.col("p") * NUMERATOR)
     met = probes.join(entries, ["h", "step", "s"]).where(can)
     return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
+def near_labels(edges: DataFrame, work: Workspace) -> DataFrame:
+    """node, root: the smallest node within two edges (a, b), or the node itself.
+
+    Nodes with one label lie in one component, so pairs of them need no
+    comparison; that a component has several labels costs comparisons only.
+    """
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("label"))
+    out = both.join(one, "b").groupBy("a").agg(F.min("label").alias("label"))
+    return work.store(out.select(F.col("a").alias("node"), F.least("a", "label").alias("root")), "labels")
+
+
 def classes_and_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame, Workspace]:
     """Rows (see sets_of), and root and component_id of each class (c) that holds a document; both stored."""
     spark = docs.sparkSession
@@ -435,9 +448,9 @@ def classes_and_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame, Workspace]
     links = verified(pairs, sets, work)
     work.drop(sets)
     edges = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    roots = connected_components(edges, work)
+    roots = near_labels(edges, work)
 
-    # Members of large buckets that smaller ones do not settle, and their components so far.
+    # Members of large buckets that smaller ones do not settle, and their labels so far.
     unsettled = spares.where("large > 0 and large >= spare").select("cls", "odd")
     left = members.join(unsettled, ["cls", "odd"]).join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
     left = work.store(left, "unsettled")
@@ -448,14 +461,15 @@ def classes_and_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame, Workspace]
         ordered = ordered_sets(sets, work)
         members = left.select("cls")
         done = None
-        for pivots in (True, False):  # most true copies find their component by the pivots, and are not paired after that
+        for pivots in (True, False):  # most true copies find their label by the pivots, and are not paired after that
             of = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"))
             more = crossing_pairs(ordered, of, pivots)
             more = work.store(more if done is None else more.join(done, ["x", "y"], "left_anti"), "crossing")
             done = more
             edges = edges.unionByName(verified(more, sets, work).select(F.col("x").alias("a"), F.col("y").alias("b")))
-            roots = connected_components(edges, work)
+            roots = near_labels(edges, work) if pivots else roots
         work.drop(sets)
+    roots = connected_components(edges, work)
     of_class = classes.select(F.col("cls").alias("c"), "node").join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "node", F.coalesce("root", "c").alias("root"))
     least = of_class.groupBy("root").agg(F.min("node").alias("component_id"))
     of_class = work.store(of_class.join(least, "root").select("c", "root", "component_id"), "components")
