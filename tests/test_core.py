@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tramline.functions import geo, modes, text, times
-from tramline.operators import calendar, journeys, metrics, mvt, normalise, poi, rail, routing, store
+from tramline.operators import calendar, journeys, metrics, mvt, normalise, poi, rail, research, routing, store
 from tramline.plans import api
 from tramline.plans.stages import stored
 from tramline.sources import files, gtfs
@@ -296,7 +296,7 @@ def test_rail(spark):
     assert [r.edge_id for r in rail.shortest_paths(edges, pairs, labels).orderBy("step").collect()] == ["1", "2"]
     stops = spark.createDataFrame([("s", 10.001, 53.001)], "public_id string, lon double, lat double")
     snaps = rail.snap_stops(stops, edges).orderBy("rank").collect()
-    assert [r.edge_id for r in snaps] == [1, 3] and snaps[0].vertex == "10.0:53.0" and snaps[0].distance_m == pytest.approx(130, abs=10)
+    assert [r.edge_id for r in snaps] == [1, 3] and snaps[0].vertex == "10.0:53.0" and snaps[0].distance_m == pytest.approx(111.2, abs=0.5)
     v = lambda c: value(spark, c)
     score = lambda *a: v(F.round(rail.confidence(*(F.lit(x).cast("double") if not isinstance(x, bool) else F.lit(x) for x in a)), 4))
     assert score(0.0, 0.0, 4.0, 1.0, False, 0.0) == 1.0 and score(None, 0.0, 0.0, None, True, 9999.0) == 0.0 and score(400.0, 1.0, 4.0, 1.0, False, 500.0) == round(1 - 0.125 - 0.1125 - 0.1, 4)
@@ -317,12 +317,10 @@ def test_points_of_interest(spark, tmp_path):
     assert [(r.external_id, r.name) for r in poi.listing_links(pages, "teaser").collect()] == [("12", "hof sonne")]
     assert [(r.external_id, r.name) for r in poi.listing_links(pages, "house").collect()] == [("mond-9", "Hof & Mond")]
     assert [(r.external_id, r.name, r.href) for r in poi.facility_listing(pages).collect()][0][:2] == ("77", "Titel")
-    d = poi.structured_data(pages).collect()
+    d = research.structured_data(pages).collect()
     assert [(r.name, r.address, r.lon, r.lat) for r in d] == [("N", "S 1", 10.0, 53.5)]
     cand = spark.createDataFrame([("1", "Hof X", "A", None, None, None, "SH", "listing_link", "u"), ("2", "hof x", "a", "w", 10.0, 53.0, "SH", "listing_link", None)], "pos string, name string, address string, website string, lon double, lat double, state_code string, confidence string, detail_url string")
     assert one(poi.dedupe_best(cand, "pos")).pos == "2"
-    rich = {r.pos: r for r in poi.enrich(cand, poi.structured_data(pages)).collect()}
-    assert rich["1"].name == "N" and rich["1"].confidence == "structured_detail" and rich["2"].name == "hof x"
 
 
 def test_streams(spark, tmp_path):
@@ -335,3 +333,87 @@ def test_streams(spark, tmp_path):
     assert sorted((r.n, r.least, r.most) for r in got) == [(1, 9, 9), (2, 3, 5)]
     got = samples.run_once(samples.fresh(stream, ["k"], "at"), "f", f"{tmp_path}/c2").collect()
     assert len(got) >= 1
+
+
+def test_registry(spark, tmp_path):
+    from tramline.sources import registry
+
+    path = str(tmp_path / "m" / "manifest.json")
+    m = registry.read_manifest(path)
+    for key in ("b", "a", "b"):
+        m = registry.upsert_source(m, {"source_key": key, "format": "zip", "sha256": key * 2})
+    registry.write_manifest(path, m)
+    m = registry.read_manifest(path)
+    assert [s["source_key"] for s in m["sources"]] == ["a", "b"] and m["generated_at"]
+    assert registry.source_metadata(m, "b")["sha256"] == "bb" and registry.source_metadata(m, "c") == {}
+    assert registry.manifest_table(spark, m).count() == 2
+    with zipfile.ZipFile(tmp_path / "f.zip", "w") as z:
+        for name, body in FEED.items():
+            z.writestr(f"{name}.txt", body)
+    good = registry.check_file(str(tmp_path / "f.zip"), "gtfs", "0" * 32)
+    assert good["validation_status"] == "warning" and good["sha256"] == registry.digest(str(tmp_path / "f.zip"))
+    (tmp_path / "page").write_text("<html>")
+    for kind in ("zip", "osm.pbf"):
+        with pytest.raises(ValueError):
+            registry.check_file(str(tmp_path / "page"), kind)
+    with pytest.raises(ValueError):
+        registry.check_file(str(tmp_path / "f.zip"), "boundaries")
+    assert registry.choose_layer([("vg250_krs", "features"), ("vg250_lan", "features")]) == "vg250_lan" and registry.choose_layer([("x", "tiles"), ("y", "features")]) == "y"
+    with pytest.raises(FileNotFoundError):
+        registry.validate_sources(str(tmp_path / "none"))
+
+
+def test_boundaries_and_states(spark, tmp_path):
+    from tramline.sources import registry
+
+    square = lambda x: [[[x, 53.0], [x + 1, 53.0], [x + 1, 54.0], [x, 54.0], [x, 53.0]]]
+    features = [
+        {"properties": {"GEN": "Schleswig-Holstein", "AGS": "01"}, "geometry": {"type": "MultiPolygon", "coordinates": [square(9), square(12)]}},
+        {"properties": {"GEN": "Hamburg"}, "geometry": {"type": "Polygon", "coordinates": square(10)}},
+        {"properties": {"GEN": "Bayern", "AGS": "09"}, "geometry": {"type": "Polygon", "coordinates": square(11)}},
+        {"properties": {"GEN": "Bremen"}, "geometry": {"type": "Point", "coordinates": [9, 53]}},
+    ]
+    (tmp_path / "b.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    states = registry.dissolve(registry.boundaries(spark, str(tmp_path / "b.geojson")))
+    assert {r.state_code: len(r.rings) for r in states.collect()} == {"DE-SH": 2, "DE-HH": 1}
+    points = spark.createDataFrame([("a", 9.5, 53.5), ("b", 12.5, 53.5), ("c", 10.5, 53.5), ("d", 11.5, 53.5), ("e", None, 53.5)], "id string, lon double, lat double")
+    assert {r.id: r.state_code for r in poi.states_of_points(points, states).collect()} == {"a": "DE-SH", "b": "DE-SH", "c": "DE-HH", "d": None, "e": None}
+
+
+def test_rail_matching(spark):
+    pts = lambda *p: [(float(x), float(y)) for x, y in p]
+    ways = spark.createDataFrame(
+        [(1, {"railway": "rail"}, pts((10, 53), (10.1, 53))), (2, {"railway": "rail"}, pts((10.1, 53), (10.2, 53))), (3, {"railway": "rail", "disused": "yes"}, pts((10.2, 53), (10.3, 53)))],
+        "id long, tags map<string,string>, line array<struct<lon:double,lat:double>>",
+    )
+    edges = stored(rail.rail_edges(rail.rail_ways(ways)))
+    assert edges.count() == 2 and rail.rail_vertices(edges).count() == 3
+    stops = spark.createDataFrame([("a", 10.0, 53.0005), ("b", 10.14, 53.0005), ("c", 10.2, 53.0), ("far", 11.0, 53.0)], "public_id string, lon double, lat double")
+    snaps = stored(rail.snap_stops(stops, edges))
+    middle = [r for r in snaps.collect() if r.public_id == "b"][0]
+    assert middle.edge_id == 2 and middle.distance_m == pytest.approx(55.6, abs=0.5)  # beside the middle of a long step
+    calls = spark.createDataFrame([("p", 1, "a"), ("p", 2, "c"), ("q", 1, "a"), ("q", 2, "far")], "pattern_id string, stop_sequence int, stop_place_id string")
+    patterns = spark.createDataFrame([("p", pts((10, 53), (10.2, 53))), ("q", None)], "pattern_id string, line array<struct<lon:double,lat:double>>")
+    got = {r.pattern_id: r for r in rail.match_patterns(patterns, calls, stops, snaps, edges, stored).collect()}
+    assert got["p"].status == "osm_reconstructed" and len(got["p"].lines) == 2 and got["p"].detour == pytest.approx(1.0, abs=0.01)
+    assert got["q"].status == "fallback" and got["q"].failed_segments == 1 and got["q"].lines is None
+    with pytest.raises(ValueError):
+        rail.box_of("1,2,3,4", "hamburg-kiel")
+
+
+def test_research_collects(spark):
+    pages = spark.createDataFrame([("landsichten_sh_kinderhof", "https://x.example/schleswig-holstein", '<a class="teaser-card-href" href="/d/1" id="1">', None), ("landreise_ni", "https://x.example/m", None, "timeout")], "source_id string, url string, html string, error string")
+    body = '<script type="application/ld+json">{"@type":"Hotel","name":"Hof &amp; Gut","geo":{"latitude":54,"longitude":10}}</script>'
+    details = spark.createDataFrame([("https://x.example/d/1", body, None)], "url string, html string, error string")
+    none = spark.createDataFrame([], "record string")
+    every, best = research.collect(pages, none, none, details)
+    assert {r.confidence for r in every.collect()} == {"structured_detail", "fetch_error"}
+    rows = research.importable(best).collect()
+    assert [(r.name, r.lat, r.state_code) for r in rows] == [("Hof & Gut", 54.0, "SH")]
+
+
+def test_requests_are_checked(spark):
+    assert api.checked_request({"z": "3", "x": "1", "y": "2"})["z"] == 3 and api.checked_request({})["limit"] == 20
+    for bad in ({"limit": 51}, {"z": 23}, {"date": "8.7.2026"}, {"time": "25:00"}, {"z": 1, "x": 2}):
+        with pytest.raises(ValueError):
+            api.checked_request(bad)

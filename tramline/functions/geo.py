@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Mean earth radius, the sphere of Web Mercator, and half the width of its map, in metres.
@@ -101,3 +101,22 @@ def cell(lon: Column, lat: Column, size: float) -> tuple[Column, Column]:
 
 def geojson_line(line: Column) -> Column:
     return F.to_json(F.struct(F.lit("LineString").alias("type"), F.transform(line, lambda p: F.array(p["lon"], p["lat"])).alias("coordinates")))
+
+
+def ring_area_m2(ring: Column) -> Column:
+    """Area of a ring on the sphere, without sign, by the trapezoids under its steps."""
+    following = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(1))), F.slice(ring, 1, 1))
+    parts = F.zip_with(ring, following, lambda a, b: F.radians(b["lon"] - a["lon"]) * (2 + F.sin(F.radians(a["lat"])) + F.sin(F.radians(b["lat"]))))
+    return F.abs(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)) * (EARTH_M**2 / 2)
+
+
+def geometry_kind(lines: Column) -> Column:
+    """What a list of lines is as a geometry: empty, one line or several."""
+    filled = F.size(F.filter(lines, lambda x: F.size(x) >= 2))
+    return F.when(filled == 0, "EMPTY").when(filled == 1, "LINESTRING").otherwise("MULTILINESTRING")
+
+
+def residential_circles(stops: DataFrame, minutes: float) -> DataFrame:
+    """public_id, ring: circles of 750 m a minute around distinct visible stops of regional or city trains."""
+    shown = stops.where(F.col("stop_priority").isin("regional", "urban_rail") & F.col("visible")).dropDuplicates(["public_id"])
+    return shown.select("public_id", circle(F.col("lon"), F.col("lat"), F.lit(minutes * 0.75 * 1000)).alias("ring"))

@@ -162,3 +162,31 @@ def state_code(key: Column) -> Column:
     for code, name in STATES.items():
         out = F.when(key.isin(code.lower(), name), code).otherwise(out)
     return out
+
+
+#: Labels of school categories.
+SCHOOL_LABELS = {"gymnasium": "Gymnasium", "comprehensive": "Gesamtschule", "waldorf": "Waldorfschule", "vocational": "Berufsschule", "upper_secondary": "Oberstufe"}
+#: Labels of the coded school types.
+SCHOOL_BIT_LABELS = {32: "Gymnasium", 64: "Gesamtschule", 128: "Berufsbildende Schule", 1024: "Gemeinschaftsschule", 2048: "Gemeinschaftsschule mit Oberstufe"}
+
+
+def label_of(value: Column, labels: dict[str, str], missing: str | None = None) -> Column:
+    """The label of a value; the value itself where none is known, and missing for null."""
+    table = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, value), value, F.lit(missing))
+
+
+def school_label_of_bits(bits: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for bit, _ in reversed(SCHOOL_BITS):
+        out = F.when(bits.bitwiseAND(bit) != 0, SCHOOL_BIT_LABELS[bit]).otherwise(out)
+    return out
+
+
+def time_of(iso: Column, missing: str = "n/a") -> Column:
+    """``HH:MM`` of an ISO timestamp as it stands."""
+    return F.when(F.length(iso) >= 16, F.substring(iso, 12, 5)).otherwise(F.lit(missing))
+
+
+def count_label(n: Column, missing: str = "n/a") -> Column:
+    return F.coalesce(n.cast("string"), F.lit(missing))

@@ -34,6 +34,31 @@ def key_of(value: Column, separator: str = "_") -> Column:
     return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", separator), f"^{separator}+|{separator}+$", "")
 
 
+def plain_key(value: Column, signs: str = "-", separator: str = "_") -> Column:
+    """ASCII lower case in which only white space and the signs named separate words; other signs stay."""
+    plain = F.regexp_replace(F.translate(F.translate(F.lower(value), MARKED, PLAIN), "ß", ""), "[^\\x00-\\x7F]+", "")
+    return F.regexp_replace(F.regexp_replace(F.translate(plain, signs, " " * len(signs)), r"^\s+|\s+$", ""), r"\s+", separator)
+
+
+def field_key(name: str) -> str:
+    """The key form of a column name: ASCII lower case, words joined by one underscore."""
+    import re
+    import unicodedata
+
+    plain = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode().casefold()
+    return "_".join(w for w in re.split(r"[\s-]+", plain) if w)
+
+
+def stable_hash(*parts: Column) -> Column:
+    """16 hex digits that are equal for equal parts, as an identity."""
+    return F.lpad(F.lower(F.hex(F.xxhash64(*(F.coalesce(p.cast("string"), F.lit("")) for p in parts)))), 16, "0")
+
+
+def differs(a: Column, b: Column) -> Column:
+    """Inequality in which null equals null and nothing else."""
+    return ~a.eqNullSafe(b)
+
+
 def german_name(value: Column) -> Column:
     """Name for comparison: ae, oe, ue, ss for umlauts and sharp s, hbf spelt out, other marks dropped, words by blanks."""
     out = F.lower(value)

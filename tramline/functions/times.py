@@ -6,15 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def gtfs_seconds(value: Column, strict: bool = False) -> Column:
+def gtfs_seconds(value: Column, strict: bool = False, loose: bool = False) -> Column:
     """``H:MM:SS`` to seconds; hours may pass 24. Blank or malformed gives null.
 
-    strict also wants minutes and seconds below 60.
+    strict also wants minutes and seconds below 60; loose takes any three
+    whole numbers between colons, with blanks around them.
     """
     parts = F.split(F.trim(value), ":")
-    number = lambda i: F.get(parts, F.lit(i)).try_cast("int")
+    number = lambda i: F.trim(F.get(parts, F.lit(i))).try_cast("int")
     seconds = number(0) * 3600 + number(1) * 60 + number(2)
-    pattern = r"^\d+:[0-5]\d:[0-5]\d$" if strict else r"^\d+:\d+:\d+$"
+    pattern = r"^\d+:[0-5]\d:[0-5]\d$" if strict else r"^\s*\d+\s*:\s*\d+\s*:\s*\d+\s*$" if loose else r"^\d+:\d+:\d+$"
     return F.when(F.trim(value).rlike(pattern), seconds)
 
 
@@ -50,6 +51,19 @@ def clock_label(seconds: Column) -> Column:
     return F.format_string("%02d:%02d", F.floor(minutes / 60).cast("int"), (minutes % 60).cast("int"))
 
 
+def clock_minutes(label: Column, last_hour: int = 29) -> Column:
+    """``H:MM`` to minutes, hours up to 29; anything else gives null."""
+    parts = F.split(F.trim(label), ":")
+    hour, minute = parts[0].try_cast("int"), F.get(parts, F.lit(1)).try_cast("int")
+    return F.when(F.trim(label).rlike(r"^\d{1,2}:[0-5]\d$") & (hour <= last_hour), hour * 60 + minute)
+
+
+def departure_span(times: Column) -> Column:
+    """Earliest and latest minute of a list of clock labels; null fields for an empty list."""
+    minutes = F.filter(F.transform(times, lambda t: clock_minutes(t)), lambda m: m.isNotNull())
+    return F.struct(F.array_min(minutes).alias("earliest"), F.array_max(minutes).alias("latest"))
+
+
 def shift_clock(label: Column, minutes: Column) -> Column:
     """A clock label moved by minutes, around midnight."""
     own = F.split(label, ":")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions.geo import flat_m
-from tramline.functions.text import dice, german_name, location_score
-from tramline.functions.times import seconds_between
+from tramline.functions.text import dice, german_name, location_score, stop_numbers
+from tramline.functions.times import half_up, local_to_utc, seconds_between
 
 PLACE = "struct<name:string>"
 JOURNEY = (
@@ -89,3 +89,108 @@ def match_places(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
     score = location_score(dice(german_name(F.col("name")), F.col("_name")), meters)
     best = rows.withColumn("score", score).where("score is not null").groupBy("request").agg(F.max(F.struct("score", (-F.col("position")).alias("p"), "id")).alias("b"))
     return best.select("request", F.col("b.id").alias("id"), F.col("b.score").alias("score"))
+
+
+HALT = "struct<name:string, abfahrt:struct<sollzeit:string,echtzeit:string,prognosezeit:string>, ankunft:struct<sollzeit:string,echtzeit:string,prognosezeit:string>>"
+SECTIONS = (
+    "struct<ctxRecon:string, verbindungsAbschnitte:array<struct<"
+    f"startHalt:{HALT}, zielHalt:{HALT}, abfahrtsOrt:string, ankunftsOrt:string, abschnittsDauer:int, "
+    "verkehrsmittel:struct<name:string,nummer:string,kategorie:string,produktGattung:string,typ:string,richtung:string>, "
+    "halte:array<struct<gleis:string>>, originCancelled:boolean, destinationCancelled:boolean>>>"
+)
+
+
+def sections(journeys: DataFrame, column: str, zone: str = "Europe/Berlin") -> DataFrame:
+    """One row a section of each journey of the second provider (JSON text in column), without those that have no time.
+
+    Its times are local; they come out as UTC by the zone's rules.
+    """
+    j = F.from_json(F.col(column), SECTIONS)
+    rows = journeys.select(*journeys.columns, F.posexplode(j["verbindungsAbschnitte"]).alias("sequence", "s"))
+    s = F.col("s")
+    at = lambda c: local_to_utc(c, zone)
+    out, back = s["startHalt"]["abfahrt"], s["zielHalt"]["ankunft"]
+    planned_out, planned_back = at(out["sollzeit"]), at(back["sollzeit"])
+    left = F.coalesce(at(F.coalesce(out["echtzeit"], out["prognosezeit"])), planned_out)
+    came = F.coalesce(at(F.coalesce(back["echtzeit"], back["prognosezeit"])), planned_back)
+    v = s["verkehrsmittel"]
+    name = F.nullif(F.concat_ws(" ", v["kategorie"], F.coalesce(v["name"], v["nummer"])), F.lit(""))
+    seconds = lambda a, b: F.unix_seconds(b) - F.unix_seconds(a)
+    return rows.select(
+        *journeys.columns,
+        (F.col("sequence") + 1).alias("sequence"),
+        F.when(F.coalesce(v["name"], v["nummer"], v["kategorie"]).isNotNull(), "transit").otherwise("transfer").alias("leg_type"),
+        F.coalesce(v["produktGattung"], v["typ"]).alias("mode"),
+        name.alias("route_name"),
+        F.coalesce(s["startHalt"]["name"], s["abfahrtsOrt"]).alias("from_name"),
+        F.coalesce(s["zielHalt"]["name"], s["ankunftsOrt"]).alias("to_name"),
+        left.alias("departure_at"),
+        came.alias("arrival_at"),
+        F.coalesce(s["abschnittsDauer"].cast("long"), F.when(seconds(left, came) >= 0, seconds(left, came))).alias("duration_s"),
+        seconds(planned_out, left).alias("departure_delay_s"),
+        seconds(planned_back, came).alias("arrival_delay_s"),
+        F.get(s["halte"], F.lit(0))["gleis"].alias("platform_from"),
+        F.element_at(s["halte"], -1)["gleis"].alias("platform_to"),
+        (F.coalesce(s["originCancelled"], F.lit(False)) | F.coalesce(s["destinationCancelled"], F.lit(False))).alias("cancelled"),
+    ).where("departure_at is not null or arrival_at is not null")
+
+
+PLAN_PLACE = "struct<name:string, track:string>"
+PLAN_LEG = f"struct<mode:string, displayName:string, routeShortName:string, agencyName:string, headsign:string, startTime:string, endTime:string, duration:bigint, distance:double, `from`:{PLAN_PLACE}, to:{PLAN_PLACE}>"
+PLAN = f"struct<itineraries:array<struct<endTime:string, transfers:int, legs:array<{PLAN_LEG}>>>>"
+
+
+def planned_options(plans: DataFrame, column: str, requested: Column, most: int = 4) -> DataFrame:
+    """One row an option of a planner's answer (JSON text in column), the first so many: times, waits and distances derived from its legs.
+
+    The first option is the earliest arrival, the others change least.  Sums
+    over legs without values are 0, unlike those of live journeys.
+    """
+    options = F.slice(F.from_json(F.col(column), PLAN)["itineraries"], 1, most)
+    rows = plans.withColumn("_requested", requested).select(*plans.columns, "_requested", F.posexplode(options).alias("rank", "o"))
+    legs = F.coalesce(F.col("o")["legs"], F.array().cast(f"array<{PLAN_LEG}>"))
+    rows = rows.withColumn("_legs", legs)
+    walk = lambda x: F.coalesce(x["mode"], F.lit("")) == "WALK"
+    rides = F.filter("_legs", lambda x: ~walk(x))
+    first = F.get(rides, F.lit(0))["startTime"]
+    at = F.array_position(F.transform("_legs", lambda x: ~walk(x)), True)
+    total = lambda part, name, zero: F.aggregate(part, zero, lambda s, x: s + F.coalesce(x[name], zero))
+    lead = F.when(at > 0, F.filter(F.slice("_legs", F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int")), walk)).otherwise(F.slice("_legs", 1, 0))
+    to_first = F.unix_millis(F.try_to_timestamp(first)) - F.unix_millis(F.try_to_timestamp("_requested"))
+    to_end = F.unix_millis(F.try_to_timestamp(F.col("o")["endTime"])) - F.unix_millis(F.try_to_timestamp("_requested"))
+    none = F.lit(0).cast("bigint")
+    initial = total(lead, "duration", none)
+    return rows.select(
+        *plans.columns,
+        "rank",
+        F.when(F.col("rank") == 0, "earliest_arrival").otherwise("fewest_transfers").alias("kind"),
+        first.alias("departure_at"),
+        F.col("o")["endTime"].alias("arrival_at"),
+        F.greatest(half_up(to_end / 1000), F.lit(0)).alias("duration_s"),
+        initial.alias("initial_walk_s"),
+        F.greatest(half_up(to_first / 1000) - initial, F.lit(0)).alias("initial_wait_s"),
+        total(rides, "duration", none).alias("in_vehicle_s"),
+        total(F.filter("_legs", walk), "duration", none).alias("walk_s"),
+        total(F.filter("_legs", walk), "distance", F.lit(0.0)).alias("walk_m"),
+        F.coalesce(F.col("o")["transfers"], F.greatest(F.size(rides) - 1, F.lit(0))).alias("transfers"),
+    )
+
+
+def resolved_stops(stops: DataFrame, nearby: DataFrame, named: DataFrame, web: DataFrame | None = None) -> DataFrame:
+    """public_id, location, how: the provider's id of each stop, by its own id, else nearby, else by name, else by web search.
+
+    stops: public_id, name, lat, lon; the others: candidates as in match_places,
+    request being the public_id.  A stop that nothing resolves has a null
+    location and ``unmapped``.
+    """
+    wanted = stops.withColumnRenamed("public_id", "request")
+    best = lambda c, how: match_places(wanted, c).select(F.col("request").alias("public_id"), F.col("id").alias(how))
+    own = F.get(stop_numbers(F.col("public_id")), F.lit(0))
+    out = stops.select("public_id", own.alias("direct"))
+    names = ["direct", "nearby", "named"] + (["web"] if web is not None else [])
+    for how, c in zip(names[1:], [nearby, named] + ([web] if web is not None else []), strict=True):
+        out = out.join(best(c, how), "public_id", "left")
+    how = F.lit("unmapped")
+    for n in reversed(names):
+        how = F.when(F.col(n).isNotNull(), n).otherwise(how)
+    return out.select("public_id", F.coalesce(*names).alias("location"), how.alias("how"))

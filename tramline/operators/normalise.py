@@ -54,6 +54,16 @@ def routes(staged: DataFrame) -> DataFrame:
     return first_wins(rows, ["route_id"], ["agency_id", "short_name"])
 
 
+def agencies(staged: DataFrame) -> DataFrame:
+    rows = staged.select("agency_id", blank_to_null(F.col("agency_name")).alias("agency_name"), blank_to_null(F.col("agency_url")).alias("agency_url"), blank_to_null(F.col("agency_timezone")).alias("timezone"))
+    return first_wins(rows, ["agency_id"], ["agency_name"])
+
+
+def with_agency(lines: DataFrame, agency: DataFrame) -> DataFrame:
+    """Routes with their operator's name; a route of an unknown agency has none."""
+    return lines.join(agency.select("agency_id", "agency_name"), "agency_id", "left")
+
+
 def stop_times(staged: DataFrame, stops: DataFrame) -> DataFrame:
     """Typed stop times with their place; blank times are null, rows of unknown stops are left out."""
     whole = lambda c: F.col(c).try_cast("int")
@@ -126,18 +136,22 @@ def modes_of_places(places: DataFrame, stops_of: DataFrame, patterns: DataFrame,
     return places.join(modes, "public_id", "left").withColumn("modes", F.coalesce("modes", F.array().cast("array<string>")))
 
 
-def normalise(feed: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All normalised tables of a staged feed."""
+def normalise(feed: dict[str, DataFrame], states: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All normalised tables of a staged feed; states (state_code, rings) give places their state, which is null without them."""
     from tramline.operators.calendar import service_dates
+    from tramline.operators.poi import states_of_points
 
     places = stop_places(feed["stops"])
-    stops, lines = technical_stops(feed["stops"], places), routes(feed["routes"])
+    places = places.withColumn("state_code", F.lit(None).cast("string")) if states is None else states_of_points(places, states)
+    agency = agencies(feed["agency"])
+    stops, lines = technical_stops(feed["stops"], places), with_agency(routes(feed["routes"]), agency)
     times = stop_times(feed["stop_times"], stops)
     trips = feed["trips"].join(lines.select("route_id"), "route_id")
     patterns, of_trip = route_patterns(trips, times)
     stops_of = pattern_stops(patterns, times)
     return {
         "stop_places": modes_of_places(places, stops_of, patterns, lines),
+        "agencies": agency,
         "stops": stops,
         "routes": lines,
         "trips": trips.join(of_trip, "trip_id", "left"),
@@ -150,6 +164,15 @@ def normalise(feed: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
+def prefixed_dates(dates: DataFrame, snapshot: str) -> DataFrame:
+    """Service dates as the rows of their load file: snapshot, service, date, flag and source."""
+    return dates.select(F.lit(snapshot).alias("snapshot_id"), "service_id", F.date_format("service_date", "yyyy-MM-dd").alias("service_date"), F.col("is_active").cast("string").alias("is_active"), "source")
+
+
+def write_dates(dates: DataFrame, snapshot: str, path: str) -> None:
+    prefixed_dates(dates, snapshot).write.mode("overwrite").csv(path, header=True)
+
+
 def boards(flag: Column) -> Column:
     """Whether a pickup or drop-off flag allows it; null does."""
     return F.coalesce(flag, F.lit(0)) != 1
@@ -162,6 +185,7 @@ def direct_connections(times: DataFrame, origin: Column, trips: DataFrame | None
     """
     if trips is not None:
         times = times.join(trips.select("trip_id").distinct(), "trip_id", "left_semi")
-    start = times.where(origin & boards(F.col("pickup_type"))).groupBy("trip_id").agg(F.min("stop_sequence").alias("boarded"))
-    later = times.where(boards(F.col("drop_off_type"))).join(start, "trip_id").where("stop_sequence > boarded")
+    trip = Window.partitionBy("trip_id")
+    boarded = F.min(F.when(origin & boards(F.col("pickup_type")), F.col("stop_sequence"))).over(trip)
+    later = times.withColumn("boarded", boarded).where(boards(F.col("drop_off_type")) & (F.col("stop_sequence") > F.col("boarded")))
     return later.groupBy(F.col("stop").alias("destination")).agg(F.count_distinct("trip_id").alias("trips"))

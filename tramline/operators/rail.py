@@ -9,13 +9,79 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.functions.geo import cell, haversine_m, line_length
+from tramline.functions.geo import cell, haversine_m, line_length, mercator
 
 #: Track kinds taken, service kinds made dear, and by how much.
 RAILWAYS = ("rail", "light_rail", "subway", "tram")
 SERVICE = ("yard", "siding", "spur", "crossover")
 SERVICE_FACTOR = 8
 SNAP_M, SNAP_DEGREES, SNAPS = 800.0, 0.01, 3
+#: Named corridors as boxes (west, south, east, north).
+CORRIDORS = {"hamburg-kiel": (9.55, 53.50, 10.45, 54.45), "hamburg-buechen": (9.85, 53.25, 10.95, 53.75)}
+
+
+def box_of(bbox: str | None = None, corridor: str | None = None) -> tuple[float, ...] | None:
+    """The box of ``west,south,east,north`` or of a corridor; not both."""
+    if bbox and corridor:
+        raise ValueError("either a box or a corridor, not both")
+    if corridor:
+        if corridor not in CORRIDORS:
+            raise ValueError(f"unknown corridor {corridor}; known are {', '.join(sorted(CORRIDORS))}")
+        return CORRIDORS[corridor]
+    if not bbox:
+        return None
+    parts = tuple(float(x) for x in bbox.split(","))
+    if len(parts) != 4:
+        raise ValueError("a box is west,south,east,north")
+    return parts
+
+
+def meets_box(line: Column, box: tuple[float, ...]) -> Column:
+    """Whether a line has a point in a box: a corner of it inside, or a step that crosses the box."""
+    w, s, e, n = box
+
+    def step(a: Column, b: Column) -> Column:
+        # the part of the step, from 0 to 1, that lies between two parallel sides, for both axes
+        lo, hi = F.lit(0.0), F.lit(1.0)
+        out = F.lit(False)
+        for c, low, high in (("lon", w, e), ("lat", s, n)):
+            d = b[c] - a[c]
+            out = out | ((d == 0) & ~a[c].between(low, high))
+            t, u = (low - a[c]) / F.nullif(d, F.lit(0.0)), (high - a[c]) / F.nullif(d, F.lit(0.0))
+            lo, hi = F.greatest(lo, F.least(t, u)), F.least(hi, F.greatest(t, u))
+        return ~out & (lo <= hi)
+
+    steps = F.zip_with(F.slice(line, 1, F.size(line) - 1), F.slice(line, 2, F.size(line) - 1), step)
+    return F.when(F.size(line) >= 2, F.exists(steps, lambda x: x)).otherwise(F.exists(line, lambda p: p["lon"].between(w, e) & p["lat"].between(s, n)))
+
+
+def selected_patterns(patterns: DataFrame, routes: DataFrame, modes: list[str], labels: str | None = None, box: tuple[float, ...] | None = None) -> DataFrame:
+    """Patterns (line) with their route's mode, of the modes, labels (comma-separated) and box wanted."""
+    wanted = [x.strip() for x in (labels or "").split(",") if x.strip()]
+    label = F.coalesce(F.nullif("short_name", F.lit("")), F.nullif("long_name", F.lit("")), "route_id")
+    chosen = routes.where(F.col("mode").isin(modes) & (label.isin(wanted) if wanted else F.lit(True))).select("route_id", "mode")
+    out = patterns.join(chosen, "route_id")
+    return out.where(F.col("line").isNotNull() & meets_box(F.col("line"), box)) if box else out
+
+
+def without(matches: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Matches but for those of the patterns that are to be matched anew."""
+    return matches.join(patterns.select("pattern_id"), "pattern_id", "left_anti")
+
+
+def way_parts(ways: DataFrame) -> DataFrame:
+    """Ways (id, tags, parts: lines) with one row a line; parts that follow each other end to start are one."""
+
+    def merge(done: Column, part: Column) -> Column:
+        last = F.element_at(done, -1)
+        follows = (F.size(done) > 0) & (F.element_at(last, -1) == F.element_at(part, 1))
+        longer = F.concat(last, F.slice(part, 2, F.size(part) - 1))
+        return F.when(F.coalesce(follows, F.lit(False)), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.filter("parts", lambda p: F.size(p) >= 2)
+    kind = ways.schema["parts"].dataType.simpleString()
+    merged = F.aggregate(parts, F.array().cast(kind), merge)
+    return ways.withColumn("_m", merged).select(*(c for c in ways.columns if c != "parts"), F.posexplode("_m").alias("part", "line"))
 
 
 def rail_ways(ways: DataFrame) -> DataFrame:
@@ -56,16 +122,57 @@ def nearest_within(left: DataFrame, right: DataFrame, meters: float, size: float
     return rows.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-def snap_stops(stops: DataFrame, edges: DataFrame, meters: float = SNAP_M) -> DataFrame:
-    """public_id, edge_id, vertex, distance_m, rank: the three nearest edges of each stop, by their vertices, with the nearer end."""
-    ends = edges.select("edge_id", "is_service", "source", "target", F.posexplode("line").alias("i", "p")).select("edge_id", "is_service", "source", "target", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"), F.concat_ws("#", "edge_id", "i").alias("pt"))
-    close = nearest_within(stops, ends, meters, SNAP_DEGREES * 2, 1 << 20, "public_id", "pt").drop("rank").join(ends.select("pt", "edge_id", "is_service"), "pt")
-    best = close.groupBy("public_id", "edge_id", "is_service").agg(F.min("distance_m").alias("distance_m"))
-    rank = F.row_number().over(Window.partitionBy("public_id").orderBy("distance_m", "is_service", "edge_id"))
-    best = best.withColumn("rank", rank).where(F.col("rank") <= SNAPS).join(edges.select("edge_id", "source", "target", "line"), "edge_id").join(stops.select("public_id", "lon", "lat"), "public_id")
+def rail_vertices(edges: DataFrame) -> DataFrame:
+    """node, lon, lat of each end of an edge, once."""
+    end = lambda node, i: edges.select(F.col(node).alias("node"), F.element_at("line", i)["lon"].alias("lon"), F.element_at("line", i)["lat"].alias("lat"))
+    return end("source", 1).unionByName(end("target", -1)).groupBy("node").agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"))
+
+
+def _steps(edges: DataFrame, size: float) -> DataFrame:
+    """edge_id, nth, ends (ax, ay, bx, by) of each step of a line, and a cell (_x, _y) that it passes; long steps lie in pieces of at most a cell."""
+    ends = F.arrays_zip(F.slice("line", 1, F.size("line") - 1).alias("a"), F.slice("line", 2, F.size("line") - 1).alias("b"))
+    rows = edges.where(F.size("line") >= 2).select("edge_id", F.posexplode(ends).alias("nth", "s"))
+    rows = rows.select("edge_id", "nth", F.col("s.a.lon").alias("ax"), F.col("s.a.lat").alias("ay"), F.col("s.b.lon").alias("bx"), F.col("s.b.lat").alias("by"))
+    n = F.greatest(F.ceil(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))) / size), F.lit(1))
+    rows = rows.withColumn("_n", n.cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    at = lambda a, b, i: F.floor((F.col(a) + (F.col(b) - F.col(a)) * i / F.col("_n")) / size).cast("long")
+    span = lambda a, b: F.sequence(F.least(at(a, b, F.col("_i")), at(a, b, F.col("_i") + 1)), F.greatest(at(a, b, F.col("_i")), at(a, b, F.col("_i") + 1)))
+    cells = rows.withColumn("_x", F.explode(span("ax", "bx"))).withColumn("_y", F.explode(span("ay", "by")))
+    return cells.drop("_n", "_i").distinct()
+
+
+def nearest_on_step(lon: Column, lat: Column, ax: Column, ay: Column, bx: Column, by: Column) -> tuple[Column, Column]:
+    """The point of a step from a to b that is nearest to a place, on a plane around the place."""
+    k = F.cos(F.radians(lat))
+    dx, dy = (bx - ax) * k, by - ay
+    along = ((lon - ax) * k * dx + (lat - ay) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
+    return ax + (bx - ax) * t, ay + (by - ay) * t
+
+
+def snap_stops(stops: DataFrame, edges: DataFrame, meters: float = SNAP_M, degrees: float = SNAP_DEGREES) -> DataFrame:
+    """public_id, edge_id, vertex, distance_m, rank, confidence, lon, lat: the three nearest edges of each stop by their nearest point, with the nearer end.
+
+    Steps of lines and stops meet in cells twice the reach wide.
+    """
+    size = 2 * degrees
+    near = F.sequence(F.lit(-1), F.lit(1))
+    x, y = cell(F.col("lon"), F.col("lat"), size)
+    asks = stops.select("public_id", "lon", "lat", F.explode(F.transform(near, lambda d: x + d)).alias("_x"), y.alias("_cy"))
+    asks = asks.select("public_id", "lon", "lat", "_x", F.explode(F.transform(near, lambda d: F.col("_cy") + d)).alias("_y"))
+    met = asks.join(_steps(edges, size), ["_x", "_y"])
+    px, py = nearest_on_step(*(F.col(c) for c in ("lon", "lat", "ax", "ay", "bx", "by")))
+    met = met.withColumns({"px": px, "py": py})
+    d = haversine_m(F.col("lon"), F.col("lat"), F.col("px"), F.col("py"))
+    close = (F.hypot(F.col("px") - F.col("lon"), F.col("py") - F.col("lat")) <= degrees) & (d <= meters)
+    best = met.where(close).groupBy("public_id", "edge_id").agg(F.min(F.struct(d.alias("distance_m"), "px", "py")).alias("b"))
+    best = best.join(edges.select("edge_id", "is_service", "source", "target", F.element_at("line", 1).alias("first"), F.element_at("line", -1).alias("last")), "edge_id").join(stops.select("public_id", "lon", "lat"), "public_id")
+    rank = F.row_number().over(Window.partitionBy("public_id").orderBy("b.distance_m", "is_service", "edge_id"))
     to = lambda p: haversine_m(F.col("lon"), F.col("lat"), p["lon"], p["lat"])
-    nearer = F.when(to(F.element_at("line", 1)) <= to(F.element_at("line", -1)), F.col("source")).otherwise(F.col("target"))
-    return best.select("public_id", "edge_id", nearer.alias("vertex"), "distance_m", "rank")
+    nearer = F.when(to(F.col("first")) <= to(F.col("last")), F.col("source")).otherwise(F.col("target"))
+    confidence = F.greatest(F.lit(0.0), 1 - F.col("b.distance_m") / meters)
+    out = best.withColumn("rank", rank).where(F.col("rank") <= SNAPS)
+    return out.select("public_id", "edge_id", nearer.alias("vertex"), F.col("b.distance_m").alias("distance_m"), "rank", confidence.alias("confidence"), F.col("b.px").alias("lon"), F.col("b.py").alias("lat"))
 
 
 def components(edges: DataFrame, store) -> DataFrame:
@@ -171,10 +278,89 @@ def confidence(max_snap_m: Column, failed: Column, total: Column, detour: Column
 
 
 def match_status(score: Column, has_line: Column) -> Column:
-    return F.when(~has_line, "fallback").when(score >= 0.70, "matched").when(score >= 0.45, "low_confidence").otherwise("fallback")
+    return F.when(~has_line, "fallback").when(score >= 0.70, "osm_reconstructed").when(score >= 0.45, "osm_reconstructed_low_confidence").otherwise("fallback")
 
 
 def hausdorff(a: Column, b: Column) -> Column:
-    """Largest distance in metres from a vertex of one line to the nearest vertex of the other."""
-    far = lambda p, q: F.array_max(F.transform(p, lambda u: F.array_min(F.transform(q, lambda v: haversine_m(u["lon"], u["lat"], v["lon"], v["lat"])))))
-    return F.greatest(far(a, b), far(b, a))
+    """Largest distance on the Mercator map, in its metres, from a vertex of one line to the nearest vertex of the other."""
+    flat = lambda line: F.transform(line, lambda p: F.struct(*(c.alias(n) for c, n in zip(mercator(p["lon"], p["lat"]), "xy", strict=True))))
+    far = lambda p, q: F.array_max(F.transform(p, lambda u: F.array_min(F.transform(q, lambda v: F.hypot(u["x"] - v["x"], u["y"] - v["y"])))))
+    return F.greatest(far(flat(a), flat(b)), far(flat(b), flat(a)))
+
+
+def pattern_segments(stops_of: DataFrame, snaps: DataFrame, places: DataFrame, limit: int | None = None) -> DataFrame:
+    """pattern_id, stop_sequence, source, target, distance_m, straight_m: each stop of a pattern with the next one.
+
+    snaps count by their first rank.  limit keeps so many stops in order of
+    pattern and sequence, after each has found its next one.
+    """
+    first = snaps.where("rank = 1").select(F.col("public_id").alias("stop_place_id"), "vertex", "distance_m")
+    at = places.select(F.col("public_id").alias("stop_place_id"), "lon", "lat")
+    rows = stops_of.join(at, "stop_place_id").join(first, "stop_place_id", "left")
+    w = Window.partitionBy("pattern_id").orderBy("stop_sequence")
+    following = {"target": F.lead("vertex").over(w), "_lon": F.lead("lon").over(w), "_lat": F.lead("lat").over(w)}
+    rows = rows.withColumns(following)
+    if limit is not None:
+        rows = rows.orderBy("pattern_id", "stop_sequence").limit(limit)
+    straight = haversine_m(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"))
+    return rows.where("_lon is not null").select("pattern_id", "stop_sequence", F.col("vertex").alias("source"), "target", "distance_m", straight.alias("straight_m"))
+
+
+def match_statistics(segments: DataFrame, paths: DataFrame) -> DataFrame:
+    """Per pattern: all, unsnapped and unrouted segments, mean and largest snap distance, straight length.
+
+    paths: pattern_id, stop_sequence of every segment for which a way was found;
+    a segment from a vertex to itself is neither routed nor failed.
+    """
+    routed = paths.select("pattern_id", "stop_sequence").distinct().withColumn("_routed", F.lit(True))
+    rows = segments.join(routed, ["pattern_id", "stop_sequence"], "left")
+    unsnapped = F.col("source").isNull() | F.col("target").isNull()
+    unrouted = ~unsnapped & (F.col("source") != F.col("target")) & F.col("_routed").isNull()
+    return rows.groupBy("pattern_id").agg(
+        F.count(F.lit(1)).alias("total_segments"),
+        F.count_if(unsnapped).alias("unsnapped_segments"),
+        F.count_if(unrouted).alias("unrouted_segments"),
+        F.avg("distance_m").alias("mean_snap_m"),
+        F.max("distance_m").alias("max_snap_m"),
+        F.sum("straight_m").alias("straight_m"),
+    )
+
+
+def match_lines(paths: DataFrame) -> DataFrame:
+    """pattern_id, lines (in order of the way), routed_m, uses_service of path edges (pattern_id, stop_sequence, step, line, length_m, is_service)."""
+    parts = F.array_sort(F.collect_list(F.struct("stop_sequence", "step", "line")))
+    return paths.groupBy("pattern_id").agg(F.transform(parts, lambda x: x["line"]).alias("lines"), F.sum("length_m").alias("routed_m"), F.bool_or("is_service").alias("uses_service"))
+
+
+def rated(statistics: DataFrame, lines: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The row of each matched pattern: lines, confidence, status, counts, detour and distance from its own line."""
+    out = statistics.join(lines, "pattern_id", "left").join(patterns.select("pattern_id", "line"), "pattern_id", "left")
+    failed = F.col("unsnapped_segments") + F.col("unrouted_segments")
+    detour = F.col("routed_m") / F.nullif("straight_m", F.lit(0.0))
+    apart = F.when(F.col("lines").isNotNull() & F.col("line").isNotNull(), hausdorff(F.flatten("lines"), F.col("line")))
+    score = confidence(F.col("max_snap_m"), failed, F.col("total_segments"), detour, F.coalesce("uses_service", F.lit(False)), apart)
+    return out.select("pattern_id", "lines", score.alias("confidence"), match_status(score, F.col("lines").isNotNull()).alias("status"), failed.alias("failed_segments"), "total_segments", "mean_snap_m", "max_snap_m", detour.alias("detour"), apart.alias("apart_m"))
+
+
+def match_patterns(patterns: DataFrame, stops_of: DataFrame, places: DataFrame, snaps: DataFrame, edges: DataFrame, store, limit: int | None = None) -> DataFrame:
+    """Patterns (pattern_id, line) matched to the rails: the row of each, see rated.  store as in components."""
+    own = stops_of.join(patterns.select("pattern_id"), "pattern_id", "left_semi")
+    segments = store(pattern_segments(own, snaps, places, limit))
+    labels = components(edges, store)
+    asked = segments.where("source is not null and target is not null and source != target")
+    ways = store(shortest_paths(edges, asked.select("source", "target").distinct(), labels))
+    detail = edges.select(F.col("edge_id").cast("string").alias("edge_id"), "line", "length_m", "is_service")
+    paths = asked.join(ways, ["source", "target"]).join(detail, "edge_id").select("pattern_id", "stop_sequence", "step", "line", "length_m", "is_service")
+    paths = store(paths)
+    return rated(match_statistics(segments, paths), match_lines(paths), patterns)
+
+
+def summary(edges: DataFrame, vertices: DataFrame, snaps: DataFrame, matches: DataFrame) -> DataFrame:
+    """One row of counts over the rail tables."""
+    n = lambda df, name, c=None: df.agg((F.count(F.lit(1)) if c is None else F.count_if(c)).alias(name))
+    status = lambda s: F.count_if(F.col("status") == s)
+    found = matches.agg(status("osm_reconstructed").alias("reconstructed_patterns"), status("osm_reconstructed_low_confidence").alias("low_confidence_patterns"), status("fallback").alias("fallback_patterns"))
+    out = n(vertices, "rail_vertices")
+    for other in (n(edges, "rail_edges"), n(snaps, "snapped_stops", F.col("rank") == 1), found):  # one row each
+        out = out.crossJoin(other)
+    return out

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.functions.geo import haversine_m
 from tramline.operators.normalise import boards
 
 #: Connections sent to executors at most (28 bytes each); a larger network is split by region or time first.
@@ -141,10 +142,28 @@ def not_dominated(options: DataFrame, group: list[str], key: str, criteria: list
 
 
 def two_leg_arrivals(times: DataFrame, origin, change_s: int = 0) -> DataFrame:
-    """stop, arrival_s: earliest arrival with at most one change, from rides of times (trip_id, stop_sequence, stop, departure_s, arrival_s)."""
-    rides = times.alias("o").join(times.alias("d"), (F.col("o.trip_id") == F.col("d.trip_id")) & (F.col("d.stop_sequence") > F.col("o.stop_sequence")))
-    rides = rides.select(F.col("o.stop").alias("a"), F.col("d.stop").alias("b"), F.col("o.departure_s").alias("dep"), F.col("d.arrival_s").alias("arr")).where("arr >= dep")
-    first = rides.where(origin).groupBy(F.col("b").alias("via")).agg(F.min("arr").alias("arrival_s"))
+    """stop, arrival_s: earliest arrival with at most one change, from rides of times (trip_id, stop_sequence, stop, departure_s, arrival_s).
+
+    A later stop of a trip is reached if its arrival is not before the earliest
+    departure at which the trip could be boarded further up, which a running
+    minimum along the trip tells without pairing its stops.
+    """
+    before = Window.partitionBy("trip_id").orderBy("stop_sequence").rowsBetween(Window.unboundedPreceding, -1)
+
+    def ridden(rows: DataFrame) -> DataFrame:
+        """Earliest arrival per stop, of rows with the departure at which each may be boarded (dep, null if not)."""
+        touched = rows.withColumn("since", F.min("dep").over(before))
+        return touched.where("since <= arrival_s").groupBy("stop").agg(F.min("arrival_s").alias("arrival_s"))
+
+    start = times.withColumn("a", F.col("stop"))
+    first = ridden(start.withColumn("dep", F.when(origin, F.col("departure_s"))))
     # the earliest arrival at a change is the only one that matters, so the second leg joins one row a stop
-    second = first.join(rides, F.col("via") == F.col("a")).where(F.col("dep") >= F.col("arrival_s") + change_s).groupBy(F.col("b").alias("via")).agg(F.min("arr").alias("arrival_s"))
-    return first.unionByName(second).groupBy(F.col("via").alias("stop")).agg(F.min("arrival_s").alias("arrival_s"))
+    at = first.select("stop", (F.col("arrival_s") + change_s).alias("ready"))
+    second = ridden(times.join(at, "stop", "left").withColumn("dep", F.when(F.col("departure_s") >= F.col("ready"), F.col("departure_s"))))
+    return first.unionByName(second).groupBy("stop").agg(F.min("arrival_s").alias("arrival_s"))
+
+
+def estimated_drive(lon1, lat1, lon2, lat2, detour: float = 1.3, kmh: float = 70.0):
+    """(metres, seconds) of a drive, by the straight distance and a usual detour and speed: an estimate, no route."""
+    meters = haversine_m(lon1, lat1, lon2, lat2) * detour
+    return meters, meters / (kmh / 3.6)

@@ -30,8 +30,12 @@ class Tables:
 
 def current_snapshot(t: Tables) -> DataFrame:
     s = t["snapshots"].where("is_active")
+    if "sources" in t.frames:
+        of = t.frames["sources"].select(F.col("source_key"), F.col("name").alias("source_name"), "license", "attribution")
+        s = s.join(of, "source_key", "left")
+    extra = [c for c in ("source_key", "source_name", "license", "attribution") if c in s.columns]
     report = lambda k: F.get_json_object("quality_report", f"$.{k}")
-    return s.select("public_id", "status", "valid_from", "valid_until", report("stop_places").try_cast("long").alias("stop_places"), report("trips").try_cast("long").alias("trips"))
+    return s.select("public_id", "status", "valid_from", "valid_until", report("stop_places").try_cast("long").alias("stop_places"), report("trips").try_cast("long").alias("trips"), *extra)
 
 
 def search_stops(t: Tables, query: str = "", states: list[str] | None = None, wanted: list[str] | None = None, limit: int = 20) -> DataFrame:
@@ -42,6 +46,12 @@ def search_stops(t: Tables, query: str = "", states: list[str] | None = None, wa
     return s.where(found & text.one_of(F.col("state_code"), states or []) & modes.has_mode(F.col("modes"), wanted or [])).orderBy("name", "public_id").limit(limit)
 
 
+def _routes(t: Tables) -> DataFrame:
+    """Routes, with a name of their agency where the import has none."""
+    r = t["routes"]
+    return r if "agency_name" in r.columns else r.withColumn("agency_name", F.lit(None).cast("string"))
+
+
 def resolve(frame: DataFrame, column: str, public_id: str) -> DataFrame:
     """Rows of the first form of an id that is there."""
     names = text.id_aliases(public_id)
@@ -54,9 +64,11 @@ def stop_details(t: Tables, public_id: str, most: int = 100) -> DataFrame:
     """The stop and its routes, by short and long name, unnamed last."""
     stop = resolve(t["stop_places"], "public_id", public_id)
     serve = t["route_pattern_stops"].join(stop.select(F.col("public_id").alias("stop_place_id")), "stop_place_id", "left_semi").select("pattern_id", "stop_place_id").distinct()
-    lines = serve.join(t["route_patterns"].select("pattern_id", "route_id"), "pattern_id").join(t["routes"].select("route_id", "short_name", "long_name", "mode", "color"), "route_id").select("stop_place_id", "route_id", "short_name", "long_name", "mode", modes.colour(F.col("color")).alias("color")).distinct()
-    sort = F.array_sort(F.collect_list(F.struct(F.col("short_name").isNull().alias("a"), "short_name", F.col("long_name").isNull().alias("b"), "long_name", "route_id", "mode", "color")))
-    listed = lines.groupBy(F.col("stop_place_id").alias("public_id")).agg(F.slice(F.transform(sort, lambda r: F.struct(r["route_id"].alias("route_id"), r["short_name"].alias("short_name"), r["long_name"].alias("long_name"), r["mode"].alias("mode"), r["color"].alias("color"))), 1, most).alias("routes"))
+    lines = serve.join(t["route_patterns"].select("pattern_id", "route_id"), "pattern_id").join(_routes(t).select("route_id", "short_name", "long_name", "mode", "color", "agency_name"), "route_id")
+    lines = lines.select("stop_place_id", "route_id", "short_name", "long_name", "mode", modes.colour(F.col("color")).alias("color"), "agency_name").distinct()
+    sort = F.array_sort(F.collect_list(F.struct(F.col("short_name").isNull().alias("a"), "short_name", F.col("long_name").isNull().alias("b"), "long_name", "route_id", "mode", "color", "agency_name")))
+    kept = ("route_id", "short_name", "long_name", "mode", "color", "agency_name")
+    listed = lines.groupBy(F.col("stop_place_id").alias("public_id")).agg(F.slice(F.transform(sort, lambda r: F.struct(*(r[c].alias(c) for c in kept))), 1, most).alias("routes"))
     return stop.join(listed, "public_id", "left")
 
 
@@ -87,8 +99,11 @@ def route_pattern(t: Tables, pattern_id: str) -> DataFrame:
         p = p.withColumns({"line": line, "geometry_quality": quality}).drop("osm")
     stops = t["route_pattern_stops"].where(F.col("pattern_id") == pattern_id).join(t["stop_places"].select(F.col("public_id").alias("stop_place_id"), "name", "lat", "lon"), "stop_place_id")
     listed = stops.groupBy("pattern_id").agg(F.array_sort(F.collect_list(F.struct("stop_sequence", "stop_place_id", "name", "lat", "lon"))).alias("stops"))
-    out = p.join(t["routes"].select("route_id", "short_name", "long_name", "mode"), "route_id").join(listed, "pattern_id", "left")
-    return out.withColumn("geojson", geo.geojson_line(F.col("line")))
+    trips = t["trips"].where(F.col("pattern_id") == pattern_id).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("trip_count"))
+    out = p.join(_routes(t).select("route_id", "short_name", "long_name", "mode", "agency_name"), "route_id").join(listed, "pattern_id", "left").join(trips, "pattern_id", "left")
+    live = t["snapshots"].where("is_active").limit(1).select(F.col("public_id").alias("snapshot")) if "snapshots" in t.frames else None
+    out = out.withColumns({"trip_count": F.coalesce("trip_count", F.lit(0)), "geojson": geo.geojson_line(F.col("line"))})
+    return out if live is None else out.crossJoin(F.broadcast(live))  # one row
 
 
 def list_places(t: Tables, query: str = "", categories: list[str] | None = None, states: list[str] | None = None, limit: int = 100) -> DataFrame:
@@ -99,6 +114,53 @@ def list_places(t: Tables, query: str = "", categories: list[str] | None = None,
     return rows.orderBy("name", "id").limit(limit)
 
 
+PLACE_COLUMNS = "id string, name string, category string, state_code string, address string, website string, lon double, lat double, deleted_at timestamp"
+
+
+def create_place(places: DataFrame, values: dict) -> tuple[DataFrame, DataFrame]:
+    """(places with a new one, the new row); name, a known category and a position are needed, the id is made if absent."""
+    import uuid
+
+    if missing := [c for c in ("name", "category", "lon", "lat") if values.get(c) is None or values[c] == ""]:
+        raise ValueError(f"a place needs {', '.join(missing)}")
+    if values["category"] not in poi.PLACE_CATEGORIES:
+        raise ValueError(f"unknown category {values['category']}")
+    if not (-180 <= values["lon"] <= 180 and -90 <= values["lat"] <= 90):
+        raise ValueError("the position lies outside the world")
+    row = {c.split()[0]: values.get(c.split()[0]) for c in PLACE_COLUMNS.split(", ")} | {"id": values.get("id") or uuid.uuid4().hex, "deleted_at": None}
+    row |= {"lon": float(row["lon"]), "lat": float(row["lat"])}
+    new = places.sparkSession.createDataFrame([tuple(row.values())], PLACE_COLUMNS)
+    return places.unionByName(new, allowMissingColumns=True), new
+
+
+def delete_place(places: DataFrame, place: str, now: Column) -> DataFrame:
+    return store.soft_delete(places, F.col("id") == place, now)
+
+
+def snapshot_of(t: Tables, public_id: str | None = None) -> DataFrame:
+    """The control row of the snapshot named, or of the live one."""
+    return t.frames["snapshots"].where(F.col("is_active") if public_id is None else F.col("public_id") == public_id)
+
+
+def checked_request(values: dict) -> dict:
+    """A request's parameters with defaults, in range; raises ValueError else."""
+    import re
+
+    rules = {"limit": (1, 50, 20), "places_limit": (1, 500, 100), "z": (0, 22, None), "x": (0, 1 << 22, None), "y": (0, 1 << 22, None)}
+    out = dict(values)
+    for name, (low, high, default) in rules.items():
+        if name in values or (default is not None and name.endswith("limit")):
+            out[name] = int(values.get(name, default))
+            if not low <= out[name] <= high:
+                raise ValueError(f"{name} lies in {low}..{high}")
+    for name, pattern in (("date", r"\d{4}-\d{2}-\d{2}"), ("time", r"([01]\d|2[0-3]):[0-5]\d")):
+        if name in values and not re.fullmatch(pattern, values[name]):
+            raise ValueError(f"{name} is malformed")
+    if "z" in out and any(out.get(c, 0) >= 1 << out["z"] for c in "xy"):
+        raise ValueError("the tile lies outside its zoom")
+    return out
+
+
 def update_place(places: DataFrame, place: str, values: dict) -> DataFrame:
     """State, address and website may be cleared by null; name, category and position keep theirs then."""
     if "category" in values and values["category"] not in (None, *poi.PLACE_CATEGORIES):

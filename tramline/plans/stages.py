@@ -5,18 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The frame written to the folder in spark.checkpoint.dir (one of our own where it is unset) and reread."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; on one machine without a cluster, one of our own where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         _OWN[:] = _OWN or ["file://" + tempfile.mkdtemp(prefix="tramline-")]
         base = _OWN[0]
-    path = f"{base.rstrip('/')}/stages/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/stages"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder and reread."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
+import re
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +13,13 @@ from tramline.sources.gtfs import read_csv
 
 
 def sniff(path: str, choices: str = ",;\t") -> str:
-    """The delimiter that the header line holds most of."""
+    """The delimiter of a file's first 4 KiB: the one that splits most of its lines into equally many parts, more than one; else by the header."""
     with open(path, encoding="utf-8-sig") as f:
-        line = f.readline(4096)
-    return max(choices, key=line.count)
+        lines = [x for x in f.read(4096).split("\n") if x.strip()]
+    lines = lines[:-1] if len(lines) > 2 else lines  # the last may be cut
+    unquoted = [re.sub(r'"(?:[^"]|"")*"', "", x) for x in lines]
+    score = lambda c: (sum(x.count(c) == unquoted[0].count(c) for x in unquoted) if unquoted and c in unquoted[0] else 0, unquoted[0].count(c) if unquoted else 0)
+    return max(choices, key=score)
 
 
 def _rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
@@ -54,7 +57,7 @@ def read_json(spark: SparkSession, path: str, points_only: bool = True) -> DataF
 
 
 def read_any(spark: SparkSession, path: str, points_only: bool = True) -> DataFrame:
-    """Read by suffix; a ZIP is read by its first member of a known suffix."""
+    """Read by suffix; a ZIP is read by its first member of a known suffix, unpacked beside it."""
     suffix = os.path.splitext(path)[1].lower()
     if suffix in (".csv", ".tsv"):
         return read_csv(spark, path, "\t" if suffix == ".tsv" else sniff(path))
@@ -64,7 +67,7 @@ def read_any(spark: SparkSession, path: str, points_only: bool = True) -> DataFr
         with zipfile.ZipFile(path) as z:
             for name in sorted(z.namelist()):
                 if os.path.splitext(name)[1].lower() in (".csv", ".json", ".geojson"):
-                    return read_any(spark, z.extract(name, tempfile.mkdtemp()), points_only)
+                    return read_any(spark, z.extract(name, f"{path}.members"), points_only)
     raise ValueError(f"{path}: no reader for {suffix or 'files without suffix'}")
 
 

@@ -49,10 +49,20 @@ def extract_feed(archive: str, folder: str) -> str:
     return folder
 
 
+def has_broken_rows(spark: SparkSession, path: str) -> bool:
+    """Whether some line of a file holds an odd number of quotes, so that a quoted value runs over its end."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return spark.read.text(path).where(quotes % 2 == 1).limit(1).count() > 0
+
+
 def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A CSV with header, all columns text; a byte-order mark is taken off the first name."""
-    df = spark.read.csv(path, header=True, inferSchema=False, sep=sep, encoding="UTF-8", multiLine=False)
-    return df.toDF(*(c.lstrip("﻿").strip() for c in df.columns))
+    """A CSV with header, all columns text; a byte-order mark is taken off the first name.
+
+    Quotes inside quoted values are doubled.  Only a file in which a quoted
+    value holds a line break is read as one split.
+    """
+    df = spark.read.csv(path, header=True, inferSchema=False, sep=sep, encoding="UTF-8", quote='"', escape='"', multiLine=has_broken_rows(spark, path))
+    return df.toDF(*(c.lstrip("\ufeff").strip().strip('"') for c in df.columns))
 
 
 def pad(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -124,3 +134,11 @@ def feed_span(feed: dict[str, DataFrame]) -> DataFrame:
     """First and last service day as text, over calendar and exceptions."""
     days = feed["calendar"].select(F.col("start_date").alias("a"), F.col("end_date").alias("b")).unionByName(feed["calendar_dates"].select(F.col("date").alias("a"), F.col("date").alias("b")))
     return days.agg(F.min(blank_to_null(F.col("a"))).alias("start_date"), F.max(blank_to_null(F.col("b"))).alias("end_date"))
+
+
+def feed_info(feed: dict[str, DataFrame]) -> DataFrame:
+    """One row: the first row of feed_info, all null without one, with first and last day of the weekly calendar as text."""
+    names = feed["feed_info"].columns
+    first = feed["feed_info"].limit(1).agg(*(F.first(c).alias(c) for c in names))
+    days = feed["calendar"].agg(F.min(blank_to_null(F.col("start_date"))).alias("valid_from"), F.max(blank_to_null(F.col("end_date"))).alias("valid_until"))
+    return first.crossJoin(days)  # one row each
