@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -102,5 +104,24 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def trim() -> None:
+    """Give memory that Arrow and the C library hold but no longer use back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run):
+    """A function over batches that trims its worker's memory after the last one: workers wait idle between stages."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import load, text_or_empty
+from tramline.llm.common import load, text_or_empty, trim, trimmed
 
 WINDOW = 5
 SIMILAR = 0.75
@@ -196,7 +196,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_WINDOW
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-        part = own.mapInArrow(match, FOUND)
+        part = own.mapInArrow(trimmed(match), FOUND)
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], FOUND) if found is None else found
 
@@ -209,6 +209,7 @@ def _is_clean(sent):
         known = Benchmark(sent.value)
         for texts in batches:
             yield pd.Series([not known.matches(t) for t in texts], dtype=bool)
+        trim()
 
     return clean
 

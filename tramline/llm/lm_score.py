@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import load, partitions, text_or_empty
+from tramline.llm.common import load, partitions, text_or_empty, trim
 from tramline.llm.ngram_join import mix
 
 ORDER = 3
@@ -249,6 +249,7 @@ def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
         total = np.concatenate([unpack_counts(by_label[k]) for k in sorted(by_label)])
         if len(keys) != len(total):
             raise RuntimeError("the totals of a group do not fit its n-grams")
+        trim()
         rows = [(d, *r) for d, r in zip(own.column("doc_id").to_pylist(), score_texts(gram, sizes, at, total, backoff), strict=True)]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 

@@ -58,7 +58,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import Workspace, load, partitions, text_or_empty
+from tramline.llm.common import Workspace, load, partitions, text_or_empty, trimmed
 from tramline.llm.components import connected_components
 
 WORDS = 5
@@ -215,7 +215,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n", "cls", "even", "odd", *more],
             )
 
-    return _texts(docs, *more).mapInArrow(run, "doc_id long, n long, cls long, even int, odd int" + (f", {kinds}" if more else ""))
+    return _texts(docs, *more).mapInArrow(trimmed(run), "doc_id long, n long, cls long, even int, odd int" + (f", {kinds}" if more else ""))
 
 
 def packed_signatures(docs: DataFrame, labels: int) -> DataFrame:
@@ -258,7 +258,7 @@ def packed_signatures(docs: DataFrame, labels: int) -> DataFrame:
         if sigs:
             yield flush()
 
-    return _texts(docs).where("doc_id is not null").mapInArrow(run, "label int, sigs binary, classes binary")
+    return _texts(docs).where("doc_id is not null").mapInArrow(trimmed(run), "label int, sigs binary, classes binary")
 
 
 def _bucket_pairs(key: np.ndarray, cls: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -323,7 +323,7 @@ def buckets(packed: DataFrame) -> DataFrame:
         if keys:
             yield from out(held)
 
-    return packed.mapInArrow(run, "kind int, x long, y long, odd int, n long")
+    return packed.mapInArrow(trimmed(run), "kind int, x long, y long, odd int, n long")
 
 
 def contents(docs: DataFrame, wanted: DataFrame, classes: DataFrame, work: Workspace) -> DataFrame:
@@ -339,7 +339,7 @@ def contents(docs: DataFrame, wanted: DataFrame, classes: DataFrame, work: Works
             if found:
                 yield _batch([(class_of(s), s.tobytes()) for s in found], [pa.int64(), pa.binary()], ["cls", "content"])
 
-    return work.store(texts.select("text").mapInArrow(run, "cls long, content binary").dropDuplicates(["cls"]), "sets")
+    return work.store(texts.select("text").mapInArrow(trimmed(run), "cls long, content binary").dropDuplicates(["cls"]), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
@@ -355,7 +355,7 @@ def verified(pairs: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
     a, b = sets.select(F.col("cls").alias("x"), F.col("content").alias("a")), sets.select(F.col("cls").alias("y"), F.col("content").alias("b"))
     # one content travels with each pair, the other comes from its own side
     both = pairs.select(F.greatest("x", "y").alias("y"), F.least("x", "y").alias("x")).join(b, "y").join(a, "x").select("x", "y", "a", "b")
-    return work.store(both.mapInArrow(compare, "x long, y long"), "links")
+    return work.store(both.mapInArrow(trimmed(compare), "x long, y long"), "links")
 
 
 def _size_step(size) -> F.Column:
@@ -378,7 +378,7 @@ def ordered_sets(sets: DataFrame, work: Workspace) -> DataFrame:
                 for a in range(0, len(h), 65_536):
                     yield pa.RecordBatch.from_arrays([pa.array(h[a : a + 65_536]), pa.array(np.full(len(h[a : a + 65_536]), cls, np.int64))], ["h", "cls"])
 
-    each = work.store(sets.mapInArrow(run, "h long, cls long"), "shingles")
+    each = work.store(sets.mapInArrow(trimmed(run), "h long, cls long"), "shingles")
     held = each.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     common = each.join(held, "h").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("m", "h"))).alias("order"))
     size = F.col("size")

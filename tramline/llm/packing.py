@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import load, text_or_empty
+from tramline.llm.common import load, text_or_empty, trimmed
 from tramline.llm.tokens import public_path, tokenizer_at
 
 TOKENIZER = "word_bpe_49k.json"
@@ -176,7 +176,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
         if out:
             yield table()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, PACKED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(trimmed(run), PACKED)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

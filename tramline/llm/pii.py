@@ -22,23 +22,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import load, text_or_empty
+from tramline.llm.common import load, text_or_empty, trimmed
 from tramline.llm.pii_training import KINDS, labelled_sentences
 
 BASE = ("email", "ip", "card", "phone")
 ORDER = {k: i for i, k in enumerate((*BASE, *KINDS[1:]))}
 LOCAL = frozenset(map(ord, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"))
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match that begins within a run of digits would also begin with the run, so only those are tried.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 NOT_DIGIT = re.compile("[^0-9]+")
-SPANS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+MORE = ("name", "address", "secret", "id", "contact")
+SPANS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_sure long, " + ", ".join(f"n_{k} long" for k in MORE)
 TEXTS = 256
+#: Longer words are not kept as themselves.
+LONG = 64
 Span = tuple[int, int, str]
 
 
@@ -104,7 +109,7 @@ CLASSES = str.maketrans({**{c: "x" if c.islower() else "X" for c in map(chr, ran
 def word_features(word: str) -> list[str]:
     """Shape, with and without repeats, length class, cue word and closing punctuation."""
     bare = word.strip(EDGE)
-    shape = (bare if len(bare) <= 48 else bare[:48]).translate(CLASSES)
+    shape = bare.translate(CLASSES)
     shape = "".join("x" if c.islower() else "X" if c.isupper() else c for c in shape) if not shape.isascii() else shape
     out = [f"s={RUN.sub(lambda m: m[1], shape)}", f"l={min(len(bare), 12) if len(bare) < 30 else 30}", f"e={word[-1:] if word[-1:] in EDGE else ''}"]
     if len(shape) <= 12:
@@ -115,6 +120,8 @@ def word_features(word: str) -> list[str]:
     out.append(f"k={''.join(sorted(kinds))}")
     if len(bare) >= 14 and kinds >= {"d", "x"} and "." not in kinds:
         out.append("key")
+    if len(bare) >= 16 and kinds == {"d", "X"}:
+        out.append("upper key")
     return out
 
 
@@ -144,12 +151,16 @@ class Crf:
                 if g is None:
                     got[i] = self.seen.get(words[i])
                     if got[i] is None:
-                        got[i] = self.seen[words[i]] = self._row(words[i])
+                        got[i] = self._row(words[i])
+                        if len(words[i]) <= LONG:
+                            self.seen[words[i]] = got[i]
         return np.array(got, np.int64)
 
     def _row(self, word: str) -> int:
         """Row of a new word; words of one class share it."""
         name = word if word.strip(EDGE).lower() in CUES else word.translate(CLASSES)
+        if len(name) > LONG:  # what is kept of a long word is bounded
+            name = f"{xxhash.xxh3_128_hexdigest(name)} {len(name)}"
         row = self.by_class.get(name)
         if row is None:
             if len(self.by_class) >= 1 << 17:
@@ -327,10 +338,13 @@ def find_personal_data(docs: DataFrame, crf: Crf) -> DataFrame:
                     added = [s for s in more if all(s[1] <= b[0] or b[1] <= s[0] for b in base)] if base else more
                     counts = [sum(s[2] == k for s in base) for k in BASE]
                     both = sorted(base + added, key=lambda s: (s[0], ORDER[s[2]]))
-                    rows.append((doc_id, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(both)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64()] * 5 + [pa.string()] * 2, strict=True)], names)
+                    tagged = [sum(s[2] == k for s in added) for k in MORE]
+                    sure = len(both) - tagged[0]  # names without a list of names are the tagger's guess
+                    rows.append((doc_id, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(both), len(both), sure, *tagged))
+                kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()] * (2 + len(MORE))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, SPANS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(trimmed(run), SPANS)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

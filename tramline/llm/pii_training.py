@@ -36,10 +36,15 @@ TEMPLATES = (
     "{w} {rare} {w} {w} {rare} {num} {w}",
     "{W} {w} {mail} {w} . {W} {w} {ip} {w} .",
     "{W} {w} in {year} {w} {w} {num} % {w} .",
+    "{w} the {W} {W} , {W} {version} .",
+    "{W} {version} {w} {w} {W} {num} .",
     "{title} {name:first} {name:last} {w} {w} {w} .",
     "{w} {w} {title} {name:last} {w} {w} .",
     "My name is {name:first} {name:last} {w} {w} .",
     "name : {name:first} {name:last}",
+    "Contact: {name:first} {name:last}",
+    "Please contact {name:first} {name:last} {w} .",
+    "{W} {w} {w} , contact {name:first} {name:last} .",
     "{w} {w} contact {name:first} {name:last} at {w} {w} .",
     "signed by {name:first} {name:last} .",
     "{w} lives at {address:no} {address:street} {address:way} {w} {w} .",
@@ -48,7 +53,14 @@ TEMPLATES = (
     'token = {secret:hex} {w}',
     "{w} api_key = {secret:key} {w} {w}",
     "password : {secret:pass} {w}",
+    "my password is {secret:pass} {w}",
+    "{w} password is {secret:pass} .",
+    "{w} {secret:assigned} {w} {w}",
+    "{w} {secret:assigned} .",
     "secret = {secret:key}",
+    "{w} {w} {secret:upper} {w} {w}",
+    "{W} {w} {secret:upper} . {W} {w}",
+    "aws_access_key_id = {secret:upper} {w}",
     "{w} key {secret:key} {w} {w} .",
     "SSN {id:ssn} {w} {w} .",
     "{w} {w} {id:ssn} {w} .",
@@ -75,6 +87,7 @@ def _fill(slot: str, rng: random.Random) -> str:
         "shout": lambda: word().upper() + rng.choice(("", "!", "!!", ".", ".!!", ",!!")),
         "rare": lambda: rng.choice((word() + "-" + word(), word() + "'" + word(), "|", "--", "(" + word() + ")", word() + digits(1), "http://" + word() + ".example.com/" + word(), word().capitalize() + word().capitalize(), "v" + digits(1) + "." + digits(1), digits(2) + ":" + digits(2), digits(1) + "," + digits(3))),
         "num": lambda: digits(rng.randint(1, 4)),
+        "version": lambda: digits(1) + "." + digits(1),
         "year": lambda: "19" + digits(2),
         "title": lambda: rng.choice(TITLES),
         "first": lambda: rng.choice(FIRST),
@@ -84,7 +97,9 @@ def _fill(slot: str, rng: random.Random) -> str:
         "way": lambda: rng.choice(WAYS),
         "hex": lambda: '"' + "".join(rng.choice("0123456789abcdef") for _ in range(40)) + '"',
         "key": lambda: rng.choice(("sk_live_", "AKIA", "ghp_", "")) + mixed(rng.randint(16, 36)),
-        "pass": lambda: mixed(10) + rng.choice("!#$%") + digits(2),
+        "pass": lambda: mixed(rng.randint(6, 9)) + digits(2) + rng.choice(("", "!", "#", "$")),
+        "upper": lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(15)) + digits(1),
+        "assigned": lambda: rng.choice(("api_key=", "token=", "password=", "secret=")) + rng.choice(("sk_live_", "ghp_", "")) + mixed(rng.randint(16, 36)),
         "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
         "iban": lambda: f"DE{digits(20)}",
         "passport": lambda: rng.choice("CFGHJK") + digits(8),
@@ -97,7 +112,7 @@ def _fill(slot: str, rng: random.Random) -> str:
     }[slot]()
 
 
-def labelled_sentences(n: int = 492, seed: int = 7) -> list[tuple[list[str], list[str]]]:
+def labelled_sentences(n: int = 648, seed: int = 7) -> list[tuple[list[str], list[str]]]:
     """(words, kinds) of n sentences; templates take turns."""
     rng, out = random.Random(seed), []
     for k in range(n):

@@ -17,7 +17,8 @@ Defined cases: null text, source, language and length count as empty, empty,
 empty and zero; rows with a null label are unlabelled; a doc_id with several
 labels takes the smallest; without labels of both kinds every row gets the
 labelled mean (1 without labels) from both views; repeated rows are scored
-each; an empty table gives no rows; further columns are ignored.
+each, and of those that repeat a doc_id the one with the smallest hash is
+fitted on; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -179,7 +180,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, po
         x, z = _views(text, source, lang, n)
         return pd.DataFrame({"x": list(x), "z": list(z)})
 
-    rows = own.join(wanted, "doc_id", "left_semi").select("doc_id", features(*COLUMNS).alias("f")).dropDuplicates(["doc_id"]).collect()
+    rows = own.join(wanted, "doc_id", "left_semi").select("doc_id", F.xxhash64(*COLUMNS).alias("tag"), features(*COLUMNS).alias("f")).groupBy("doc_id").agg(F.min_by("f", "tag").alias("f")).collect()
     rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r.doc_id)))
     known, rest = [r for r in rows if r.doc_id in y], [r for r in rows if r.doc_id not in y]
     width = {"x": len(text_features("")), "z": len(meta_features("", "", 0))}
@@ -240,7 +241,7 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool
     def features(text: pd.Series, source: pd.Series, lang: pd.Series, n: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"x": [word_buckets(t).tobytes() for t in text], "z": list(_meta(source, lang, n))})
 
-    rows = own.join(wanted, "doc_id", "left_semi").select("doc_id", features(*COLUMNS).alias("f")).dropDuplicates(["doc_id"]).collect()
+    rows = own.join(wanted, "doc_id", "left_semi").select("doc_id", F.xxhash64(*COLUMNS).alias("tag"), features(*COLUMNS).alias("f")).groupBy("doc_id").agg(F.min_by("f", "tag").alias("f")).collect()
     rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r.doc_id)))
     known, rest = [r for r in rows if r.doc_id in y], [r for r in rows if r.doc_id not in y]
     words = lambda some: [np.frombuffer(r.f.x, np.uint16) for r in some]
@@ -279,8 +280,7 @@ def score_column(model: QualityModel):
 def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """The documents that the classifier accepts and does not find toxic, with all their columns."""
     column, toxic = score_column(fit_quality(docs, labels)), toxic_column(fit_toxic(docs, labels))
-    scored = docs.withColumns({"_quality": column(docs), "_toxic": toxic(docs)})
-    return scored.where((F.col("_quality.score") >= keep) & (F.col("_toxic") < KEEP)).drop("_quality", "_toxic")
+    return docs.where((column(docs)["score"] >= keep) & (toxic(docs) < KEEP))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import Workspace, filesystem, load, partitions, text_or_empty
+from tramline.llm.common import Workspace, filesystem, load, partitions, text_or_empty, trimmed
 from tramline.llm.idcoder import HEAD, CorruptBlock, decode_block, encode_block
 from tramline.llm.tokens import public_path, tokenizer_at
 
@@ -157,7 +157,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     # by doc_id alone: the pass that samples the range then reads no text
     dealt = keyed.repartitionByRange(partitions(spark), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
-    return dealt.select("doc_id", "text").mapInArrow(write, MANIFEST)
+    return dealt.select("doc_id", "text").mapInArrow(trimmed(write), MANIFEST)
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
 
     files = spark.createDataFrame(rows, "path string, base long").repartition(max(1, min(len(rows), partitions(spark))))
-    return files.mapInArrow(read, DIGEST)
+    return files.mapInArrow(trimmed(read), DIGEST)
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tramline.llm.common import trim
+
 NAMES = ("word_bpe_49k.json", "byte_bpe_50k.json")
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 UNITS = re.compile(rf"[ \n]*[{LATIN}]++(?=[ \n!-/:-@\[-^`{{-~]|\Z)|[ \n]*[^ \n]+|[ \n]+\Z")
@@ -174,6 +176,7 @@ class WordCachedTokenizer:
             before = int(sizes[a - 1]) if a else 0
             b = max(a + 1, min(a + SLICE_TEXTS, int(np.searchsorted(sizes, before + SLICE_BYTES, "right"))))
             ids, ends = self._run(texts.slice(a, b - a))
+            trim()
             yield (ids, ends) if end_id is None else (np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1))
             a = b
 

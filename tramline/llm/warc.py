@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import Workspace, filesystem, load, partitions
+from tramline.llm.common import Workspace, filesystem, load, partitions, trimmed
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -158,7 +158,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int
             out.close()
             yield file_row(path, n, size)
 
-    return with_first_copies(pages, min_bytes).mapInArrow(write, MANIFEST)
+    return with_first_copies(pages, min_bytes).mapInArrow(trimmed(write), MANIFEST)
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield table(rows)
 
-    return manifest.mapInArrow(read, RECORDS)
+    return manifest.mapInArrow(trimmed(read), RECORDS)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
