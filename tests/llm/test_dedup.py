@@ -14,7 +14,7 @@ from .conftest import prose
 
 
 def word_edit(a, b):
-    """Whether two word lists lie within one substitution, insertion or deletion, by full dynamic programming."""
+    """Whether two lists of units lie within one substitution, insertion or deletion, by full dynamic programming."""
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row, before = [i], row
@@ -35,6 +35,7 @@ def near_texts(rng):
                 k = rng.randrange(len(w))
                 w = rng.choice([w[:k] + ["xx"] + w[k + 1 :], w[:k] + w[k + 1 :], w[:k] + ["yy"] + w[k:], w])
             lines.append(("  " if i % 7 == 0 else " ").join(w) if i % 5 else " ".join(w).upper())
+        lines.append(rng.choice(["terms of service", "terms of zervice", "term of service", "東京都千代田区一丁目", "東京都千代田区二丁目", "page 1", "page 2"]))
         out.append((i, "\n".join(lines)))
     return out
 
@@ -45,10 +46,12 @@ def brute_lines(texts):
     for i, t in texts:
         for k, line in enumerate((t or "").split("\n") if t is not None else []):
             w = [x for x in line.lower().replace("\t", " ").replace("\r", " ").split(" ") if x]
-            if len(w) >= 5:
-                places[tuple(w)].append((i is None, i or 0, k))
+            if w:
+                by_word = len(w) >= 5
+                places[by_word, tuple(w if by_word else " ".join(w))].append((i is None, i or 0, k))
     first = {w: min(p) for w, p in places.items()}
-    near = {w for w in first if any(first[v] < first[w] and abs(len(v) - len(w)) <= 1 and word_edit(v, w) for v in first)}
+    able = [(by_word, w) for by_word, w in first if by_word or len(w) >= 10]
+    near = {(a, w) for a, w in able if any(a == b and first[b, v] < first[a, w] and abs(len(v) - len(w)) <= 1 and word_edit(v, w) for b, v in able)}
     out = collections.defaultdict(lambda: (set(), set()))
     for w, ps in places.items():
         for p in ps:

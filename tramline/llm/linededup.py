@@ -1,28 +1,31 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame operations only.
 
-Lines are compared as lower-case words.  A line of at least ``MIN_WORDS`` words
-is dropped when the same words stood at an earlier place, or when an earlier
-distinct line lies within one word edit (substitution, insertion, deletion).
-With ``short``, as the query and the pipeline ask for it, every line that is
-not blank takes part in the exact comparison, at any length and in any script;
-only the near one keeps the bound, since one word edit joins any two lines of
-one word.  Place is (doc_id, line number), null doc_ids last.
+Lines are compared in lower case with white space made single blanks.  A line
+is dropped when an equal line stood at an earlier place, or when an earlier
+distinct line lies within one edit (substitution, insertion, deletion) of it.
+Every line that is not blank takes part in the exact comparison, at any length
+and in any script.  The unit of an edit is a word in lines of at least
+``MIN_WORDS`` words, and a character in all others, which covers short lines
+and scripts without spaces; one edit must be a small part of a line, so lines
+of fewer than ``MIN_CHARS`` characters have no near ones.  Lines of different
+units are not near each other.  Place is (doc_id, line number), null doc_ids
+last.
 
 Each distinct line emits its variants within the bound, the line itself and
-the line without word i, as hashed keys.  Equal keys join: two lines of n
-words that agree without word i differ in that word; a line that equals
-another without word i is one insertion away.  Per key the earliest place is
+the line without unit i, as hashed keys.  Equal keys join: two lines of n
+units that agree without unit i differ in that unit; a line that equals
+another without unit i is one insertion away.  Per key the earliest place is
 taken by a plain minimum, which combines before the shuffle, so no pairs are
 made within a key and a key that many lines share costs no more than its rows.
-The pair of a line and its earliest partner is then verified word by word.
+The pair of a line and its earliest partner is then verified unit by unit.
 
 Two lines within one edit have an equal first or second half, of lengths that
 differ by at most the edit; lines whose halves no other distinct line shares
 have no partner and emit no variants.
 
 Defined cases: a null text has no lines and stays null; blank lines are
-kept, and without ``short`` shorter ones too; rows that repeat a doc_id and a line number are one place and
-are kept or dropped alike; an empty table gives no rows.
+kept; rows that repeat a doc_id and a line number are one place and are kept
+or dropped alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ from pyspark.sql import functions as F
 
 from tramline.llm.common import Workspace, load
 
-MIN_WORDS = 5
+#: Words from which a line's unit is the word; characters below which a line without so many words has no near lines.
+MIN_WORDS, MIN_CHARS = 5, 10
 #: Lines named in a table that goes to all executors, at most (about 60 bytes each); beyond it the texts are shuffled instead.
 BROADCAST_LINES = 1_000_000
 LINE_BITS = 1 << 32
@@ -59,17 +63,22 @@ def _place(doc, line_no):
     return (at * F.lit(LINE_BITS).cast("decimal(11,0)") + line_no.cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
-def line_table(docs: DataFrame, min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
-    """Places of the lines that take part: doc, line_no, k1, k2 (hash pair), and hashes of their halves, none of lines below min_words."""
+def line_table(docs: DataFrame) -> DataFrame:
+    """Places of the lines that are not blank: doc, line_no, k1, k2 (hash pair), and hashes of the halves of those that can have near lines."""
     lines = _normal(docs).select("doc", F.posexplode_outer("lines").alias("line_no", "line"))  # the outer form adds no filter that would rewrite the text again
     norm = F.col("norm")
-    rows = lines.select("doc", "line_no", F.trim("line").alias("norm"))
-    rows = rows.withColumn("n", F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1).where((norm != "") & (F.lit(short) | (F.col("n") >= min_words)))
+    rows = lines.select("doc", "line_no", F.trim("line").alias("norm")).where(norm != "")
+    rows = rows.withColumn("words", F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1)
+    by_word = F.col("words") >= MIN_WORDS
+    rows = rows.withColumn("n", F.when(by_word, F.col("words")).otherwise(F.char_length(norm)))
     lower, small = F.expr("cast(n div 2 as int)"), F.expr("cast((n - 1) div 2 as int)")
-    head = lambda k: F.xxhash64(F.lit("a"), k, F.call_function("substring_index", norm, F.lit(" "), k))
-    tail = lambda k: F.xxhash64(F.lit("b"), k, F.call_function("substring_index", norm, F.lit(" "), -k))
+    first = lambda k: F.when(by_word, F.call_function("substring_index", norm, F.lit(" "), k)).otherwise(F.left(norm, k))
+    last = lambda k: F.when(by_word, F.call_function("substring_index", norm, F.lit(" "), -k)).otherwise(F.right(norm, k))
+    head = lambda k: F.xxhash64(F.lit("a"), by_word, k, first(k))
+    tail = lambda k: F.xxhash64(F.lit("b"), by_word, k, last(k))
     halves = F.array_distinct(F.array(head(lower), head(small), tail(F.col("n") - lower), tail(F.col("n") - 1 - small)))
-    return rows.select("doc", "line_no", F.xxhash64(norm).alias("k1"), F.hash(norm).alias("k2"), F.when(F.col("n") >= min_words, halves).otherwise(F.array().cast("array<bigint>")).alias("halves"))
+    near = by_word | (F.col("n") >= MIN_CHARS)
+    return rows.select("doc", "line_no", F.xxhash64(norm).alias("k1"), F.hash(norm).alias("k2"), F.when(near, halves).otherwise(F.array().cast("array<bigint>")).alias("halves"))
 
 
 def _to_all(table: DataFrame, lines: int) -> DataFrame:
@@ -78,7 +87,7 @@ def _to_all(table: DataFrame, lines: int) -> DataFrame:
 
 
 def near_lines(docs: DataFrame, places: DataFrame, distinct: DataFrame, work: Workspace) -> DataFrame:
-    """Keys (k1, k2) of the distinct lines that have an earlier line within one word edit."""
+    """Keys (k1, k2) of the distinct lines that have an earlier line within one edit."""
     half = places.select("k1", "k2", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a != b").select("half")
     wanted = half.join(shared, "half", "left_semi").select("k1", "k2").distinct()
@@ -91,10 +100,13 @@ def near_lines(docs: DataFrame, places: DataFrame, distinct: DataFrame, work: Wo
     each = _normal(texts, "wanted").select("lines", F.explode("wanted").alias("w"))
     rows = each.select("w.k1", "w.k2", F.col("w.first").alias("own"), F.trim(F.get("lines", F.col("w.line_no"))).alias("norm"))
     lines = rows.where((F.xxhash64("norm") == F.col("k1")) & (F.hash("norm") == F.col("k2"))).dropDuplicates(["k1", "k2"])
-    lines = work.store(lines.select("k1", "k2", "own", F.split("norm", " ").alias("words")).withColumn("n", F.size("words")), "lines")
+    words = F.split("norm", " ")
+    by_word = F.size(words) >= MIN_WORDS
+    units = F.when(by_word, words).otherwise(F.regexp_extract_all("norm", F.lit("(?s)."), F.lit(0)))
+    lines = work.store(lines.select("k1", "k2", "own", by_word.alias("by_word"), units.alias("units")).withColumn("n", F.size("units")), "lines")
 
-    word = lines.select("k1", "k2", "n", "own", F.posexplode("words").alias("i", "w"))
-    word = word.select("k1", "k2", "n", "own", "i", F.xxhash64("w", "i").alias("here"), F.xxhash64("w", F.col("i") - 1).alias("before"))
+    word = lines.select("k1", "k2", "n", "own", "by_word", F.posexplode("units").alias("i", "w"))
+    word = word.select("k1", "k2", "n", "own", "i", F.xxhash64("w", "i", "by_word").alias("here"), F.xxhash64("w", F.col("i") - 1, "by_word").alias("before"))
     line = Window.partitionBy("k1", "k2")
     upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     sums = word.withColumns({"a": F.expr("bit_xor(here)").over(upto), "b": F.expr("bit_xor(before)").over(upto), "all_b": F.expr("bit_xor(before)").over(line)})
@@ -111,20 +123,21 @@ def near_lines(docs: DataFrame, places: DataFrame, distinct: DataFrame, work: Wo
     met = met.join(same, ["key", "len", "pos"], "left")
     other = F.when(F.col("pos") < 0, F.col("cut")).otherwise(F.least("full", "same"))
     pairs = met.select("own", other.alias("other")).where("other < own").groupBy("own").agg(F.min("other").alias("other"))
-    b = lines.select(F.col("own").alias("other"), F.col("words").alias("y"))
-    return pairs.join(lines.select("own", "k1", "k2", F.col("words").alias("x")), "own").join(b, "other").where(within_one(F.col("x"), F.col("y"))).select("k1", "k2").distinct()
+    b = lines.select(F.col("own").alias("other"), F.col("units").alias("y"), F.col("by_word").alias("b2"))
+    both = pairs.join(lines.select("own", "k1", "k2", "by_word", F.col("units").alias("x")), "own").join(b, "other").where("by_word = b2")
+    return both.where(within_one(F.col("x"), F.col("y"))).select("k1", "k2").distinct()
 
 
 def within_one(x, y):
-    """Whether two word arrays lie within one word edit, compared word by word."""
+    """Whether two arrays of units lie within one edit, compared unit by unit."""
     p = F.array_position(F.zip_with(x, y, lambda a, b: ~a.eqNullSafe(b)), True).cast("int")  # first difference from 1, 0 if none
     rest = lambda v, skip: F.slice(v, p + skip, F.greatest(F.size(v), F.lit(1)))
     return F.when(p == 0, F.lit(True)).when(F.size(x) == F.size(y), rest(x, 1) == rest(y, 1)).when(F.size(x) == F.size(y) + 1, rest(x, 1) == rest(y, 0)).when(F.size(y) == F.size(x) + 1, rest(y, 1) == rest(x, 0)).otherwise(False)
 
 
-def dropped_lines(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
+def dropped_lines(docs: DataFrame, work: Workspace) -> DataFrame:
     """doc, exact and near: the line numbers that go, by reason, of each document that loses lines."""
-    places = work.store(line_table(docs, min_words, short), "places")
+    places = work.store(line_table(docs), "places")
     place = _place(F.col("doc"), F.col("line_no"))
     distinct = places.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows"))
     distinct = work.store(distinct, "distinct")
@@ -136,10 +149,10 @@ def dropped_lines(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS,
     return gone.groupBy("doc").agg(F.collect_set(later).alias("exact"), F.collect_set(F.when(F.col("near"), F.col("line_no"))).alias("near"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """Documents with all their columns, text without the lines that go; n_lines, n_exact and n_near are added as struct _lines."""
     work = Workspace(docs.sparkSession, "line-dedup")
-    gone = work.store(dropped_lines(docs.select("doc_id", "text"), work, min_words, short), "gone")
+    gone = work.store(dropped_lines(docs.select("doc_id", "text"), work), "gone")
     work.keep_only(gone)
     gone = gone.select(F.col("doc").alias("_gone_doc"), F.col("exact").alias("_gone_exact"), F.col("near").alias("_gone_near"))
     none = F.array().cast("array<int>")
@@ -155,4 +168,4 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, short: bool = False
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: doc_id, text without the lines that go, n_lines, n_exact, n_near."""
     docs = load(spark, sf_dir, "documents", "doc_id", "text")
-    return dedup_lines(docs, short=True).select("doc_id", "text", "_lines.n_lines", "_lines.n_exact", "_lines.n_near")
+    return dedup_lines(docs).select("doc_id", "text", "_lines.n_lines", "_lines.n_exact", "_lines.n_near")
