@@ -28,8 +28,9 @@ def test_against_brute_force_with_ties_and_bad_rows(spark):
     df = frame(spark, rows)
     want = exact(rows, 20)
     for search, least in ((1.0, 1.0), (0.8, 0.9)):
+        shards = 1.0 if search == 1.0 else ann.SHARDS
         got = {}
-        for r in ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0, shard=200, block=16, search=search).collect():
+        for r in ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0, shard=200, search=search, shards=shards).collect():
             got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
         assert set(got) == set(want)
         hit = 0
@@ -58,3 +59,40 @@ def test_forest_search_reaches_everything_when_asked():
     assert len(forest.search(x[7] @ forest.matrix.T, 50)) < 200
     same = ann.Forest(np.ones((300, 4)), 2, 10)
     assert len(same.search(np.ones(4) @ same.matrix.T, 300)) == 300
+
+
+def test_clustered_vectors_are_found_in_few_shards(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 16))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = centres[rng.integers(0, 30, 3000)] + rng.normal(scale=0.01, size=(3000, 16))
+    tree = ann.TopTree(x[:1000], 12)
+    home = tree.home(x)
+    assert set(home.tolist()) == set(range(tree.shards)) and np.bincount(home).max() < 800
+    longest, asked, hit = float(np.linalg.norm(x, axis=1).max()), 0, 0
+    for q in range(0, 3000, 100):
+        score = x @ x[q]
+        want = np.argsort(-score)[:20]
+        own = np.sort(score[home == home[q]])[::-1]
+        kth = own[19] if len(own) >= 20 else -np.inf
+        others = tree.others(x[q], kth, (x[q] @ x[q] + longest**2) / 2, 1.0)
+        asked += len(others)
+        hit += np.isin(home[want], [home[q], *others]).sum()
+        assert home[q] not in others
+    assert hit == 30 * 20 and asked < 30 * tree.shards / 2
+
+
+def test_recall_at_the_shipped_setting(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    v = {r.vec_id: np.array(r.embedding, float) for r in rows.collect()}
+    ids = np.array(sorted(v))
+    x = np.stack([v[i] for i in ids.tolist()])
+    got = {}
+    for r in ann.nearest_neighbours(rows, F.col("vec_id") % 20 == 0, shard=100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in got:
+        score = x @ v[q]
+        score[ids == q] = -np.inf
+        hit += len(got[q] & set(ids[np.argsort(-score)[:20]].tolist()))
+    assert hit / (20 * len(got)) >= 0.9

@@ -1,13 +1,21 @@
 """Approximate nearest neighbours: a forest of random-projection trees.
 
-Rows are dealt by hash to shards of about ``SHARD`` rows.  Each shard has a
-forest of its own: a tree splits its rows at the median of a projection on the
-difference of two of its rows, down to leaves of at most ``LEAF`` rows.  A query
-searches all trees of a shard through one priority queue, ordered by the
-smallest margin on the way, until ``SEARCH`` of the shard's rows have been seen in
-leaves; the rows seen are then ranked by their exact inner product in double
-precision.  The best of all shards are merged.  Every row is in the index and
-queries meet the shards in blocks, so a task holds one shard and one block.
+A top tree, built on the driver from at most ``SAMPLE`` vectors (those with the
+smallest hash), deals every row to a shard of about ``SHARD`` rows.  Each shard
+has a forest of its own: a tree splits its rows at the median of a projection
+on the difference of two of its rows, down to leaves of at most ``LEAF`` rows.
+A query searches all trees of a shard through one priority queue, ordered by
+the largest margin on the way, and ranks what it sees by the exact inner
+product in double precision.  A margin is a distance that all rows beyond it
+have at least, so it bounds their inner products: the search ends when the
+bound falls below the k-th best, or when ``SEARCH`` of the shard's rows have
+been seen.
+
+Queries ask the shard that the top tree deals them to, then those whose bound
+can still beat the k-th best found there, nearest first, up to the share
+``SHARDS`` of all rows.  Clustered vectors are settled in few shards; random
+ones, which no bound tells apart, need nearly all.  A shard's rows come to one
+task once, and its queries follow in a stream.
 
 Rows with one vector are one entry of the index that carries its k + 1
 smallest ids, which is all that any query can return of them; queries with
@@ -24,21 +32,25 @@ ignored.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tramline.llm.common import Workspace, load, partitions
+from tramline.llm.common import Workspace, load, partitions, trimmed
 
 K = 20
 SHARD = 4096
-BLOCK = 1024
+#: Vectors that the top tree is built from at most.
+SAMPLE = 16_384
 TREES = 4
 LEAF = 64
-#: Share of a shard's rows that a query looks at; the recall of random vectors follows it, that of clustered ones is higher.
-SEARCH = 0.8
+#: Share of all rows whose shards a query may ask, and of a shard's rows that it looks at, at most; the recall of random vectors follows them, that of clustered ones is higher.
+SHARDS, SEARCH = 0.95, 0.85
+#: What rounding may take from a bound.
+SLACK = 1e-9
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -60,7 +72,8 @@ class Forest:
         a, b = rng.choice(len(rows), 2, replace=False)
         normal = self.x[rows[a]] - self.x[rows[b]]
         size = np.linalg.norm(normal)
-        normal = normal / size if size > 0 else rng.standard_normal(len(normal))
+        normal = normal if size > 0 else rng.standard_normal(len(normal))
+        normal = normal / np.linalg.norm(normal)
         along = self.x[rows] @ normal
         order = np.argsort(along, kind="stable")  # halves by rank, so equal projections cannot make a deep tree
         half = len(rows) // 2
@@ -91,19 +104,95 @@ class Forest:
         return np.flatnonzero(seen)
 
 
-def nearest(forest: Forest, queries: np.ndarray, k: int, search: float = SEARCH) -> list[tuple[np.ndarray, np.ndarray]]:
+    def find(self, q: np.ndarray, margins: np.ndarray, k: int, wanted: int, floor: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and exact inner products of the k best of those seen, ties included.
+
+        floor: an inner product that k rows elsewhere reach; reach: half the sum of
+        the squared lengths of the query and the longest row, from which half a
+        squared margin is taken for the bound.
+        """
+        seen, n, kth = np.zeros(len(self.x), bool), 0, floor
+        rows, scores, best = [], [], np.zeros(0)
+        queue = [(-np.inf, r) for r in self.roots]
+        heapq.heapify(queue)
+        while queue and n < wanted:
+            key, node = heapq.heappop(queue)
+            if key > 0 and reach - key * key / 2 < kth - SLACK:
+                break
+            while node >= 0:
+                offset, left, right = self.splits[node]
+                m = margins[node] - offset
+                near, far = (left, right) if m < 0 else (right, left)
+                heapq.heappush(queue, (max(key, abs(m)), far))
+                node = near
+            fresh = self.leaves[-node - 1]
+            fresh = fresh[~seen[fresh]]
+            if not len(fresh):
+                continue
+            seen[fresh] = True
+            n += len(fresh)
+            score = exact(self.x[fresh], q)
+            rows.append(fresh)
+            scores.append(score)
+            best = np.concatenate([best, score])
+            if len(best) > k:
+                best = np.partition(best, len(best) - k)[-k:]
+            if len(best) == k:
+                kth = max(kth, float(best.min()))
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0)
+        at, score = np.concatenate(rows), np.concatenate(scores)
+        keep = score >= (best.min() if len(best) == k else -np.inf)  # ties at the end stay: ids decide
+        return at[keep], score[keep]
+
+
+def nearest(forest: Forest, queries: np.ndarray, k: int, search: float, floors: np.ndarray, longest: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query (rows of the forest, exact inner products), the k best of those found."""
-    out, wanted = [], int(np.ceil(search * len(forest.x)))
+    wanted = int(np.ceil(search * len(forest.x)))
     margins = queries @ forest.matrix.T
-    for q, m in zip(queries, margins, strict=True):
-        rows = forest.search(m, wanted)
-        score = exact(forest.x[rows], q)
-        if len(rows) > k:
-            least = np.partition(score, len(rows) - k)[len(rows) - k]
-            keep = score >= least  # ties at the end stay: ids decide
-            rows, score = rows[keep], score[keep]
-        out.append((rows, score))
-    return out
+    reach = ((queries * queries).sum(1) + longest * longest) / 2
+    return [forest.find(q, m, k, wanted, f, r) for q, m, f, r in zip(queries, margins, floors.tolist(), reach.tolist(), strict=True)]
+
+
+class TopTree:
+    """Shards as the leaves of one tree over a sample of all vectors."""
+
+    def __init__(self, sample: np.ndarray, shards: int):
+        self.forest = Forest(sample, 1, max(1, -(-len(sample) // shards)), 2) if shards > 1 and len(sample) > shards else None
+        self.shards = len(self.forest.leaves) if self.forest else 1
+        self.share = np.array([len(x) for x in self.forest.leaves]) / len(sample) if self.forest else np.ones(1)
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The shard of each row."""
+        if not self.forest:
+            return np.zeros(len(x), np.int64)
+        along = x @ self.forest.matrix.T
+        node = np.full(len(x), self.forest.roots[0])
+        while (at := np.flatnonzero(node >= 0)).size:
+            for v in np.unique(node[at]).tolist():
+                rows = at[node[at] == v]
+                offset, left, right = self.forest.splits[v]
+                node[rows] = np.where(along[rows, v] - offset < 0, left, right)
+        return -node - 1
+
+    def others(self, q: np.ndarray, kth: float, reach: float, most: float) -> list[int]:
+        """Shards beside the query's own that can hold a better row, nearest first, up to a share of all rows."""
+        out, share = [], 0.0
+        along = self.forest.matrix @ q if self.forest else np.zeros(0)
+        queue = [(0.0, self.forest.roots[0])] if self.forest else []
+        while queue and share < most:
+            key, node = heapq.heappop(queue)
+            if key > 0 and reach - key * key / 2 < kth - SLACK:
+                break
+            while node >= 0:
+                offset, left, right = self.forest.splits[node]
+                m = along[node] - offset
+                near, far = (left, right) if m < 0 else (right, left)
+                heapq.heappush(queue, (max(key, abs(m)), far))
+                node = near
+            out.append(-node - 1)
+            share += self.share[-node - 1]
+        return out[1:]
 
 
 def exact(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -121,46 +210,91 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (length[0].n if length else 0))
 
 
-def nearest_neighbours(vectors: DataFrame, is_query, k: int = K, shard: int = SHARD, block: int = BLOCK, trees: int = TREES, leaf: int = LEAF, search: float = SEARCH) -> DataFrame:
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
+
+
+def _answers(index: DataFrame, asked: DataFrame, k: int, trees: int, leaf: int, search: float, longest: float, p: int) -> DataFrame:
+    """q, vec_id, score: the k best that each query (shard, q, v, floor) finds in the shard it asks.
+
+    A partition's rows come sorted by shard, its own rows before the queries;
+    a task holds the forest of one shard and one batch of queries.
+    """
+    own = index.select("shard", F.lit(0).alias("kind"), "ids", F.lit(None).cast("long").alias("q"), "v", F.lit(None).cast("double").alias("floor"))
+    ask = asked.select("shard", F.lit(1).alias("kind"), F.lit(None).cast("array<bigint>").alias("ids"), "q", "v", "floor")
+    both = own.unionByName(ask).repartition(p, "shard").sortWithinPartitions("shard", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts, ids, forest = None, [], [], None
+        for batch in batches:
+            shard, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])])) if len(shard) else np.zeros(0, int)
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(shard)], strict=True):
+                some = batch.slice(a, b - a)
+                if shard[a] != held:
+                    held, parts, ids, forest = shard[a], [], [], None
+                if kind[a] == 0:
+                    parts.append(_matrix(some.column("v")))
+                    ids += some.column("ids").to_pylist()
+                    continue
+                if not ids:
+                    continue
+                forest = forest or Forest(np.concatenate(parts), trees, leaf)
+                out: tuple[list, list, list] = ([], [], [])
+                floors = some.column("floor").to_numpy(zero_copy_only=False)
+                for q, (at, score) in zip(some.column("q").to_pylist(), nearest(forest, _matrix(some.column("v")), k, search, floors, longest), strict=True):
+                    best = sorted((-s, i) for r, s in zip(at.tolist(), score.tolist(), strict=True) for i in ids[r])[:k]
+                    out[0].extend([q] * len(best))
+                    out[1].extend(i for _, i in best)
+                    out[2].extend(-s for s, _ in best)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["q", "vec_id", "score"])
+
+    return both.mapInArrow(trimmed(run), "q long, vec_id long, score double")
+
+
+def nearest_neighbours(vectors: DataFrame, is_query, k: int = K, shard: int = SHARD, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, search: float = SEARCH, shards: float = SHARDS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row for which the condition is_query (of vec_id) holds, its k nearest others."""
     spark = vectors.sparkSession
     work, p = Workspace(spark, "ann"), partitions(spark)
     rows = usable(vectors).withColumn("h", F.xxhash64("v"))
     ranked = rows.dropDuplicates(["vec_id", "h"]).withColumn("nth", F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
-    index = ranked.groupBy("h", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    index = work.store(index, "index")
+    entries = work.store(ranked.groupBy("h", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "entries")
     asked = rows.where(is_query).select("vec_id", "h", "v").distinct()
     askers = work.store(asked, "askers")
-    once = work.store(askers.groupBy("h", "v").agg(F.min("vec_id").alias("q")), "queries")
-    shards, blocks = max(1, -(-index.count() // shard)), max(1, -(-once.count() // block))
-    cell = lambda h, n, salt: F.pmod(F.xxhash64(h, F.lit(salt)), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = index.select(cell("h", shards, 1).alias("shard"), every(blocks).alias("block"), "ids", "v")
-    ask = once.select(every(shards).alias("shard"), cell("h", blocks, 2).cast("int").alias("block"), "q", "v").withColumn("shard", F.col("shard").cast("long"))
-
-    def matrix(t: pa.Table) -> np.ndarray:
-        flat = t.column("v").combine_chunks()
-        flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-        return flat.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-
-    def run(key: tuple, own: pa.Table, ask: pa.Table) -> pa.Table:
-        kinds = [pa.int64(), pa.int64(), pa.float64()]
-        if not own.num_rows or not ask.num_rows:
-            return pa.table([pa.array([], t) for t in kinds], ["q", "vec_id", "score"])
-        x, ids = matrix(own), own.column("ids").to_pylist()
-        out = [[], [], []]
-        forest = Forest(x, trees, leaf)
-        for q, (at, score) in zip(ask.column("q").to_pylist(), nearest(forest, matrix(ask), k + 1, search), strict=True):
-            best = sorted((-s, i) for r, s in zip(at.tolist(), score.tolist(), strict=True) for i in ids[r])[: k + 1]
-            out[0] += [q] * len(best)
-            out[1] += [i for _, i in best]
-            out[2] += [-s for s, _ in best]
-        return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["q", "vec_id", "score"])
-
-    found = own.groupBy("shard", "block").cogroup(ask.groupBy("shard", "block")).applyInArrow(run, "q long, vec_id long, score double")
+    size = entries.agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("longest")).first()
+    longest = float(size.longest or 0.0)
+    drawn = entries.select("v").orderBy("h").limit(sample).collect() if size.n > shard else []
+    tree = TopTree(np.array([r.v for r in drawn], float), max(1, -(-size.n // shard)))
+    sent = spark.sparkContext.broadcast(tree)  # as many nodes as there are shards, and the sample
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sent.value.home(_matrix(batch.column("v"))), pa.int64()), batch.column("ids"), batch.column("v")], ["shard", "ids", "v"])
+
+    def away(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, floors = _matrix(batch.column("v")), batch.column("floor").to_numpy(zero_copy_only=False)
+            reach = ((x * x).sum(1) + longest * longest) / 2
+            to = [sent.value.others(v, f, r, shards) for v, f, r in zip(x, floors.tolist(), reach.tolist(), strict=True)]
+            at = np.repeat(np.arange(len(to)), [len(t) for t in to])
+            some = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array([s for t in to for s in t], pa.int64()), *(some.column(c) for c in ("q", "v", "floor"))], ["shard", "q", "v", "floor"])
+
+    index = work.store(entries.select("ids", "v").mapInArrow(dealt, "shard long, ids array<bigint>, v array<double>"), "index")
+    once = askers.groupBy("h", "v").agg(F.min("vec_id").alias("q"))
+    once = work.store(once, "queries")
+    begin = once.select(F.array("q").alias("ids"), "v").mapInArrow(dealt, "shard long, ids array<bigint>, v array<double>")
+    begin = begin.select("shard", F.col("ids")[0].alias("q"), "v", F.lit(float("-inf")).alias("floor"))
+    found = work.store(_answers(index, begin, k + 1, trees, leaf, search, longest, p), "home")
+    if tree.shards > 1:
+        full = found.groupBy("q").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor"))
+        next_ = once.join(full, "q").select("q", "v", "floor").mapInArrow(away, "shard long, q long, v array<double>, floor double")
+        found = found.unionByName(work.store(_answers(index, next_, k + 1, trees, leaf, search, longest, p), "away"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     top = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth")
     top = work.store(top, "top")
+    work.keep_only(askers, once, top)
     # back to each query of the vector: its own row goes, the rest is ranked anew
     again = askers.select(F.col("vec_id").alias("query_id"), "h", "v").join(once, ["h", "v"]).select("query_id", "q")
     mine = again.join(top, "q").where("query_id != vec_id").select("query_id", "vec_id", "score")

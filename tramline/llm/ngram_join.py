@@ -58,7 +58,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import Workspace, load, partitions, text_or_empty, trimmed
+from tramline.llm.common import Workspace, load, partitions, text_or_empty, trim, trimmed
 from tramline.llm.components import connected_components
 
 WORDS = 5
@@ -68,7 +68,7 @@ SMALL = 8
 BROADCAST_IDS = 1_000_000
 FLUSH = 500_000
 #: Texts or pairs that a worker takes out of an Arrow batch at a time.
-SLICE = 2048
+SLICE = 768
 U = np.uint64
 #: Band i holds the sizes from BOUNDS[i] up to below BOUNDS[i + 1].
 BOUNDS = [1]
@@ -153,7 +153,7 @@ def instances(hashes: np.ndarray, ends: np.ndarray, up: int) -> tuple[np.ndarray
     most = BOUNDS_ARRAY[j + 1] - 1
     parts = 33 * most // 100 + 2
     k = (3 * size + np.minimum(4 * size, 3 * most)) // 21
-    owner = np.repeat(np.arange(len(size)), size)
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
     z = mix(hashes ^ (U(0xA0761D6478BD642F) + j.astype(U))[owner])
     part = ((z >> U(32)) * parts.astype(U)[owner]) >> U(32)
     key = owner.astype(U) << U(40) | part
@@ -191,6 +191,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, SLICE):
             yield batch.slice(a, SLICE)
+            trim()
 
 
 def _batch(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:

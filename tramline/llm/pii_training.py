@@ -41,6 +41,7 @@ TEMPLATES = (
     "{title} {name:first} {name:last} {w} {w} {w} .",
     "{w} {w} {title} {name:last} {w} {w} .",
     "My name is {name:first} {name:last} {w} {w} .",
+    "My name is {name:first} {name:last} and {w}",
     "name : {name:first} {name:last}",
     "Contact: {name:first} {name:last}",
     "Please contact {name:first} {name:last} {w} .",
@@ -53,8 +54,6 @@ TEMPLATES = (
     'token = {secret:hex} {w}',
     "{w} api_key = {secret:key} {w} {w}",
     "password : {secret:pass} {w}",
-    "my password is {secret:pass} {w}",
-    "{w} password is {secret:pass} .",
     "{w} {secret:assigned} {w} {w}",
     "{w} {secret:assigned} .",
     "secret = {secret:key}",
@@ -112,7 +111,7 @@ def _fill(slot: str, rng: random.Random) -> str:
     }[slot]()
 
 
-def labelled_sentences(n: int = 648, seed: int = 7) -> list[tuple[list[str], list[str]]]:
+def labelled_sentences(n: int = 636, seed: int = 7) -> list[tuple[list[str], list[str]]]:
     """(words, kinds) of n sentences; templates take turns."""
     rng, out = random.Random(seed), []
     for k in range(n):

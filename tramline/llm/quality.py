@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import load
+from tramline.llm.common import load, trim
 
 #: Bounds of the sample that the classifiers are fitted on.
 LABELLED, POOL = 6000, 6000
@@ -255,38 +255,32 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool
     return ToxicModel(out.words, model) if model.views else none
 
 
-def toxic_column(model: ToxicModel):
-    """Column function of COLUMNS: the probability that a document is toxic."""
+def score_column(model: QualityModel, toxic: ToxicModel | None = None):
+    """Column function of COLUMNS: struct of the probabilities of both targets, whole texts in one pass."""
+    names = ("text_score", "meta_score", "score", "toxic_score")
+    toxic = toxic or ToxicModel(np.zeros(0, np.uint16))
 
-    @F.pandas_udf("double")
-    def scores(text: pd.Series, source: pd.Series, lang: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series(model.score(list(text), _meta(source, lang, n)), dtype=float)
-
-    return lambda docs: scores(*(docs[c].cast("string") for c in COLUMNS[:3]), docs["n_chars"].cast("double"))
-
-
-def score_column(model: QualityModel):
-    """Column function of COLUMNS: struct of the three probabilities, from one whole text at a time."""
-
-    @F.pandas_udf("struct<text_score double, meta_score double, score double>")
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
     def scores(text: pd.Series, source: pd.Series, lang: pd.Series, n: pd.Series) -> pd.DataFrame:
         if not len(text):
-            return pd.DataFrame({"text_score": [], "meta_score": [], "score": []}, dtype=float)
-        return pd.DataFrame(dict(zip(("text_score", "meta_score", "score"), model.score(_views(text, source, lang, n)), strict=True)))
+            return pd.DataFrame({c: [] for c in names}, dtype=float)
+        x, z = _views(text, source, lang, n)
+        out = pd.DataFrame(dict(zip(names, (*model.score((x, z)), toxic.score(list(text), z)), strict=True)))
+        trim()
+        return out
 
     return lambda docs: scores(*(docs[c].cast("string") for c in COLUMNS[:3]), docs["n_chars"].cast("double"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """The documents that the classifier accepts and does not find toxic, with all their columns."""
-    column, toxic = score_column(fit_quality(docs, labels)), toxic_column(fit_toxic(docs, labels))
-    return docs.where((column(docs)["score"] >= keep) & (toxic(docs) < KEEP))
+    scores = score_column(fit_quality(docs, labels), fit_toxic(docs, labels))(docs)
+    return docs.where((scores["score"] >= keep) & (scores["toxic_score"] < KEEP))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: doc_id, text_score, meta_score, score, toxic_score, keep."""
     docs = load(spark, sf_dir, "documents", "doc_id", *COLUMNS)
     labels = load(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
-    column, toxic = score_column(fit_quality(docs, labels)), toxic_column(fit_toxic(docs, labels))
-    scored = docs.select("doc_id", column(docs).alias("q"), toxic(docs).alias("toxic_score"))
-    return scored.select("doc_id", "q.*", "toxic_score", ((F.col("q.score") >= KEEP) & (F.col("toxic_score") < KEEP)).alias("keep"))
+    scored = docs.select("doc_id", score_column(fit_quality(docs, labels), fit_toxic(docs, labels))(docs).alias("q"))
+    return scored.select("doc_id", "q.*", ((F.col("q.score") >= KEEP) & (F.col("q.toxic_score") < KEEP)).alias("keep"))
