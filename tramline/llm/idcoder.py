@@ -38,8 +38,8 @@ class CorruptBlock(ValueError):
 
 
 def lanes_for(n: int) -> int:
-    """Wide blocks run faster; each lane costs a few bytes."""
-    return max(1, min(8192, n // 256))
+    """Wide blocks run faster, up to where the arrays of a step leave the cache; each lane costs a few bytes."""
+    return max(1, min(4096, n // 256))
 
 
 class _Model:
@@ -91,12 +91,13 @@ class _Model:
         return e2, e1, p2, p1, row.astype(np.int64)
 
     def learn(self, ids, before1, hashed, e2, e1, hit2, hit1, cell, missed) -> None:
-        """Tables and weights learn from one half of the lanes at a step and from the other at the next, order 0 from all."""
+        """Tables and weights learn from one half of the lanes at a step and from the other at the next, order 1 at every other step, order 0 from all."""
         if len(ids) >= HALVES:
             half = slice(0, len(ids) // 2) if self.step & 1 else slice(len(ids) // 2, len(ids))
             ids, before1, hashed, e2, e1, hit2, hit1, cell = (v[half] for v in (ids, before1, hashed, e2, e1, hit2, hit1, cell))
         fresh = (ids << np.uint32(3)) | np.uint32(1)
-        for table, at, e, hit in ((self.t2, hashed, e2, hit2), (self.t1, before1, e1, hit1)):
+        tables = [(self.t2, hashed, e2, hit2), (self.t1, before1, e1, hit1)]
+        for table, at, e, hit in tables if self.step & 2 else tables[:1]:
             kept = e & np.uint32(7)
             after = np.where(kept > 1, e - (kept + np.uint32(1) >> np.uint32(1)), fresh)
             hit = np.flatnonzero(hit)
