@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 import re
@@ -105,18 +106,58 @@ def test_quality_of_edge_rows(spark, make_docs, edge_texts):
 ITEM = "A train leaves the old harbour station with 240 passengers and after 3 hours Maria counts the seats that Peter left empty for 15 km of track."
 
 
+def plain_template(text, opening=True, names=True):
+    """(word, placeholder or literal) of each word, by the rules alone."""
+    out, opens = [], opening
+    for w in (text or "").split():
+        bare = w.strip(decontaminate.OUTER)
+        if decontaminate.NUMBER.fullmatch(bare) or bare.lower() in decontaminate.NUMBER_WORDS:
+            kind = "<num>"
+        elif bare.lower() in decontaminate.UNITS:
+            kind = "<unit>"
+        elif names and bare[:1].isupper() and not bare.isupper() and not opens:
+            kind = "<name>"
+        else:
+            kind = bare.lower()
+        out.append((bare.lower(), kind))
+        opens = w[-1:] in tuple(".!?:\"”»")
+    return out
+
+
+def runs_of(template):
+    size = min(5, len(template))
+    return [template[i : i + size] for i in range(len(template) - size + 1)] if template else []
+
+
 def brute(texts, items):
-    """Items whose template windows a text holds, by plain tuples."""
-    out = set()
+    """(document, item, windows, counted, verbatim) by comparing all windows with all, slots included."""
+    kinds = lambda run: tuple(k for _, k in run)
+    out = []
     for i, t in texts:
-        words, kinds = decontaminate.template(t)
-        have = {tuple(kinds[p : p + 5].tolist()) for p in range(max(1, len(kinds) - 4))} if len(kinds) else set()
+        there = runs_of(plain_template(t))
         for j, text in items:
-            _, own = decontaminate.template(text)
-            want = {tuple(own[p : p + 5].tolist()) for p in range(max(1, len(own) - 4))} if len(own) else set()
-            if want and len(want & have) >= 0.75 * len(want):
-                out.add((i, j))
-    return out
+            own = runs_of(plain_template(text))
+            other = [runs_of(plain_template(text, names=False)), runs_of(plain_template(text, opening=False))[:1]]
+            pairs = [(p, q) for q in range(len(own)) for p, run in enumerate(there) if kinds(run) in {kinds(own[q]), *(kinds(r[q]) for r in other if q < len(r))}]
+            total = len({kinds(r) for r in own})
+            if not total or len({kinds(own[q]) for _, q in pairs}) < 0.75 * total:
+                continue
+            shifts = collections.defaultdict(list)
+            for p, q in pairs:
+                shifts[p - q].append((p, q))
+            to, back, counted, verbatim = {}, {}, set(), set()
+            for s in sorted(shifts, key=lambda s: (-len(shifts[s]), s)):
+                for p, q in sorted(shifts[s]):
+                    slots = [(k, a, b) for (a, k), (b, m) in zip(own[q], there[p], strict=True) if k == m and k in ("<num>", "<name>", "<unit>")]
+                    if all(to.get((k, a), b) == b and back.get((k, b), a) == a for k, a, b in slots):
+                        to.update({(k, a): b for k, a, b in slots})
+                        back.update({(k, b): a for k, a, b in slots})
+                        counted.add(kinds(own[q]))
+                        if all(a == b for _, a, b in slots):
+                            verbatim.add(kinds(own[q]))
+            if len(counted) >= 0.75 * total:
+                out.append((i, j, total, len(counted), len(verbatim)))
+    return sorted(out)
 
 
 def test_decontamination(spark, make_docs, edge_texts):
@@ -132,12 +173,28 @@ def test_decontamination(spark, make_docs, edge_texts):
         assert all(r.n_verbatim < r.n_matched for r in got if r.doc_id == 21) and all(r.n_verbatim == r.n_matched for r in got if r.doc_id == 20)
         left = decontaminate.drop_contaminated(docs, benchmark, most)
         assert {r.doc_id for r in left.collect()} == {i for i, _ in texts} - {20, 21, 24, 7} and left.columns == docs.columns
-    named = [(i, j) for i, j in items if i is not None]
-    assert {(i, j) for i, j in brute(texts, named)} >= {(20, 1), (21, 1), (7, 5)}
+        named = [(i, j) for i, j in items if i is not None]
+        assert sorted((r.doc_id, r.item_id, r.n_windows, r.n_matched, r.n_verbatim) for r in got) == brute(texts, named)
     assert decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), benchmark).count() == 0
 
 
-def test_inconsistent_slots_do_not_count():
-    known = decontaminate.Benchmark([(1, "so then Maria met Peter and Maria saw Peter when Maria left Peter alone near Maria and Peter again")])
-    assert known.matches("so then Olga met Ivan and Olga saw Ivan when Olga left Ivan alone near Olga and Ivan again")
-    assert not known.matches("so then Olga met Ivan and Lena saw Karl when Nina left Hugo alone near Otto and Emil again")
+def test_inconsistent_slots_do_not_count(spark, make_docs):
+    item = "so then Maria met Peter and Maria saw Peter when Maria left Peter alone near Maria and Peter again"
+    texts = [(1, "so then Olga met Ivan and Olga saw Ivan when Olga left Ivan alone near Olga and Ivan again"), (2, "so then Olga met Ivan and Lena saw Karl when Nina left Hugo alone near Otto and Emil again")]
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.contaminated(make_docs(texts), benchmark).collect()
+    assert [r.doc_id for r in got] == [1] and brute(texts, [(1, item)]) == [(1, 1, r.n_windows, r.n_matched, r.n_verbatim) for r in got]
+
+
+def test_decontamination_of_generated_questions(spark, make_docs):
+    rng = random.Random(11)
+    names, units = ["Maria", "Peter", "Olga", "Ivan"], ["km", "kg", "hours"]
+    words = prose(rng, 40).replace(".", "").lower().split()
+    made = lambda: " ".join(rng.choice([rng.choice(words), rng.choice(words), rng.choice(names), str(rng.randint(1, 9)), rng.choice(units)]) for _ in range(14))
+    items = [(i, made()) for i in range(12)]
+    swap = lambda t: " ".join(rng.choice(names) if w in names else str(rng.randint(1, 9)) if w.isdigit() else w for w in t.split())
+    texts = [(100 + k, f"{prose(rng, 8)} {rng.choice([t, swap(t), t.upper()])} {prose(rng, 8)} {swap(items[(k + 5) % 12][1])}") for k, (_, t) in enumerate(items * 3)]
+    texts = [(i + 1000 * n, t) for n, (i, t) in enumerate(texts)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(make_docs(texts), benchmark).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_windows, r.n_matched, r.n_verbatim) for r in got) == brute(texts, items) and len(got) > 20

@@ -17,10 +17,10 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Batches for Python of at most 16 MB, where the session names no bound: long texts come in tens of thousands of bytes each."""
+    """Batches for Python of at most 4 MB: long texts come in tens of thousands of bytes each."""
     if spark.conf.get("tramline.batches", "") != "bounded":
         spark.conf.set("tramline.batches", "bounded")
-        spark.conf.set(BATCH_BYTES, str(16 << 20))
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
 
 
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

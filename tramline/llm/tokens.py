@@ -72,20 +72,20 @@ class WordCachedTokenizer:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.lower = self._whole("ABC") == self._whole("abc")
         self.before = "" if self._whole(" a") == self._whole("a") else " "
         self.units: dict[str, bytes] = {}
         self.chunks, self.sizes, self.ids = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.model = Tokenizer.from_file(path)
-        self.model.normalizer = normalizers.Sequence([])
+        self.model = Tokenizer(self.tokenizer.model)  # the vocabulary is held once
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.comma = self.tokenizer.encode(",", add_special_tokens=False).ids[0]
         sizes, ids = self._words(pa.array([w.lower() if self.lower else w for w in PROBE]), self.before)
         if [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] != [self._whole(" " + w) for w in PROBE]:
             self.model = None  # another kind of tokenizer: every unit is encoded in full
+        trim()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
