@@ -49,6 +49,8 @@ TREES = 4
 LEAF = 64
 #: Share of all rows whose shards a query may ask, and of a shard's rows that it looks at, at most; the recall of random vectors follows them, that of clustered ones is higher.
 SHARDS, SEARCH = 0.95, 0.85
+#: Rows seen that are scored together.
+AT_ONCE = 256
 #: What rounding may take from a bound.
 SLACK = 1e-9
 FOUND = "query_id long, vec_id long, score double"
@@ -113,7 +115,24 @@ class Forest:
         """
         seen, n, kth = np.zeros(len(self.x), bool), 0, floor
         rows, scores, best = [], [], np.zeros(0)
-        queue = [(-np.inf, r) for r in self.roots]
+        waiting: list[np.ndarray] = []
+
+        def rank() -> None:
+            """Score the rows that wait, many leaves at a time."""
+            nonlocal best, kth, waiting
+            if not waiting:
+                return
+            fresh, waiting = np.concatenate(waiting), []
+            score = exact(self.x[fresh], q)
+            rows.append(fresh)
+            scores.append(score)
+            best = np.concatenate([best, score])
+            if len(best) > k:
+                best = np.partition(best, len(best) - k)[-k:]
+            if len(best) == k:
+                kth = max(kth, float(best.min()))
+
+        queue, held = [(-np.inf, r) for r in self.roots], 0
         heapq.heapify(queue)
         while queue and n < wanted:
             key, node = heapq.heappop(queue)
@@ -131,14 +150,12 @@ class Forest:
                 continue
             seen[fresh] = True
             n += len(fresh)
-            score = exact(self.x[fresh], q)
-            rows.append(fresh)
-            scores.append(score)
-            best = np.concatenate([best, score])
-            if len(best) > k:
-                best = np.partition(best, len(best) - k)[-k:]
-            if len(best) == k:
-                kth = max(kth, float(best.min()))
+            held += len(fresh)
+            waiting.append(fresh)
+            if held >= AT_ONCE:
+                rank()
+                held = 0
+        rank()
         if not rows:
             return np.zeros(0, np.int64), np.zeros(0)
         at, score = np.concatenate(rows), np.concatenate(scores)
