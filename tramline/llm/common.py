@@ -31,13 +31,22 @@ def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share, with its scheme: spark.checkpoint.dir; on one machine without a cluster, one of our own where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="tramline-"))
-    return _OWN_DIR[0]
+    if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _OWN_DIR:
+            _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="tramline-"))
+        return _OWN_DIR[0]
+    if "://" not in named:  # as Spark reads it: in its default file system
+        path = spark._jvm.org.apache.hadoop.fs.Path(named)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        named = path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
+    if named.startswith("file:/") and not named.startswith("file://"):
+        named = "file://" + named[5:]
+    return named.rstrip("/")
 
 
 def partitions(spark: SparkSession) -> int:
@@ -97,10 +106,6 @@ def filesystem(uri: str):
 
     if uri.startswith(("s3a://", "s3n://")):
         uri = "s3" + uri[3:]
-    if "://" not in uri and not uri.startswith("file:"):
-        uri = f"file://{uri}"
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
     return fs.FileSystem.from_uri(uri)
 
 
