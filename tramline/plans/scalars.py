@@ -700,3 +700,31 @@ def stream_log(spark, d):
     out = spark.read.schema("event_id long").json(f"{base}/out")
     return out.agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("total"))
 
+
+
+@query("""SELECT c_custkey AS osm_id, CASE WHEN c_custkey % 3 = 0 THEN 'node' ELSE 'way' END AS osm_type, 'Hof ' || c_custkey AS name, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS nodes FROM customer WHERE c_custkey % 3 < 2 AND c_custkey % 5 > 0""")
+def map_objects(spark, d):
+    """Named nodes and ways of an extract written and read back; relations and nameless ones are left out."""
+    from tramline.sources import osm
+
+    k = F.col("c_custkey")
+    at = lambda x: F.struct((k % 90 + x).cast("double").alias("lon"), F.lit(53.0).alias("lat"))
+    tags = F.when(k % 5 > 0, F.create_map(F.lit("name"), F.concat(F.lit(" Hof "), k))).otherwise(F.create_map(F.lit("shop"), F.lit("x")))
+    kind = F.when(k % 3 == 0, "node").when(k % 3 == 1, "way").otherwise("relation")
+    rows = table(spark, d, "customer").select(kind.alias("osm_type"), k.alias("osm_id"), F.lit(10.0).alias("lon"), F.lit(53.0).alias("lat"), tags.alias("tags"), F.when(k % 3 == 1, F.array(at(0), at(1))).alias("nodes"))
+    path = f"{folder(spark)}/objects-{uuid.uuid4().hex}"
+    rows.write.json(path)
+    return osm.read_objects(spark, path).select("osm_id", "osm_type", "name", F.size("nodes").alias("nodes"))
+
+
+@query("""SELECT p_partkey AS id, 2 AS parts FROM part WHERE p_partkey % 2 = 0""")
+def map_lines(spark, d):
+    """Railway lines of a Parquet extract; those without two points are left out."""
+    from tramline.sources import osm
+
+    k = F.col("p_partkey")
+    p = lambda x: F.struct((k + x).cast("double").alias("lon"), F.lit(53.0).alias("lat"))
+    parts = F.when(k % 2 == 0, F.array(F.array(p(0), p(1)), F.array(p(3), p(4)))).otherwise(F.array(F.array(p(0))))
+    path = f"{folder(spark)}/lines-{uuid.uuid4().hex}.parquet"
+    table(spark, d, "part").select(k.alias("osm_id"), F.create_map(F.lit("railway"), F.lit("rail")).alias("tags"), parts.alias("parts")).write.parquet(path)
+    return osm.read_lines(spark, path).select("id", F.size("parts").alias("parts"))
