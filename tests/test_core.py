@@ -417,3 +417,12 @@ def test_requests_are_checked(spark):
     for bad in ({"limit": 51}, {"z": 23}, {"date": "8.7.2026"}, {"time": "25:00"}, {"z": 1, "x": 2}):
         with pytest.raises(ValueError):
             api.checked_request(bad)
+
+
+def test_fixture_answers(spark):
+    from tramline.plans.fixture import fixture
+
+    t = fixture(spark)
+    assert [r.public_id for r in api.search_stops(t, "busdorf", ["DE-SH"], ["BUS"]).collect()] == ["de:01056:9100"]
+    assert one(api.stop_metrics(t, "de:02000:8002550", "regular_tue_thu")).fastest_s == 1500
+    assert one(api.list_places(t, "testfeld")).name == "Gut Testfeld"
