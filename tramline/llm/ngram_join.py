@@ -379,16 +379,21 @@ def ordered_sets(sets: DataFrame, work: Workspace) -> DataFrame:
                 for a in range(0, len(h), 65_536):
                     yield pa.RecordBatch.from_arrays([pa.array(h[a : a + 65_536]), pa.array(np.full(len(h[a : a + 65_536]), cls, np.int64))], ["h", "cls"])
 
-    each = work.store(sets.mapInArrow(trimmed(run), "h long, cls long"), "shingles")
+    size = F.col("size")
+    sized = sets.select("cls", "content", F.expr("cast(octet_length(content) / 8 as long)").alias("size"))
+    # sets too much of which no other one holds are left out by counts alone; the rest is counted anew among themselves
+    single = sets.mapInArrow(trimmed(run), "h long, cls long").groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("cls")).where("m = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("single"))
+    sized = sized.join(single, "cls", "left").where((size - F.coalesce("single", F.lit(0))) * DENOMINATOR >= size * NUMERATOR).drop("single")
+    sized = able = work.store(sized, "able")
+    each = work.store(sized.select("cls", "content").mapInArrow(trimmed(run), "h long, cls long"), "shingles")
     held = each.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     common = each.join(held, "h").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("m", "h"))).alias("order"))
-    size = F.col("size")
-    sized = sets.select("cls", F.expr("cast(octet_length(content) / 8 as long)").alias("size")).join(common, "cls").withColumn("common", F.size("order").cast("long"))
+    sized = sized.select("cls", "size").join(common, "cls").withColumn("common", F.size("order").cast("long"))
     first = lambda share: F.greatest(size - F.ceil(size * share[0] / share[1]) + 1 - (size - F.col("common")), F.lit(0))
     larger, smaller = (NUMERATOR, DENOMINATOR), (2 * NUMERATOR, NUMERATOR + DENOMINATOR)
     probe = F.transform(F.slice("order", F.lit(1), first(larger).cast("int")), lambda s: s["h"])
     out = work.store(sized.where(F.col("common") * DENOMINATOR >= size * NUMERATOR).select("cls", "size", "common", probe.alias("probe"), first(smaller).cast("int").alias("n_index")), "ordered")
-    work.drop(each)
+    work.drop(each, able)
     return out
 
 
