@@ -16,6 +16,9 @@ MODULES = {
     "op8_decontamination": "decontaminate",
     "op9_warc": "warc",
     "op10_quality": "quality",
+    "op11_spelling": "spelling",
+    "op12_bestfit": "bestfit",
+    "op13_runs": "periodic",
 }
 
 #: DuckDB SQL where it can express a query over whole tables.
