@@ -11,7 +11,7 @@ from tramline.operators import calendar, journeys, metrics, metrics_run, normali
 from tramline.plans import api
 from tramline.plans.catalog import PLACES, SAMPLES, ST, places, query, samples, stop_times, table
 from tramline.plans.stages import folder
-from tramline.sources import gtfs, registry
+from tramline.sources import gtfs
 
 # --- times and labels ---------------------------------------------------------------
 
@@ -384,14 +384,6 @@ def feed_span(spark, d):
     return gtfs.feed_info({"feed_info": info, "calendar": days})
 
 
-@query("""SELECT 'DE-HB' AS state_code, 'Bremen' AS name, '04' AS official_key, 1 AS rings UNION ALL SELECT 'DE-SH', 'Schleswig-Holstein', '01', 2""")
-def boundary_states(spark, d):
-    """Boundary parts by state: the largest name, the smallest key, all rings."""
-    ring = "array(struct(double(1) as lon, double(2) as lat))"
-    parts = spark.sql(f"select * from values ('Schleswig-Holstein', '01', 0), ('Kreis', '0105', 0), ('Bremen', null, 0), ('Bremen', '04', 1), ('Bayern', '09', 0) t(name, key, part)").withColumn("ring", F.expr(ring))
-    return registry.dissolve(parts.where("not (name = 'Bremen' and key is null)")).select("state_code", "name", F.substring("official_key", 1, 2).alias("official_key"), F.size("rings").alias("rings"))
-
-
 # --- statistics, runs and places --------------------------------------------------------
 
 

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.functions.text import blank_to_null
+from tramline.operators.polygons import union_polygons
+from tramline.plans.stages import stored
+from tramline.sources import geopackage
 from tramline.sources.gtfs import MARKER, REQUIRED, validate_folder
 
 #: States by the first two digits of the official key, and their names.
@@ -135,21 +138,37 @@ def state_of_key(key: Column, name: Column) -> Column:
 
 
 def boundaries(spark: SparkSession, path: str) -> DataFrame:
-    """name, key, ring (points of lon, lat), part of each outer ring of a GeoJSON file of polygons, read by executors."""
-    # geometry stays text until its kind is known: a polygon's rings lie one level deeper in a multipolygon
-    raw = spark.read.text(path, wholetext=True)
-    shape = "struct<features:array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>>"
-    rows = raw.select(F.explode(F.from_json("value", shape)["features"]).alias("f"))
-    many = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
-    one = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
-    polygons = F.when(F.col("f.geometry.type") == "MultiPolygon", many).when(F.col("f.geometry.type") == "Polygon", F.array(one))
-    prop = lambda *names: F.coalesce(*(blank_to_null(F.try_element_at("f.properties", F.lit(n))) for n in names))
-    parts = rows.select(prop("GEN", "gen", "BEZ", "bez", "name").alias("name"), prop("AGS", "ags", "ARS", "ars", "SN_L", "sn_l", "key").alias("key"), F.posexplode(polygons).alias("part", "rings"))
-    ring = F.transform(F.element_at("rings", 1), lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
-    return parts.select("name", "key", "part", ring.alias("ring"))
-
-
-def dissolve(parts: DataFrame) -> DataFrame:
-    """state_code, name, official_key, rings: the outer rings of all parts of a state side by side, for containment."""
-    mapped = parts.withColumn("state_code", state_of_key(F.col("key"), F.col("name"))).where("state_code is not null")
-    return mapped.groupBy("state_code").agg(F.max("name").alias("name"), F.min("key").alias("official_key"), F.collect_list("ring").alias("rings"))
+    """name, key, polygon, nth, ring (points of lon, lat) of each ring, nth 0 the outer one, of a GeoJSON or GeoPackage file of polygons, read by executors."""
+    if path.lower().endswith(".gpkg"):
+        rows = geopackage.read_geopackage(spark, path, choose_layer(geopackage.layers(path)))
+        rings = rows.where(F.col("kind").isin("Polygon", "MultiPolygon")).select("properties", F.col("fid").alias("feature"), F.explode("parts").alias("p"))
+        rings = rings.select("properties", "feature", F.col("p.part").alias("part"), F.col("p.nth").alias("nth"), F.col("p.points").alias("ring"))
+    else:
+        # geometry stays text until its kind is known: a polygon's rings lie one level deeper in a multipolygon
+        raw = spark.read.text(path, wholetext=True)
+        shape = "struct<features:array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>>"
+        rows = raw.select(F.posexplode(F.from_json("value", shape)["features"]).alias("feature", "f"))
+        many = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
+        one = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
+        polygons = F.when(F.col("f.geometry.type") == "MultiPolygon", many).when(F.col("f.geometry.type") == "Polygon", F.array(one))
+        parts = rows.select(F.col("f.properties").alias("properties"), "feature", F.posexplode(polygons).alias("part", "rings"))
+        parts = parts.select("properties", "feature", "part", F.posexplode("rings").alias("nth", "points"))
+        ring = F.transform("points", lambda p: F.struct(F.get(p, F.lit(0)).alias("lon"), F.get(p, F.lit(1)).alias("lat")))
+        rings = parts.select("properties", "feature", "part", "nth", ring.alias("ring"))
+    prop = lambda *names: F.coalesce(*(blank_to_null(F.try_element_at("properties", F.lit(n))) for n in names))
+    return rings.select(
+        prop("GEN", "gen", "BEZ", "bez", "name").alias("name"),
+        prop("AGS", "ags", "ARS", "ars", "SN_L", "sn_l", "key").alias("key"),
+        F.struct(F.col("feature").cast("long").alias("feature"), F.col("part").cast("int").alias("part")).alias("polygon"),
+        F.col("nth").cast("int").alias("nth"),
+        "ring",
+    )
+
+
+def dissolve(rings: DataFrame, store=stored) -> DataFrame:
+    """state_code, name, official_key, rings: the union of all polygons of a state, holes among its rings, for tests by even and odd."""
+    mapped = rings.withColumn("state_code", state_of_key(F.col("key"), F.col("name"))).where("state_code is not null")
+    named = mapped.groupBy("state_code").agg(F.max("name").alias("name"), F.min("key").alias("official_key"))
+    united = union_polygons(mapped.select("state_code", "polygon", "nth", "ring"), ["state_code"], store)
+    shapes = united.groupBy("state_code").agg(F.array_sort(F.collect_list("ring")).alias("rings"))
+    return named.join(shapes, "state_code").select("state_code", "name", "official_key", "rings")
