@@ -153,17 +153,16 @@ def test_tile_bounds_hold_their_points(z, lon, lat):
     assert w - 1e-3 <= mx <= e + 1e-3 and s - 1e-3 <= my <= n + 1e-3
 
 
-def test_connection_scan(spark, tables):
-    active = spark.createDataFrame([("w", 0)], "service_id string, day_offset int")
+def test_reach_of_a_feed(spark, tables):
+    active = lambda offset: spark.createDataFrame([("d", "w", offset)], "date string, service_id string, day_offset int")
     walks = spark.createDataFrame([("c1", "c2", 120), ("m1", "f1", 60)], "from_stop_id string, to_stop_id string, seconds int")
-    con = routing.day_connections(tables["stop_times"], tables["trips"], active)
-    net = routing.Network.build(con, walks)
-    assert {s: (sec, legs) for s, sec, legs in net.scan(["c1"], 7 * 3600 + 1800, 7200)} == {"m1": (3000, 1)}  # t3 lets none alight at its second stop in time; the walk to f1 ends no way
-    samples = spark.createDataFrame([(27000,), (99999,)], "sample int")
-    got = routing.reach(samples, net, ["c1"], 7200, True).collect()
-    assert [(r.sample, r.stop, r.seconds) for r in got] == [(27000, "m1", 3000)]
-    night = routing.Network.build(routing.day_connections(tables["stop_times"], tables["trips"], spark.createDataFrame([("w", 1)], "service_id string, day_offset int")), walks)
-    assert {s for s, *_ in night.scan(["c1"], 3000, 7200)} == {"m1"}
+    con = routing.day_connections(tables["stop_times"], tables["trips"], active(0))
+    samples = spark.createDataFrame([("d", 27000), ("d", 99999)], "date string, sample int")
+    got = routing.reach(samples, con, walks, ["c1"], 7200, round_to_minute=True).collect()
+    assert [(r.sample, r.stop, r.seconds, r.legs) for r in got] == [(27000, "m1", 3000, 1)]  # t3 lets none alight at its second stop in time; the walk to f1 ends no way
+    night = routing.day_connections(tables["stop_times"], tables["trips"], active(1))
+    got = routing.reach(spark.createDataFrame([("d", 3000)], "date string, sample int"), night, walks, ["c1"], 7200)
+    assert {r.stop for r in got.collect()} == {"m1"}
 
 
 def stats(spark, totals, **more):

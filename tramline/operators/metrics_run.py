@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.functions.times import sample_seconds
-from tramline.operators import metrics, routing, store
+from tramline.operators import metrics, routing
+from tramline.operators import store as changes
+from tramline.plans.stages import stored
 
 
 @dataclass
@@ -40,11 +42,24 @@ def check_dates(samples: DataFrame, valid_from: str | None, valid_until: str | N
         raise ValueError(f"samples from {r.a} to {r.b} lie outside {valid_from} to {valid_until}")
 
 
-def check_origin(network: routing.Network, origins: list[str]) -> None:
-    """Raise unless the router knows the origin: what the run's first question must echo."""
-    known = set(network.stops)
-    if not any(o in known for o in origins):
-        raise ValueError(f"the network has none of {', '.join(origins)}")
+def check_origin(connections: DataFrame, origins: list[str]) -> None:
+    """Raise unless some ride of every sampled date leaves or reaches the origin: what the run's first question must echo."""
+    here = F.col("a").isin(origins) | F.col("b").isin(origins)
+    without = connections.groupBy("date").agg(F.bool_or(here).alias("found")).where("not found").select("date").collect()  # one row a date of the profile
+    if without:
+        raise ValueError(f"no rides at {', '.join(origins)} on {', '.join(sorted(str(r.date) for r in without))}")
+
+
+def active_services(service_dates: DataFrame, samples: DataFrame) -> DataFrame:
+    """date, service_id, day_offset: the services of each sampled date, and those of the day before; of service_dates (service_id, service_date, is_active)."""
+    dates = samples.select("date").distinct()
+    runs = service_dates.where("is_active").select("service_id", F.explode(F.array(F.struct(F.col("service_date").alias("date"), F.lit(0).alias("day_offset")), F.struct(F.date_add("service_date", 1).alias("date"), F.lit(1).alias("day_offset")))).alias("r"))
+    return runs.select(F.col("r.date").cast("string").alias("date"), "service_id", "r.day_offset").join(dates, "date", "left_semi").distinct()
+
+
+def wall_clock(date: Column, seconds: Column) -> Column:
+    """Seconds of the wall clock since 1970: one scale for samples of several dates."""
+    return F.unix_date(date.cast("date")).cast("long") * 86400 + seconds
 
 
 def arrivals_at_places(reached: DataFrame, stops: DataFrame) -> DataFrame:
@@ -73,7 +88,7 @@ def sample_log(reached: DataFrame, engine: str, version: str) -> DataFrame:
 
 def write_log(samples: DataFrame, path: str) -> str:
     """Write the raw log as compressed JSON lines; the SHA-256 over its rows in order of sample."""
-    store.write_samples(samples, path)
+    changes.write_samples(samples, path)
     lines = samples.select(F.to_json(F.struct(*samples.columns)).alias("line"), "sample")
     digests = lines.groupBy().agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat(F.lpad(F.col("sample").cast("string"), 10, "0"), F.sha2("line", 256)))), "\n"), 256).alias("d"))
     return digests.first().d  # one line a sample, and a few hundred samples a run
@@ -87,19 +102,25 @@ def write_run(rows: DataFrame, base: str) -> None:
 def finished(runs: DataFrame, run: str, ok: bool, report: Column, now: Column) -> DataFrame:
     """Runs with one completed or failed, its report merged in; other running ones become failed."""
     mine = F.col("id") == run
-    done = store.supersede_runs(runs, run, now)
+    done = changes.supersede_runs(runs, run, now)
     return done.withColumns(
         {
             "status": F.when(mine, F.lit("completed" if ok else "failed")).otherwise(F.col("status")),
             "completed_at": F.when(mine, now).otherwise(F.col("completed_at")),
-            "configuration": F.when(mine, store.merged_report(F.col("configuration"), report)).otherwise(F.col("configuration")),
+            "configuration": F.when(mine, changes.merged_report(F.col("configuration"), report)).otherwise(F.col("configuration")),
         }
     )
 
 
-def run_profile(network: routing.Network, stops: DataFrame, wanted: DataFrame, profile: Profile, run: str, origin: str, origins: list[str]) -> DataFrame:
-    """Scan all samples of a profile's first date and reduce them to metric rows; one network serves one date."""
-    check_origin(network, origins)
-    grid = sample_times(stops.sparkSession, profile).where(F.col("date") == min(profile.dates)).select("sample")
-    reached = routing.reach(grid, network, origins, profile.max_trip_s, round_to_minute=True)
-    return metric_rows(reached, stops, wanted, profile, run, origin, len(range(profile.start_s, profile.end_s, profile.interval_s)))
+def run_profile(times: DataFrame, trips: DataFrame, service_dates: DataFrame, walks: DataFrame, stops: DataFrame, wanted: DataFrame, profile: Profile, run: str, origin: str, origins: list[str], change: int = 0, store=stored) -> DataFrame:
+    """All samples of all dates of a profile, reduced to a row for each target.
+
+    first_sample and last_sample, and the widest gap, are on one scale over the
+    dates: seconds of the wall clock since 1970.
+    """
+    samples = sample_times(stops.sparkSession, profile)
+    connections = store(routing.day_connections(times, trips, active_services(service_dates, samples)))
+    check_origin(connections, origins)
+    reached = routing.reach(samples, connections, walks, origins, profile.max_trip_s, change, round_to_minute=True, store=store)
+    reached = reached.withColumn("sample", wall_clock(F.col("date"), F.col("sample")))
+    return metric_rows(reached, stops, wanted, profile, run, origin, len(profile.dates) * len(range(profile.start_s, profile.end_s, profile.interval_s)))

@@ -1,124 +1,103 @@
-"""Earliest arrivals on a schedule by connection scan, one task's work per departure sample.
+"""Earliest arrivals on a schedule in rounds, one ride more in each, as joins over all departure samples at once.
 
-The day's connections, sorted by departure, go to the executors as arrays: their
-number is that of one service day's stop times, checked against a bound, and
-not that of the samples.  Each sample is one row, so samples spread over tasks.
+A round finds the trips that the stops reached anew can board, and what these
+trips reach from there; a trip is boarded once a sample, and again only for the
+stretch before an earlier boarding.  Samples, stops and trips are rows: no
+network is held on the driver or in a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions.geo import haversine_m
 from tramline.operators.normalise import boards
+from tramline.plans.stages import stored
 
-#: Connections sent to executors at most (28 bytes each); a larger network is split by region or time first.
-MAX_CONNECTIONS = 50_000_000
-REACHED = "sample int, stop string, seconds int, legs int, position int"
+#: Seconds of a stretch of the day: stops are asked for departures by stretch, so that a busy stop is many keys.
+STRETCH_S = 1800
 
 
 def day_connections(times: DataFrame, trips: DataFrame, active: DataFrame) -> DataFrame:
-    """dep, arr, a, b, trip of every ride between neighbouring stops on one day.
+    """date, trip, a, b, dep, arr, board, alight of every ride between neighbouring stops on the days of active.
 
-    active: service_id and day_offset, 0 for the day's services and 1 for the
-    day before, whose times past midnight count less 24 hours.
+    active: date, service_id and day_offset, 0 for the services of that date
+    and 1 for those of the day before, whose times past midnight count less 24
+    hours.  Rides that begin before midnight or arrive before they depart are
+    left out.
     """
-    run = trips.join(active, "service_id").select("trip_id", (F.col("day_offset") * -86400).alias("shift"))
-    order = Window.partitionBy("trip_id", "shift").orderBy("stop_sequence")
-    rows = times.where("arrival_s is not null or departure_s is not null").join(run, "trip_id")
+    run = trips.join(active, "service_id").select("date", "trip_id", (F.col("day_offset") * -86400).alias("shift"))
+    order = Window.partitionBy("trip_id").orderBy("stop_sequence")
     nxt = lambda c: F.lead(c).over(order)
-    rows = rows.select(
-        F.concat_ws("@", "trip_id", "shift").alias("trip"),
+    rides = times.where("arrival_s is not null or departure_s is not null").select(
+        "trip_id",
         F.col("stop_id").alias("a"),
         nxt("stop_id").alias("b"),
-        (F.coalesce("departure_s", "arrival_s") + F.col("shift")).alias("dep"),
-        (nxt(F.coalesce("arrival_s", "departure_s")) + F.col("shift")).alias("arr"),
+        F.coalesce("departure_s", "arrival_s").alias("dep"),
+        nxt(F.coalesce("arrival_s", "departure_s")).alias("arr"),
         boards(F.col("pickup_type")).alias("board"),
         boards(nxt("drop_off_type")).alias("alight"),
     )
-    return rows.where("b is not null and dep >= 0 and arr >= dep")
-
-
-@dataclass
-class Network:
-    """A day's connections in order of departure, by number, and the walks between stops."""
-
-    stops: list[str]
-    dep: np.ndarray
-    arr: np.ndarray
-    a: np.ndarray
-    b: np.ndarray
-    trip: np.ndarray
-    board: np.ndarray
-    alight: np.ndarray
-    walks: dict[int, list[tuple[int, int]]]
-    change: int
-
-    @classmethod
-    def build(cls, connections: DataFrame, walks: DataFrame, change: int = 0) -> Network:
-        n = connections.count()
-        if n > MAX_CONNECTIONS:
-            raise ValueError(f"{n} connections exceed the bound of {MAX_CONNECTIONS}")
-        c = connections.orderBy("dep", "arr", "trip").toPandas()
-        w = walks.select("from_stop_id", "to_stop_id", F.col("seconds").cast("int").alias("seconds")).toPandas()
-        stops = sorted(set(c.a) | set(c.b) | set(w.from_stop_id) | set(w.to_stop_id))
-        at = {s: i for i, s in enumerate(stops)}
-        number = lambda x: x.map(at).to_numpy(np.int64)
-        table: dict[int, list[tuple[int, int]]] = {}
-        for i, j, s in zip(number(w.from_stop_id), number(w.to_stop_id), w.seconds, strict=True):
-            if i != j:
-                table.setdefault(int(i), []).append((int(j), int(s)))
-        return cls(stops, c.dep.to_numpy(), c.arr.to_numpy(), number(c.a), number(c.b), pd.factorize(c.trip)[0], c.board.to_numpy(bool), c.alight.to_numpy(bool), table, change)
-
-    def scan(self, origins: list[str], start: int, horizon: int) -> list[tuple[str, int, int]]:
-        """(stop, seconds after start, rides) of each stop reached by a ride; a walk may begin a way but not end it."""
-        inf = 1 << 40
-        ready = np.full(len(self.stops), inf)  # may board from
-        rode = np.full(len(self.stops), inf)  # arrived in a vehicle
-        rides, arrived = np.zeros(len(self.stops), int), np.zeros(len(self.stops), int)
-        at = {s: i for i, s in enumerate(self.stops)}
-        for s in origins:
-            if s in at:
-                ready[at[s]] = start
-                for j, sec in self.walks.get(at[s], []):
-                    ready[j] = min(ready[j], start + sec)
-        on: dict[int, int] = {}
-        lo, hi = np.searchsorted(self.dep, [start, start + horizon + 1])
-        for k in range(lo, hi):
-            t, a, b = self.trip[k], self.a[k], self.b[k]
-            if t not in on and self.board[k] and ready[a] <= self.dep[k]:
-                on[t] = rides[a] + 1
-            if t in on and self.alight[k] and self.arr[k] <= start + horizon:
-                if self.arr[k] < rode[b]:
-                    rode[b], arrived[b] = self.arr[k], on[t]
-                if self.arr[k] + self.change < ready[b]:
-                    ready[b], rides[b] = self.arr[k] + self.change, on[t]
-                for j, sec in self.walks.get(int(b), []):
-                    if self.arr[k] + sec < ready[j]:
-                        ready[j], rides[j] = self.arr[k] + sec, on[t]
-        return [(self.stops[i], int(rode[i] - start), int(arrived[i])) for i in np.flatnonzero(rode < inf)]
-
-
-def reach(samples: DataFrame, network: Network, origins: list[str], horizon: int = 7200, round_to_minute: bool = False) -> DataFrame:
-    """REACHED: what each sample (its start in seconds) reaches within the horizon."""
-    sent = samples.sparkSession.sparkContext.broadcast(network)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for start in pdf["sample"]:
-                for k, (stop, seconds, legs) in enumerate(sent.value.scan(origins, int(start), horizon)):
-                    rows.append((start, stop, int(np.floor(seconds / 60 + 0.5)) * 60 if round_to_minute else seconds, legs, k))
-            if rows:
-                yield pd.DataFrame(rows, columns=["sample", "stop", "seconds", "legs", "position"])
-
-    return samples.select(F.col("sample").cast("int").alias("sample")).mapInPandas(run, REACHED)
+    # a trip's rides are found once, whatever the number of its dates
+    rows = rides.where("b is not null and arr >= dep").join(run, "trip_id")
+    trip = F.concat_ws("@", "trip_id", "shift").alias("trip")
+    return rows.select("date", trip, "a", "b", (F.col("dep") + F.col("shift")).alias("dep"), (F.col("arr") + F.col("shift")).alias("arr"), "board", "alight").where("dep >= 0")
+
+
+def reach(samples: DataFrame, connections: DataFrame, walks: DataFrame, origins: list[str], horizon: int = 7200, change: int = 0, round_to_minute: bool = False, store=stored) -> DataFrame:
+    """date, sample, stop, seconds, legs, position: the earliest arrival in a vehicle within the horizon at each stop, and its fewest rides.
+
+    samples: date, sample (its start in seconds of the day); walks:
+    from_stop_id, to_stop_id, seconds.  A walk may begin a way or follow a
+    ride, but not end the way; between two rides at one stop lie change seconds,
+    between two stops the walk.  A trip is ridden in the order of its departures
+    (then arrivals), from where it is boarded on.  position numbers the stops
+    of a sample by name.  store(df) writes a frame and returns it reread.
+    """
+    key = ["date", "sample"]
+    rides = store(connections)
+    stretch = lambda c: F.floor(c / STRETCH_S).cast("int")
+    boardable = rides.where("board").select("date", F.col("a").alias("stop"), stretch(F.col("dep")).alias("stretch"), "trip", "dep", "arr")
+    alighting = rides.where("alight").select("date", "trip", "b", "dep", "arr")
+    foot = walks.where("from_stop_id != to_stop_id").groupBy(F.col("from_stop_id").alias("stop"), F.col("to_stop_id").alias("to")).agg(F.min("seconds").alias("walk"))
+
+    def first_at(offers: DataFrame) -> DataFrame:
+        return offers.groupBy(*key, "stop").agg(F.min("at").alias("at"))
+
+    def on_foot(at: DataFrame) -> DataFrame:
+        return at.join(foot, "stop").select(*key, F.col("to").alias("stop"), (F.col("at") + F.col("walk")).alias("at"))
+
+    begun = samples.select("date", F.col("sample").cast("long").alias("sample")).distinct()
+    begun = begun.select(*key, F.explode(F.array(*(F.lit(o) for o in origins))).alias("stop"), F.col("sample").alias("at"))
+    marks = ready = store(first_at(begun.unionByName(on_foot(begun))))
+    boarded = arrived = None
+    legs = 0
+    while True:
+        legs += 1
+        until = F.col("sample") + horizon
+        asks = marks.select(*key, "stop", "at", F.explode(F.sequence(stretch(F.col("at")), F.greatest(stretch(F.col("at")), stretch(until)))).alias("stretch"))
+        on = asks.join(boardable, ["date", "stop", "stretch"]).where((F.col("dep") >= F.col("at")) & (F.col("dep") <= until))
+        on = on.groupBy(*key, "trip").agg(F.min(F.struct("dep", "arr")).alias("since"))
+        if boarded is None:
+            on = store(on.withColumn("before", F.lit(None).cast(on.schema["since"].dataType)))
+            boarded = on.drop("before")
+        else:
+            on = store(on.join(boarded.withColumnRenamed("since", "before"), [*key, "trip"], "left").where("before is null or since < before"))
+            boarded = store(boarded.unionByName(on.drop("before")).groupBy(*key, "trip").agg(F.min("since").alias("since")))
+        this = F.struct("dep", "arr")
+        out = on.join(alighting, ["date", "trip"]).where((F.col("arr") <= until) & (this >= F.col("since")) & (F.col("before").isNull() | (this < F.col("before"))))
+        out = store(out.groupBy(*key, F.col("b").alias("stop")).agg(F.min("arr").alias("at")))
+        found = out.select(*key, "stop", F.struct("at", F.lit(legs).alias("legs")).alias("best"))
+        arrived = found if arrived is None else store(arrived.unionByName(found).groupBy(*key, "stop").agg(F.min("best").alias("best")))
+        offers = first_at(out.withColumn("at", F.col("at") + change).unionByName(on_foot(out)))
+        marks = store(offers.join(ready.withColumnRenamed("at", "known"), [*key, "stop"], "left").where("known is null or at < known").drop("known"))
+        if not marks.limit(1).count():
+            break
+        ready = store(first_at(ready.unionByName(marks)))
+    seconds = F.col("best.at") - F.col("sample")
+    position = F.row_number().over(Window.partitionBy(*key).orderBy("stop")) - 1
+    return arrived.select(*key, "stop", (F.floor(seconds / 60 + 0.5) * 60 if round_to_minute else seconds).cast("int").alias("seconds"), F.col("best.legs").alias("legs"), position.alias("position"))
 
 
 def not_dominated(options: DataFrame, group: list[str], key: str, criteria: list[str], strict: bool = False) -> DataFrame:

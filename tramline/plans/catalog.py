@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tramline.functions import geo, modes, text, times
-from tramline.operators import calendar, journeys, metrics, mvt, normalise, poi, rail, routing, store
+from tramline.operators import calendar, journeys, metrics, metrics_run, mvt, normalise, poi, rail, routing, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -360,16 +360,38 @@ def earliest_arrival(spark, d):
     return routing.two_leg_arrivals(stop_times(spark, d).select("trip_id", "stop_sequence", "stop", "departure_s", "arrival_s"), F.col("a") == 1, 120)
 
 
+def _calls(spark, d):
+    """Stop times as text ids, and their trips with the service of their order's priority."""
+    t = stop_times(spark, d).select(F.col("trip_id").cast("string").alias("trip_id"), "stop_sequence", F.col("stop").cast("string").alias("stop_id"), "arrival_s", "departure_s", "pickup_type", "drop_off_type")
+    trips = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("trip_id"), F.col("o_orderpriority").alias("service_id"))
+    return t, trips
+
+
+def _no_walks(spark) -> DataFrame:
+    return spark.createDataFrame([], "from_stop_id string, to_stop_id string, seconds int")
+
+
 @query()
 def reachability_scan(spark, d):
-    """Connection scan over all trips for the 336 samples of a 28-hour day: stops reached, seconds and rides."""
-    t = stop_times(spark, d).select(F.col("trip_id").cast("string").alias("trip_id"), "stop_sequence", F.col("stop").cast("string").alias("stop_id"), "arrival_s", "departure_s", "pickup_type", "drop_off_type")
-    trips = t.select("trip_id").distinct().withColumn("service_id", F.lit("day"))
-    active = spark.range(1).select(F.lit("day").alias("service_id"), F.lit(0).alias("day_offset"))
-    walks = spark.createDataFrame([], "from_stop_id string, to_stop_id string, seconds int")
-    network = routing.Network.build(routing.day_connections(t, trips, active), walks, 60)
-    grid = spark.range(1).select(F.explode(times.sample_seconds(0, 28 * 3600, 300)).alias("sample")).repartition(12)
-    return routing.reach(grid, network, ["1"], 7200)
+    """Earliest arrivals over all trips for the 336 samples of a 28-hour day: stops reached, seconds and rides."""
+    t, trips = _calls(spark, d)
+    active = trips.select("service_id").distinct().select(F.lit("day").alias("date"), "service_id", F.lit(0).alias("day_offset"))
+    grid = spark.range(1).select(F.lit("day").alias("date"), F.explode(times.sample_seconds(0, 28 * 3600, 300)).alias("sample"))
+    return routing.reach(grid, routing.day_connections(t, trips, active), _no_walks(spark), ["1"], 7200, 60).drop("date")
+
+
+@query()
+def profile_run(spark, d):
+    """A metric run over three dates, on each of which the orders of some priorities run: a row for each supplier."""
+    t, trips = _calls(spark, d)
+    days = F.array(*(F.to_date(F.lit(x)) for x in ("2026-07-06", "2026-07-07", "2026-07-08", "2026-07-09")))
+    # 1-URGENT runs every day, 2-HIGH not on the first, and so on
+    dates = trips.select("service_id").distinct().select("service_id", F.explode(days).alias("service_date")).withColumn("is_active", F.dayofmonth("service_date") >= F.left("service_id", F.lit(1)).cast("int") + 5)
+    stops = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("stop_id"), F.concat(F.lit("p"), "s_suppkey").alias("stop_place_id"))
+    wanted = stops.select(F.col("stop_place_id").alias("place"))
+    profile = metrics_run.Profile("three", ["2026-07-09", "2026-07-07", "2026-07-08"], 0, 3600, 300, 5400)
+    out = metrics_run.run_profile(t, trips, dates, _no_walks(spark), stops, wanted, profile, "run", "p1", ["1"], 60)
+    return out.select("destination", "reachable_count", "sample_count", "fastest_s", "first_sample", "last_sample", "max_gap", "min_transfers", "direct_count")
 
 
 # --- changes, search and points of interest -------------------------------------------
