@@ -2,9 +2,11 @@
 
 import collections
 import datetime
+import random
 
 from tramline.operators import rail
 from tramline.plans import catalog
+from tramline.plans.stages import stored
 
 
 def write(spark, folder, name, rows, schema):
@@ -39,18 +41,58 @@ def test_graph_of_all_line_items(spark, tmp_path):
     assert len(want) >= 5 and got == want
 
 
-def test_bounded_search_finds_the_cheapest_ways():
-    import random
-
+def tangle(rng, name):
+    """A random graph with long chains, parallel edges, loops, dead ends, a ring of its own and edges that cost nothing."""
+    edges = [(f"{name}{rng.randrange(9)}", f"{name}{rng.randrange(9)}", float(rng.randrange(6))) for _ in range(rng.randrange(4, 22))]
+    out = []
+    for a, b, c in edges:
+        at = a
+        for i in range(rng.choice([0, 0, 1, 5])):
+            n = f"{a}-{b}-{len(out)}-{i}"
+            out.append((at, n, float(rng.randrange(4))))
+            at = n
+        out.append((at, b, c))
+    out += [(f"{name}r{i}", f"{name}r{(i + 1) % 5}", 1.0) for i in range(5)]
+    out = [(a, b, c) if rng.random() < 0.5 else (b, a, c) for a, b, c in out]
+    rng.shuffle(out)
+    return out
+
+
+def test_ways_through_tangles(spark):
     rng = random.Random(5)
-    for _ in range(40):
-        edges = [(f"e{i}", f"n{rng.randrange(12)}", f"n{rng.randrange(12)}", float(rng.randrange(5))) for i in range(rng.randrange(5, 30))]
-        pairs = [(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}") for _ in range(9)]
-        total = collections.Counter()
-        for s, t, _, _, c in rail.dijkstra(edges, [(s, t) for s, t in pairs if s != t]):
-            total[s, t] += c
-        cost = {s: cheapest([e[1:] for e in edges], s) for s, _ in pairs}
-        assert dict(total) == {(s, t): cost[s][t] for s, t in pairs if s != t and t in cost[s]}
+    edges, pairs = [], []
+    for g in range(14):
+        own = tangle(rng, f"g{g}n")
+        nodes = sorted({n for a, b, _ in own for n in (a, b)})
+        edges += own
+        pairs += [(rng.choice(nodes), rng.choice(nodes)) for _ in range(8)] + [(f"g{g}nr0", f"g{g}nr3")]
+    df = stored(spark.createDataFrame([(i, *e) for i, e in enumerate(edges)], "edge_id long, source string, target string, cost double"))
+    found = collections.defaultdict(list)
+    for r in rail.shortest_paths(df, spark.createDataFrame(pairs + pairs[:3], "source string, target string"), rail.components(df, stored)).collect():
+        found[r.source, r.target].append((r.step, int(r.edge_id), r.cost))
+    want = {}
+    for s, t in pairs:
+        costs = cheapest(edges, s)
+        if s != t and t in costs:
+            want[s, t] = costs[t]
+    assert set(found) == set(want) and len(want) > 60
+    for (s, t), way in found.items():
+        assert sum(c for *_, c in way) == want[s, t] and sorted(x[0] for x in way) == list(range(len(way)))
+        at = s
+        for _, e, c in sorted(way):
+            a, b, cost = edges[e]
+            assert at in (a, b) and c == cost
+            at = b if at == a else a
+        assert at == t
+
+
+def test_no_edges_or_pairs(spark):
+    edges = spark.createDataFrame([("e", "a", "b", 1.0)], "edge_id string, source string, target string, cost double")
+    pairs = spark.createDataFrame([("a", "b")], "source string, target string")
+    labels = rail.components(edges, stored)
+    assert [tuple(r) for r in rail.shortest_paths(edges, pairs, labels).collect()] == [("a", "b", 0, "e", 1.0)]
+    assert rail.shortest_paths(edges, pairs.where("false"), labels).collect() == []
+    assert rail.shortest_paths(edges.where("false"), pairs, rail.components(edges.where("false"), stored)).collect() == []
 
 
 def test_every_order_has_service_dates(spark, tmp_path):

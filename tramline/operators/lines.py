@@ -1,48 +1,52 @@
-"""Lines put together at the places where exactly two of them end."""
+"""Lines, and edges of graphs, put together at the places where exactly two of them end."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramline.operators.chains import joined_points, ranked
 
 
-def _end(line: Column, first: bool) -> Column:
-    return F.element_at(line, 1 if first else -1)
+def chained(parts: DataFrame, store, stay: DataFrame | None = None) -> DataFrame:
+    """g, part, chain, nth, back of parts (g, part, first, last): where each stands in its chain, and whether it is run from last to first.
 
-
-def merge_lines(lines: DataFrame, by: list[str], store) -> DataFrame:
-    """by, part, line of lines (by, part, line), part a number of its own within by: chains as long as they come, of lines in any order and direction.
-
-    Lines join at a place where two ends of the same group meet and no third;
-    where more meet, all of them end.  A merged line carries its smallest part
-    and runs in that one's direction; a ring begins with it.  A line closed in
-    itself stays as it is, and both its ends count.  Lines of fewer than two
-    points are left out.  Places are equal if their coordinates are.
-
-    Ends are counted, not listed, so any number of them may meet in a place.
+    Parts join at a place where two ends of the same g meet and no third, but
+    at none of stay (g, at).  A chain is named by its smallest part and runs in
+    that one's direction; a ring begins with it.  A part closed in itself is a
+    chain of its own, and both its ends count.  Ends are counted, not listed,
+    so any number of them may meet in a place.
     """
-    kept = lines.where(F.size("line") >= 2).select(*by, "part", "line")
-    group = F.struct(*by) if by else F.lit(0)
-    ends = kept.select(group.alias("g"), "part", F.posexplode(F.array(_end(F.col("line"), True), _end(F.col("line"), False))).alias("end", "at"), (_end(F.col("line"), True) == _end(F.col("line"), False)).alias("closed"))
+    closed = F.col("first") == F.col("last")
+    ends = parts.select("g", "part", F.posexplode(F.array("first", "last")).alias("end", "at"), closed.alias("closed"))
     meet = ends.groupBy("g", "at").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("part", "end")).alias("a"), F.max(F.struct("part", "end")).alias("b"), F.bool_or("closed").alias("closed"))
     meet = meet.where("n = 2 and not closed")
+    meet = meet if stay is None else meet.join(stay, ["g", "at"], "left_anti")
     # who arrives at a's end leaves by b's: forward from its first point, backward from its last
     dart = lambda x, backward: F.struct("g", x["part"].alias("part"), backward.alias("back"))
     arrives, leaves = lambda x: dart(x, x["end"] == 0), lambda x: dart(x, x["end"] == 1)
-    steps = meet.select(F.explode(F.array(F.struct(arrives(F.col("a")).alias("id"), leaves(F.col("b")).alias("next")), F.struct(arrives(F.col("b")).alias("id"), leaves(F.col("a")).alias("next")))).alias("s")).select("s.*")
+    a, b = F.col("a"), F.col("b")
+    steps = meet.select(F.explode(F.array(F.struct(arrives(a).alias("id"), leaves(b).alias("next")), F.struct(arrives(b).alias("id"), leaves(a).alias("next")))).alias("s")).select("s.*")
     steps = store(steps)
-    # both ways along every line that joins another
+    # both ways along every part that joins another
     met = steps.select("id.g", "id.part").unionByName(steps.select("next.g", "next.part")).distinct()
     darts = met.select(F.explode(F.array(F.struct("g", "part", F.lit(False).alias("back")), F.struct("g", "part", F.lit(True).alias("back")))).alias("id"))
-    order = ranked(darts.join(steps, "id", "left"), store)
-    order = order.select("id.g", "id.part", "id.back", "last", "left")
-    own = kept.select(group.alias("g"), *by, "part", "line")
-    on = order.join(own, ["g", "part"])
+    order = store(ranked(darts.join(steps, "id", "left"), store))
+    least = order.groupBy("last").agg(F.min(F.struct("id.part", "id.back")).alias("least")).where("not least.back")  # the others are the same chains the other way round
+    on = order.join(least, "last").select("id.g", "id.part", F.col("least.part").alias("chain"), (-F.col("left")).alias("nth"), "id.back")
+    alone = parts.join(met, ["g", "part"], "left_anti").select("g", "part", F.col("part").alias("chain"), F.lit(0).cast("long").alias("nth"), F.lit(False).alias("back"))
+    return on.unionByName(alone)
+
+
+def merge_lines(lines: DataFrame, by: list[str], store) -> DataFrame:
+    """by, part, line of lines (by, part, line), part a number of its own within by: chains as long as they come, of lines in any order and direction.
+
+    Places are equal if their coordinates are.  A merged line carries its
+    smallest part; lines of fewer than two points are left out.  See chained.
+    """
+    group = F.struct(*by) if by else F.lit(0)
+    kept = lines.where(F.size("line") >= 2).select(group.alias("g"), "part", "line")
+    order = chained(kept.select("g", "part", F.get("line", F.lit(0)).alias("first"), F.get("line", F.size("line") - 1).alias("last")), store)
     line = F.when(F.col("back"), F.reverse("line")).otherwise(F.col("line"))
-    chains = on.groupBy("last", *by).agg(F.min(F.struct("part", "back")).alias("least"), F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("nth"), line.alias("line")))).alias("parts"))
-    chains = chains.where("not least.back")  # the same chain the other way round
-    merged = chains.select(*by, F.col("least.part").alias("part"), joined_points(F.transform("parts", lambda p: p["line"])).alias("line"))
-    alone = own.join(met, ["g", "part"], "left_anti").select(*by, "part", "line")
-    return alone.unionByName(merged)
+    chains = order.join(kept, ["g", "part"]).groupBy("g", "chain").agg(F.array_sort(F.collect_list(F.struct("nth", line.alias("line")))).alias("parts"))
+    return chains.select(*(F.col("g")[c].alias(c) for c in by), F.col("chain").alias("part"), joined_points(F.transform("parts", lambda p: p["line"])).alias("line"))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
-import math
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions.geo import cell, haversine_m, line_length, mercator
+from tramline.operators.lines import chained, merge_lines
+from tramline.plans.stages import stored
 
 #: Track kinds taken, service kinds made dear, and by how much.
 RAILWAYS = ("rail", "light_rail", "subway", "tram")
@@ -84,6 +82,12 @@ def way_parts(ways: DataFrame) -> DataFrame:
     return ways.withColumn("_m", merged).select(*(c for c in ways.columns if c != "parts"), F.posexplode("_m").alias("part", "line"))
 
 
+def merged_ways(ways: DataFrame, store) -> DataFrame:
+    """Ways (id, tags, parts: lines) with one row a line (id, tags, part, line); parts in any order and direction are one where they meet, see merge_lines."""
+    each = ways.select("id", F.posexplode("parts").alias("part", "line"))
+    return ways.select("id", "tags").join(merge_lines(each, ["id"], store), "id").select("id", "tags", "part", "line")
+
+
 def rail_ways(ways: DataFrame) -> DataFrame:
     """Ways (id, tags map, line) that carry trains today, at least 10 m long."""
     tag = lambda k: F.coalesce(F.try_element_at("tags", F.lit(k)), F.lit(""))
@@ -192,76 +196,82 @@ def components(edges: DataFrame, store) -> DataFrame:
         labels = after.select("node", "component")
 
 
-def dijkstra(edges: list[tuple[str, str, str, float]], pairs: list[tuple[str, str]]) -> list[tuple]:
-    """(source, target, step, edge, cost) along the cheapest way of each pair, edges both ways; nothing where there is none.
+def contracted(edges: DataFrame, stay: DataFrame, store) -> tuple[DataFrame, DataFrame]:
+    """(ways, members) of edges (edge_id, source, target, cost): edges put together over nodes where two meet, but not over those of stay (node).
 
-    Costs are not negative.  Ways dearer than the dearest known one to a target
-    still sought are not followed; edges lie by cost, so the rest of a node's is
-    skipped.  Ways of two edges give the first bound.
+    ways: way, source, target, cost; members: way, nth, edge_id, cost, in the order from source to target.
+    """
+    parts = edges.select(F.lit(0).alias("g"), F.col("edge_id").cast("string").alias("part"), F.col("source").alias("first"), F.col("target").alias("last"), "cost")
+    order = chained(parts.drop("cost"), store, stay.select(F.lit(0).alias("g"), F.col("node").alias("at")))
+    rows = store(order.join(parts, ["g", "part"]).select(F.col("chain").alias("way"), "nth", F.col("part").alias("edge_id"), "cost", F.when(F.col("back"), F.col("last")).otherwise(F.col("first")).alias("source"), F.when(F.col("back"), F.col("first")).otherwise(F.col("last")).alias("target")))
+    ways = rows.groupBy("way").agg(F.min_by("source", "nth").alias("source"), F.max_by("target", "nth").alias("target"), F.sum("cost").alias("cost"))
+    return ways, rows.select("way", "nth", "edge_id", "cost")
+
+
+def cheapest(arcs: DataFrame, asked: DataFrame, store) -> DataFrame:
+    """source, target, cost, path of pairs (source, target) over arcs (a, b, cost, way, back): the cheapest path, as its arcs' (way, back).
+
+    All sources are searched at once.  A round follows the arcs from the nodes
+    reached at less cost than before; a node is reached within its source's
+    bound only, which begins small, doubles until the source's targets are
+    found, and falls to the dearest of them once all are known.  So what is
+    held of a source is what lies not much farther than its targets, whatever
+    the size of the graph.  Costs are not negative; of equal paths that with the
+    fewest arcs counts, then the smallest.
+    """
+    arcs = store(arcs)
+    scale = arcs.agg(F.avg("cost").alias("mean"), F.sum("cost").alias("total")).first()
+    path = f"array<struct<way:{arcs.schema['way'].dataType.simpleString()},back:boolean>>"
+    if scale.mean is None:
+        return asked.select("source", "target", F.lit(0.0).alias("cost"), F.array().cast(path).alias("path")).limit(0)
+    left = store(asked.distinct())
+    known = left.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.array().cast(path).alias("path")).distinct()
+    bound, found = 4 * scale.mean, None
+    while True:
+        known = store(known)
+        frontier, bounds = known, left.select("source").distinct().withColumn("bound", F.lit(bound))
+        while True:
+            step = F.struct((F.col("f.cost") + F.col("r.cost")).alias("cost"), F.concat("f.path", F.array(F.struct("r.way", "r.back"))).alias("path"))
+            offers = frontier.alias("f").join(arcs.alias("r"), F.col("f.node") == F.col("r.a")).select("f.source", F.col("r.b").alias("node"), step.alias("best"))
+            offers = offers.join(bounds, "source").where("best.cost <= bound").groupBy("source", "node").agg(F.min("best").alias("best"))
+            before = known.select("source", "node", F.col("cost").alias("_cost"))
+            frontier = store(offers.join(before, ["source", "node"], "left").where("_cost is null or best.cost < _cost").select("source", "node", "best.cost", "best.path"))
+            if not frontier.limit(1).count():
+                break
+            known = store(known.join(frontier, ["source", "node"], "left_anti").unionByName(frontier))
+            at = left.join(known.withColumnRenamed("node", "target"), ["source", "target"], "left")
+            dearest = at.groupBy("source").agg(F.max("cost").alias("dearest"), F.count_if(F.col("cost").isNull()).alias("missing"))
+            bounds = store(dearest.select("source", F.when(F.col("missing") == 0, F.least(F.col("dearest"), F.lit(bound))).otherwise(F.lit(bound)).alias("bound")))
+        reached = left.join(known.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", "cost", "path")
+        found = store(reached if found is None else found.unionByName(reached))
+        left = store(left.join(found, ["source", "target"], "left_anti"))
+        if bound > scale.total or not left.limit(1).count():
+            return found
+        bound *= 2
+        known = known.join(left.select("source").distinct(), "source", "left_semi")
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, labels: DataFrame, store=stored) -> DataFrame:
+    """source, target, step, edge_id, cost along the cheapest way of each pair within one component, edges both ways.
+
+    Nodes where two edges meet are passed over first, so a search takes as many
+    rounds as its way has junctions.
     """
-    around: dict[str, list[tuple[float, str, str]]] = {}
-    for e, a, b, c in edges:
-        around.setdefault(a, []).append((c, b, e))
-        around.setdefault(b, []).append((c, a, e))
-    for near in around.values():
-        near.sort()
-    wanted: dict[str, set[str]] = {}
-    for s, t in pairs:
-        wanted.setdefault(s, set()).add(t)
-    out = []
-    for s, targets in sorted(wanted.items()):
-        done: dict[str, float] = {}
-        back: dict[str, tuple[str, str, float]] = {}
-        queue, left = [(0.0, s, "", "", 0.0)], set(targets)
-        first: dict[str, float] = {}
-        for c, n, _ in around.get(s, []):
-            first.setdefault(n, c)
-        known = {t: min((c + first[n] for c, n, _ in around.get(t, []) if n in first), default=math.inf) for t in targets}
-        limit, best = max(known.values()), {}
-        while queue and left:
-            d, node, came, edge, cost = heapq.heappop(queue)
-            if node in done:
-                continue
-            done[node], back[node] = d, (came, edge, cost)
-            if node in left:
-                left.discard(node)
-                limit = max((known[t] for t in left), default=d)
-            for c, n, e in around.get(node, []):
-                if d + c > limit:
-                    break
-                if n not in done and (n not in best or (d + c, node, e) < best[n]):
-                    best[n] = (d + c, node, e)
-                    heapq.heappush(queue, (d + c, n, node, e, c))
-                    if n in left and d + c < known[n]:
-                        known[n] = d + c
-                        limit = max(known[t] for t in left)
-        for t in sorted(targets & done.keys()):
-            way, node = [], t
-            while node != s:
-                came, edge, cost = back[node]
-                way.append((edge, cost))
-                node = came
-            out += [(s, t, i, e, c) for i, (e, c) in enumerate(reversed(way))]
-    return out
-
-
-def shortest_paths(edges: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """source, target, step, edge_id, cost of each pair within one component; a component's graph is one task's work."""
     of = labels.withColumnRenamed("node", "source")
-    own = edges.join(of, "source").select("component", "edge_id", "source", "target", "cost")
     other = labels.select(F.col("node").alias("target"), F.col("component").alias("c2"))
-    asked = pairs.select("source", "target").distinct().where("source != target").join(of, "source").join(other, "target").where("component = c2").select("component", "source", "target")
-    asked = asked.select(F.col("component").alias("part"), F.col("source").alias("s"), F.col("target").alias("t"))
-    own = own.join(asked.select(F.col("part").alias("component")).distinct(), "component", "left_semi")
-
-    def run(key: tuple, graph: pa.Table, ask: pa.Table) -> pa.Table:
-        rows = dijkstra(list(zip(*(graph.column(c).to_pylist() for c in ("edge_id", "source", "target", "cost")), strict=True)), list(zip(ask.column("s").to_pylist(), ask.column("t").to_pylist(), strict=True)))
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64()]
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["source", "target", "step", "edge_id", "cost"])
-
-    own = own.select("component", F.col("edge_id").cast("string").alias("edge_id"), "source", "target", "cost")
-    return own.groupBy("component").cogroup(asked.groupBy("part")).applyInArrow(run, "source string, target string, step int, edge_id string, cost double")
+    asked = pairs.select("source", "target").distinct().where("source != target").join(of, "source").join(other, "target").where("component = c2")
+    asked = store(asked.select("source", "target", "component"))
+    own = edges.join(of, "source").join(asked.select("component").distinct(), "component", "left_semi").select("edge_id", "source", "target", "cost")
+    stay = asked.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    ways, members = contracted(own, stay, store)
+    ways = store(ways.where("source != target"))
+    both = ways.select(F.col("source").alias("a"), F.col("target").alias("b"), "cost", "way", F.lit(False).alias("back")).unionByName(ways.select(F.col("target").alias("a"), F.col("source").alias("b"), "cost", "way", F.lit(True).alias("back")))
+    arcs = both.groupBy("a", "b").agg(F.min(F.struct("cost", "way", "back")).alias("x")).select("a", "b", "x.cost", "x.way", "x.back")
+    found = cheapest(arcs, asked.select("source", "target"), store)
+    on = found.select("source", "target", F.posexplode("path").alias("nth_way", "p")).select("source", "target", "nth_way", "p.way", "p.back")
+    on = on.join(members, "way").withColumn("within", F.when(F.col("back"), -F.col("nth")).otherwise(F.col("nth")))
+    step = F.row_number().over(Window.partitionBy("source", "target").orderBy("nth_way", "within")) - 1
+    return on.select("source", "target", step.alias("step"), "edge_id", "cost")
 
 
 def confidence(max_snap_m: Column, failed: Column, total: Column, detour: Column, uses_service: Column, hausdorff_m: Column) -> Column:
@@ -348,7 +358,7 @@ def match_patterns(patterns: DataFrame, stops_of: DataFrame, places: DataFrame,
     segments = store(pattern_segments(own, snaps, places, limit))
     labels = components(edges, store)
     asked = segments.where("source is not null and target is not null and source != target")
-    ways = store(shortest_paths(edges, asked.select("source", "target").distinct(), labels))
+    ways = store(shortest_paths(edges, asked.select("source", "target").distinct(), labels, store))
     detail = edges.select(F.col("edge_id").cast("string").alias("edge_id"), "line", "length_m", "is_service")
     paths = asked.join(ways, ["source", "target"]).join(detail, "edge_id").select("pattern_id", "stop_sequence", "step", "line", "length_m", "is_service")
     paths = store(paths)
