@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tramline.plans.stages import release
+
 
 def _double(links: DataFrame, store) -> DataFrame:
     """id, to, steps, low, open of links (id, next), once every row of a chain points to its end and every row of a ring knows its smallest id; the latter stay open."""
@@ -26,7 +28,8 @@ def _double(links: DataFrame, store) -> DataFrame:
         going, still = now.where("open").join(ahead, "to"), now.where("not open").withColumn("moved", F.lit(False))
         low = F.least("low", "_low")
         after = going.select("id", F.col("_to").alias("to"), (F.col("steps") + F.col("_steps")).alias("steps"), low.alias("low"), F.col("_open").alias("open"), (~F.col("_open") | (low != F.col("low"))).alias("moved"))
-        now = store(still.unionByName(after))
+        last, now = now, store(still.unionByName(after))
+        release(last)
         if not now.where("moved").limit(1).count():
             return now.drop("moved")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions.geo import cell, haversine_m, line_length, mercator
 from tramline.operators.lines import chained, merge_lines
-from tramline.plans.stages import stored
+from tramline.plans.stages import release, stored
 
 #: Track kinds taken, service kinds made dear, and by how much.
 RAILWAYS = ("rail", "light_rail", "subway", "tram")
@@ -216,39 +216,61 @@ def cheapest(arcs: DataFrame, asked: DataFrame, store) -> DataFrame:
     bound only, which begins small, doubles until the source's targets are
     found, and falls to the dearest of them once all are known.  So what is
     held of a source is what lies not much farther than its targets, whatever
-    the size of the graph.  Costs are not negative; of equal paths that with the
-    fewest arcs counts, then the smallest.
+    the size of the graph.  A node knows the arc it was reached by; paths are
+    then followed back from the targets alone.  Costs are not negative.
     """
-    arcs = store(arcs)
-    scale = arcs.agg(F.avg("cost").alias("mean"), F.sum("cost").alias("total")).first()
-    path = f"array<struct<way:{arcs.schema['way'].dataType.simpleString()},back:boolean>>"
+    grade = lambda cost: F.floor(F.log2(F.greatest(cost, F.lit(1e-9))) / 2).cast("int")
+    arcs = store(arcs.withColumn("grade", grade(F.col("cost"))))
+    scale = arcs.agg(F.avg("cost").alias("mean"), F.sum("cost").alias("total"), F.min("grade").alias("low")).first()
+    node, way = arcs.schema["a"].dataType.simpleString(), arcs.schema["way"].dataType.simpleString()
+    none = f"array<struct<way:{way},back:boolean>>"
     if scale.mean is None:
-        return asked.select("source", "target", F.lit(0.0).alias("cost"), F.array().cast(path).alias("path")).limit(0)
+        return asked.select("source", "target", F.lit(0.0).alias("cost"), F.array().cast(none).alias("path")).limit(0)
     left = store(asked.distinct())
-    known = left.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.array().cast(path).alias("path")).distinct()
-    bound, found = 4 * scale.mean, None
+    start = left.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(way).alias("way"), F.lit(None).cast("boolean").alias("back"), F.lit(None).cast(node).alias("came")).distinct()
+    known, bound, found = store(start), scale.mean, None
     while True:
-        known = store(known)
-        frontier, bounds = known, left.select("source").distinct().withColumn("bound", F.lit(bound))
+        frontier, bounds = known, store(left.select("source").distinct().withColumn("bound", F.lit(bound)))
         while True:
-            step = F.struct((F.col("f.cost") + F.col("r.cost")).alias("cost"), F.concat("f.path", F.array(F.struct("r.way", "r.back"))).alias("path"))
-            offers = frontier.alias("f").join(arcs.alias("r"), F.col("f.node") == F.col("r.a")).select("f.source", F.col("r.b").alias("node"), step.alias("best"))
-            offers = offers.join(bounds, "source").where("best.cost <= bound").groupBy("source", "node").agg(F.min("best").alias("best"))
+            step = F.struct((F.col("f.cost") + F.col("r.cost")).alias("cost"), F.col("r.way").alias("way"), F.col("r.back").alias("back"), F.col("f.node").alias("came"))
+            # a node asks for arcs of the grades that its bound leaves room for, not for all of a junction's
+            asks = frontier.join(bounds, "source").where("cost <= bound").select("source", "node", "cost", "bound", F.explode(F.sequence(F.lit(scale.low), F.greatest(F.lit(scale.low), grade(F.col("bound") - F.col("cost"))))).alias("grade"))
+            offers = asks.alias("f").join(arcs.alias("r"), (F.col("f.node") == F.col("r.a")) & (F.col("f.grade") == F.col("r.grade")) & (F.col("f.cost") + F.col("r.cost") <= F.col("f.bound"))).select("f.source", F.col("r.b").alias("node"), step.alias("best"))
+            offers = offers.groupBy("source", "node").agg(F.min("best").alias("best"))
             before = known.select("source", "node", F.col("cost").alias("_cost"))
-            frontier = store(offers.join(before, ["source", "node"], "left").where("_cost is null or best.cost < _cost").select("source", "node", "best.cost", "best.path"))
+            last, frontier = frontier, store(offers.join(before, ["source", "node"], "left").where("_cost is null or best.cost < _cost").select("source", "node", "best.*"))
+            if last is not known:
+                release(last)
             if not frontier.limit(1).count():
                 break
-            known = store(known.join(frontier, ["source", "node"], "left_anti").unionByName(frontier))
+            last, known = known, store(known.join(frontier, ["source", "node"], "left_anti").unionByName(frontier))
+            release(last, bounds)
             at = left.join(known.withColumnRenamed("node", "target"), ["source", "target"], "left")
             dearest = at.groupBy("source").agg(F.max("cost").alias("dearest"), F.count_if(F.col("cost").isNull()).alias("missing"))
             bounds = store(dearest.select("source", F.when(F.col("missing") == 0, F.least(F.col("dearest"), F.lit(bound))).otherwise(F.lit(bound)).alias("bound")))
-        reached = left.join(known.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", "cost", "path")
-        found = store(reached if found is None else found.unionByName(reached))
-        left = store(left.join(found, ["source", "target"], "left_anti"))
+        release(frontier, bounds)
+        reached = followed_back(left.join(known.withColumnRenamed("node", "target").select("source", "target", "cost"), ["source", "target"]), known, none, store)
+        last, found = found, store(reached if found is None else found.unionByName(reached))
+        release(last, reached)
+        last, left = left, store(left.join(found, ["source", "target"], "left_anti"))
+        release(last)
         if bound > scale.total or not left.limit(1).count():
             return found
         bound *= 2
-        known = known.join(left.select("source").distinct(), "source", "left_semi")
+        last, known = known, store(known.join(left.select("source").distinct(), "source", "left_semi"))
+        release(last)
+
+
+def followed_back(pairs: DataFrame, known: DataFrame, none: str, store) -> DataFrame:
+    """source, target, cost, path of pairs (source, target, cost), by the arcs by which their nodes were reached."""
+    now = store(pairs.select("source", "target", "cost", F.col("target").alias("node"), F.array().cast(none).alias("path")))
+    came = known.where("came is not null").select("source", "node", "way", "back", "came")
+    while now.where("node != source").limit(1).count():
+        on = now.join(came, ["source", "node"], "left")
+        path = F.when(F.col("came").isNull(), F.col("path")).otherwise(F.concat(F.array(F.struct("way", "back")), "path"))
+        last, now = now, store(on.select("source", "target", "cost", F.coalesce("came", "node").alias("node"), path.alias("path")))
+        release(last)
+    return now.drop("node")
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, labels: DataFrame, store=stored) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions.geo import haversine_m
 from tramline.operators.normalise import boards
-from tramline.plans.stages import stored
+from tramline.plans.stages import release, stored
 
 #: Seconds of a stretch of the day: stops are asked for departures by stretch, so that a busy stop is many keys.
 STRETCH_S = 1800
@@ -81,20 +81,24 @@ def reach(samples: DataFrame, connections: DataFrame, walks: DataFrame, origins:
         on = on.groupBy(*key, "trip").agg(F.min(F.struct("dep", "arr")).alias("since"))
         if boarded is None:
             on = store(on.withColumn("before", F.lit(None).cast(on.schema["since"].dataType)))
-            boarded = on.drop("before")
+            boarded = store(on.drop("before"))
         else:
             on = store(on.join(boarded.withColumnRenamed("since", "before"), [*key, "trip"], "left").where("before is null or since < before"))
-            boarded = store(boarded.unionByName(on.drop("before")).groupBy(*key, "trip").agg(F.min("since").alias("since")))
+            last, boarded = boarded, store(boarded.unionByName(on.drop("before")).groupBy(*key, "trip").agg(F.min("since").alias("since")))
+            release(last)
         this = F.struct("dep", "arr")
         out = on.join(alighting, ["date", "trip"]).where((F.col("arr") <= until) & (this >= F.col("since")) & (F.col("before").isNull() | (this < F.col("before"))))
         out = store(out.groupBy(*key, F.col("b").alias("stop")).agg(F.min("arr").alias("at")))
         found = out.select(*key, "stop", F.struct("at", F.lit(legs).alias("legs")).alias("best"))
-        arrived = found if arrived is None else store(arrived.unionByName(found).groupBy(*key, "stop").agg(F.min("best").alias("best")))
+        last, arrived = arrived, store(found if arrived is None else arrived.unionByName(found).groupBy(*key, "stop").agg(F.min("best").alias("best")))
+        release(last)
         offers = first_at(out.withColumn("at", F.col("at") + change).unionByName(on_foot(out)))
-        marks = store(offers.join(ready.withColumnRenamed("at", "known"), [*key, "stop"], "left").where("known is null or at < known").drop("known"))
+        asked, marks = marks, store(offers.join(ready.withColumnRenamed("at", "known"), [*key, "stop"], "left").where("known is null or at < known").drop("known"))
+        release(out, on, asked if asked is not ready else None)
         if not marks.limit(1).count():
             break
-        ready = store(first_at(ready.unionByName(marks)))
+        last, ready = ready, store(first_at(ready.unionByName(marks)))
+        release(last)
     seconds = F.col("best.at") - F.col("sample")
     position = F.row_number().over(Window.partitionBy(*key).orderBy("stop")) - 1
     return arrived.select(*key, "stop", (F.floor(seconds / 60 + 0.5) * 60 if round_to_minute else seconds).cast("int").alias("seconds"), F.col("best.legs").alias("legs"), position.alias("position"))

@@ -360,11 +360,9 @@ def earliest_arrival(spark, d):
     return routing.two_leg_arrivals(stop_times(spark, d).select("trip_id", "stop_sequence", "stop", "departure_s", "arrival_s"), F.col("a") == 1, 120)
 
 
-def _calls(spark, d):
-    """Stop times as text ids, and their trips with the service of their order's priority."""
-    t = stop_times(spark, d).select(F.col("trip_id").cast("string").alias("trip_id"), "stop_sequence", F.col("stop").cast("string").alias("stop_id"), "arrival_s", "departure_s", "pickup_type", "drop_off_type")
-    trips = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("trip_id"), F.col("o_orderpriority").alias("service_id"))
-    return t, trips
+def _calls(spark, d) -> DataFrame:
+    """Stop times with ids as text."""
+    return stop_times(spark, d).select(F.col("trip_id").cast("string").alias("trip_id"), "stop_sequence", F.col("stop").cast("string").alias("stop_id"), "arrival_s", "departure_s", "pickup_type", "drop_off_type")
 
 
 def _no_walks(spark) -> DataFrame:
@@ -374,8 +372,9 @@ def _no_walks(spark) -> DataFrame:
 @query()
 def reachability_scan(spark, d):
     """Earliest arrivals over all trips for the 336 samples of a 28-hour day: stops reached, seconds and rides."""
-    t, trips = _calls(spark, d)
-    active = trips.select("service_id").distinct().select(F.lit("day").alias("date"), "service_id", F.lit(0).alias("day_offset"))
+    t = _calls(spark, d)
+    trips = t.select("trip_id").distinct().withColumn("service_id", F.lit("all"))
+    active = spark.range(1).select(F.lit("day").alias("date"), F.lit("all").alias("service_id"), F.lit(0).alias("day_offset"))
     grid = spark.range(1).select(F.lit("day").alias("date"), F.explode(times.sample_seconds(0, 28 * 3600, 300)).alias("sample"))
     return routing.reach(grid, routing.day_connections(t, trips, active), _no_walks(spark), ["1"], 7200, 60).drop("date")
 
@@ -383,7 +382,8 @@ def reachability_scan(spark, d):
 @query()
 def profile_run(spark, d):
     """A metric run over three dates, on each of which the orders of some priorities run: a row for each supplier."""
-    t, trips = _calls(spark, d)
+    t = _calls(spark, d)
+    trips = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("trip_id"), F.col("o_orderpriority").alias("service_id"))
     days = F.array(*(F.to_date(F.lit(x)) for x in ("2026-07-06", "2026-07-07", "2026-07-08", "2026-07-09")))
     # 1-URGENT runs every day, 2-HIGH not on the first, and so on
     dates = trips.select("service_id").distinct().select("service_id", F.explode(days).alias("service_date")).withColumn("is_active", F.dayofmonth("service_date") >= F.left("service_id", F.lit(1)).cast("int") + 5)

@@ -26,4 +26,14 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Remove what stored wrote for these frames, once nothing that is still to run reads it."""
+    for df in frames:
+        if path := getattr(df, "_stored_at", None):
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
