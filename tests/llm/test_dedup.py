@@ -1,10 +1,12 @@
 import collections
+import hashlib
 import math
 import random
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tramline.llm import components, linededup, lm_score, ngram_join
 from tramline.llm.common import Workspace
@@ -48,7 +50,7 @@ def brute_lines(texts):
             w = [x for x in line.lower().replace("\t", " ").replace("\r", " ").split(" ") if x]
             if w:
                 by_word = len(w) >= 5
-                places[by_word, tuple(w if by_word else " ".join(w))].append((i is None, i or 0, k))
+                places[by_word, tuple(w if by_word else " ".join(w))].append((i is None, i or 0, row_of(t), k))
     first = {w: min(p) for w, p in places.items()}
     able = [(by_word, w) for by_word, w in first if by_word or len(w) >= 10]
     near = {(a, w) for a, w in able if any(a == b and first[b, v] < first[a, w] and abs(len(v) - len(w)) <= 1 and word_edit(v, w) for b, v in able)}
@@ -56,12 +58,16 @@ def brute_lines(texts):
     for w, ps in places.items():
         for p in ps:
             if w in near:
-                out[p[:2]][1].add(p[2])
+                out[p[:3]][1].add(p[3])
             elif p != first[w]:
-                out[p[:2]][0].add(p[2])
+                out[p[:3]][0].add(p[3])
     return out
 
 
+def row_of(text):
+    return hashlib.md5((text or "").encode()).hexdigest()[:7]
+
+
 def test_lines_against_brute_force_and_sql(spark, make_docs, edge_texts):
     texts = near_texts(random.Random(1)) + [(100 + (i or 0) if i is not None else None, t) for i, t in edge_texts]
     docs = make_docs(texts)
@@ -70,7 +76,7 @@ def test_lines_against_brute_force_and_sql(spark, make_docs, edge_texts):
     gone = brute_lines(texts)
     want = []
     for i, t in texts:
-        exact, near = gone.get((i is None, i or 0), (set(), set()))
+        exact, near = gone.get((i is None, i or 0, row_of(t)), (set(), set()))
         kept = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in exact | near)
         want.append((str(i), str(kept), 0 if t is None else len(t.split("\n")), len(exact), len(near)))
     rows = [(str(r.doc_id), str(r.text), r._lines.n_lines, r._lines.n_exact, r._lines.n_near) for r in got.collect()]
@@ -82,6 +88,26 @@ def test_lines_against_brute_force_and_sql(spark, make_docs, edge_texts):
     assert sorted(sql) == sorted(want)
 
 
+def test_rows_that_share_or_lack_an_id_keep_their_own_lines(spark, make_docs):
+    x, own = "the same line stands in many places", "a unique line that stands nowhere else at all"
+    texts = [(1, x), (7, x), (7, own), (None, f"first of none of them\n{x}"), (None, f"quite another line to begin\n{x}"), (None, "and a third row without an id"), (8, f"{own} twice"), (8, f"{own} twice")]
+    docs = make_docs(texts).withColumn("_lines", F.lit(1)).withColumn("_gone_doc", F.lit(2)).withColumn("row", F.lit(3))
+    got = linededup.dedup_lines(docs)
+    assert sorted(got.columns) == sorted(docs.columns)
+    kept = sorted(r.text for r in got.collect())
+    assert all(kept.count(line) == 1 for line in (x, own, "first of none of them", "quite another line to begin", "and a third row without an id"))
+    assert kept == sorted(brute_kept(texts))
+
+
+def brute_kept(texts):
+    gone = brute_lines(texts)
+    out = []
+    for i, t in texts:
+        exact, near = gone.get((i is None, i or 0, row_of(t)), (set(), set()))
+        out.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in exact | near))
+    return out
+
+
 def test_lines_without_broadcast_are_the_same(spark, make_docs, monkeypatch):
     docs = make_docs(near_texts(random.Random(2)))
     want = sorted(map(tuple, linededup.dedup_lines(docs).select("doc_id", "text").collect()))
