@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.operators import lines, poi, polygons
+from tramline.operators import lines, poi, polygons, rail
 from tramline.operators.store import first_wins
 from tramline.plans.catalog import LINE_ORDER, ST, query, stop_times, table
 from tramline.plans.stages import folder, stored
@@ -138,3 +138,43 @@ def boundary_states(spark, d):
     whole = table(spark, d, "nation").agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value"))
     whole.write.text(f"{path}/whole")
     return registry.dissolve(registry.boundaries(spark, f"{path}/whole")).select("state_code", "name", "official_key", F.size("rings").alias("rings"))
+
+
+# --- rails: suppliers as the nodes of a grid of tracks ------------------------------
+
+
+GRID_WIDTH = 40
+
+
+def supplier_tracks(spark, d: str) -> DataFrame:
+    """Ways (id, tags, parts) from each supplier to the next one and to the one a row up, each of two parts that both begin in its middle; the rich ones' tracks are yards."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_acctbal")
+    x, y = (F.col("k") - 1) % GRID_WIDTH, F.floor((F.col("k") - 1) / GRID_WIDTH)
+    at = lambda i, j: F.struct((8 + (x + i) / 20).alias("lon"), (53 + (y + j) / 20).alias("lat"))
+    there = s.select((F.col("k") - 1).alias("k")), s.select((F.col("k") - GRID_WIDTH).alias("k"))
+    tags = F.create_map(F.lit("railway"), F.lit("rail"), F.lit("service"), F.when(F.col("s_acctbal") > 8000, "yard").otherwise(""))
+    part = lambda i, j: F.array(at(i / 2 + j / 8, j / 2 + i / 8), at(i, j))
+    way = lambda name, i, j: s.select(F.concat(F.lit(name), "k").alias("id"), tags.alias("tags"), F.array(part(i, j), F.array(F.get(part(i, j), F.lit(0)), at(0, 0))).alias("parts"), "k")
+    east, north = way("e", 1, 0).where(x < GRID_WIDTH - 1).join(there[0], "k", "left_semi"), way("n", 0, 1).join(there[1], "k", "left_semi")
+    return east.unionByName(north).drop("k")
+
+
+def supplier_stops(spark, d: str) -> DataFrame:
+    """Suppliers as stops beside their node; those in debt too far off to snap."""
+    k = F.col("s_suppkey") - 1
+    off = F.when(F.col("s_acctbal") < 0, 0.02).otherwise(0.002)
+    return table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("public_id"), (8 + k % GRID_WIDTH / 20 + off).alias("lon"), (53 + F.floor(k / GRID_WIDTH) / 20 + off).alias("lat"))
+
+
+@query()
+def rail_matching(spark, d):
+    """Patterns matched to rails, from the parts of ways to the rating: a pattern a month, its stops the first supplier of each day that lines were shipped."""
+    ways = rail.rail_ways(rail.merged_ways(supplier_tracks(spark, d), stored))
+    edges = stored(rail.rail_edges(ways))
+    stops = supplier_stops(spark, d)
+    snaps = stored(rail.snap_stops(stops, edges))
+    day = table(spark, d, "lineitem").groupBy("l_shipdate").agg(F.min("l_suppkey").alias("k"))
+    calls = stored(day.select(F.date_format("l_shipdate", "yyyy-MM").alias("pattern_id"), F.dayofmonth("l_shipdate").alias("stop_sequence"), F.concat(F.lit("s"), "k").alias("stop_place_id")))
+    points = calls.join(stops, calls["stop_place_id"] == stops["public_id"]).groupBy("pattern_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("stop_sequence", "lon", "lat"))), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("line"))
+    out = rail.match_patterns(points, calls, stops, snaps, edges, stored)
+    return out.select("pattern_id", "status", "total_segments", "failed_segments", F.round("confidence", 6).alias("confidence"), F.round("detour", 6).alias("detour"), F.size("lines").alias("edges"))
