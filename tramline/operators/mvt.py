@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import struct
 
@@ -38,6 +39,81 @@ def simplify(line: list[Point], tolerance: float) -> list[Point]:
     return [p for p, k in zip(line, keep, strict=True) if k]
 
 
+def simplify_apart(line: list[Point], tolerance: float) -> list[Point]:
+    """Points that keep a line within tolerance of itself, and apart where it was apart; its ends always stay.
+
+    Points go one by one, that which the line misses least first.  One may go if
+    all the points between its neighbours stay within tolerance of the step that
+    takes their place, and if no other point left lies in the triangle that the
+    step cuts off: a line without crossings cannot cross the step otherwise.
+    Points left are found by a grid.  A closed line keeps four points.
+    """
+    n = len(line)
+    if n < 3:
+        return list(line)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    left, closed = n, line[0] == line[-1]
+    xs, ys = [p[0] for p in line], [p[1] for p in line]
+    size = max(max(xs) - min(xs), max(ys) - min(ys)) / max(1.0, math.sqrt(n)) or 1.0
+    cell = lambda p: (math.floor(p[0] / size), math.floor(p[1] / size))
+    grid: dict[tuple[int, int], set[int]] = {}
+    for i, p in enumerate(line):
+        grid.setdefault(cell(p), set()).add(i)
+
+    def error(a: int, b: int) -> float:
+        (x1, y1), (x2, y2) = line[a], line[b]
+        dx, dy = x2 - x1, y2 - y1
+        square, worst = dx * dx + dy * dy, 0.0
+        for i in range(a + 1, b):
+            px, py = line[i][0] - x1, line[i][1] - y1
+            t = max(0.0, min(1.0, (px * dx + py * dy) / square)) if square else 0.0
+            worst = max(worst, math.hypot(px - t * dx, py - t * dy))
+        return worst
+
+    def side(p: Point, q: Point, r: Point) -> float:
+        return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+
+    def free(a: int, i: int, b: int) -> bool:
+        p, q, r = line[a], line[i], line[b]
+        low, high = cell((min(p[0], q[0], r[0]), min(p[1], q[1], r[1]))), cell((max(p[0], q[0], r[0]), max(p[1], q[1], r[1])))
+        if (high[0] - low[0] + 1) * (high[1] - low[1] + 1) > len(grid):
+            near = (j for of in grid.values() for j in of)
+        else:
+            near = (j for x in range(low[0], high[0] + 1) for y in range(low[1], high[1] + 1) for j in grid.get((x, y), ()))
+        for j in near:
+            s = line[j]
+            if j in (a, i, b) or s in (p, r):
+                continue
+            turns = side(p, q, s), side(q, r, s), side(r, p, s)
+            if (min(turns) >= 0 or max(turns) <= 0) and min(p[0], q[0], r[0]) <= s[0] <= max(p[0], q[0], r[0]) and min(p[1], q[1], r[1]) <= s[1] <= max(p[1], q[1], r[1]):
+                return False
+        return True
+
+    heap = [(e, i, i - 1, i + 1) for i in range(1, n - 1) if (e := error(i - 1, i + 1)) <= tolerance]
+    heapq.heapify(heap)
+    refused: set[int] = set()
+    while heap and left > (4 if closed else 2):
+        _, i, a, b = heapq.heappop(heap)
+        if before[i] != a or after[i] != b or after[a] != i:
+            continue  # a neighbour has gone since
+        if not free(a, i, b):
+            refused.add(i)
+            continue
+        after[a], before[b] = b, a
+        after[i] = before[i] = -1
+        grid[cell(line[i])].discard(i)
+        left -= 1
+        for k in {a, b, *refused}:
+            if 0 < k < n - 1 and after[k] >= 0 and (e := error(before[k], after[k])) <= tolerance:
+                heapq.heappush(heap, (e, k, before[k], after[k]))
+        refused.clear()
+    out, i = [], 0
+    while i < n:
+        out.append(line[i])
+        i = after[i]
+    return out
+
+
 def clip(line: list[Point], low: float, high: float) -> list[list[Point]]:
     """The parts of a line inside a square, cut where they cross its edge."""
     out: list[list[Point]] = []
@@ -123,7 +199,7 @@ def encode_layer(name: str, features: list[tuple[list[Point], dict]], z: int, x:
         if not points:
             continue
         is_point = len(points) == 1
-        own = to_tile(simplify(points, tolerance) if tolerance and not is_point else points, z, x, y)
+        own = to_tile(simplify_apart(points, tolerance) if tolerance and not is_point else points, z, x, y)
         low, high = -BUFFER, EXTENT + BUFFER
         parts = ([own] if all(low <= c <= high for c in own[0]) else []) if is_point else clip(own, low, high)
         commands = geometry(parts, is_point)
