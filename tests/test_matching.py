@@ -25,11 +25,11 @@ def far(a, b):
 def brute(suppliers, shipped):
     width = maps.GRID_WIDTH
     keys = dict(suppliers)
-    node = lambda k, i=0, j=0: (8 + ((k - 1) % width + i) / 20, 53 + ((k - 1) // width + j) / 20)
+    node = lambda k, i=0, j=0: (8 + (k % width + i) / 20, 53 + (k // width + j) / 20)
     edges = []
     for k, rich in suppliers:
         for other, i, j in ((k + 1, 1, 0), (k + width, 0, 1)):
-            if other in keys and not (i and (k - 1) % width == width - 1):
+            if other in keys and not (i and k % width == width - 1):
                 line = [node(k), node(k, i / 2 + j / 8, j / 2 + i / 8), node(k, i, j)]
                 length = sum(meters(a, b) for a, b in zip(line, line[1:], strict=False))
                 edges.append((k, other, line, length, rich > 8000))

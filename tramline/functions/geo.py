@@ -48,15 +48,22 @@ def tile_bounds(z: int, x: int, y: int, buffer: float = 0.0) -> tuple[float, flo
     return west - m, north - size - m, west + size + m, north + m
 
 
+def tile_envelope(z: Column, x: Column, y: Column, buffer: float = 0.0) -> Column:
+    """west, south, east, north of tiles held in columns, as tile_bounds gives them."""
+    size = 2 * HALF_MAP / F.pow(F.lit(2.0), z)
+    west, north, m = x * size - HALF_MAP, HALF_MAP - y * size, size * buffer
+    return F.struct((west - m).alias("west"), (north - size - m).alias("south"), (west + size + m).alias("east"), (north + m).alias("north"))
+
+
 def tile_degrees(z: int, x: int, y: int, buffer: float = BUFFER / EXTENT) -> tuple[float, float, float, float]:
     w, s, e, n = tile_bounds(z, x, y, buffer)
     return (*inverse_mercator(w, s), *inverse_mercator(e, n))
 
 
-def tile_of(lon: Column, lat: Column, z: int) -> tuple[Column, Column]:
+def tile_of(lon: Column, lat: Column, z: int | Column) -> tuple[Column, Column]:
     """Column and row of the tile that holds a point."""
     mx, my = mercator(lon, lat)
-    size = 2 * HALF_MAP / 2**z
+    size = 2 * HALF_MAP / 2**z if isinstance(z, int) else 2 * HALF_MAP / F.pow(F.lit(2.0), z)
     return F.floor((mx + HALF_MAP) / size).cast("int"), F.floor((F.lit(HALF_MAP) - my) / size).cast("int")
 
 

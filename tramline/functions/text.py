@@ -150,3 +150,8 @@ def id_aliases(public_id: str) -> list[str]:
     """An id and, for one that ends in 1 and seven digits after a colon, its form with ``1:`` before the digits."""
     head, colon, tail = public_id.rpartition(":")
     return [public_id, f"{head}:1:{tail[1:]}"] if colon and len(tail) == 8 and tail.isdigit() and tail[0] == "1" else [public_id]
+
+
+def id_forms(public_id: Column) -> Column:
+    """The same over a column: all forms of each id."""
+    return F.when(public_id.rlike(":1[0-9]{7}$"), F.array(public_id, F.regexp_replace(public_id, ":1([0-9]{7})$", ":1:$1"))).otherwise(F.array(public_id))

@@ -134,12 +134,12 @@ def route_label_top5(spark, d):
 
 
 @query(f"""WITH {TIMES}, served AS (SELECT DISTINCT stop, p_size % 8 AS k, p_name FROM times JOIN part ON route = p_partkey),
-m AS (SELECT stop, list_sort(list(DISTINCT CASE k WHEN 0 THEN 'TRAM' WHEN 1 THEN 'U' WHEN 3 THEN 'BUS' WHEN 4 THEN 'FERRY' WHEN 2 THEN CASE WHEN lower(p_name) LIKE 's%' THEN 'S' WHEN lower(p_name) LIKE 're%' THEN 'RE' ELSE 'RAIL' END ELSE 'OTHER' END)) AS modes FROM served WHERE k = stop % 8 OR k = (stop + 3) % 8 GROUP BY stop)
+m AS (SELECT stop, list_sort(list(DISTINCT CASE k WHEN 0 THEN 'TRAM' WHEN 1 THEN 'U' WHEN 3 THEN 'BUS' WHEN 4 THEN 'FERRY' WHEN 2 THEN CASE WHEN lower(p_name) LIKE 's%' THEN 'S' WHEN lower(p_name) LIKE 're%' THEN 'RE' ELSE 'RAIL' END ELSE 'OTHER' END)) AS modes FROM served GROUP BY stop)
 SELECT s_suppkey AS stop, array_to_string(coalesce(modes, []), ',') AS modes, CASE WHEN list_has_any(coalesce(modes, []), ['RAIL', 'RE']) THEN 'regional' WHEN list_has_any(coalesce(modes, []), ['S', 'U']) THEN 'urban_rail' WHEN len(coalesce(modes, [])) > 0 AND len(list_filter(modes, lambda x: x NOT IN ('BUS', 'TRAM'))) = 0 THEN 'bus_only' ELSE 'other' END AS priority FROM supplier LEFT JOIN m ON stop = s_suppkey""")
 def stop_modes_array(spark, d):
     """Sorted modes of the routes that serve each stop, and the priority that they give it; unserved stops have none."""
     part = table(spark, d, "part").select(F.col("p_partkey").alias("route"), (F.col("p_size") % 8).alias("k"), "p_name")
-    served = stop_times(spark, d).select("stop", "route").join(part, "route").where((F.col("k") == F.col("stop") % 8) | (F.col("k") == (F.col("stop") + 3) % 8))
+    served = stop_times(spark, d).select("stop", "route").join(part, "route")
     found = served.groupBy("stop").agg(F.array_sort(F.collect_set(modes.mode_of(F.col("k"), F.col("p_name")))).alias("modes"))
     out = table(spark, d, "supplier").select(F.col("s_suppkey").alias("stop")).join(found, "stop", "left")
     m = F.coalesce("modes", F.array().cast("array<string>"))
@@ -397,13 +397,13 @@ def profile_run(spark, d):
 # --- changes, search and points of interest -------------------------------------------
 
 
-@query("""WITH old AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0), new AS (SELECT c_custkey AS id, upper(c_name) AS name, c_acctbal + 1 AS v FROM customer WHERE c_custkey % 2 = 0)
+@query("""WITH old AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS v FROM customer WHERE c_acctbal <= 5000), new AS (SELECT c_custkey AS id, upper(c_name) AS name, c_acctbal + 1 AS v FROM customer WHERE c_acctbal >= 0)
 SELECT coalesce(new.id, old.id) AS id, CASE WHEN new.id IS NULL THEN old.name ELSE new.name END AS name, CASE WHEN new.id IS NULL THEN old.v ELSE new.v END AS v FROM old FULL JOIN new ON old.id = new.id""")
 def upsert_merge(spark, d):
     """New rows replace or join old ones by key."""
     c = table(spark, d, "customer")
-    old = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("v"))
-    new = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.upper("c_name").alias("name"), (F.col("c_acctbal") + 1).alias("v"))
+    old = c.where("c_acctbal <= 5000").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("v"))
+    new = c.where("c_acctbal >= 0").select(F.col("c_custkey").alias("id"), F.upper("c_name").alias("name"), (F.col("c_acctbal") + 1).alias("v"))
     return store.upsert(old, new, ["id"])
 
 

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.operators import lines, poi, polygons, rail
+from tramline.functions import geodesic
+from tramline.operators import lines, poi, polygons, publish, rail
 from tramline.operators.store import first_wins
-from tramline.plans.catalog import LINE_ORDER, ST, query, stop_times, table
+from tramline.plans.catalog import LINE_ORDER, PLACES, ST, places, query, stop_times, table
 from tramline.plans.stages import folder, stored
 from tramline.sources import osm, pbf, registry
 
@@ -96,11 +97,11 @@ def merged_ways(spark, d):
 # --- areas: each customer a square of a grid, its nation the area it belongs to ----
 
 
-CELLS = "c AS (SELECT c_custkey, c_nationkey AS n, (c_custkey - 1) % 50 AS x, (c_custkey - 1) // 50 AS y FROM customer)"
+CELLS = "c AS (SELECT c_custkey, c_nationkey AS n, c_custkey % 50 AS x, c_custkey // 50 AS y FROM customer)"
 
 
 def _squares(spark, d: str) -> DataFrame:
-    k = F.col("c_custkey") - 1
+    k = F.col("c_custkey")
     x, y = k % 50, F.floor(k / 50)
     corner = lambda i, j: F.struct(((x + i) / F.lit(8.0)).alias("lon"), ((y + j) / F.lit(8.0)).alias("lat"))
     ring = [corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0)]
@@ -149,7 +150,7 @@ GRID_WIDTH = 40
 def supplier_tracks(spark, d: str) -> DataFrame:
     """Ways (id, tags, parts) from each supplier to the next one and to the one a row up, each of two parts that both begin in its middle; the rich ones' tracks are yards."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_acctbal")
-    x, y = (F.col("k") - 1) % GRID_WIDTH, F.floor((F.col("k") - 1) / GRID_WIDTH)
+    x, y = F.col("k") % GRID_WIDTH, F.floor(F.col("k") / GRID_WIDTH)
     at = lambda i, j: F.struct((8 + (x + i) / 20).alias("lon"), (53 + (y + j) / 20).alias("lat"))
     there = s.select((F.col("k") - 1).alias("k")), s.select((F.col("k") - GRID_WIDTH).alias("k"))
     tags = F.create_map(F.lit("railway"), F.lit("rail"), F.lit("service"), F.when(F.col("s_acctbal") > 8000, "yard").otherwise(""))
@@ -161,11 +162,64 @@ def supplier_tracks(spark, d: str) -> DataFrame:
 
 def supplier_stops(spark, d: str) -> DataFrame:
     """Suppliers as stops beside their node; those in debt too far off to snap."""
-    k = F.col("s_suppkey") - 1
+    k = F.col("s_suppkey")
     off = F.when(F.col("s_acctbal") < 0, 0.02).otherwise(0.002)
     return table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("public_id"), (8 + k % GRID_WIDTH / 20 + off).alias("lon"), (53 + F.floor(k / GRID_WIDTH) / 20 + off).alias("lat"))
 
 
+#: The middle of a track and its length, from (x, y) by (i, j).
+TRACKS = """s AS (SELECT s_suppkey AS k, s_acctbal > 8000 AS yard, s_suppkey % 40 AS x, s_suppkey // 40 AS y FROM supplier),
+w AS (SELECT 'e' || s.k AS id, s.yard, s.x, s.y, 1 AS i, 0 AS j FROM s JOIN supplier o ON o.s_suppkey = s.k + 1 WHERE s.x < 39 UNION ALL SELECT 'n' || s.k, s.yard, s.x, s.y, 0, 1 FROM s JOIN supplier o ON o.s_suppkey = s.k + 40),
+p AS (SELECT *, 8 + x / 20.0::DOUBLE AS x1, 53 + y / 20.0::DOUBLE AS y1, 8 + (x + i / 2.0::DOUBLE + j / 8.0::DOUBLE) / 20 AS x2, 53 + (y + j / 2.0::DOUBLE + i / 8.0::DOUBLE) / 20 AS y2, 8 + (x + i) / 20.0::DOUBLE AS x3, 53 + (y + j) / 20.0::DOUBLE AS y3 FROM w),
+l AS (SELECT *, 2 * 6371008.8 * (asin(sqrt(power(sin(radians(y2 - y1) / 2), 2) + cos(radians(y1)) * cos(radians(y2)) * power(sin(radians(x2 - x1) / 2), 2)))
+  + asin(sqrt(power(sin(radians(y3 - y2) / 2), 2) + cos(radians(y2)) * cos(radians(y3)) * power(sin(radians(x3 - x2) / 2), 2)))) AS m FROM p)"""
+
+
+@query(f"WITH {TRACKS} SELECT id AS edge_id, round(m, 3) AS length_m, round(CASE WHEN yard THEN 8 ELSE 1 END * m, 3) AS cost, yard AS is_service FROM l")
+def rail_graph(spark, d):
+    """Edges of the suppliers' tracks, their parts merged, with length, and cost eight times as high on service tracks."""
+    edges = rail.rail_edges(rail.rail_ways(rail.merged_ways(supplier_tracks(spark, d), stored)))
+    return edges.select("edge_id", F.round("length_m", 3).alias("length_m"), F.round("cost", 3).alias("cost"), "is_service")
+
+
+@query(f"WITH {PLACES} SELECT id FROM places WHERE lon + 0.3 >= 9.55 AND lon <= 10.45 AND lat BETWEEN 53.5 AND 54.45")
+def corridor_filter(spark, d):
+    """Lines from each place to the east that meet a named corridor, whether or not they end in it."""
+    line = F.array(F.struct("lon", "lat"), F.struct((F.col("lon") + 0.3).alias("lon"), F.col("lat").alias("lat")))
+    return places(spark, d).where(rail.meets_box(line, rail.box_of(corridor="hamburg-kiel"))).select("id")
+
+
+#: The iteration for the longitude on the auxiliary sphere written out, eight rounds of it.
+SPHEROID = f"""{PLACES}, c AS (SELECT id, 1 / 298.257223563::DOUBLE AS f, radians(3.0::DOUBLE + lat / 60) AS l, atan((1 - 1 / 298.257223563::DOUBLE) * tan(radians(lat))) AS u1, atan((1 - 1 / 298.257223563::DOUBLE) * tan(radians(lat - 20))) AS u2 FROM places),
+r AS (SELECT 0 AS n, id, f, l, u1, u2, l AS t FROM c UNION ALL SELECT n + 1, id, f, l, u1, u2, l + (1 - cc) * f * sa * (acos(cs) + cc * ss * (cm + cc * cs * (2 * cm * cm - 1))) FROM
+  (SELECT *, f / 16 * ca * (4 + f * (4 - 3 * ca)) AS cc, cs - 2 * sin(u1) * sin(u2) / ca AS cm FROM (SELECT *, 1 - sa * sa AS ca FROM (SELECT *, cos(u1) * cos(u2) * sin(t) / ss AS sa FROM
+  (SELECT *, sqrt(power(cos(u2) * sin(t), 2) + power(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(t), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(t) AS cs FROM r WHERE n < 12)))))"""
+
+
+@query(f"""WITH RECURSIVE {SPHEROID}, e AS (SELECT *, cs - 2 * sin(u1) * sin(u2) / ca AS cm, ca * (power(6378137.0, 2) - power(6378137.0 * (1 - f), 2)) / power(6378137.0 * (1 - f), 2) AS k FROM (SELECT *, 1 - power(cos(u1) * cos(u2) * sin(t) / ss, 2) AS ca FROM
+  (SELECT *, sqrt(power(cos(u2) * sin(t), 2) + power(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(t), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(t) AS cs FROM r WHERE n = 12))),
+g AS (SELECT *, 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k))) AS a, k / 1024 * (256 + k * (-128 + k * (74 - 47 * k))) AS b FROM e)
+SELECT id, round(6378137.0 * (1 - f) * a * (atan2(ss, cs) - b * ss * (cm + b / 4 * (cs * (2 * cm * cm - 1) - b / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))), 3) AS meters FROM g""")
+def spheroid_distances(spark, d):
+    """Length on the spheroid of a line from each place to one far to the south and a few degrees aside."""
+    line = F.array(F.struct("lon", "lat"), F.struct((F.col("lon") + 3 + F.col("lat") / 60).alias("lon"), (F.col("lat") - 20).alias("lat")))
+    return places(spark, d).select("id", F.round(geodesic.spheroid_length(line), 3).alias("meters"))
+
+
+@query("""SELECT s_suppkey AS id, upper(s_name) AS name, 'second' AS snapshot_id, (SELECT count(*) FROM nation) AS others FROM supplier""")
+def published_snapshot(spark, d):
+    """The live snapshot of two published one after the other: its tables whole, and none of the other's rows."""
+    shop = publish.Publication(spark, f"{folder(spark)}/published-{uuid.uuid4().hex}")
+    own = lambda name: table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), name.alias("name"))
+    nations = table(spark, d, "nation").select("n_nationkey")
+    shop.publish({"stops": own(F.col("s_name")), "areas": nations}, "first")
+    shop.activate("first")
+    shop.publish({"stops": own(F.upper("s_name")), "areas": nations}, "second")
+    now = shop.activate("second")
+    n = shop.live("areas", now).agg(F.count(F.lit(1)).alias("others"))
+    return shop.live("stops", now).crossJoin(F.broadcast(n))  # one row
+
+
 @query()
 def rail_matching(spark, d):
     """Patterns matched to rails, from the parts of ways to the rating: a pattern a month, its stops the first supplier of each day that lines were shipped."""

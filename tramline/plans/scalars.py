@@ -139,11 +139,13 @@ def identity_hash(spark, d):
     return out
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'de:1:' || (10000000 + c_custkey) ELSE 'x:' || c_custkey END AS first, CASE WHEN c_custkey % 2 = 0 THEN 'de:1:1:' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') END AS alias FROM customer WHERE c_custkey BETWEEN 1 AND 20""")
+@query("""WITH i AS (SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN 'de:1:' || (10000000 + c_custkey) ELSE 'x:' || c_custkey END AS id FROM customer)
+SELECT c_custkey, id AS form FROM i UNION ALL SELECT c_custkey, 'de:1:1:' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') FROM i WHERE id LIKE 'de:%'""")
 def id_aliases(spark, d):
-    """An id and its second form, of those that have one."""
-    rows = [(i, *(text.id_aliases(f"de:1:{10000000 + i}" if i % 2 == 0 else f"x:{i}") + [None])[:2]) for i in range(1, 21)]
-    return spark.createDataFrame(rows, "c_custkey long, first string, alias string")
+    """Each id in all its forms."""
+    k = F.col("c_custkey")
+    public_id = F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("de:1:"), k + 10000000)).otherwise(F.concat(F.lit("x:"), k))
+    return table(spark, d, "customer").select("c_custkey", F.explode(text.id_forms(public_id)).alias("form"))
 
 
 # --- categories and colours -----------------------------------------------------------
@@ -216,11 +218,13 @@ def display_geometry(spark, d):
     return table(spark, d, "part").select(k.alias("k"), line.alias("line"), quality.alias("quality"))
 
 
-@query("""SELECT unnest(['BUS', 'EC', 'IC', 'ICE', 'RAIL', 'RB', 'RE', 'TRAM']) AS mode, 8 AS n""")
+@query("""WITH m AS (SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN 'TRAM' WHEN 1 THEN 'U' WHEN 3 THEN 'BUS' WHEN 4 THEN 'FERRY' WHEN 2 THEN CASE WHEN lower(p_name) LIKE 's%' THEN 'S' WHEN lower(p_name) LIKE 're%' THEN 'RE' ELSE 'RAIL' END ELSE 'OTHER' END AS mode FROM part)
+SELECT * FROM m WHERE mode IN ('BUS', 'TRAM', 'ICE', 'IC', 'EC', 'RE', 'RB', 'RAIL')""")
 def layer_modes(spark, d):
-    """Modes of the layers switched on, each once."""
-    found = modes.modes_of_layers(text.csv_items("bus, regional,,bus"))
-    return spark.createDataFrame([(m, len(found)) for m in found], "mode string, n int")
+    """Routes whose mode is one of the layers switched on."""
+    wanted = modes.modes_of_layers(text.csv_items("bus, regional,,bus"))
+    out = table(spark, d, "part").select("p_partkey", modes.mode_of(F.col("p_size") % 8, F.col("p_name")).alias("mode"))
+    return out.where(modes.has_mode(F.array("mode"), wanted))
 
 
 @query("""SELECT p_partkey AS k, CASE p_size % 3 WHEN 0 THEN 'Gymnasium' WHEN 1 THEN 'other' ELSE 'none' END AS label, CASE WHEN p_partkey % 5 = 0 THEN 'n/a' ELSE lpad(CAST(p_partkey % 24 AS VARCHAR), 2, '0') || ':30' END AS at, CASE WHEN p_partkey % 7 = 0 THEN 'n/a' ELSE CAST(p_size AS VARCHAR) END AS n FROM part""")
@@ -376,11 +380,13 @@ def csv_quotes(spark, d):
     return gtfs.read_csv(spark, path).select(F.col("stop_id").cast("long").alias("k"), F.col("stop_name").alias("name"), F.col("stop_lat").cast("double").alias("lat"))
 
 
-@query("""SELECT 'p' AS feed_publisher_name, '2' AS feed_version, '20240101' AS valid_from, '20241231' AS valid_until""")
+@query("""SELECT (SELECT max(r_name) FROM region) AS feed_publisher_name, (SELECT CAST(count(*) AS VARCHAR) FROM region) AS feed_version,
+  min(strftime(o_orderdate, '%Y%m%d')) FILTER (WHERE o_orderstatus <> 'P') AS valid_from, max(strftime(o_orderdate, '%Y%m%d')) FILTER (WHERE o_orderstatus <> 'F') AS valid_until FROM orders""")
 def feed_span(spark, d):
-    """The first row of feed_info with the span of the calendar."""
-    info = spark.createDataFrame([("p", "2")], "feed_publisher_name string, feed_version string")
-    days = spark.createDataFrame([("20240101", "20240601"), ("", "20241231"), ("20240301", None)], "start_date string, end_date string")
+    """The row of feed_info with the span of the calendar, where some dates are blank or missing."""
+    info = table(spark, d, "region").agg(F.max("r_name").alias("feed_publisher_name"), F.count(F.lit(1)).cast("string").alias("feed_version"))
+    day = F.date_format("o_orderdate", "yyyyMMdd")
+    days = table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "P", " ").otherwise(day).alias("start_date"), F.when(F.col("o_orderstatus") != "F", day).alias("end_date"))
     return gtfs.feed_info({"feed_info": info, "calendar": days})
 
 
@@ -441,25 +447,26 @@ def finish_run(spark, d):
     return out.select("id", "status", F.to_json("configuration").alias("configuration"))
 
 
-@query(f"""WITH a AS (SELECT l_orderkey AS sample, 'q' || (l_suppkey % 40) AS place, l_quantity AS seconds, l_linenumber AS legs, l_partkey AS position FROM lineitem WHERE l_suppkey % 9 > 0 AND l_suppkey % 40 < 30),
+@query("""WITH a AS (SELECT l_orderkey AS sample, 'q' || s_nationkey AS place, l_quantity AS seconds, l_linenumber AS legs, l_partkey AS position FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal >= 0),
 b AS (SELECT sample, place, min(struct_pack(s := seconds, p := position, l := legs)) AS x FROM a WHERE seconds <= 30 GROUP BY ALL)
-SELECT 'q' || i AS destination, (SELECT count(*) FROM b WHERE place = 'q' || i) AS reachable_count, (SELECT min(x.s) FROM b WHERE place = 'q' || i) AS fastest_s, (SELECT count(*) FROM b WHERE place = 'q' || i AND x.l <= 1) AS direct_count, 'run' AS metric_run_id FROM range(30) t(i)""")
+SELECT 'q' || n_nationkey AS destination, count(sample) AS reachable_count, min(x.s) AS fastest_s, count(*) FILTER (WHERE x.l <= 1) AS direct_count, 'run' AS metric_run_id FROM nation LEFT JOIN b ON place = 'q' || n_nationkey WHERE n_name <> 'JAPAN' GROUP BY n_nationkey""")
 def metric_rows(spark, d):
     """A metric run's rows: best arrival of each sample and place, stops without a place left out, every target a row."""
     li = table(spark, d, "lineitem")
     reached = li.select(F.col("l_orderkey").alias("sample"), F.col("l_suppkey").cast("string").alias("stop"), F.col("l_quantity").alias("seconds"), F.col("l_linenumber").alias("legs"), F.col("l_partkey").alias("position"))
-    s = table(spark, d, "supplier")
-    stops = s.where("s_suppkey % 9 > 0").select(F.col("s_suppkey").cast("string").alias("stop_id"), F.concat(F.lit("q"), F.col("s_suppkey") % 40).alias("stop_place_id"))
-    places_ = spark.range(40).select(F.concat(F.lit("q"), "id").alias("public_id"), F.when(F.col("id") < 30, "SH").otherwise("BY").alias("state_code"), F.lit(True).alias("is_display_stop"))
+    stops = table(spark, d, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").cast("string").alias("stop_id"), F.concat(F.lit("q"), "s_nationkey").alias("stop_place_id"))
+    places_ = table(spark, d, "nation").select(F.concat(F.lit("q"), "n_nationkey").alias("public_id"), F.when(F.col("n_name") == "JAPAN", "BY").otherwise("SH").alias("state_code"), F.lit(True).alias("is_display_stop"))
     profile = metrics_run.Profile("p", ["2026-07-08"], 0, 3600, 300, 30)
     out = metrics_run.metric_rows(reached, stops, metrics_run.targets(places_, ["SH"]), profile, "run", "o", 12)
     return out.select("destination", "reachable_count", "fastest_s", "direct_count", "metric_run_id")
 
 
-@query("""SELECT d AS date, CAST(s AS INTEGER) AS sample, CAST(i * 12 + s // 300 AS INTEGER) AS position FROM (VALUES ('2026-07-07', 0), ('2026-07-08', 1)) v(d, i), range(0, 3600, 300) r(s)""")
+@query("""WITH d AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders), n AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM d)
+SELECT date, CAST(s AS INTEGER) AS sample, CAST(i * 12 + s // 300 AS INTEGER) AS position FROM n, range(0, 3600, 300) r(s)""")
 def sample_times(spark, d):
-    """Departures of a profile over its dates, numbered in order."""
-    return metrics_run.sample_times(spark, metrics_run.Profile("p", ["2026-07-08", "2026-07-07"], 0, 3600, 300, 30))
+    """Departures of a profile over all days that orders were placed, numbered in order."""
+    days = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).distinct().collect()  # days of a few years
+    return metrics_run.sample_times(spark, metrics_run.Profile("p", [r.day for r in days], 0, 3600, 300, 30))
 
 
 @query("""SELECT l_orderkey AS sample, 'scan' AS engine, '1' AS version, count(DISTINCT l_suppkey) AS reachable FROM lineitem GROUP BY l_orderkey""")
@@ -511,12 +518,17 @@ def plane_distances(spark, d):
     return places(spark, d).select("id", F.round(flat, 3).alias("flat_m"), F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-@query("""WITH t AS (SELECT CAST(z AS INTEGER) AS z, CAST(x AS INTEGER) AS x, 2 * 20037508.342789244 / power(2, z) AS size FROM range(0, 12) a(z), range(0, 4) b(x) WHERE x < power(2, z))
-SELECT z, x, round(-20037508.342789244 + x * size, 3) AS west, round(20037508.342789244 - (x + 1) * size, 3) AS south, round(-20037508.342789244 + x * size - 96.0 / 2048 * size, 3) AS west_wide FROM t""")
+@query(f"""WITH {PLACES}, t AS (SELECT DISTINCT CAST(z AS INTEGER) AS z, 2 * 20037508.342789244 / power(2.0, z) AS size, lon, lat FROM places, range(0, 12) a(z)),
+i AS (SELECT DISTINCT z, size, CAST(floor((radians(lon) * 6378137.0 + 20037508.342789244) / size) AS INTEGER) AS x, CAST(floor((20037508.342789244 - ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0) / size) AS INTEGER) AS y FROM t)
+SELECT z, x, y, round(x * size - 20037508.342789244, 3) AS west, round(20037508.342789244 - y * size - size, 3) AS south, round(x * size - 20037508.342789244 - size * (96.0 / 2048), 3) AS west_wide FROM i""")
 def tile_envelopes(spark, d):
-    """Bounds of tiles on the diagonal, with and without margin."""
-    rows = [(z, x, *(round(v, 3) for v in (geo.tile_bounds(z, x, x)[0], geo.tile_bounds(z, x, x)[1], geo.tile_bounds(z, x, x, 96 / 2048)[0]))) for z in range(12) for x in range(4) if x < 2**z]
-    return spark.createDataFrame(rows, "z int, x int, west double, south double, west_wide double")
+    """Tiles that hold a place at each zoom, with their bounds, and the west one with the margin."""
+    z = F.col("z")
+    at = places(spark, d).select("lon", "lat", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("z"))
+    x, y = geo.tile_of(F.col("lon"), F.col("lat"), z)
+    held = at.select("z", x.alias("x"), y.alias("y")).distinct()
+    plain, wide = (geo.tile_envelope(z, F.col("x"), F.col("y"), b) for b in (0.0, geo.BUFFER / geo.EXTENT))
+    return held.select("z", "x", "y", F.round(plain["west"], 3).alias("west"), F.round(plain["south"], 3).alias("south"), F.round(wide["west"], 3).alias("west_wide"))
 
 
 @query(f"""WITH {PLACES} SELECT count(*) AS inside FROM places WHERE lon BETWEEN {geo.tile_degrees(7, 67, 41)[0]!r} AND {geo.tile_degrees(7, 67, 41)[2]!r} AND lat BETWEEN {geo.tile_degrees(7, 67, 41)[1]!r} AND {geo.tile_degrees(7, 67, 41)[3]!r}""")
@@ -647,12 +659,16 @@ def limited_segments(spark, d):
     return rail.pattern_segments(calls, snaps, stops, 500).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT 'now' AS public_id, 'src' AS source_key, 'Feed' AS source_name""")
+@query("""SELECT 's' || o_orderkey AS public_id, n_name AS source_key, upper(n_name) || '!' AS source_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)""")
 def live_snapshot(spark, d):
-    """The live snapshot with its source, and none other."""
-    control = spark.createDataFrame([("now", "active", True, "src"), ("old", "archived", False, "src")], "public_id string, status string, is_active boolean, source_key string")
-    control = control.withColumns({"valid_from": F.lit(None).cast("date"), "valid_until": F.lit(None).cast("date"), "quality_report": F.lit("{}")})
-    sources = spark.createDataFrame([("src", "Feed", "l", "a"), ("x", "Y", "l", "a")], "source_key string, name string, license string, attribution string")
+    """The live one of as many snapshots as there are orders, with its source, and none other."""
+    source = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("source_key"))
+    orders = table(spark, d, "orders")
+    last = orders.agg(F.max("o_orderkey").alias("last"))
+    control = orders.join(source, "o_custkey", "left").crossJoin(F.broadcast(last))  # one row
+    live = F.col("o_orderkey") == F.col("last")
+    control = control.select(F.concat(F.lit("s"), "o_orderkey").alias("public_id"), F.when(live, "active").otherwise("archived").alias("status"), live.alias("is_active"), "source_key", F.col("o_orderdate").cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_until"), F.lit("{}").alias("quality_report"))
+    sources = table(spark, d, "nation").select(F.col("n_name").alias("source_key"), F.concat(F.upper("n_name"), F.lit("!")).alias("name"), F.lit("l").alias("license"), F.lit("a").alias("attribution"))
     t = api.Tables({"snapshots": control, "sources": sources})
     chosen = api.snapshot_of(t).select("public_id")
     return api.current_snapshot(t).join(chosen, "public_id").select("public_id", "source_key", "source_name")

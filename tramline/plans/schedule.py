@@ -187,12 +187,6 @@ EDGES = f"""{GRID}, e AS (SELECT 'e-' || a.x || '-' || a.y AS id, a.lon AS x1, a
 edges AS (SELECT *, 2 * 6371008.8 * asin(least(sqrt(power(sin(radians(y2 - y1) / 2), 2) + cos(radians(y1)) * cos(radians(y2)) * power(sin(radians(x2 - x1) / 2), 2)), 1)) AS length_m, right(id, 1) = '7' AS is_service FROM e)"""
 
 
-@query(f"WITH {EDGES} SELECT id AS edge_id, round(length_m, 3) AS length_m, round(CASE WHEN is_service THEN 8 ELSE 1 END * length_m, 3) AS cost, is_service FROM edges")
-def rail_graph(spark, d):
-    """Edges of a track grid with length, and cost eight times as high on service tracks."""
-    return tracks(spark).select("edge_id", F.round("length_m", 3).alias("length_m"), F.round("cost", 3).alias("cost"), "is_service")
-
-
 @query(f"""WITH {EDGES}, p AS (SELECT s_suppkey AS stop, {LON} AS lon, {LAT} AS lat FROM supplier),
 j AS (SELECT stop, id, is_service, lon, lat, x1 + (x2 - x1) * t AS px, y1 + (y2 - y1) * t AS py FROM (SELECT *, greatest(0::DOUBLE, least(1::DOUBLE, ((lon - x1) * cos(radians(lat)) * (x2 - x1) * cos(radians(lat)) + (lat - y1) * (y2 - y1)) / (power((x2 - x1) * cos(radians(lat)), 2) + power(y2 - y1, 2)))) AS t
   FROM p JOIN edges ON lon BETWEEN least(x1, x2) - 0.1 AND greatest(x1, x2) + 0.1 AND lat BETWEEN least(y1, y2) - 0.1 AND greatest(y1, y2) + 0.1)),
@@ -257,12 +251,6 @@ def rail_summary(spark, d):
     return rail.summary(e, rail.rail_vertices(e), snaps, table(spark, d, "part").select(status.alias("status")))
 
 
-@query(f"""WITH {EDGES} SELECT id AS edge_id FROM edges WHERE greatest(x1, x2) >= 9.55 AND least(x1, x2) <= 10.45 AND greatest(y1, y2) >= 53.5 AND least(y1, y2) <= 54.45""")
-def corridor_filter(spark, d):
-    """Tracks that touch a named corridor."""
-    return tracks(spark).where(rail.meets_box(F.col("line"), rail.box_of(corridor="hamburg-kiel"))).select("edge_id")
-
-
 @query("""WITH a AS (SELECT c_custkey, (c_custkey * 37 % 800) / 100.0::DOUBLE + 6.5 AS lon, (c_custkey * 53 % 300) / 100.0::DOUBLE + 52 AS lat FROM customer)
 SELECT c_custkey, round(sqrt(power(radians(0.01::DOUBLE) * 6378137.0, 2) + power((ln(tan(pi() / 4 + radians(lat + 0.01) / 2)) - ln(tan(pi() / 4 + radians(lat) / 2))) * 6378137.0, 2)), 3) AS apart FROM a""")
 def line_distance(spark, d):
