@@ -213,7 +213,7 @@ def cheapest(arcs: DataFrame, asked: DataFrame, store) -> DataFrame:
 
     All sources are searched at once.  A round follows the arcs from the nodes
     reached at less cost than before; a node is reached within its source's
-    bound only, which begins small, doubles until the source's targets are
+    bound only, which begins small, grows fourfold until the source's targets are
     found, and falls to the dearest of them once all are known.  So what is
     held of a source is what lies not much farther than its targets, whatever
     the size of the graph.  A node knows the arc it was reached by; paths are
@@ -256,7 +256,7 @@ def cheapest(arcs: DataFrame, asked: DataFrame, store) -> DataFrame:
         release(last)
         if bound > scale.total or not left.limit(1).count():
             return found
-        bound *= 2
+        bound *= 4
         last, known = known, store(known.join(left.select("source").distinct(), "source", "left_semi"))
         release(last)
 
@@ -265,10 +265,12 @@ def followed_back(pairs: DataFrame, known: DataFrame, none: str, store) -> DataF
     """source, target, cost, path of pairs (source, target, cost), by the arcs by which their nodes were reached."""
     now = store(pairs.select("source", "target", "cost", F.col("target").alias("node"), F.array().cast(none).alias("path")))
     came = known.where("came is not null").select("source", "node", "way", "back", "came")
+    path = F.when(F.col("came").isNull(), F.col("path")).otherwise(F.concat(F.array(F.struct("way", "back")), "path"))
     while now.where("node != source").limit(1).count():
-        on = now.join(came, ["source", "node"], "left")
-        path = F.when(F.col("came").isNull(), F.col("path")).otherwise(F.concat(F.array(F.struct("way", "back")), "path"))
-        last, now = now, store(on.select("source", "target", "cost", F.coalesce("came", "node").alias("node"), path.alias("path")))
+        further = now
+        for _ in range(4):  # arcs followed between two stored rounds
+            further = further.join(came, ["source", "node"], "left").select("source", "target", "cost", F.coalesce("came", "node").alias("node"), path.alias("path"))
+        last, now = now, store(further)
         release(last)
     return now.drop("node")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tramline.functions import geo, modes, text, times
-from tramline.operators import calendar, journeys, metrics, metrics_run, mvt, normalise, poi, rail, routing, store
+from tramline.operators import calendar, itineraries, journeys, metrics, metrics_run, mvt, normalise, poi, rail, routing, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -394,6 +394,21 @@ def profile_run(spark, d):
     return out.select("destination", "reachable_count", "sample_count", "fastest_s", "first_sample", "last_sample", "max_gap", "min_transfers", "direct_count")
 
 
+@query()
+def itinerary_search(spark, d):
+    """Itineraries from the first to the last supplier of each nation in the morning, with walks from each of its suppliers to the next."""
+    t = _calls(spark, d)
+    trips = t.select("trip_id").distinct().withColumn("service_id", F.lit("all"))
+    active = spark.range(1).select(F.lit("day").alias("date"), F.lit("all").alias("service_id"), F.lit(0).alias("day_offset"))
+    s = table(spark, d, "supplier").select("s_nationkey", F.col("s_suppkey").alias("k"))
+    asked = s.groupBy("s_nationkey").agg(F.min("k").cast("string").alias("origin"), F.max("k").cast("string").alias("destination"))
+    asked = asked.select(F.col("s_nationkey").alias("query"), F.lit("day").alias("date"), "origin", "destination", F.lit(600).alias("after"), F.lit(2400).alias("before"))
+    follows = s.withColumn("next", F.lead("k").over(Window.partitionBy("s_nationkey").orderBy("k"))).where("next is not null")
+    walks = follows.select(F.col("k").cast("string").alias("from_stop_id"), F.col("next").cast("string").alias("to_stop_id"), F.lit(240).alias("seconds"))
+    found = itineraries.search(asked, routing.day_connections(t, trips, active), walks, 5400, 60, 3)
+    return found.select("query", "departure", "arrival", "changes", "walk_s")
+
+
 # --- changes, search and points of interest -------------------------------------------
 
 
