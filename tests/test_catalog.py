@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tramline.plans import catalog, maps, scalars, schedule  # noqa: F401
+from tramline.plans import catalog, feeds, maps, scalars, schedule  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
