@@ -36,6 +36,8 @@ END_ID = 1
 WINDOW = 2048
 PIECE = 512
 POOL = 1024
+#: Bytes of text encoded at a time: what a worker holds beside its tokenizer is some thirty times that.
+SLICE_BYTES = 2 << 20
 #: Share of the windows that may stay empty for the sake of fewer cuts.
 PADDING = 0.03
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -155,7 +157,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
 
         for batch in batches:
             doc_ids = iter(batch.column("doc_id").to_pylist())
-            for ids, ends in encode(batch.column("text"), end_id):
+            for ids, ends in encode(batch.column("text"), end_id, SLICE_BYTES):
                 ids, begin = ids.astype("<u4", copy=False), 0
                 for end in ends.tolist():
                     doc_id, n = next(doc_ids), end - begin

@@ -167,14 +167,14 @@ class WordCachedTokenizer:
             self.sizes = np.concatenate([self.sizes, new_sizes[keep]])
         return all_sizes[at], offsets[at], pool
 
-    def encode(self, texts: pa.Array, end_id: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids, ends) of consecutive runs of texts: all ids of a run, each text's followed by end_id if given, and where each text's end; null counts as empty."""
+    def encode(self, texts: pa.Array, end_id: int | None = None, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, ends) of consecutive runs of texts, of slice_bytes or one text at most: all ids of a run, each text's followed by end_id if given, and where each text's end; null counts as empty."""
         texts = texts.cast(pa.string())
         sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         a = 0
         while a < len(texts):
             before = int(sizes[a - 1]) if a else 0
-            b = max(a + 1, min(a + SLICE_TEXTS, int(np.searchsorted(sizes, before + SLICE_BYTES, "right"))))
+            b = max(a + 1, min(a + SLICE_TEXTS, int(np.searchsorted(sizes, before + slice_bytes, "right"))))
             ids, ends = self._run(texts.slice(a, b - a))
             trim()
             yield (ids, ends) if end_id is None else (np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1))
