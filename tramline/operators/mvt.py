@@ -137,6 +137,64 @@ def clip(line: list[Point], low: float, high: float) -> list[list[Point]]:
     return out
 
 
+def clip_ring(ring: list[Point], low: float, high: float) -> list[Point]:
+    """The part of a closed ring inside a square, closed along its sides; side by side with the sides taken one after the other."""
+    out = ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else list(ring)
+    for axis, bound, sign in ((0, low, 1), (0, high, -1), (1, low, 1), (1, high, -1)):
+        kept: list[Point] = []
+        for p, q in zip(out, out[1:] + out[:1], strict=True):
+            a, b = sign * (p[axis] - bound), sign * (q[axis] - bound)
+            if a >= 0:
+                kept.append(p)
+            if (a >= 0) != (b >= 0):
+                t = a / (a - b)
+                cut = [p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])]
+                cut[axis] = bound
+                kept.append((cut[0], cut[1]))
+        out = kept
+        if not out:
+            return []
+    return out
+
+
+def ring_geometry(rings: list[list[Point]]) -> list[int]:
+    """Drawing commands of a polygon's rings, the first the outer one, or of several polygons' if they follow each other so.
+
+    Rings that shrink to nothing are left out, with the holes of an outer one
+    that does.  Outer rings have a positive area with y downwards, holes a
+    negative one, as readers expect.
+    """
+    out, cx, cy, outer_there = [], 0, 0, False
+    zig = lambda n: n << 1 ^ n >> 31
+    for nth, ring in rings:
+        cells: list[tuple[int, int]] = []
+        for px, py in ring:
+            p = (math.floor(px), math.floor(py))
+            if not cells or cells[-1] != p:
+                cells.append(p)
+        if len(cells) > 1 and cells[0] == cells[-1]:
+            cells.pop()
+        area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(cells, cells[1:] + cells[:1], strict=True))
+        if len(cells) < 3 or not area:
+            outer_there = outer_there and nth > 0
+            continue
+        if nth == 0:
+            outer_there = True
+        elif not outer_there:
+            continue
+        if (area > 0) != (nth == 0):
+            cells.reverse()
+        for i, (px, py) in enumerate(cells):
+            if i == 0:
+                out.append(1 << 3 | 1)
+            elif i == 1:
+                out.append(len(cells) - 1 << 3 | 2)
+            out += [zig(px - cx), zig(py - cy)]
+            cx, cy = px, py
+        out.append(1 << 3 | 7)
+    return out
+
+
 def to_tile(points: list[Point], z: int, x: int, y: int) -> list[Point]:
     """Degrees to units of the tile, y downwards."""
     west, _, east, north = tile_bounds(z, x, y)
@@ -190,26 +248,37 @@ def geometry(parts: list[list[Point]], is_point: bool) -> list[int]:
     return out
 
 
-def encode_layer(name: str, features: list[tuple[list[Point], dict]], z: int, x: int, y: int, tolerance: float = 0.0) -> bytes:
-    """A tile with one layer; a feature is (points in degrees, properties), and is left out where it misses the tile."""
+def _drawn(points: list[Point], z: int, x: int, y: int, tolerance: float, low: float, high: float) -> tuple[int, list[int]]:
+    """(kind, drawing commands) of a point or a line."""
+    is_point = len(points) == 1
+    own = to_tile(simplify_apart(points, tolerance) if tolerance and not is_point else points, z, x, y)
+    parts = ([own] if all(low <= c <= high for c in own[0]) else []) if is_point else clip(own, low, high)
+    return 1 if is_point else 2, geometry(parts, is_point)
+
+
+def encode_layer(name: str, features: list[tuple[list, dict]], z: int, x: int, y: int, tolerance: float = 0.0, polygons: bool = False) -> bytes:
+    """A tile with one layer; a feature is (points in degrees, properties), and is left out where it misses the tile.
+
+    For polygons a feature is (rings, properties), a ring (nth, points), nth 0 an outer one and others its holes.
+    """
     keys: dict[str, int] = {}
     values: dict[tuple, int] = {}
     body = b""
     for points, props in features:
         if not points:
             continue
-        is_point = len(points) == 1
-        own = to_tile(simplify_apart(points, tolerance) if tolerance and not is_point else points, z, x, y)
         low, high = -BUFFER, EXTENT + BUFFER
-        parts = ([own] if all(low <= c <= high for c in own[0]) else []) if is_point else clip(own, low, high)
-        commands = geometry(parts, is_point)
+        if polygons:
+            kind, commands = 3, ring_geometry([(nth, clip_ring(to_tile(simplify_apart(ring, tolerance) if tolerance else ring, z, x, y), low, high)) for nth, ring in points])
+        else:
+            kind, commands = _drawn(points, z, x, y, tolerance, low, high)
         if not commands:
             continue
         tags = []
         for k, v in props.items():
             if v is not None:
                 tags += [keys.setdefault(k, len(keys)), values.setdefault((type(v).__name__, v), len(values))]
-        body += _field(2, _field(2, b"".join(map(varint, tags))) + varint(3 << 3) + varint(1 if is_point else 2) + _field(4, b"".join(map(varint, commands))))
+        body += _field(2, _field(2, b"".join(map(varint, tags))) + varint(3 << 3) + varint(kind) + _field(4, b"".join(map(varint, commands))))
     if not body:
         return b""
     layer = _field(1, name.encode()) + body + b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, _value(v)) for _, v in values)
@@ -259,13 +328,104 @@ def decode_layer(data: bytes) -> dict:
     return out
 
 
-def tiles(features: DataFrame, layer: str, properties: list[str], tolerance: float = 0.0) -> DataFrame:
-    """z, x, y, tile: features (z, x, y, points, properties) encoded tile by tile, in order of their first property."""
+FEATURES = "z int, x int, y int, layer string, kind int, properties map<string,string>, parts array<array<struct<x:int,y:int>>>"
+
+
+def read_features(data: bytes) -> list[dict]:
+    """The features of a tile: layer, kind (1 point, 2 line, 3 polygon), properties as text and parts in units of the tile."""
+
+    def fields(raw: bytes):
+        at = 0
+
+        def number() -> int:
+            nonlocal at
+            n = shift = 0
+            while True:
+                b = raw[at]
+                at += 1
+                n |= (b & 0x7F) << shift
+                shift += 7
+                if b < 0x80:
+                    return n
+
+        while at < len(raw):
+            tag = number()
+            if tag & 7 == 2:
+                n = number()
+                at += n
+                yield tag >> 3, raw[at - n : at]
+            elif tag & 7 == 1:
+                at += 8
+                yield tag >> 3, struct.unpack("<d", raw[at - 8 : at])[0]
+            else:
+                yield tag >> 3, number()
+
+    def numbers(raw: bytes) -> list[int]:
+        out, n, shift = [], 0, 0
+        for b in raw:
+            n |= (b & 0x7F) << shift
+            shift += 7
+            if b < 0x80:
+                out.append(n)
+                n = shift = 0
+        return out
+
+    def parts(commands: list[int]) -> list[list[dict]]:
+        out, cx, cy, i = [], 0, 0, 0
+        while i < len(commands):
+            command, count = commands[i] & 7, commands[i] >> 3
+            i += 1
+            for _ in range(count if command != 7 else 0):
+                dx, dy = (n >> 1 ^ -(n & 1) for n in commands[i : i + 2])
+                i, cx, cy = i + 2, cx + dx, cy + dy
+                if command == 1:
+                    out.append([])
+                out[-1].append({"x": cx, "y": cy})
+        return out
+
+    def text(raw: bytes) -> str:
+        (k, v), *_ = fields(raw)
+        return v.decode() if k == 1 else str(bool(v)).lower() if k == 7 else str(v)
+
+    found = []
+    for _, layer in fields(data):
+        got = list(fields(layer))
+        name, keys, values = next(v for k, v in got if k == 1).decode(), [v.decode() for k, v in got if k == 3], [text(v) for k, v in got if k == 4]
+        for k, v in got:
+            if k == 2:
+                f = dict(fields(v))
+                tags = numbers(f.get(2, b""))
+                found.append({"layer": name, "kind": f[3], "properties": [(keys[a], values[b]) for a, b in zip(tags[::2], tags[1::2], strict=True)], "parts": parts(numbers(f[4]))})
+    return found
+
+
+def features_of(encoded: DataFrame) -> DataFrame:
+    """FEATURES of tiles (z, x, y, tile)."""
+    schema = pa.schema([("z", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("layer", pa.string()), ("kind", pa.int32()), ("properties", pa.map_(pa.string(), pa.string())), ("parts", pa.list_(pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))))])
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist([{"z": r["z"], "x": r["x"], "y": r["y"], **f} for f in read_features(r["tile"])], schema)
+
+    return encoded.select("z", "x", "y", "tile").mapInArrow(run, FEATURES)
+
+
+def tiles(features: DataFrame, layer: str, properties: list[str], tolerance: float = 0.0, polygons: bool = False) -> DataFrame:
+    """z, x, y, tile: features (z, x, y, points, properties) encoded tile by tile, in order of their first property.
+
+    For polygons points are rings: an array of structs (nth, ring), see encode_layer.
+    """
+
+    def shape(points) -> list:
+        if polygons:
+            return [(p["nth"], [(q["lon"], q["lat"]) for q in p["ring"]]) for p in points or []]
+        return [(p["lon"], p["lat"]) for p in points or []]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         z, x, y = (k.as_py() for k in key)
         rows = sorted(table.to_pylist(), key=lambda r: str(r[properties[0]]))
-        data = encode_layer(layer, [([(p["lon"], p["lat"]) for p in r["points"] or []], {c: r[c] for c in properties}) for r in rows], z, x, y, tolerance)
+        data = encode_layer(layer, [(shape(r["points"]), {c: r[c] for c in properties}) for r in rows], z, x, y, tolerance, polygons)
         return pa.table({"z": pa.array([z], pa.int32()), "x": pa.array([x], pa.int32()), "y": pa.array([y], pa.int32()), "tile": pa.array([data], pa.binary())})
 
     wanted = features.select(*(F.col(c).cast("int").alias(c) for c in "zxy"), "points", *properties)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.functions import geodesic
-from tramline.operators import lines, poi, polygons, publish, rail
+from tramline.functions import geo, geodesic
+from tramline.operators import lines, mvt, poi, polygons, publish, rail
 from tramline.operators.store import first_wins
+from tramline.plans import api
 from tramline.plans.catalog import LINE_ORDER, PLACES, ST, places, query, stop_times, table
 from tramline.plans.stages import folder, stored
 from tramline.sources import osm, pbf, registry
@@ -232,3 +234,66 @@ def rail_matching(spark, d):
     points = calls.join(stops, calls["stop_place_id"] == stops["public_id"]).groupBy("pattern_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("stop_sequence", "lon", "lat"))), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("line"))
     out = rail.match_patterns(points, calls, stops, snaps, edges, stored)
     return out.select("pattern_id", "status", "total_segments", "failed_segments", F.round("confidence", 6).alias("confidence"), F.round("detour", 6).alias("detour"), F.size("lines").alias("edges"))
+
+
+# --- tiles, read back feature by feature ---------------------------------------------
+
+
+def _scaled(z: int, x: int, y: int, lon: str = "lon", lat: str = "lat") -> tuple[str, str]:
+    """SQL of a place in units of a tile."""
+    west, _, east, north = geo.tile_bounds(z, x, y)
+    scale = geo.EXTENT / (east - west)
+    return f"((radians({lon}) * {geo.MERCATOR_M!r}::DOUBLE - ({west!r}::DOUBLE)) * {scale!r}::DOUBLE)", f"(({north!r}::DOUBLE - ln(tan(pi() / 4 + radians({lat}) / 2)) * {geo.MERCATOR_M!r}::DOUBLE) * {scale!r}::DOUBLE)"
+
+
+PLACE_TILE, RAIL_TILE = (7, 67, 41), (10, 534, 335)
+PX, PY = _scaled(*PLACE_TILE)
+
+
+@query(f"""WITH {PLACES} SELECT c_name AS name, c_mktsegment AS category, CAST(floor({PX}) AS INTEGER) AS x, CAST(floor({PY}) AS INTEGER) AS y FROM places WHERE {PX} BETWEEN -96 AND 2144 AND {PY} BETWEEN -96 AND 2144 AND c_acctbal >= 0""")
+def place_tiles(spark, d):
+    """Places of a tile that are not deleted, where they are drawn."""
+    rows = places(spark, d).select("lon", "lat", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("category"), F.lit("SH").alias("state_code"), F.when(F.col("c_acctbal") < 0, F.lit("2026-01-01")).alias("deleted_at"))
+    found = mvt.features_of(api.place_tile(rows, *PLACE_TILE))
+    at = F.get(F.get("parts", F.lit(0)), F.lit(0))
+    return found.select(F.col("properties")["name"].alias("name"), F.col("properties")["category"].alias("category"), at["x"].alias("x"), at["y"].alias("y"))
+
+
+def _crosses(a: tuple[str, str], b: tuple[str, str]) -> str:
+    """SQL of whether a step meets a tile with its margin."""
+    to = lambda i, bound: f"(({bound} - {a[i]}) / nullif({b[i]} - {a[i]}, 0))"
+    enter = ", ".join(f"least({to(i, -96)}, {to(i, 2144)})" for i in (0, 1))
+    leave = ", ".join(f"greatest({to(i, -96)}, {to(i, 2144)})" for i in (0, 1))
+    return f"(greatest(0, {enter}) <= least(1, {leave}))"
+
+
+A, B, C = (_scaled(*RAIL_TILE, f"x{i}", f"y{i}") for i in (1, 2, 3))
+
+
+@query(f"WITH {TRACKS} SELECT id AS edge_id, CAST(yard AS VARCHAR) AS is_service FROM l WHERE {_crosses(A, B)} OR {_crosses(B, C)}")
+def rail_tiles(spark, d):
+    """Tracks of the suppliers' grid that a tile draws."""
+    edges = rail.rail_edges(rail.rail_ways(rail.merged_ways(supplier_tracks(spark, d), stored)))
+    found = mvt.features_of(api.rail_tile(edges, *RAIL_TILE))
+    return found.select(F.col("properties")["edge_id"].alias("edge_id"), F.col("properties")["is_service"].alias("is_service"))
+
+
+@query(f"""WITH {CELLS}, b AS (SELECT n, greatest(x * 1024, -96) AS x1, least((x + 1) * 1024, 2144) AS x2, greatest(y * 1024, -96) AS y1, least((y + 1) * 1024, 2144) AS y2 FROM (SELECT n, x - 2 AS x, 3 - y AS y FROM c))
+SELECT 'N' || n AS state_code, CAST(sum((x2 - x1) * (y2 - y1)) AS BIGINT) AS units FROM b WHERE x2 > x1 AND y2 > y1 GROUP BY n""")
+def area_tiles(spark, d):
+    """The united squares of nations drawn as polygons with holes in one tile: the area that each covers there, in units of the tile."""
+    z, x0, y0 = 9, 300, 200
+    half = lambda i: geo.inverse_mercator(geo.tile_bounds(z, x0, y0)[0] + i * geo.HALF_MAP / 2**z, 0)[0]
+    at = lambda j: geo.inverse_mercator(0, geo.tile_bounds(z, x0, y0)[3] - j * geo.HALF_MAP / 2**z)[1]
+    # squares of half a tile: the grid's are stretched so that corners fall on whole units
+    united = polygons.union_polygons(_squares(spark, d), ["state_code"], stored)
+    lon = lambda p: F.lit(half(0)) + (F.round(p["lon"] * 8) - 2) * (half(1) - half(0)) + 1e-9
+    y = lambda p: geo.tile_bounds(z, x0, y0)[3] - (4 - F.round(p["lat"] * 8)) * (geo.HALF_MAP / 2**z)
+    lat = lambda p: F.degrees(2 * F.atan(F.exp(y(p) / geo.MERCATOR_M)) - math.pi / 2) - 1e-9
+    drawn = F.transform("ring", lambda p: F.struct(lon(p).alias("lon"), lat(p).alias("lat")))
+    # holes of an outer ring follow it; a hole lies in the smallest outer ring around it, and any of them serves for its area
+    rings = united.groupBy("state_code").agg(F.array_sort(F.collect_list(F.struct((~F.col("outer")).cast("int").alias("nth"), drawn.alias("ring")))).alias("points"))
+    tiles = mvt.tiles(rings.select(F.lit(z).alias("z"), F.lit(x0).alias("x"), F.lit(y0).alias("y"), "points", "state_code"), "areas", ["state_code"], polygons=True)
+    ring = lambda p: F.zip_with(p, F.concat(F.slice(p, 2, F.size(p) - 1), F.slice(p, 1, 1)), lambda a, b: a["x"].cast("long") * b["y"] - b["x"].cast("long") * a["y"])
+    area = F.aggregate(F.flatten(F.transform("parts", ring)), F.lit(0).cast("long"), lambda s, v: s + v) / 2
+    return mvt.features_of(tiles).select(F.col("properties")["state_code"].alias("state_code"), area.cast("long").alias("units"))
