@@ -129,7 +129,8 @@ def clip(line: list[Point], low: float, high: float) -> list[list[Point]]:
                 t1 = min(t1, q / p)
         if t0 > t1:
             continue
-        a, b = (x1 + t0 * dx, y1 + t0 * dy), (x1 + t1 * dx, y1 + t1 * dy)
+        # uncut ends stay what they are, so that steps which follow each other make one part
+        a, b = (x1 + t0 * dx, y1 + t0 * dy), (x2, y2) if t1 == 1.0 else (x1 + t1 * dx, y1 + t1 * dy)
         if out and t0 == 0.0 and out[-1][-1] == (x1, y1):
             out[-1].append(b)
         else:
