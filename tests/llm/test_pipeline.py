@@ -4,7 +4,7 @@ import corpus_pipeline
 from tramline.llm import quality
 
 from .conftest import prose, rows
-from .test_dedup import brute_components, brute_lines
+from .test_dedup import brute_components, brute_lines, row_of
 from .test_text import brute
 
 
@@ -36,7 +36,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     gone = brute_lines(left)
     want = []
     for i, t in left:
-        out = set().union(*gone.get((False, i), ((), ())))
+        out = set().union(*gone.get((False, i, row_of(t)), ((), ())))
         text = t if not out else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in out)
         if not out or text.split():
             want.append((i, text))
@@ -65,3 +65,13 @@ def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_line_dedup_keeps_rows_without_an_id_apart(spark, tmp_path):
+
+    x, own = "the same line stands in many places", "a unique line that stands nowhere else at all"
+    docs = spark.createDataFrame([r[:5] for r in rows([(1, x), (7, x), (7, own), (None, own + " but here"), (None, "something else entirely is written"), (None, None), (9, " ")])], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["line dedup"](spark, docs, str(tmp_path)).collect()
+    # the second x goes with its row; null and blank texts have lost nothing
+    assert sorted(str(r.text) for r in kept) == sorted([x, own, own + " but here", "something else entirely is written", "None", " "])
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in kept)
