@@ -173,13 +173,13 @@ def latest_run(spark, d):
     return store.first_wins(runs, ["c_nationkey"], [done.desc_nulls_last(), F.desc("o_orderdate"), F.col("o_orderkey")]).select("c_nationkey", "o_orderkey", "o_orderstatus")
 
 
-@query("""WITH kids AS (SELECT c_custkey, c_acctbal, c_custkey % 50 AS parent FROM customer WHERE c_custkey % 5 <> 0), parents AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 5 = 0)
+@query("""WITH kids AS (SELECT c_custkey, c_acctbal, c_custkey - c_custkey % 7 AS parent FROM customer WHERE c_custkey % 5 <> 0), parents AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 5 = 0)
 SELECT p.c_custkey AS place, CASE WHEN p.c_acctbal > 0 THEN p.c_acctbal ELSE round(avg(k.c_acctbal), 6) END AS value, 'parent' AS kind FROM parents p LEFT JOIN kids k ON k.parent = p.c_custkey GROUP BY p.c_custkey, p.c_acctbal
 UNION ALL SELECT c_custkey, c_acctbal, 'orphan' FROM kids k WHERE NOT EXISTS (SELECT 1 FROM parents p WHERE p.c_custkey = k.parent)""")
 def orphan_places(spark, d):
     """Parents, their value from children where they have none, and children whose parent is missing."""
     c = table(spark, d, "customer")
-    kids = c.where("c_custkey % 5 <> 0").select("c_custkey", "c_acctbal", (F.col("c_custkey") % 50).alias("parent"))
+    kids = c.where("c_custkey % 5 <> 0").select("c_custkey", "c_acctbal", (F.col("c_custkey") - F.col("c_custkey") % 7).alias("parent"))
     parents = c.where("c_custkey % 5 = 0").select("c_custkey", "c_acctbal")
     mean = kids.groupBy("parent").agg(F.round(F.avg("c_acctbal"), 6).alias("mean"))
     own = parents.join(mean, F.col("c_custkey") == F.col("parent"), "left").select(F.col("c_custkey").alias("place"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).otherwise(F.col("mean")).alias("value"), F.lit("parent").alias("kind"))
