@@ -4,8 +4,9 @@ import random
 from collections import defaultdict
 
 import pytest
-
 from pyspark.sql import functions as F
+
+from tramline.functions import geo
 from tramline.operators import chains, lines, polygons
 from tramline.plans.stages import stored
 
@@ -166,4 +167,4 @@ def test_a_hole_stays_and_an_enclave_fills_it(spark):
     areas = polygons.polygon_areas(polygons.union_polygons(df, ["state"], stored), ["state"])
     assert {r.state: (r.outer_rings, r.holes, r.corners) for r in areas.collect()} == {"ring": (1, 1, 8), "full": (1, 0, 4)}
     inside = spark.createDataFrame([(1.0, 1.0), (4.0, 4.0)], "lon double, lat double").crossJoin(df.limit(1).select("ring"))
-    assert [r.h for r in inside.select(polygons.holds(F.col("lon"), F.col("lat"), F.col("ring")).alias("h")).collect()] == [True, True]
+    assert [r.h for r in inside.select(geo.ring_contains(F.col("lon"), F.col("lat"), F.col("ring")).alias("h")).collect()] == [True, True]

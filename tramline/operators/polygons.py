@@ -88,12 +88,6 @@ def from_smallest(ring: Column) -> Column:
     return F.concat(turned, F.slice(turned, 1, 1))
 
 
-def holds(lon: Column, lat: Column, ring: Column) -> Column:
-    """Even-odd test of a place against a closed ring of any direction."""
-    hit = F.zip_with(*_steps(ring), lambda a, b: ((a["lat"] > lat) != (b["lat"] > lat)) & (lon < (lat - a["lat"]) * (b["lon"] - a["lon"]) / F.nullif(b["lat"] - a["lat"], F.lit(0.0)) + a["lon"]))
-    return F.aggregate(hit, F.lit(0), lambda s, h: s + F.coalesce(h, F.lit(False)).cast("int")) % 2 == 1
-
-
 def sphere_area_m2(ring: Column, radius: float = 6371008.8) -> Column:
     """Area within a ring on the sphere, positive if it runs anticlockwise."""
     parts = F.zip_with(*_steps(ring), lambda a, b: F.radians(b["lon"] - a["lon"]) * (2 + F.sin(F.radians(a["lat"])) + F.sin(F.radians(b["lat"]))))
