@@ -11,7 +11,7 @@ _OWN: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; on one machine without a cluster, one of our own where it is unset."""
+    """The folder in spark.checkpoint.dir, with its scheme; on one machine without a cluster, one of our own where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         master = spark.sparkContext.master
@@ -19,7 +19,18 @@ def folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         _OWN[:] = _OWN or ["file://" + tempfile.mkdtemp(prefix="tramline-")]
         base = _OWN[0]
-    return f"{base.rstrip('/')}/stages"
+    return f"{qualified(spark, base)}/stages"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme; one without is taken as Spark takes it, in its default file system."""
+    if "://" not in path:
+        given = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = given.getFileSystem(spark._jsc.hadoopConfiguration())
+        path = given.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[5:]
+    return path.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
