@@ -119,8 +119,15 @@ def test_every_snapshot_and_customer_is_there(spark, tmp_path):
     balance = {k: float(k % 7 - 3) for k in range(130)}
     write(spark, tmp_path, "customer", list(balance.items()), "c_custkey long, c_acctbal double")
     got = sorted((r.place, r.value, r.kind) for r in catalog.QUERIES["orphan_places"](spark, d).collect())
-    # no child's c_custkey % 50 is a multiple of five, so each child is an orphan and no parent has a mean
-    assert got == [(k, None if k % 5 == 0 and v <= 0 else v, "orphan" if k % 5 else "parent") for k, v in balance.items()]
+    kids = collections.defaultdict(list)
+    for k, v in balance.items():
+        if k % 5:
+            kids[k - k % 7].append(v)
+    mean = lambda k: round(sum(kids[k]) / len(kids[k]), 6) if kids[k] else None
+    parents = [(k, v if v > 0 else mean(k), "parent") for k, v in balance.items() if k % 5 == 0]
+    orphans = [(k, v, "orphan") for k, v in balance.items() if k % 5 and (k - k % 7) % 5]
+    assert got == sorted(parents + orphans)
+    assert any(kids[k] for k, *_ in parents) and len(orphans) < sum(map(len, kids.values()))
 
 
 def test_names_of_every_language(spark, tmp_path):
