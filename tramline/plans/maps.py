@@ -246,7 +246,7 @@ def _scaled(z: int, x: int, y: int, lon: str = "lon", lat: str = "lat") -> tuple
     return f"((radians({lon}) * {geo.MERCATOR_M!r}::DOUBLE - ({west!r}::DOUBLE)) * {scale!r}::DOUBLE)", f"(({north!r}::DOUBLE - ln(tan(pi() / 4 + radians({lat}) / 2)) * {geo.MERCATOR_M!r}::DOUBLE) * {scale!r}::DOUBLE)"
 
 
-PLACE_TILE, RAIL_TILE = (7, 67, 41), (10, 534, 335)
+PLACE_TILE, RAIL_TILE = (7, 67, 41), (8, 133, 83)
 PX, PY = _scaled(*PLACE_TILE)
 
 
