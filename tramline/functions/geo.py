@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,11 @@ HALF_MAP = 20037508.342789244
 EXTENT, BUFFER = 2048, 96
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once: a column that is written several times in an expression is else evaluated as often, and inside a lambda for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = EARTH_M) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return F.lit(2 * radius) * F.asin(F.least(F.sqrt(a), F.lit(1.0)))
@@ -71,6 +77,13 @@ def in_box(lon: Column, lat: Column, box: tuple[float, float, float, float]) ->
     return lon.between(box[0], box[2]) & lat.between(box[1], box[3])
 
 
+def box_meets(line: Column, box: tuple[float, float, float, float]) -> Column:
+    """Whether the box around a line or ring and another box have a point in common."""
+    side = lambda of, points, c: of(F.transform(points, lambda p: p[c]))
+    meets = lambda points: (side(F.array_max, points, "lon") >= box[0]) & (side(F.array_min, points, "lon") <= box[2]) & (side(F.array_max, points, "lat") >= box[1]) & (side(F.array_min, points, "lat") <= box[3])
+    return bound(line, meets)
+
+
 def in_polygon(lon: Column, lat: Column, ring: list[tuple[float, float]]) -> Column:
     """Even-odd test against one ring of fixed corners, as a sum of crossings; the bounding box is tested first."""
     xs, ys = [p[0] for p in ring], [p[1] for p in ring]

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.functions.geo import bound
 from tramline.operators.chains import joined_points, ranked
 
 
@@ -17,16 +18,20 @@ def _steps(ring: Column) -> tuple[Column, Column]:
 
 def signed_area(ring: Column) -> Column:
     """Twice the area within a closed ring on the plane of its coordinates, positive if it runs anticlockwise."""
-    first = F.get(ring, F.lit(0))
+    return bound(ring, lambda r: F.when(F.size(r) >= 3, bound(F.get(r, F.lit(0)), lambda first: _area_from(r, first))).otherwise(F.lit(0.0)))
+
+
+def _area_from(ring: Column, first: Column) -> Column:
     steps = F.zip_with(*_steps(ring), lambda a, b: (a["lon"] - first["lon"]) * (b["lat"] - first["lat"]) - (b["lon"] - first["lon"]) * (a["lat"] - first["lat"]))
-    return F.when(F.size(ring) >= 3, F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)).otherwise(F.lit(0.0))
+    return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
 
 
 def valid_ring(ring: Column) -> Column:
     """A closed ring without points that repeat the one before; null if it encloses nothing."""
-    keep = F.filter(ring, lambda p, i: (i == 0) | (p != F.get(ring, i - 1)))
-    closed = F.when(F.get(keep, F.lit(0)) == F.get(keep, F.size(keep) - 1), keep).otherwise(F.concat(keep, F.slice(keep, 1, 1)))
-    return F.when((F.size(ring) >= 3) & (F.size(closed) >= 4) & (signed_area(closed) != 0), closed)
+    apart = lambda r: F.filter(r, lambda p, i: (i == 0) | (p != F.get(r, i - 1)))
+    closed = lambda keep: F.when(F.get(keep, F.lit(0)) == F.get(keep, F.size(keep) - 1), keep).otherwise(F.concat(keep, F.slice(keep, 1, 1)))
+    whole = lambda r: bound(bound(apart(r), closed), lambda c: F.when((F.size(r) >= 3) & (F.size(c) >= 4) & (signed_area(c) != 0), c))
+    return bound(ring, whole)
 
 
 def union_polygons(rings: DataFrame, by: list[str], store) -> DataFrame:
@@ -46,9 +51,9 @@ def union_polygons(rings: DataFrame, by: list[str], store) -> DataFrame:
     """
     group = F.struct(*by) if by else F.lit(0)
     fine = rings.select(group.alias("g"), F.struct("polygon", "nth").alias("of"), (F.col("nth") == 0).alias("outer"), valid_ring(F.col("ring")).alias("ring")).where("ring is not null")
-    turned = F.when((signed_area(F.col("ring")) > 0) == F.col("outer"), F.col("ring")).otherwise(F.reverse("ring"))
+    turned = bound(F.col("ring"), lambda r: F.when((signed_area(r) > 0) == F.col("outer"), r).otherwise(F.reverse(r)))
     fine = fine.select("g", "of", turned.alias("ring"))
-    pairs = F.zip_with(*_steps(F.col("ring")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = bound(F.col("ring"), lambda r: F.zip_with(*_steps(r), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
     edges = fine.select("g", "of", F.posexplode(pairs).alias("nth", "e")).select("g", F.struct("of", "nth").alias("id"), "e.a", "e.b")
     up = F.col("a") < F.col("b")
     net = edges.groupBy("g", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.sum(F.when(up, 1).otherwise(-1)).alias("net"), F.min(F.when(up, F.col("id"))).alias("ups"), F.min(F.when(~up, F.col("id"))).alias("downs"))
@@ -82,10 +87,14 @@ def union_polygons(rings: DataFrame, by: list[str], store) -> DataFrame:
 
 def from_smallest(ring: Column) -> Column:
     """A closed ring turned to begin, and end, at its smallest point."""
-    open_ = F.slice(ring, 1, F.size(ring) - 1)
-    at = F.array_position(open_, F.array_min(open_)).cast("int")
-    turned = F.concat(F.slice(open_, at, F.size(open_) - at + 1), F.slice(open_, 1, at - 1))
-    return F.concat(turned, F.slice(turned, 1, 1))
+
+    def turned(points: Column, at: Column) -> Column:
+        return F.concat(F.slice(points, at, F.size(points) - at + 1), F.slice(points, 1, at - 1))
+
+    def whole(points: Column) -> Column:
+        return bound(F.array_position(points, F.array_min(points)).cast("int"), lambda at: F.concat(turned(points, at), F.slice(points, at, F.lit(1))))
+
+    return bound(bound(ring, lambda r: F.slice(r, 1, F.size(r) - 1)), whole)
 
 
 def sphere_area_m2(ring: Column, radius: float = 6371008.8) -> Column:

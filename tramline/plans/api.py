@@ -183,9 +183,7 @@ def _in_tile(z: int, x: int, y: int) -> Column:
 
 def _touches(line: str, z: int, x: int, y: int) -> Column:
     """Whether a line's box overlaps the tile's; the encoder clips exactly."""
-    w, s, e, n = geo.tile_degrees(z, x, y)
-    lon, lat = F.transform(line, lambda p: p["lon"]), F.transform(line, lambda p: p["lat"])
-    return (F.array_max(lon) >= w) & (F.array_min(lon) <= e) & (F.array_max(lat) >= s) & (F.array_min(lat) <= n)
+    return geo.box_meets(F.col(line), geo.tile_degrees(z, x, y))
 
 
 def stop_tile(t: Tables, z: int, x: int, y: int, wanted: list[str] | None = None, profile: str = "") -> DataFrame:

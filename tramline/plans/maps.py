@@ -123,10 +123,9 @@ def dissolved_areas(spark, d):
 def enclave_states(spark, d):
     """The nation of the middle of each square by the united areas: in a hole it is the enclave's."""
     united = polygons.union_polygons(_squares(spark, d), ["state_code"], stored)
-    shapes = united.groupBy("state_code").agg(F.collect_list("ring").alias("rings"))
     middle = lambda axis: (F.get("ring", F.lit(0))[axis] + F.get("ring", F.lit(2))[axis]) / 2
     points = _squares(spark, d).select(F.col("polygon").alias("c_custkey"), middle("lon").alias("lon"), middle("lat").alias("lat"))
-    return poi.states_of_points(points, shapes, 1.0).select("c_custkey", "state_code")
+    return poi.states_of_points(points, united.select("state_code", "ring"), 1.0).select("c_custkey", "state_code")
 
 
 @query("""WITH k AS (SELECT n_nationkey, n_name, n_regionkey, '0' || (n_regionkey + 1) AS key FROM nation),
@@ -291,8 +290,9 @@ def area_tiles(spark, d):
     y = lambda p: geo.tile_bounds(z, x0, y0)[3] - (4 - F.round(p["lat"] * 8)) * (geo.HALF_MAP / 2**z)
     lat = lambda p: F.degrees(2 * F.atan(F.exp(y(p) / geo.MERCATOR_M)) - math.pi / 2) - 1e-9
     drawn = F.transform("ring", lambda p: F.struct(lon(p).alias("lon"), lat(p).alias("lat")))
-    # holes of an outer ring follow it; a hole lies in the smallest outer ring around it, and any of them serves for its area
-    rings = united.groupBy("state_code").agg(F.array_sort(F.collect_list(F.struct((~F.col("outer")).cast("int").alias("nth"), drawn.alias("ring")))).alias("points"))
+    # only rings whose box meets the tile are gathered; a hole that does lies in an outer ring that does, and any of those serves for its area
+    met = united.select("state_code", (~F.col("outer")).cast("int").alias("nth"), drawn.alias("ring")).where(geo.box_meets(F.col("ring"), geo.tile_degrees(z, x0, y0)))
+    rings = met.groupBy("state_code").agg(F.array_sort(F.collect_list(F.struct("nth", "ring"))).alias("points"))
     tiles = mvt.tiles(rings.select(F.lit(z).alias("z"), F.lit(x0).alias("x"), F.lit(y0).alias("y"), "points", "state_code"), "areas", ["state_code"], polygons=True)
     ring = lambda p: F.zip_with(p, F.concat(F.slice(p, 2, F.size(p) - 1), F.slice(p, 1, 1)), lambda a, b: a["x"].cast("long") * b["y"] - b["x"].cast("long") * a["y"])
     area = F.aggregate(F.flatten(F.transform("parts", ring)), F.lit(0).cast("long"), lambda s, v: s + v) / 2
