@@ -76,7 +76,7 @@ def matching(objects: DataFrame, wanted: Column) -> DataFrame:
     own = chosen.select("kind", "id").unionByName(members).distinct()
     ways = objects.where("kind = 'way'").join(own.where("kind = 'way'").select("id"), "id", "left_semi")
     nodes = ways.select(F.lit("node").alias("kind"), F.explode("refs").alias("id"))
-    return once(objects).join(own.unionByName(nodes).distinct(), ["kind", "id"], "left_semi").select(*objects.columns)
+    return once(objects.join(own.unionByName(nodes).distinct(), ["kind", "id"], "left_semi").select(*objects.columns))
 
 
 def named_objects(objects: DataFrame) -> DataFrame:
