@@ -111,19 +111,24 @@ def rail_edges(ways: DataFrame) -> DataFrame:
 def nearest_within(left: DataFrame, right: DataFrame, meters: float, size: float, most: int, left_id: str, right_id: str) -> DataFrame:
     """left_id, right_id, distance_m, rank: the nearest points (id, lon, lat) of right, by a grid of cells not smaller than the reach.
 
-    Each point of right lies in one cell and each of left asks nine, so the
+    Each place of right lies in one cell and each of left asks nine, so the
     join is on equal cells; a crowded cell is split by the adaptive skew join.
+    Points of left in one place ask once, and of points of right in one place
+    only the first by id can be among the nearest, so copies do not multiply.
     """
     lx, ly = cell(F.col("lon"), F.col("lat"), size)
     near = F.sequence(F.lit(-1), F.lit(1))
-    asks = left.select(F.col(left_id), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), lx.alias("_x"), ly.alias("_y")).withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
-    asks = asks.select(left_id, "_lon", "_lat", (F.col("_x") + F.col("_dx")).alias("_x"), (F.col("_y") + F.col("_dy")).alias("_y"))
-    here = right.select(right_id, "lon", "lat", lx.alias("_x"), ly.alias("_y"))
+    asks = left.select("lon", "lat").distinct().select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), lx.alias("_x"), ly.alias("_y")).withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
+    asks = asks.select("_lon", "_lat", (F.col("_x") + F.col("_dx")).alias("_x"), (F.col("_y") + F.col("_dy")).alias("_y"))
+    first = F.row_number().over(Window.partitionBy("lon", "lat").orderBy(right_id))
+    here = right.select(right_id, "lon", "lat").withColumn("_nth", first).where(F.col("_nth") <= most).select(right_id, "lon", "lat", lx.alias("_x"), ly.alias("_y"))
     close = (F.abs(F.col("lon") - F.col("_lon")) <= size) & (F.abs(F.col("lat") - F.col("_lat")) <= size)
     d = haversine_m(F.col("_lon"), F.col("_lat"), F.col("lon"), F.col("lat"))
-    rows = asks.join(here, ["_x", "_y"]).where(close).select(left_id, right_id, d.alias("distance_m")).where(F.col("distance_m") <= meters)
-    rank = F.row_number().over(Window.partitionBy(left_id).orderBy("distance_m", right_id))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= most)
+    rows = asks.join(here, ["_x", "_y"]).where(close).select("_lon", "_lat", right_id, d.alias("distance_m")).where(F.col("distance_m") <= meters)
+    ranked = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("distance_m", right_id))
+    rows = rows.withColumn("rank", ranked("_lon", "_lat")).where(F.col("rank") <= most).drop("rank")
+    own = left.select(F.col(left_id), F.col("lon").alias("_lon"), F.col("lat").alias("_lat")).hint("merge").join(rows, ["_lon", "_lat"]).select(left_id, right_id, "distance_m")
+    return own.withColumn("rank", ranked(left_id)).where(F.col("rank") <= most)
 
 
 def rail_vertices(edges: DataFrame) -> DataFrame:
