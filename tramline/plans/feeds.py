@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import glob
-import os
 import shutil
 import uuid
 import zipfile
@@ -23,15 +22,19 @@ def written_archive(spark, d: str) -> str:
     if "://" in base:
         raise ValueError("archives are written to a shared mount")
     base = f"{base}/feed-{uuid.uuid4().hex}"
+    heads = {}
     for name, df in feed(spark, d).items():
         if df.limit(1).count():
-            df.coalesce(1).write.csv(f"file://{base}/{name}", header=True, quote='"', escape='"', emptyValue="")
+            df.write.csv(f"file://{base}/{name}", quote='"', escape='"', emptyValue="")
+            heads[name] = ",".join(df.columns) + "\n"
     archive = f"{base}/feed.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for path in sorted(glob.glob(f"{base}/*/part-*.csv")):
-            name = os.path.basename(os.path.dirname(path))
-            with open(path, "rb") as src, z.open(f"inner/{name}.txt" if name > "s" else f"{name}.txt", "w", force_zip64=True) as out:
-                shutil.copyfileobj(src, out)
+        for name, head in sorted(heads.items()):
+            with z.open(f"inner/{name}.txt" if name > "s" else f"{name}.txt", "w", force_zip64=True) as out:
+                out.write(head.encode())
+                for path in sorted(glob.glob(f"{base}/{name}/part-*.csv")):  # as many as tasks wrote, none of them whole in one task
+                    with open(path, "rb") as src:
+                        shutil.copyfileobj(src, out)
         z.writestr("calendar.txt", ",".join(gtfs.MEMBERS["calendar"].split()) + "\n")
         z.writestr("licence.txt", "none\n")
     return archive
