@@ -185,20 +185,48 @@ def snap_stops(stops: DataFrame, edges: DataFrame, meters: float = SNAP_M, degre
 
 
 def components(edges: DataFrame, store) -> DataFrame:
-    """node, component: the smallest node reachable, by passing labels on and jumping to labels' labels until none changes.
+    """node, component: the smallest node reachable.
 
-    store(df) writes a frame and returns it reread, which cuts the lineage of each round.
+    Each round, every node joins its smallest neighbour, if that is smaller,
+    and the edges left between the groups are the next round's, each once.
+    Two rounds leave at most half the nodes, so all rounds together move
+    edges and nodes a few times, not once a round.
+    store(df) writes a frame and returns it reread.
     """
-    both = store(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct())
-    labels = store(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"))
+    ends = store(edges.select(F.least("source", "target").alias("low"), F.greatest("source", "target").alias("high")))
+    now, levels = ends, []
+    while now.where("low != high").limit(1).count():
+        apart = now.where("low != high")
+        joins = _to_ends(store(apart.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("to"))), store)
+        levels.append(joins)
+        high, low = joins.select(F.col("node").alias("high"), F.col("to").alias("_high")), joins.select(F.col("node").alias("low"), F.col("to").alias("_low"))
+        a, b = F.col("_high"), F.coalesce("_low", "low")
+        met = apart.join(high, "high").join(low, "low", "left").select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
+        last, now = now, store(met.where("low != high").distinct())
+        if last is not ends:
+            release(last)
+    nodes = ends.select(F.col("low").alias("node")).unionByName(ends.select(F.col("high").alias("node"))).distinct()
+    known = None
+    for joins in reversed(levels):  # where a group joined another one later on, its nodes are that one's
+        if known is not None:
+            further = known.select(F.col("node").alias("to"), F.col("component").alias("_to"))
+            known = known.unionByName(joins.join(further, "to", "left").select("node", F.coalesce("_to", "to").alias("component")))
+        else:
+            known = joins.withColumnRenamed("to", "component")
+        known = store(known) if joins is not levels[0] else known
+    if known is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _to_ends(joins: DataFrame, store) -> DataFrame:
+    """node, to of joins (node, to) that lead to no node twice: the end of each one's way, by jumps twice as long each time."""
     while True:
-        offered = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("offer"))
-        joined = labels.join(offered, labels["node"] == offered["a"], "left").select("node", F.least("component", F.coalesce("offer", "component")).alias("c"), F.col("component").alias("before"))
-        jump = labels.select(F.col("node").alias("c"), F.col("component").alias("beyond"))
-        after = store(joined.join(jump, "c", "left").select("node", F.least("c", F.coalesce("beyond", "c")).alias("component"), "before"))
-        if not after.where("component != before").limit(1).count():
-            return after.select("node", "component")
-        labels = after.select("node", "component")
+        beyond = joins.select(F.col("node").alias("to"), F.col("to").alias("_to"))
+        if not joins.join(beyond, "to", "left_semi").limit(1).count():
+            return joins
+        last, joins = joins, store(joins.join(beyond, "to", "left").select("node", F.coalesce("_to", "to").alias("to")))
+        release(last)
 
 
 def contracted(edges: DataFrame, stay: DataFrame, store) -> tuple[DataFrame, DataFrame]:
@@ -385,7 +413,7 @@ def match_patterns(patterns: DataFrame, stops_of: DataFrame, places: DataFrame,
     """Patterns (pattern_id, line) matched to the rails: the row of each, see rated.  store as in components."""
     own = stops_of.join(patterns.select("pattern_id"), "pattern_id", "left_semi")
     segments = store(pattern_segments(own, snaps, places, limit))
-    labels = components(edges, store)
+    labels = store(components(edges, store))
     asked = segments.where("source is not null and target is not null and source != target")
     ways = store(shortest_paths(edges, asked.select("source", "target").distinct(), labels, store))
     detail = edges.select(F.col("edge_id").cast("string").alias("edge_id"), "line", "length_m", "is_service")
