@@ -1,5 +1,7 @@
 """How much the searches over graphs write and how often, beside their results."""
 
+import itertools
+
 from tramline.operators import rail
 from tramline.plans.stages import stored
 
@@ -33,3 +35,25 @@ def test_components_write_edges_once(spark):
             expected[a] = expected[b] = min(expected[a], expected[b])
     assert got == expected
     assert [n for n in store.rows if n > len(expected)] == [len(pairs)]
+
+
+def test_only_edges_at_a_through_node_are_put_in_order(spark):
+    pairs = list(itertools.combinations([f"k{i}" for i in range(6)], 2)) + [("k0", "m"), ("m", "k1")]
+    edges = spark.createDataFrame([(f"e{n}", a, b, 1.0) for n, (a, b) in enumerate(pairs)], EDGE)
+    store = Counted()
+    ways, members = rail.contracted(edges, spark.createDataFrame([("k5",)], "node string"), store)
+    assert max(store.rows) <= 4
+    ways, members = ways.collect(), members.collect()
+    assert sorted(r.edge_id for r in members) == sorted(f"e{n}" for n in range(len(pairs))) and len(ways) == len(pairs) - 1
+    through = [r for r in ways if {r.source, r.target} == {"k0", "k1"} and r.cost == 2.0]
+    assert len(through) == 1 and sorted(m.edge_id for m in members if m.way == through[0].way) == ["e15", "e16"]
+
+
+def test_several_arcs_are_followed_in_a_stored_round(spark):
+    arcs = [(f"n{i:02d}", f"n{i + 1:02d}", 1.0 + i % 3, f"w{i}", False) for i in range(40)]
+    arcs += [(b, a, c, w, True) for a, b, c, w, _ in arcs]
+    store = Counted()
+    asked = spark.createDataFrame([("n00", "n40"), ("n07", "n03")], "source string, target string")
+    found = {(r.source, r.target): (r.cost, [(p.way, p.back) for p in r.path]) for r in rail.cheapest(spark.createDataFrame(arcs, "a string, b string, cost double, way string, back boolean"), asked, store).collect()}
+    assert found == {("n00", "n40"): (sum(1.0 + i % 3 for i in range(40)), [(f"w{i}", False) for i in range(40)]), ("n07", "n03"): (sum(1.0 + i % 3 for i in range(3, 7)), [(f"w{i}", True) for i in range(6, 2, -1)])}
+    assert len(store.rows) <= 55

@@ -14,6 +14,8 @@ RAILWAYS = ("rail", "light_rail", "subway", "tram")
 SERVICE = ("yard", "siding", "spur", "crossover")
 SERVICE_FACTOR = 8
 SNAP_M, SNAP_DEGREES, SNAPS = 800.0, 0.01, 3
+#: Where no node has more arcs than this, a stored round of the search follows four of them one after the other.
+FEW_ARCS = 16
 #: Named corridors as boxes (west, south, east, north).
 CORRIDORS = {"hamburg-kiel": (9.55, 53.50, 10.45, 54.45), "hamburg-buechen": (9.85, 53.25, 10.95, 53.75)}
 
@@ -232,13 +234,22 @@ def _to_ends(joins: DataFrame, store) -> DataFrame:
 def contracted(edges: DataFrame, stay: DataFrame, store) -> tuple[DataFrame, DataFrame]:
     """(ways, members) of edges (edge_id, source, target, cost): edges put together over nodes where two meet, but not over those of stay (node).
 
-    ways: way, source, target, cost; members: way, nth, edge_id, cost, in the order from source to target.
+    ways: way, source, target, cost; members: way, nth, edge_id, cost, in the
+    order from source to target.  Only edges with an end at such a node are
+    put in order; all others are ways as they are.
     """
-    parts = edges.select(F.lit(0).alias("g"), F.col("edge_id").cast("string").alias("part"), F.col("source").alias("first"), F.col("target").alias("last"), "cost")
+    through = edges.select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+    through = store(through.select("node").join(stay, "node", "left_anti"))
+    at = lambda end: through.select(F.col("node").alias(end), F.lit(True).alias(f"_{end}"))
+    rows = edges.select(F.col("edge_id").cast("string").alias("edge_id"), "source", "target", "cost").join(at("source"), "source", "left").join(at("target"), "target", "left")
+    touches = F.coalesce("_source", "_target").isNotNull()
+    parts = store(rows.where(touches).select(F.lit(0).alias("g"), F.col("edge_id").alias("part"), F.col("source").alias("first"), F.col("target").alias("last"), "cost"))
+    alone = rows.where(~touches).select(F.col("edge_id").alias("way"), "source", "target", "cost")
     order = chained(parts.drop("cost"), store, stay.select(F.lit(0).alias("g"), F.col("node").alias("at")))
     rows = store(order.join(parts, ["g", "part"]).select(F.col("chain").alias("way"), "nth", F.col("part").alias("edge_id"), "cost", F.when(F.col("back"), F.col("last")).otherwise(F.col("first")).alias("source"), F.when(F.col("back"), F.col("first")).otherwise(F.col("last")).alias("target")))
     ways = rows.groupBy("way").agg(F.min_by("source", "nth").alias("source"), F.max_by("target", "nth").alias("target"), F.sum("cost").alias("cost"))
-    return ways, rows.select("way", "nth", "edge_id", "cost")
+    own = alone.select("way", F.lit(0).cast("long").alias("nth"), F.col("way").alias("edge_id"), "cost")
+    return ways.unionByName(alone), rows.select("way", "nth", "edge_id", "cost").unionByName(own)
 
 
 def cheapest(arcs: DataFrame, asked: DataFrame, store) -> DataFrame:
@@ -254,34 +265,22 @@ def cheapest(arcs: DataFrame, asked: DataFrame, store) -> DataFrame:
     """
     grade = lambda cost: F.floor(F.log2(F.greatest(cost, F.lit(1e-9))) / 2).cast("int")
     arcs = store(arcs.withColumn("grade", grade(F.col("cost"))))
-    scale = arcs.agg(F.avg("cost").alias("mean"), F.sum("cost").alias("total"), F.min("grade").alias("low")).first()
+    of_node = arcs.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"), F.min("grade").alias("grade"))
+    scale = of_node.agg((F.sum("cost") / F.sum("n")).alias("mean"), F.sum("cost").alias("total"), F.min("grade").alias("low"), F.max("n").alias("degree")).first()
     node, way = arcs.schema["a"].dataType.simpleString(), arcs.schema["way"].dataType.simpleString()
     none = f"array<struct<way:{way},back:boolean>>"
     if scale.mean is None:
         return asked.select("source", "target", F.lit(0.0).alias("cost"), F.array().cast(none).alias("path")).limit(0)
     left = store(asked.distinct())
-    start = left.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(way).alias("way"), F.lit(None).cast("boolean").alias("back"), F.lit(None).cast(node).alias("came")).distinct()
+    start = left.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(True).alias("fresh"), F.lit(None).cast(way).alias("way"), F.lit(None).cast("boolean").alias("back"), F.lit(None).cast(node).alias("came")).distinct()
     known, bound, found = store(start), scale.mean, None
     while True:
-        frontier, bounds = known, store(left.select("source").distinct().withColumn("bound", F.lit(bound)))
-        while True:
-            step = F.struct((F.col("f.cost") + F.col("r.cost")).alias("cost"), F.col("r.way").alias("way"), F.col("r.back").alias("back"), F.col("f.node").alias("came"))
-            # a node asks for arcs of the grades that its bound leaves room for, not for all of a junction's
-            asks = frontier.join(bounds, "source").where("cost <= bound").select("source", "node", "cost", "bound", F.explode(F.sequence(F.lit(scale.low), F.greatest(F.lit(scale.low), grade(F.col("bound") - F.col("cost"))))).alias("grade"))
-            offers = asks.alias("f").join(arcs.alias("r"), (F.col("f.node") == F.col("r.a")) & (F.col("f.grade") == F.col("r.grade")) & (F.col("f.cost") + F.col("r.cost") <= F.col("f.bound"))).select("f.source", F.col("r.b").alias("node"), step.alias("best"))
-            offers = offers.groupBy("source", "node").agg(F.min("best").alias("best"))
-            before = known.select("source", "node", F.col("cost").alias("_cost"))
-            last, frontier = frontier, store(offers.join(before, ["source", "node"], "left").where("_cost is null or best.cost < _cost").select("source", "node", "best.*"))
-            if last is not known:
-                release(last)
-            if not frontier.limit(1).count():
-                break
-            last, known = known, store(known.join(frontier, ["source", "node"], "left_anti").unionByName(frontier))
-            release(last, bounds)
-            at = left.join(known.withColumnRenamed("node", "target"), ["source", "target"], "left")
+        while known.where("fresh").limit(1).count():
+            at = left.join(known.select("source", F.col("node").alias("target"), "cost"), ["source", "target"], "left")
             dearest = at.groupBy("source").agg(F.max("cost").alias("dearest"), F.count_if(F.col("cost").isNull()).alias("missing"))
-            bounds = store(dearest.select("source", F.when(F.col("missing") == 0, F.least(F.col("dearest"), F.lit(bound))).otherwise(F.lit(bound)).alias("bound")))
-        release(frontier, bounds)
+            bounds = dearest.select("source", F.when(F.col("missing") == 0, F.least(F.col("dearest"), F.lit(bound))).otherwise(F.lit(bound)).alias("bound"))
+            known, last = _further(known, bounds, arcs, grade, scale.low, 4 if scale.degree <= FEW_ARCS else 1, store), known
+            release(last)
         reached = followed_back(left.join(known.withColumnRenamed("node", "target").select("source", "target", "cost"), ["source", "target"]), known, none, store)
         last, found = found, store(reached if found is None else found.unionByName(reached))
         release(last, reached)
@@ -290,10 +289,29 @@ def cheapest(arcs: DataFrame, asked: DataFrame, store) -> DataFrame:
         if bound > scale.total or not left.limit(1).count():
             return found
         bound *= 4
-        last, known = known, store(known.join(left.select("source").distinct(), "source", "left_semi"))
+        last, known = known, store(known.join(left.select("source").distinct(), "source", "left_semi").withColumn("fresh", F.lit(True)))
         release(last)
 
 
+def _further(known: DataFrame, bounds: DataFrame, arcs: DataFrame, grade, low: int, arcs_at_once: int, store) -> DataFrame:
+    """known (source, node, cost, fresh, way, back, came) after so many arcs from its fresh nodes, each within its source's bound.
+
+    A row is passed on beside what it offers, so that several arcs are one
+    plan without reading a round twice; at equal cost what was known before
+    is kept, as false comes before true.
+    """
+    for _ in range(arcs_at_once):
+        # a node asks for arcs of the grades that its bound leaves room for, not for all of a junction's
+        room = F.when(F.col("fresh") & (F.col("cost") <= F.col("bound")), F.sequence(F.lit(low), F.greatest(F.lit(low), grade(F.col("bound") - F.col("cost")))))
+        asks = known.join(bounds, "source", "left").withColumn("grade", F.explode_outer(room))
+        met = asks.alias("f").join(arcs.alias("r"), (F.col("f.node") == F.col("r.a")) & (F.col("f.grade") == F.col("r.grade")) & (F.col("f.cost") + F.col("r.cost") <= F.col("f.bound")), "left")
+        own = F.struct(F.col("f.node").alias("node"), F.struct(F.col("f.cost").alias("cost"), F.lit(False).alias("fresh"), F.col("f.way").alias("way"), F.col("f.back").alias("back"), F.col("f.came").alias("came")).alias("best"))
+        offer = F.struct(F.col("r.b").alias("node"), F.struct((F.col("f.cost") + F.col("r.cost")).alias("cost"), F.lit(True).alias("fresh"), F.col("r.way").alias("way"), F.col("r.back").alias("back"), F.col("f.node").alias("came")).alias("best"))
+        rows = met.select("f.source", F.explode(F.when(F.col("r.b").isNull(), F.array(own)).otherwise(F.array(own, offer))).alias("x"))
+        known = rows.groupBy("source", "x.node").agg(F.min("x.best").alias("best")).select("source", "node", "best.*")
+    return store(known)
+
+
 def followed_back(pairs: DataFrame, known: DataFrame, none: str, store) -> DataFrame:
     """source, target, cost, path of pairs (source, target, cost), by the arcs by which their nodes were reached."""
     now = store(pairs.select("source", "target", "cost", F.col("target").alias("node"), F.array().cast(none).alias("path")))
@@ -318,7 +336,9 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, labels: DataFrame, store=
     other = labels.select(F.col("node").alias("target"), F.col("component").alias("c2"))
     asked = pairs.select("source", "target").distinct().where("source != target").join(of, "source").join(other, "target").where("component = c2")
     asked = store(asked.select("source", "target", "component"))
-    own = edges.join(of, "source").join(asked.select("component").distinct(), "component", "left_semi").select("edge_id", "source", "target", "cost")
+    own = edges.select("edge_id", "source", "target", "cost")
+    if labels.join(asked.select("component").distinct(), "component", "left_anti").limit(1).count():
+        own = store(edges.join(of, "source").join(asked.select("component").distinct(), "component", "left_semi").select(*own.columns))
     stay = asked.select(F.explode(F.array("source", "target")).alias("node")).distinct()
     ways, members = contracted(own, stay, store)
     ways = store(ways.where("source != target"))
