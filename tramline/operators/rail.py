@@ -245,7 +245,9 @@ def contracted(edges: DataFrame, stay: DataFrame, store) -> tuple[DataFrame, Dat
     touches = F.coalesce("_source", "_target").isNotNull()
     parts = store(rows.where(touches).select(F.lit(0).alias("g"), F.col("edge_id").alias("part"), F.col("source").alias("first"), F.col("target").alias("last"), "cost"))
     alone = rows.where(~touches).select(F.col("edge_id").alias("way"), "source", "target", "cost")
-    order = chained(parts.drop("cost"), store, stay.select(F.lit(0).alias("g"), F.col("node").alias("at")))
+    # ends are counted among all edges, so the parts join at the nodes found above only
+    others = parts.select("g", F.explode(F.array("first", "last")).alias("at")).distinct().join(through.withColumnRenamed("node", "at"), "at", "left_anti").select("g", "at")
+    order = chained(parts.drop("cost"), store, others)
     rows = store(order.join(parts, ["g", "part"]).select(F.col("chain").alias("way"), "nth", F.col("part").alias("edge_id"), "cost", F.when(F.col("back"), F.col("last")).otherwise(F.col("first")).alias("source"), F.when(F.col("back"), F.col("first")).otherwise(F.col("last")).alias("target")))
     ways = rows.groupBy("way").agg(F.min_by("source", "nth").alias("source"), F.max_by("target", "nth").alias("target"), F.sum("cost").alias("cost"))
     own = alone.select("way", F.lit(0).cast("long").alias("nth"), F.col("way").alias("edge_id"), "cost")
