@@ -50,7 +50,9 @@ def union_polygons(rings: DataFrame, by: list[str], store) -> DataFrame:
     as one, so the rounds of tracing see stretches, not corners.
     """
     group = F.struct(*by) if by else F.lit(0)
-    fine = rings.select(group.alias("g"), F.struct("polygon", "nth").alias("of"), (F.col("nth") == 0).alias("outer"), valid_ring(F.col("ring")).alias("ring")).where("ring is not null")
+    # exploded, so that each ring is worked on once, not again for the filter
+    whole = F.explode(F.filter(F.array(valid_ring(F.col("ring"))), lambda r: r.isNotNull()))
+    fine = rings.select(group.alias("g"), F.struct("polygon", "nth").alias("of"), (F.col("nth") == 0).alias("outer"), whole.alias("ring"))
     turned = bound(F.col("ring"), lambda r: F.when((signed_area(r) > 0) == F.col("outer"), r).otherwise(F.reverse(r)))
     fine = fine.select("g", "of", turned.alias("ring"))
     pairs = bound(F.col("ring"), lambda r: F.zip_with(*_steps(r), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
@@ -62,26 +64,28 @@ def union_polygons(rings: DataFrame, by: list[str], store) -> DataFrame:
     left = store(net.select("g", F.when(ahead, F.col("ups")).otherwise(F.col("downs")).alias("id"), F.when(ahead, F.col("lo")).otherwise(F.col("hi")).alias("a"), F.when(ahead, F.col("hi")).otherwise(F.col("lo")).alias("b")))
     # around each corner, clockwise: what arrives goes on with what leaves next
     angle = lambda p, q: F.atan2(q["lat"] - p["lat"], q["lon"] - p["lon"])
-    arriving = left.select("g", F.col("b").alias("at"), "id", F.lit(False).alias("leaves"), angle(F.col("b"), F.col("a")).alias("angle"))
-    leaving = left.select("g", F.col("a").alias("at"), "id", F.lit(True).alias("leaves"), angle(F.col("a"), F.col("b")).alias("angle"))
+    end = lambda at, other, leaves: left.select("g", F.col(at).alias("at"), F.col(other).alias("other"), "id", F.lit(leaves).alias("leaves"), angle(F.col(at), F.col(other)).alias("angle"))
     around = Window.partitionBy("g", "at").orderBy(F.desc("angle"), "leaves", "id")
     out = F.when(F.col("leaves"), F.col("id"))
     turn = F.coalesce(F.first(out, ignorenulls=True).over(around.rowsBetween(1, Window.unboundedFollowing)), F.first(out, ignorenulls=True).over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    following = arriving.unionByName(leaving).withColumn("next", turn).where("not leaves").select("g", "id", "next")
-    rows = left.join(following, ["g", "id"])
+    rows = end("b", "a", False).unionByName(end("a", "b", True)).withColumn("next", turn).where("not leaves")
+    rows = rows.select("g", "id.of", "id.nth", F.col("other").alias("a"), F.col("at").alias("b"), "next")
     # stretches: a border that the next one of the same input ring follows is one with it
-    along = Window.partitionBy("g", "id.of").orderBy("id.nth")
-    begins = F.coalesce(F.lag("next").over(along) != F.col("id"), F.lit(True))
-    rows = rows.withColumn("_begins", begins)
-    rows = rows.withColumn("stretch", F.last(F.when(F.col("_begins"), F.col("id")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    stretches = store(rows.groupBy("g", "stretch").agg(F.array_sort(F.collect_list(F.struct("id.nth", "a", "b"))).alias("way"), F.max(F.struct("id.nth", "next"))["next"].alias("next")))
-    name = lambda c: F.struct("g", F.col(c).alias("of"))
-    order = ranked(stretches.select(name("stretch").alias("id"), F.when(F.col("next").isNotNull(), name("next")).alias("next")), store)
+    along = Window.partitionBy("g", "of").orderBy("nth")
+    rows = rows.withColumn("_begins", F.coalesce(F.lag("next").over(along) != F.struct("of", "nth"), F.lit(True)))
+    rows = rows.withColumn("start", F.last(F.when(F.col("_begins"), F.col("nth")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ways = rows.groupBy("g", "of", "start").agg(F.array_sort(F.collect_list(F.struct("nth", "a", "b"))).alias("way"), F.max(F.struct("nth", "next"))["next"].alias("next"))
     points = F.concat(F.slice(F.transform("way", lambda w: w["a"]), 1, 1), F.transform("way", lambda w: w["b"]))
-    parts = order.join(stretches.select(name("stretch").alias("id"), points.alias("points")), "id")
-    traced = parts.groupBy("id.g", "last").agg(F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("nth"), "points"))).alias("parts"))
-    ring = joined_points(F.transform("parts", lambda p: p["points"]))
-    traced = traced.select("g", from_smallest(ring).alias("ring"))
+    stretches = store(ways.select("g", F.struct("of", F.col("start").alias("nth")).alias("stretch"), points.alias("points"), "next"))
+    # most are rings of their own, which need no order
+    alone = F.coalesce(F.col("next") == F.col("stretch"), F.lit(False))
+    parts = stretches.where(~alone)
+    name = lambda c: F.struct("g", F.col(c).alias("of"))
+    order = ranked(parts.select(name("stretch").alias("id"), F.when(F.col("next").isNotNull(), name("next")).alias("next")), store)
+    traced = order.join(parts.select(name("stretch").alias("id"), "points"), "id")
+    traced = traced.groupBy("id.g", "last").agg(F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("nth"), "points"))).alias("parts"))
+    traced = traced.select("g", joined_points(F.transform("parts", lambda p: p["points"])).alias("ring"))
+    traced = traced.unionByName(stretches.where(alone).select("g", F.col("points").alias("ring"))).select("g", from_smallest(F.col("ring")).alias("ring"))
     return traced.select(*(F.col("g")[c].alias(c) for c in by), (signed_area(F.col("ring")) > 0).alias("outer"), "ring")
 
 

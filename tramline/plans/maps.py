@@ -108,7 +108,9 @@ def _squares(spark, d: str) -> DataFrame:
     corner = lambda i, j: F.struct(((x + i) / F.lit(8.0)).alias("lon"), ((y + j) / F.lit(8.0)).alias("lat"))
     ring = [corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0)]
     turned = F.when(F.col("c_acctbal") < 0, F.array(*ring[::-1])).otherwise(F.array(*ring))
-    return table(spark, d, "customer").select(F.concat(F.lit("N"), "c_nationkey").alias("state_code"), F.col("c_custkey").alias("polygon"), F.lit(0).alias("nth"), turned.alias("ring"))
+    # a small file that makes many rings is one task's unless its rows are dealt out
+    dealt = table(spark, d, "customer").repartition("c_custkey")
+    return dealt.select(F.concat(F.lit("N"), "c_nationkey").alias("state_code"), F.col("c_custkey").alias("polygon"), F.lit(0).alias("nth"), turned.alias("ring"))
 
 
 @query(f"""WITH {CELLS} SELECT 'N' || n AS state_code, count(*)::DOUBLE AS cells,
