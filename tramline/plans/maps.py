@@ -91,7 +91,8 @@ def merged_ways(spark, d):
     k = F.col("l_linenumber")
     at = lambda x: F.struct(x.cast("double").alias("lon"), (x % 3).cast("double").alias("lat"))
     line = F.when(F.col("l_returnflag") == "R", F.array(at(k + 1), at(k))).otherwise(F.array(at(k), at(k + 1)))
-    st = first_wins(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], LINE_ORDER)
+    # by order at once, so that lines move once both for their first row and for their way
+    st = first_wins(table(spark, d, "lineitem").repartition("l_orderkey"), ["l_orderkey", "l_linenumber"], LINE_ORDER)
     parts = st.select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") * 100 + k).alias("part"), line.alias("line"))
     return lines.merge_lines(parts, ["id"], stored).select("id", F.size("line").cast("long").alias("points"), F.get("line", F.lit(0))["lon"].alias("begins"))
 
