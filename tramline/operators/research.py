@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tramline.functions.geo import bound
 from tramline.functions.text import blank_to_null, html_text, number, plain_key
 from tramline.operators.poi import FARM_NAME, NOT_FARM, dedupe_best, facility_listing, listing_links, state_of_box, state_of_source
 
@@ -131,9 +132,10 @@ def tag_address(tags: Column) -> Column:
 
 def from_mapped(records: DataFrame) -> DataFrame:
     """Candidates of mapped objects (JSON text in ``record``); a name, a position and a state that is taken are needed."""
-    get = lambda k: F.get_json_object("record", f"$.{k}")
-    tags = F.from_json(get("tags"), "map<string,string>")
-    rows = records.select("record", get("name").alias("name"), number(get("lat")).alias("lat"), number(get("lon")).alias("lon"), get("state_code").alias("state"), F.concat_ws("/", get("osm_type"), get("osm_id")).alias("at"), F.coalesce(tags, F.create_map().cast("map<string,string>")).alias("tags"))
+    # a generator reads a record once, whatever is asked of it afterwards
+    read = records.select("record", F.json_tuple("record", "name", "lat", "lon", "state_code", "osm_type", "osm_id", "tags").alias("name", "_lat", "_lon", "state", "_type", "_id", "_tags"))
+    tags = F.from_json("_tags", "map<string,string>")
+    rows = read.select("record", "name", number(F.col("_lat")).alias("lat"), number(F.col("_lon")).alias("lon"), "state", F.concat_ws("/", "_type", "_id").alias("at"), F.coalesce(tags, F.create_map().cast("map<string,string>")).alias("tags"))
     rows = rows.where(F.col("name").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("state").isin(STATES))
     return _candidates(
         rows,
@@ -157,7 +159,7 @@ def is_farm_object(name: Column, tags: Column) -> Column:
     """Whether a mapped object is a farm stay by its name and, unless the name says it all, its tags."""
     words = F.array_join(F.transform(F.map_entries(tags), lambda e: F.concat_ws(" ", e["key"], F.replace(e["value"], F.lit("_"), F.lit(" ")))), " ")
     text, own = plain_key(words, "-/", " "), plain_key(name, "-/", " ")
-    holds = lambda c, terms: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(c, t))
+    holds = lambda c, terms: bound(c, lambda whole: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(whole, t)))
     return name.rlike(FARM_NAME) & ~name.rlike(NOT_FARM) & (F.coalesce(holds(text, MAPPED_TAGS), F.lit(False)) | holds(own, MAPPED_NAMES))
 
 
@@ -167,10 +169,15 @@ def mapped_objects(objects: DataFrame) -> DataFrame:
     A way lies at the mean of its valid nodes, a node at its only one; without any it is left out.
     """
     valid = F.filter("nodes", lambda n: n["lon"].between(-180, 180) & n["lat"].between(-90, 90))
-    mean = lambda c: F.when(F.size(valid) > 0, F.aggregate(valid, F.lit(0.0), lambda s, n: s + n[c]) / F.size(valid))
-    rows = objects.where(F.col("osm_type").isin("node", "way") & is_farm_object(F.col("name"), F.col("tags"))).withColumns({"lon": mean("lon"), "lat": mean("lat")})
-    rows = rows.withColumn("state_code", state_of_box(F.col("lon"), F.col("lat"))).where("state_code is not null")
-    return rows.select(F.to_json(F.struct("osm_type", "osm_id", "name", "lat", "lon", "state_code", "tags")).alias("record"))
+    mean = lambda v, c: F.aggregate(v, F.lit(0.0), lambda s, n: s + n[c]) / F.size(v)
+    at = lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"), state_of_box(p["lon"], p["lat"]).alias("state_code"))
+    spot = lambda v: bound(F.struct(mean(v, "lon").alias("lon"), mean(v, "lat").alias("lat")), at)
+    taken = lambda p: F.filter(F.array(p), lambda x: x["state_code"].isNotNull())
+    farm = F.col("osm_type").isin("node", "way") & is_farm_object(F.col("name"), F.col("tags"))
+    spots = taken(bound(valid, lambda v: F.when(F.size(v) > 0, spot(v))))
+    # exploded, so that an object is judged and placed once and where its rows have been dealt to, not again for a filter moved ahead of that
+    rows = objects.select("osm_type", "osm_id", "name", "tags", F.explode(F.when(farm, spots)).alias("p"))
+    return rows.select(F.to_json(F.struct("osm_type", "osm_id", "name", "p.lat", "p.lon", "p.state_code", "tags")).alias("record"))
 
 
 class _Scripts(HTMLParser):

@@ -339,7 +339,9 @@ def mapped_candidates(spark, d):
     none = F.array(node(F.lit(999.0), 999.0))
     nodes = F.when(k % 4 == 0, none).otherwise(F.array(node(x - 0.01, 54.0), node(x + 0.01, 54.2), node(F.lit(999.0), 54.0)))
     tags = F.create_map(F.lit("addr:street"), F.concat(F.lit("Dorf "), k), F.lit("addr:postcode"), F.lit("24"), F.lit("contact:website"), F.lit(" http://w "))
-    objects = table(spark, d, "customer").select(F.lit("way").alias("osm_type"), k.alias("osm_id"), F.concat(F.lit("Ferienhof "), k).alias("name"), tags.alias("tags"), nodes.alias("nodes"))
+    # a small file is one task's unless its rows are dealt out
+    dealt = table(spark, d, "customer").select("c_custkey").repartition(spark.sparkContext.defaultParallelism)
+    objects = dealt.select(F.lit("way").alias("osm_type"), k.alias("osm_id"), F.concat(F.lit("Ferienhof "), k).alias("name"), tags.alias("tags"), nodes.alias("nodes"))
     out = research.from_mapped(research.mapped_objects(objects))
     return out.select(F.substring_index("source_place_id", "/", -1).cast("long").alias("k"), "source_place_id", "name", "address", "website", F.round("lon", 6).alias("lon"), "state_code")
 
