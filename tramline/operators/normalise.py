@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.functions.geo import haversine_m, line_length
+from tramline.functions.geo import bound, haversine_m, line_length
 from tramline.functions.modes import mode_of
 from tramline.functions.text import blank_to_null, number, squeezed
 from tramline.functions.times import gtfs_seconds
@@ -68,8 +68,9 @@ def stop_times(staged: DataFrame, stops: DataFrame) -> DataFrame:
     """Typed stop times with their place; blank times are null, rows of unknown stops are left out."""
     whole = lambda c: F.col(c).try_cast("int")
     rows = staged.select("trip_id", whole("stop_sequence").alias("stop_sequence"), "stop_id", gtfs_seconds(F.col("arrival_time")).alias("arrival_s"), gtfs_seconds(F.col("departure_time")).alias("departure_s"), whole("pickup_type").alias("pickup_type"), whole("drop_off_type").alias("drop_off_type"))
-    rows = first_wins(rows, ["trip_id", "stop_sequence"], ["stop_id", "arrival_s"])
-    return rows.join(stops.select("stop_id", "stop_place_id"), "stop_id")
+    # places come first, then each row moves to its trip once, for its number and for all that is asked of trips
+    rows = rows.join(stops.select("stop_id", "stop_place_id"), "stop_id", "left").repartition("trip_id")
+    return first_wins(rows, ["trip_id", "stop_sequence"], ["stop_id", "arrival_s"]).where("stop_place_id is not null")
 
 
 def signature(times: DataFrame, trip: str = "trip_id", order: str = "stop_sequence", parts: tuple[str, ...] = ("stop_id", "pickup_type", "drop_off_type")) -> DataFrame:
@@ -78,20 +79,27 @@ def signature(times: DataFrame, trip: str = "trip_id", order: str = "stop_sequen
     return times.groupBy(trip).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("i")))), lambda x: x["i"]), ">").alias("signature"))
 
 
+CALL = ["stop_sequence", "stop_id", "stop_place_id", "pickup_type", "drop_off_type"]
+
+
 def route_patterns(trips: DataFrame, times: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(patterns, trip_id with pattern_id): trips of a route, direction and shape with one signature share a pattern.
 
-    A pattern's representative is its trip with the smallest id.
+    A pattern's representative is its trip with the smallest id, whose calls
+    (CALL, in order) it carries.
     """
-    signed = trips.select("trip_id", "route_id", F.coalesce("direction_id", F.lit("")).alias("direction_id"), F.coalesce("shape_id", F.lit("")).alias("shape_id")).join(signature(times), "trip_id")
-    pattern = F.sha2(F.concat_ws("|", "route_id", "direction_id", "shape_id", F.md5(F.col("signature").cast("binary"))), 256)
-    signed = signed.withColumn("pattern_id", pattern)
-    patterns = signed.groupBy("pattern_id", "route_id", "direction_id", "shape_id").agg(F.min("trip_id").alias("representative"), F.count(F.lit(1)).alias("trips"), F.md5(F.first("signature").cast("binary")).alias("stop_hash"))
-    return patterns, signed.select("trip_id", "pattern_id")
+    listed = times.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct(*CALL))).alias("calls"))
+    item = lambda c: F.concat_ws(":", *(F.coalesce(c[p].cast("string"), F.lit("")) for p in ("stop_id", "pickup_type", "drop_off_type")))
+    listed = listed.withColumn("stop_hash", F.md5(F.array_join(F.transform("calls", item), ">").cast("binary")))
+    own = trips.select("trip_id", "route_id", F.coalesce("direction_id", F.lit("")).alias("direction_id"), F.coalesce("shape_id", F.lit("")).alias("shape_id"))
+    signed = own.join(listed, "trip_id").withColumn("pattern_id", F.sha2(F.concat_ws("|", "route_id", "direction_id", "shape_id", "stop_hash"), 256))
+    first = F.min(F.struct(F.col("trip_id").alias("representative"), "route_id", "direction_id", "shape_id", "stop_hash", "calls")).alias("r")
+    patterns = signed.groupBy("pattern_id").agg(first, F.count(F.lit(1)).alias("trips"))
+    return patterns.select("pattern_id", "r.*", "trips"), signed.select("trip_id", "pattern_id")
 
 
-def pattern_stops(patterns: DataFrame, times: DataFrame) -> DataFrame:
-    return patterns.select("pattern_id", F.col("representative").alias("trip_id")).join(times, "trip_id").select("pattern_id", "stop_sequence", "stop_id", "stop_place_id", "pickup_type", "drop_off_type")
+def pattern_stops(patterns: DataFrame) -> DataFrame:
+    return patterns.select("pattern_id", "route_id", F.explode("calls").alias("c")).select("pattern_id", "route_id", "c.*")
 
 
 def shape_lines(shapes: DataFrame) -> DataFrame:
@@ -102,15 +110,18 @@ def shape_lines(shapes: DataFrame) -> DataFrame:
     return out.select("shape_id", F.transform("p", lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"))).alias("points"), F.when(along >= 0, along).alias("distance"))
 
 
-def pattern_lines(patterns: DataFrame, stops_of: DataFrame, places: DataFrame, shapes: DataFrame) -> DataFrame:
+def pattern_lines(patterns: DataFrame, places: DataFrame, shapes: DataFrame) -> DataFrame:
     """Patterns with their line: the shape's, else one through the places, with its quality and length."""
-    at = stops_of.join(places.select(F.col("public_id").alias("stop_place_id"), "lon", "lat"), "stop_place_id")
-    rough = at.groupBy("pattern_id").agg(F.array_sort(F.collect_list(F.struct("stop_sequence", "lon", "lat"))).alias("p"))
-    rough = rough.select("pattern_id", F.transform("p", lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"))).alias("rough")).where(F.size("rough") >= 2)
-    out = patterns.join(shape_lines(shapes), "shape_id", "left").join(rough, "pattern_id", "left")
+    # a pattern is named by its representative here, which is shorter
+    calls = patterns.select("representative", F.explode("calls").alias("c")).select("representative", "c.stop_sequence", "c.stop_place_id")
+    at = calls.join(places.select(F.col("public_id").alias("stop_place_id"), "lon", "lat"), "stop_place_id")
+    rough = at.groupBy("representative").agg(F.array_sort(F.collect_list(F.struct("stop_sequence", "lon", "lat"))).alias("p"))
+    rough = rough.select("representative", F.transform("p", lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"))).alias("rough")).where(F.size("rough") >= 2)
+    kept = [c for c in patterns.columns if c != "calls"]
+    out = patterns.select(*kept).join(shape_lines(shapes), "shape_id", "left").join(rough, "representative", "left")
     line = F.coalesce("points", "rough")
     quality = F.when(F.col("points").isNotNull(), "official_gtfs").when(F.col("rough").isNotNull(), "stop_sequence_approximation")
-    return out.select(*patterns.columns, line.alias("line"), quality.alias("geometry_quality"), line_length(line).alias("length_m"), F.col("distance").alias("shape_distance"))
+    return out.select(*kept, line.alias("line"), quality.alias("geometry_quality"), line_length(line).alias("length_m"), F.col("distance").alias("shape_distance"))
 
 
 def stop_pairs(rows: DataFrame, group: list[str], order: str, place: str) -> DataFrame:
@@ -120,19 +131,22 @@ def stop_pairs(rows: DataFrame, group: list[str], order: str, place: str) -> Dat
     return pairs.select(*group, F.least(place, "next").alias("low"), F.greatest(place, "next").alias("high"))
 
 
-def route_segments(patterns: DataFrame, stops_of: DataFrame, places: DataFrame) -> DataFrame:
+def route_segments(patterns: DataFrame, places: DataFrame) -> DataFrame:
     """Stop pairs of each route with their straight length."""
-    pairs = stop_pairs(stops_of, ["pattern_id"], "stop_sequence", "stop_place_id").join(patterns.select("pattern_id", "route_id"), "pattern_id")
-    pairs = pairs.select("route_id", F.col("low").alias("from_id"), F.col("high").alias("to_id")).distinct()
+    place = F.filter(F.transform("calls", lambda c: c["stop_place_id"]), lambda p: p.isNotNull())
+    rest = lambda p, at: F.slice(p, at, F.greatest(F.size(p) - 1, F.lit(0)))
+    pair = lambda a, b: F.when(a != b, F.struct(F.least(a, b).alias("from_id"), F.greatest(a, b).alias("to_id")))
+    pairs = bound(place, lambda p: F.filter(F.zip_with(rest(p, 1), rest(p, 2), pair), lambda x: x.isNotNull()))
+    pairs = patterns.select("route_id", F.explode(pairs).alias("x")).select("route_id", "x.*").distinct()
     end = lambda side: places.select(F.col("public_id").alias(f"{side}_id"), F.col("lon").alias(f"{side}_lon"), F.col("lat").alias(f"{side}_lat"))
     out = pairs.join(end("from"), "from_id").join(end("to"), "to_id")
     return out.withColumn("length_m", haversine_m(F.col("from_lon"), F.col("from_lat"), F.col("to_lon"), F.col("to_lat")))
 
 
-def modes_of_places(places: DataFrame, stops_of: DataFrame, patterns: DataFrame, route_table: DataFrame) -> DataFrame:
+def modes_of_places(places: DataFrame, patterns: DataFrame, route_table: DataFrame) -> DataFrame:
     """Places with the sorted modes of the routes that serve them, an empty list if none do."""
-    served = stops_of.select("pattern_id", "stop_place_id").distinct().join(patterns.select("pattern_id", "route_id"), "pattern_id").join(route_table.select("route_id", "mode"), "route_id")
-    modes = served.groupBy(F.col("stop_place_id").alias("public_id")).agg(F.array_sort(F.collect_set("mode")).alias("modes"))
+    served = patterns.select("route_id", F.array_distinct(F.transform("calls", lambda c: c["stop_place_id"])).alias("at")).join(route_table.select("route_id", "mode"), "route_id")
+    modes = served.select("mode", F.explode("at").alias("public_id")).groupBy("public_id").agg(F.array_sort(F.collect_set("mode")).alias("modes"))
     return places.join(modes, "public_id", "left").withColumn("modes", F.coalesce("modes", F.array().cast("array<string>")))
 
 
@@ -148,18 +162,17 @@ def normalise(feed: dict[str, DataFrame], states: DataFrame | None = None) -> di
     times = stop_times(feed["stop_times"], stops)
     trips = feed["trips"].join(lines.select("route_id"), "route_id")
     patterns, of_trip = route_patterns(trips, times)
-    stops_of = pattern_stops(patterns, times)
     return {
-        "stop_places": modes_of_places(places, stops_of, patterns, lines),
+        "stop_places": modes_of_places(places, patterns, lines),
         "agencies": agency,
         "stops": stops,
         "routes": lines,
         "trips": trips.join(of_trip, "trip_id", "left"),
         "stop_times": times,
         "service_dates": service_dates(feed["calendar"], feed["calendar_dates"]),
-        "route_patterns": pattern_lines(patterns, stops_of, places, feed["shapes"]),
-        "route_pattern_stops": stops_of,
-        "route_stop_segments": route_segments(patterns, stops_of, places),
+        "route_patterns": pattern_lines(patterns, places, feed["shapes"]),
+        "route_pattern_stops": pattern_stops(patterns),
+        "route_stop_segments": route_segments(patterns, places),
         "transfers": feed["transfers"].select("from_stop_id", "to_stop_id", F.coalesce(F.col("min_transfer_time").try_cast("int"), F.lit(0)).alias("seconds")),
     }
 

@@ -63,8 +63,8 @@ def resolve(frame: DataFrame, column: str, public_id: str) -> DataFrame:
 def stop_details(t: Tables, public_id: str, most: int = 100) -> DataFrame:
     """The stop and its routes, by short and long name, unnamed last."""
     stop = resolve(t["stop_places"], "public_id", public_id)
-    serve = t["route_pattern_stops"].join(stop.select(F.col("public_id").alias("stop_place_id")), "stop_place_id", "left_semi").select("pattern_id", "stop_place_id").distinct()
-    lines = serve.join(t["route_patterns"].select("pattern_id", "route_id"), "pattern_id").join(_routes(t).select("route_id", "short_name", "long_name", "mode", "color", "agency_name"), "route_id")
+    serve = t["route_pattern_stops"].join(stop.select(F.col("public_id").alias("stop_place_id")), "stop_place_id", "left_semi").select("route_id", "stop_place_id").distinct()
+    lines = serve.join(_routes(t).select("route_id", "short_name", "long_name", "mode", "color", "agency_name"), "route_id")
     lines = lines.select("stop_place_id", "route_id", "short_name", "long_name", "mode", modes.colour(F.col("color")).alias("color"), "agency_name").distinct()
     sort = F.array_sort(F.collect_list(F.struct(F.col("short_name").isNull().alias("a"), "short_name", F.col("long_name").isNull().alias("b"), "long_name", "route_id", "mode", "color", "agency_name")))
     kept = ("route_id", "short_name", "long_name", "mode", "color", "agency_name")
