@@ -7,6 +7,7 @@ import pytest
 
 from tramline.operators import metrics_run, routing
 from tramline.plans import catalog
+from tramline.plans.stages import stored
 
 INF = 1 << 40
 
@@ -125,3 +126,29 @@ def test_a_date_without_the_origin_is_refused(spark):
     metrics_run.check_origin(con.where("date = 'd1'"), ["o"])
     with pytest.raises(ValueError, match="d2"):
         metrics_run.check_origin(con, ["o"])
+
+
+def test_rounds_do_not_grow_with_the_samples(spark):
+    chain = [(f"t{i}", f"s{i}", f"s{i + 1}", 6000 + 300 * i, 6200 + 300 * i, True, True) for i in range(4)]
+    con = spark.createDataFrame([("d", *c) for c in chain], "date string, trip string, a string, b string, dep long, arr long, board boolean, alight boolean")
+    foot = spark.createDataFrame([], "from_stop_id string, to_stop_id string, seconds int")
+    rows = []
+
+    def counted(df):
+        out = stored(df)
+        rows.append(out.count())
+        return out
+
+    samples = list(range(0, 6000, 100))
+    got = routing.reach(spark.createDataFrame([("d", s) for s in samples], "date string, sample int"), con, foot, ["s0"], 6700, 60, store=counted).collect()
+    assert {(r.sample, r.stop): (r.seconds, r.legs) for r in got} == {(s, stop): x for s in samples for stop, x in scan(chain, [], ["s0"], s, 6700, 60).items()}
+    # all samples catch the same trips: a round finds one row a stop, and keeps what it was given at the origin
+    assert len(got) > 60 and all(n <= len(samples) + 4 for n in rows) and sum(n <= 4 for n in rows) >= 5
+
+
+def test_stored_connections_are_not_stored_again(spark):
+    con = stored(spark.createDataFrame([("d", "t", "s0", "s1", 10, 20, True, True)], "date string, trip string, a string, b string, dep long, arr long, board boolean, alight boolean"))
+    foot = spark.createDataFrame([], "from_stop_id string, to_stop_id string, seconds int")
+    seen = []
+    got = routing.reach(spark.createDataFrame([("d", 0)], "date string, sample int"), con, foot, ["s0"], 100, store=lambda df: seen.append(df.columns) or stored(df))
+    assert [(r.stop, r.seconds, r.legs, r.position) for r in got.collect()] == [("s1", 20, 1, 0)] and not any("trip" in c for c in seen)

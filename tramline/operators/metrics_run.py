@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tramline.functions.times import sample_seconds
 from tramline.operators import metrics, routing
 from tramline.operators import store as changes
-from tramline.plans.stages import stored
+from tramline.plans.stages import release, stored
 
 
 @dataclass
@@ -122,5 +122,6 @@ def run_profile(times: DataFrame, trips: DataFrame, service_dates: DataFrame, wa
     connections = store(routing.day_connections(times, trips, active_services(service_dates, samples)))
     check_origin(connections, origins)
     reached = routing.reach(samples, connections, walks, origins, profile.max_trip_s, change, round_to_minute=True, store=store)
+    release(connections)
     reached = reached.withColumn("sample", wall_clock(F.col("date"), F.col("sample")))
     return metric_rows(reached, stops, wanted, profile, run, origin, len(profile.dates) * len(range(profile.start_s, profile.end_s, profile.interval_s)))

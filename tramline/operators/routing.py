@@ -1,13 +1,15 @@
 """Earliest arrivals on a schedule in rounds, one ride more in each, as joins over all departure samples at once.
 
 A round finds the trips that the stops reached anew can board, and what these
-trips reach from there; a trip is boarded once a sample, and again only for the
-stretch before an earlier boarding.  Samples, stops and trips are rows: no
-network is held on the driver or in a task.
+trips reach from there; of the samples that could board a ride only the latest
+does.  Samples, stops and trips are rows: no network is held on the driver or
+in a task.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,15 +21,15 @@ from tramline.plans.stages import release, stored
 STRETCH_S = 1800
 
 
-def day_connections(times: DataFrame, trips: DataFrame, active: DataFrame) -> DataFrame:
+def day_connections(times: DataFrame, trips: DataFrame | None, active: DataFrame) -> DataFrame:
     """date, trip, a, b, dep, arr, board, alight of every ride between neighbouring stops on the days of active.
 
     active: date, service_id and day_offset, 0 for the services of that date
     and 1 for those of the day before, whose times past midnight count less 24
-    hours.  Rides that begin before midnight or arrive before they depart are
-    left out.
+    hours.  Without trips all of them run on all rows of active.  Rides that
+    begin before midnight or arrive before they depart are left out.
     """
-    run = trips.join(active, "service_id").select("date", "trip_id", (F.col("day_offset") * -86400).alias("shift"))
+    shift = (F.col("day_offset") * -86400).alias("shift")
     order = Window.partitionBy("trip_id").orderBy("stop_sequence")
     nxt = lambda c: F.lead(c).over(order)
     rides = times.where("arrival_s is not null or departure_s is not null").select(
@@ -40,11 +42,25 @@ def day_connections(times: DataFrame, trips: DataFrame, active: DataFrame) -> Da
         boards(nxt("drop_off_type")).alias("alight"),
     )
     # a trip's rides are found once, whatever the number of its dates
-    rows = rides.where("b is not null and arr >= dep").join(run, "trip_id")
+    rows = rides.where("b is not null and arr >= dep")
+    if trips is None:
+        rows = rows.crossJoin(active.select("date", shift))
+    else:
+        rows = rows.join(trips.join(active, "service_id").select("date", "trip_id", shift), "trip_id")
     trip = F.concat_ws("@", "trip_id", "shift").alias("trip")
     return rows.select("date", trip, "a", "b", (F.col("dep") + F.col("shift")).alias("dep"), (F.col("arr") + F.col("shift")).alias("arr"), "board", "alight").where("dep >= 0")
 
 
+def _front(offers: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """date, stop, sample, at, fresh: of offers (date, stop, sample, at) and what is known, those that no later sample matches; fresh are the ones that known lacks."""
+    rows = offers.select("date", "stop", "sample", "at", F.lit(True).alias("fresh"))
+    if known is not None:
+        rows = rows.unionByName(known.withColumn("fresh", F.lit(False)))
+    once = rows.groupBy("date", "stop", "sample").agg(F.min(F.struct("at", "fresh")).alias("x")).select("date", "stop", "sample", "x.*")
+    later = Window.partitionBy("date", "stop").orderBy(F.desc("sample")).rowsBetween(Window.unboundedPreceding, -1)
+    return once.withColumn("_best", F.min("at").over(later)).where("_best is null or at < _best").drop("_best")
+
+
 def reach(samples: DataFrame, connections: DataFrame, walks: DataFrame, origins: list[str], horizon: int = 7200, change: int = 0, round_to_minute: bool = False, store=stored) -> DataFrame:
     """date, sample, stop, seconds, legs, position: the earliest arrival in a vehicle within the horizon at each stop, and its fewest rides.
 
@@ -54,54 +70,52 @@ def reach(samples: DataFrame, connections: DataFrame, walks: DataFrame, origins:
     between two stops the walk.  A trip is ridden in the order of its departures
     (then arrivals), from where it is boarded on.  position numbers the stops
     of a sample by name.  store(df) writes a frame and returns it reread.
+
+    A way that starts at a later sample is open to all earlier ones, who wait
+    at the origin for it.  So each ride is given to the latest sample that
+    catches it alone, and earlier samples take over what they lack at the end:
+    a round costs as many rows as rides are touched, whatever the number of samples.
     """
     key = ["date", "sample"]
-    rides = store(connections)
-    stretch = lambda c: F.floor(c / STRETCH_S).cast("int")
-    boardable = rides.where("board").select("date", F.col("a").alias("stop"), stretch(F.col("dep")).alias("stretch"), "trip", "dep", "arr")
-    alighting = rides.where("alight").select("date", "trip", "b", "dep", "arr")
+    rides = connections if getattr(connections, "_stored_at", None) else store(connections)
+    boardable = rides.where("board").select("date", F.col("a").alias("stop"), "trip", "dep", "arr")
+    alighting = rides.where("alight").select("date", "trip", F.col("b").alias("stop"), "dep", "arr")
     foot = walks.where("from_stop_id != to_stop_id").groupBy(F.col("from_stop_id").alias("stop"), F.col("to_stop_id").alias("to")).agg(F.min("seconds").alias("walk"))
-
-    def first_at(offers: DataFrame) -> DataFrame:
-        return offers.groupBy(*key, "stop").agg(F.min("at").alias("at"))
+    until = F.col("sample") + horizon
 
     def on_foot(at: DataFrame) -> DataFrame:
         return at.join(foot, "stop").select(*key, F.col("to").alias("stop"), (F.col("at") + F.col("walk")).alias("at"))
 
-    begun = samples.select("date", F.col("sample").cast("long").alias("sample")).distinct()
-    begun = begun.select(*key, F.explode(F.array(*(F.lit(o) for o in origins))).alias("stop"), F.col("sample").alias("at"))
-    marks = ready = store(first_at(begun.unionByName(on_foot(begun))))
-    boarded = arrived = None
-    legs = 0
-    while True:
-        legs += 1
-        until = F.col("sample") + horizon
-        asks = marks.select(*key, "stop", "at", F.explode(F.sequence(stretch(F.col("at")), F.greatest(stretch(F.col("at")), stretch(until)))).alias("stretch"))
-        on = asks.join(boardable, ["date", "stop", "stretch"]).where((F.col("dep") >= F.col("at")) & (F.col("dep") <= until))
-        on = on.groupBy(*key, "trip").agg(F.min(F.struct("dep", "arr")).alias("since"))
-        if boarded is None:
-            on = store(on.withColumn("before", F.lit(None).cast(on.schema["since"].dataType)))
-            boarded = store(on.drop("before"))
-        else:
-            on = store(on.join(boarded.withColumnRenamed("since", "before"), [*key, "trip"], "left").where("before is null or since < before"))
-            last, boarded = boarded, store(boarded.unionByName(on.drop("before")).groupBy(*key, "trip").agg(F.min("since").alias("since")))
-            release(last)
+    grid = samples.select("date", F.col("sample").cast("long").alias("sample")).distinct()
+    begun = grid.select(*key, F.explode(F.array(*(F.lit(o) for o in origins))).alias("stop"), F.col("sample").alias("at"))
+    ready = store(_front(begun.unionByName(on_foot(begun))))
+    rounds: list[DataFrame] = []
+    while ready.where("fresh").limit(1).count():
+        # at most one entry a sample of the date
+        fronts = ready.groupBy("date", "stop").agg(F.collect_list(F.struct("at", "sample", "fresh")).alias("front"), F.bool_or("fresh").alias("any")).where("any").drop("any")
+        caught = F.array_max(F.transform(F.filter("front", lambda x: x.at <= F.col("dep")), lambda x: F.struct(x.sample.alias("sample"), x.fresh.alias("fresh"))))
+        on = boardable.join(fronts, ["date", "stop"]).select("date", "trip", "dep", "arr", caught.alias("caught")).where("caught.fresh")
+        on = on.select("date", "trip", "dep", "arr", "caught.sample").where(F.col("dep") <= until)
+        on = on.groupBy("date", "trip").agg(F.collect_list(F.struct("dep", "arr", "sample")).alias("boarded"))
         this = F.struct("dep", "arr")
-        out = on.join(alighting, ["date", "trip"]).where((F.col("arr") <= until) & (this >= F.col("since")) & (F.col("before").isNull() | (this < F.col("before"))))
-        out = store(out.groupBy(*key, F.col("b").alias("stop")).agg(F.min("arr").alias("at")))
-        found = out.select(*key, "stop", F.struct("at", F.lit(legs).alias("legs")).alias("best"))
-        last, arrived = arrived, store(found if arrived is None else arrived.unionByName(found).groupBy(*key, "stop").agg(F.min("best").alias("best")))
-        release(last)
-        offers = first_at(out.withColumn("at", F.col("at") + change).unionByName(on_foot(out)))
-        asked, marks = marks, store(offers.join(ready.withColumnRenamed("at", "known"), [*key, "stop"], "left").where("known is null or at < known").drop("known"))
-        release(out, on, asked if asked is not ready else None)
-        if not marks.limit(1).count():
-            break
-        last, ready = ready, store(first_at(ready.unionByName(marks)))
+        aboard = F.array_max(F.transform(F.filter("boarded", lambda x: F.struct(x.dep.alias("dep"), x.arr.alias("arr")) <= this), lambda x: x.sample))
+        out = alighting.join(on, ["date", "trip"]).select("date", "stop", "arr", aboard.alias("sample")).where(F.col("arr") <= until)
+        out = store(out.groupBy("date", "stop", "sample").agg(F.min("arr").alias("at")))
+        rounds.append(out.withColumn("legs", F.lit(len(rounds) + 1)))
+        offers = out.withColumn("at", F.col("at") + change).unionByName(on_foot(out)).where(F.col("at") <= until)
+        last, ready = ready, store(_front(offers, ready))
         release(last)
+    release(ready, rides if rides is not connections else None)
+    if not rounds:
+        rounds = [begun.where("false").withColumn("legs", F.lit(0))]
+    labels = functools.reduce(DataFrame.unionByName, rounds).groupBy("date", "stop", "sample").agg(F.min(F.struct("at", "legs")).alias("best"))
+    numbered = grid.withColumn("i", F.row_number().over(Window.partitionBy("date").orderBy("sample")))
+    down = Window.partitionBy("date", "stop").orderBy(F.desc("i"))
+    spans = labels.join(numbered, key).select("date", "stop", "i", F.min("best").over(down).alias("best"), (F.coalesce(F.lead("i").over(down), F.lit(0)) + 1).alias("first"))
+    each = spans.select("date", "stop", "best", F.explode(F.sequence("first", "i")).alias("i")).join(numbered, ["date", "i"]).where(F.col("best.at") <= until)
     seconds = F.col("best.at") - F.col("sample")
     position = F.row_number().over(Window.partitionBy(*key).orderBy("stop")) - 1
-    return arrived.select(*key, "stop", (F.floor(seconds / 60 + 0.5) * 60 if round_to_minute else seconds).cast("int").alias("seconds"), F.col("best.legs").alias("legs"), position.alias("position"))
+    return each.select(*key, "stop", (F.floor(seconds / 60 + 0.5) * 60 if round_to_minute else seconds).cast("int").alias("seconds"), F.col("best.legs").alias("legs"), position.alias("position"))
 
 
 def not_dominated(options: DataFrame, group: list[str], key: str, criteria: list[str], strict: bool = False) -> DataFrame:
