@@ -1,14 +1,16 @@
 import io
 import random
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tramline.llm import idcoder, packing, token_output
+from tramline.llm import idcoder, packing, token_output, tokens
 from tramline.llm.common import Workspace
 from tramline.llm.tokens import NAMES, WordCachedTokenizer, public_path
 
@@ -159,3 +161,25 @@ def test_mixed_white_space_and_scripts_encode_as_the_tokenizer_does(name):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [None, "", " ", "\n"]
     want = [np.array(tokenizer.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert tokenizer.encode_batch(texts) == want
+
+
+def test_chunks_that_share_a_place_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokens, "SLOT_BITS", 3)
+    own = tokens.WordCachedTokenizer(tokens.public_path("byte_bpe_50k.json"))
+    whole = [" ".join(f"{a}{n}x, {a * 9}middle{n}tail" for a in ("ab", "Öl", "q") for n in range(40)), "", None, "ab1x, ab1x, élève"]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_batch(whole)] == [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in whole]
+    assert 0 < len(own.chunks) <= 8
+
+
+def test_looking_up_does_not_grow_with_what_is_kept():
+    own = tokens.WordCachedTokenizer(tokens.public_path("byte_bpe_50k.json"))
+    kept = pa.array([f"{i:x}" for i in range(400_000)])
+    own.slots[tokens.slots_of(kept)] = np.arange(len(kept))
+    own.chunks, own.sizes, own.ids = kept, np.ones(len(kept), np.int64), np.zeros(len(kept), np.uint32)
+    some = pa.array(["1f", "2e"])
+    own._chunks(some)
+    began = time.process_time()
+    for _ in range(20):
+        own._chunks(some)
+    assert time.process_time() - began < 0.5

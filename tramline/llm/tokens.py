@@ -43,6 +43,10 @@ FIRST = re.compile(r"[^ \n]*")
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f-\u2060\u3000\ufeff<]")
 #: Entries per worker: chunks in Arrow columns, units in a dictionary.
 CACHE_ENTRIES, UNIT_ENTRIES = 500_000, 100_000
+#: Places for kept chunks, by hash; a chunk whose place is taken is not kept.
+SLOT_BITS = 22
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 #: Longer parts are not kept.
 LONG = 64
 #: Words joined to one text for the model, and texts encoded in one call.
@@ -62,6 +66,24 @@ def gather(pool: np.ndarray, offset: np.ndarray, size: np.ndarray) -> np.ndarray
     return pool[at]
 
 
+def slots_of(chunks: pa.Array) -> np.ndarray:
+    """A number below 2**SLOT_BITS for each chunk, by its length and its first sixteen and last eight bytes."""
+    if not len(chunks):
+        return np.zeros(0, np.int64)
+    _, offsets, data = chunks.buffers()
+    ends = np.frombuffer(offsets, np.int32)[chunks.offset : chunks.offset + len(chunks) + 1].astype(np.int64)
+    raw = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([raw, np.zeros(8, np.uint8)]), 8)
+    start, size = ends[:-1] - ends[0], np.diff(ends)
+    word = lambda at, n: windows[at].view("<u8").ravel() & LOW_BYTES[np.clip(n, 0, 8)]
+    h = word(start, size) * MIX[0]
+    h ^= h >> np.uint64(29)
+    h += word(start + np.minimum(size, 8), size - 8) * MIX[1]
+    h ^= h >> np.uint64(32)
+    h += word(start + np.maximum(size - 8, 0), size) * MIX[2] + size.astype(np.uint64)
+    return ((h ^ h >> np.uint64(31)) * MIX[0] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def _ids(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(sizes, all ids) of parts' ids."""
     return np.fromiter(map(len, parts), np.int64, len(parts)) >> 2, np.frombuffer(b"".join(parts), "<u4")
@@ -79,6 +101,7 @@ class WordCachedTokenizer:
         self.before = "" if self._whole(" a") == self._whole("a") else " "
         self.units: dict[str, bytes] = {}
         self.chunks, self.sizes, self.ids = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
         self.model = Tokenizer(self.tokenizer.model)  # the vocabulary is held once
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.comma = self.tokenizer.encode(",", add_special_tokens=False).ids[0]
@@ -153,7 +176,11 @@ class WordCachedTokenizer:
 
     def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sizes, offsets, pool of ids) of distinct chunks."""
-        at = pc.fill_null(pc.index_in(chunks, value_set=self.chunks), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        slots = slots_of(chunks)
+        at = self.slots[slots].astype(np.int64)
+        held = np.flatnonzero(at >= 0)  # chunks that share a place are told apart in full
+        same = pc.equal(chunks.take(pa.array(held)), self.chunks.take(pa.array(at[held]))).to_numpy(zero_copy_only=False)
+        at[held[~same]] = -1
         missing = at < 0
         new = chunks.filter(pa.array(missing))
         new_sizes, new_ids = self._new(new)
@@ -161,7 +188,10 @@ class WordCachedTokenizer:
         pool, all_sizes = np.concatenate([self.ids, new_ids]), np.concatenate([self.sizes, new_sizes])
         offsets = np.cumsum(all_sizes) - all_sizes
         if room := CACHE_ENTRIES - len(self.chunks):
-            keep = (pc.binary_length(new).to_numpy(zero_copy_only=False) <= LONG).nonzero()[0][:room]
+            place = slots[missing]
+            keep = ((pc.binary_length(new).to_numpy(zero_copy_only=False) <= LONG) & (self.slots[place] < 0)).nonzero()[0]
+            keep = np.sort(keep[np.unique(place[keep], return_index=True)[1]])[:room]
+            self.slots[place[keep]] = np.arange(len(keep)) + len(self.chunks)
             self.chunks = pa.concat_arrays([self.chunks, new.take(pa.array(keep))])
             self.ids = np.concatenate([self.ids, gather(new_ids, (np.cumsum(new_sizes) - new_sizes)[keep], new_sizes[keep])])
             self.sizes = np.concatenate([self.sizes, new_sizes[keep]])
