@@ -7,6 +7,7 @@ import pytest
 
 from tramline.operators import itineraries
 from tramline.plans import catalog
+from tramline.plans.stages import stored
 from tests.test_rounds import day
 
 
@@ -101,3 +102,23 @@ def test_query_over_written_tables(spark, tmp_path):
         own = [k for k in nation if nation[k] == n]
         want[n] = journeys(connections, walks, str(min(own)), str(max(own)), 600, 2400, 5400, 60, 3)
     assert dict(got) == {n: v for n, v in want.items() if v} and sum(map(len, want.values())) > 3
+
+
+def test_rides_that_lead_elsewhere_are_not_followed_to_the_end(spark):
+    # from a hub 30 trips lead to places of their own, from each 30 more; one of these places has a trip to the destination
+    con = [(f"x{i}", "hub", f"m{i}", 100, 200, True, True) for i in range(30)]
+    con += [(f"y{i}-{j}", f"m{i}", f"e{i}-{j}", 300, 400, True, True) for i in range(30) for j in range(30)]
+    con += [("z", "m7", "end", 500, 600, True, True), ("late", "m8", "end", 500, 9600, True, True)]
+    foot = spark.createDataFrame([], "from_stop_id string, to_stop_id string, seconds int")
+    frame = spark.createDataFrame([("d", *c) for c in con], "date string, trip string, a string, b string, dep long, arr long, board boolean, alight boolean")
+    q = spark.createDataFrame([("q", "d", "hub", "end", 0, 200)], "query string, date string, origin string, destination string, after int, before int")
+    rows = []
+
+    def counted(df):
+        out = stored(df)
+        rows.append(out.count())
+        return out
+
+    got = itineraries.search(q, frame, foot, 4000, 60, 2, store=counted).collect()
+    assert [(r.query, r.departure, r.arrival, r.changes, [x.trip for x in r.legs]) for r in got] == [("q", 100, 600, 1, ["x7", "z"])]
+    assert sum(rows) - len(con) < 60

@@ -3,8 +3,10 @@
 Labels are searched in rounds of one ride more, for all questions at once.  A
 label at a stop says when its way departed, when it arrives and how far it
 walked; one that another at the stop matches or beats, with no more rides, is
-left out, and so is one that an itinerary already found does.  Rides come from
-day_connections in routing.
+left out, and so is one that an itinerary already found does.  The rides that
+come to the destination are found first: labels that are too late for one of
+them before the last ride are left out, and the last ride is one of them.
+Rides come from day_connections in routing.
 """
 
 from __future__ import annotations
@@ -68,11 +70,30 @@ def search(asked: DataFrame, connections: DataFrame, walks: DataFrame, horizon:
     begun = begun.unionByName(begun.join(foot, "stop").select("query", F.col("to").alias("stop"), F.col("seconds").alias("walk")))
     # dep is null until a first ride is boarded
     ready = store(begun.join(q.select("query", "after"), "query").select("query", "stop", F.lit(None).cast("long").alias("dep"), (F.col("after") + F.col("walk")).alias("at"), "walk", none.alias("legs")))
+    # what the last ride can be: rides by which a trip comes to the destination, or to a walk there, in time
+    goals = q.select("query", F.col("destination").alias("stop"), F.lit(0).cast("long").alias("rest"))
+    goals = goals.unionByName(goals.join(foot.select(F.col("to").alias("stop"), F.col("stop").alias("near"), "seconds"), "stop").select("query", F.col("near").alias("stop"), F.col("seconds").alias("rest")))
+    goals = goals.join(q.select("query", "date", "after", "before"), "query").groupBy("query", "date", "after", "before", "stop").agg(F.min("rest").alias("rest"))
+    goals = store(goals)
+    ending = alighting.join(goals, ["date", "stop"]).where((F.col("c_dep") >= F.col("after")) & (F.col("c_arr") + F.col("rest") <= until))
+    ending = ending.groupBy("query", "date", "after", "trip").agg(F.max(F.struct("c_dep", "c_arr")).alias("upto"))
+    closing = ending.join(boardable, ["date", "trip"]).where((F.col("c_dep") >= F.col("after")) & (F.struct("c_dep", "c_arr") <= F.col("upto")))
+    closing = store(closing.select("query", "stop", "stretch", "trip", "c_dep", "c_arr"))
+    # the latest time at which one can be ready at a stop and still come to the destination by one ride more
+    ready_by = closing.groupBy("query", "stop").agg(F.max("c_dep").alias("by"))
+    on_time = ready_by.select("query", "stop", (F.col("by") - change).alias("by"))
+    on_time = on_time.unionByName(ready_by.join(foot.select(F.col("to").alias("stop"), F.col("stop").alias("near"), "seconds"), "stop").select("query", F.col("near").alias("stop"), (F.col("by") - F.col("seconds")).alias("by")))
+    at_goal = goals.select("query", "stop", (until - F.col("rest")).alias("by"))
+    by_now = {0: at_goal, 1: on_time.unionByName(at_goal)}
+    by_now = {left: store(rows.groupBy("query", "stop").agg(F.max("by").alias("by"))) for left, rows in by_now.items()}
     seen = found = None
     for ride in range(1, most_rides + 1):
+        left = most_rides - ride
         at = ready.join(q.select("query", "date", "after", "before"), "query")
         at = at.withColumn("stretch", F.explode(F.sequence(_stretch(F.col("at")), F.greatest(_stretch(F.col("at")), _stretch(until)))))
-        on = at.join(boardable, ["date", "stop", "stretch"]).where((F.col("c_dep") >= F.col("at")) & (F.col("c_dep") <= until))
+        # stored, so that its size is known before rides are moved; a last ride is one of the closing ones
+        at = store(at)
+        on = (at.join(boardable, ["date", "stop", "stretch"]) if left else at.join(closing, ["query", "stop", "stretch"])).where((F.col("c_dep") >= F.col("at")) & (F.col("c_dep") <= until))
         dep = F.coalesce("dep", F.col("c_dep") - F.col("walk"))
         on = on.where(dep <= F.col("before")).select("query", "date", "after", "trip", dep.alias("dep"), "walk", F.struct("c_dep", "c_arr").alias("since"), "legs", "stop")
         # a trip boarded earlier, by a way that departs no earlier and walks no more, is the better one
@@ -82,7 +103,10 @@ def search(asked: DataFrame, connections: DataFrame, walks: DataFrame, horizon:
         out = on.join(alighting, ["date", "trip"]).where((F.struct("c_dep", "c_arr") >= F.col("since")) & (F.col("c_arr") <= until))
         leg = F.struct("trip", "origin", F.col("stop").alias("destination"), F.col("since.c_dep").alias("departure"), F.col("c_arr").alias("arrival"))
         out = out.select("query", "stop", "dep", F.col("c_arr").alias("arr"), "walk", F.concat("legs", F.array(leg)).alias("legs"))
+        if left in by_now:  # what comes too late for the rides left beats nothing that does not
+            out = out.join(by_now[left], ["query", "stop"]).where("arr <= by").drop("by")
         labels = store(_not_beaten(out, ["query", "stop"], seen))
+        release(at)
         # itineraries end here, or a walk further
         ends = q.select("query", F.col("destination").alias("stop"), "after")
         walked = labels.join(foot, "stop").select("query", F.col("to").alias("stop"), "dep", (F.col("arr") + F.col("seconds")).alias("arr"), (F.col("walk") + F.col("seconds")).alias("walk"), "legs")
@@ -92,6 +116,9 @@ def search(asked: DataFrame, connections: DataFrame, walks: DataFrame, horizon:
         release(last)
         last, seen = seen, store(labels if seen is None else seen.unionByName(labels))
         release(last)
+        if not left:
+            release(labels)
+            break
         open_ = _without(labels, found, ["query"])
         same = open_.select("query", "stop", "dep", (F.col("arr") + change).alias("at"), "walk", "legs")
         onward = open_.join(foot, "stop").select("query", F.col("to").alias("stop"), "dep", (F.col("arr") + F.col("seconds")).alias("at"), (F.col("walk") + F.col("seconds")).alias("walk"), "legs")
@@ -99,4 +126,5 @@ def search(asked: DataFrame, connections: DataFrame, walks: DataFrame, horizon:
         release(last, labels)
         if not ready.limit(1).count():
             break
+    release(rides, ready, seen, goals, closing, *by_now.values())
     return found.select("query", F.col("dep").alias("departure"), F.col("arr").alias("arrival"), (F.col("rides") - 1).alias("changes"), F.col("walk").alias("walk_s"), "legs")
