@@ -353,6 +353,98 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, labels: DataFrame, store=
     return on.select("source", "target", step.alias("step"), "edge_id", "cost")
 
 
+def met_paths(edges: DataFrame, pairs: DataFrame, store=stored) -> DataFrame:
+    """source, target, step, edge_id, cost as of shortest_paths, for graphs whose nodes have any number of edges and whose components are not known.
+
+    Both ends of a pair are searched from, each within half a bound, and the
+    pair's way is the cheapest one on which they meet, so no end goes through
+    the nodes that lie near it but on no way.  The bound begins at the least
+    that two edges cost and doubles until all pairs are found: a way within it
+    has no edge dearer than it, so dearer edges are stored only once a pair is
+    left.  At the first bound that finds no pair, components are found, to
+    leave out pairs without a way.  Costs are not negative.
+    """
+    edges = edges.select(F.col("edge_id").cast("string").alias("edge_id"), "source", "target", "cost").where(F.col("cost") < float("inf"))
+    left = store(pairs.select("source", "target").distinct().where("source != target"))
+    scale = edges.agg(F.min("cost").alias("least"), F.min(F.when(F.col("cost") > 0, F.col("cost"))).alias("step")).first()
+    bound = 2 * (scale.step or 0.0)
+    ends = left.select(F.explode(F.array("source", "target")).alias("source")).distinct()
+    way = {"way": F.lit(None).cast("string"), "came": F.lit(None).cast(edges.schema["source"].dataType)}
+    known = store(ends.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(True).alias("fresh"), *(c.alias(n) for n, c in way.items())))
+    found, total, labelled = None, None, False
+    while True:
+        near = store(edges.where(F.col("cost") <= bound))
+        arcs = near.select(F.explode(F.array(F.struct(F.col("source").alias("a"), F.col("target").alias("b")), F.struct(F.col("target").alias("a"), F.col("source").alias("b")))).alias("x"), F.col("cost").alias("arc"), F.col("edge_id").alias("way")).select("x.*", "arc", "way")
+        # a little more than half, so that what rounding moves over the middle is known from both ends
+        half = bound / 2 * (1 + 1e-9)
+        on = F.col("fresh") & (F.col("cost") + scale.least <= half) if scale.least is not None else F.lit(False)
+        while known.where(on).limit(1).count():
+            known, last = store(_offered(known, known.where(on), arcs, half)), known
+            release(last)
+        met = store(_met(left, known, arcs, bound))
+        ways = store(_met_ways(met, known, store).join(near.select("edge_id", "cost"), "edge_id").select("source", "target", "step", "edge_id", "cost"))
+        found = ways if found is None else found.unionByName(ways)
+        last, left = left, store(left.join(met, ["source", "target"], "left_anti"))
+        none = not met.limit(1).count()
+        release(last, near, met)
+        if not left.limit(1).count() or (total is not None and bound > total):
+            return found
+        if total is None:
+            edges = store(edges)
+            total = edges.agg(F.coalesce(F.sum("cost"), F.lit(0.0))).first()[0]
+        if none and not labelled:
+            labels, labelled = store(components(edges, store)), True
+            of, other = labels.toDF("source", "component"), labels.toDF("target", "component")
+            last, left = left, store(left.join(of, "source").join(other, ["target", "component"]).select("source", "target"))
+            release(last, labels)
+            if not left.limit(1).count():
+                return found
+        bound *= 2
+        ends = left.select(F.explode(F.array("source", "target")).alias("source")).distinct()
+        last, known = known, store(known.join(ends, "source", "left_semi").withColumn("fresh", F.lit(True)))
+        release(last)
+
+
+def _offered(known: DataFrame, fresh: DataFrame, arcs: DataFrame, most: float) -> DataFrame:
+    """known (source, node, cost, fresh, way, came) after one arc (a, b, arc, way) from the fresh nodes, at no more than most; at equal cost what was known before is kept."""
+    row = lambda cost, fresh, came: F.struct(cost.alias("cost"), fresh.alias("fresh"), F.col("way"), came.alias("came")).alias("best")
+    offers = fresh.select("source", "node", "cost").join(arcs, (F.col("node") == F.col("a")) & (F.col("cost") + F.col("arc") <= most))
+    offers = offers.select("source", F.col("b").alias("node"), row(F.col("cost") + F.col("arc"), F.lit(True), F.col("node")))
+    own = known.select("source", "node", row(F.col("cost"), F.lit(False), F.col("came")))
+    return own.unionByName(offers).groupBy("source", "node").agg(F.min("best").alias("best")).select("source", "node", "best.*")
+
+
+def _met(pairs: DataFrame, known: DataFrame, arcs: DataFrame, bound: float) -> DataFrame:
+    """source, target, u, v, way of pairs within the bound: their cheapest way leads to u, over the edge way to v and on; u is v and way none where the ends meet in a node.
+
+    An edge joins what is known of both ends only where no node of the way is
+    known from both: then each of its nodes costs less than half the bound,
+    and with the edge more than half.
+    """
+    of = lambda df, end, at, cost: df.select(F.col("source").alias(end), F.col("node").alias(at), F.col("cost").alias(cost))
+    within = known.where(F.col("cost") < bound / 2)
+    nodes = pairs.join(of(known, "source", "u", "c"), "source").join(of(known, "target", "u", "e"), ["target", "u"]).select("source", "target", (F.col("c") + F.col("e")).alias("cost"), "u", F.col("u").alias("v"), F.lit(None).cast("string").alias("way"))
+    over = pairs.join(of(within, "source", "a", "c"), "source").join(arcs, "a").where((F.col("c") + F.col("arc") >= bound / 2) & (F.col("c") + F.col("arc") <= bound)).withColumnsRenamed({"a": "u", "b": "v"})
+    over = over.join(of(within, "target", "v", "e"), ["target", "v"]).select("source", "target", (F.col("c") + F.col("arc") + F.col("e")).alias("cost"), "u", "v", "way")
+    best = nodes.unionByName(over).where(F.col("cost") <= bound).groupBy("source", "target").agg(F.min(F.struct("cost", "u", "v", "way")).alias("x"))
+    return best.select("source", "target", "x.u", "x.v", "x.way")
+
+
+def _met_ways(met: DataFrame, known: DataFrame, store) -> DataFrame:
+    """source, target, step, edge_id of what _met returns, by the arcs by which the nodes were reached from either end."""
+    side = lambda second, end, at: met.select("source", "target", F.lit(second).alias("second"), F.col(end).alias("end"), F.col(at).alias("node"), F.array().cast("array<string>").alias("path"))
+    now = store(side(False, "source", "u").unionByName(side(True, "target", "v")))
+    came = known.select(F.col("source").alias("end"), "node", "way", "came")
+    while now.where("node != end").limit(1).count():
+        further = now.where("node != end").join(came, ["end", "node"]).select("source", "target", "second", "end", F.col("came").alias("node"), F.concat("path", F.array("way")).alias("path"))
+        last, now = now, store(further.unionByName(now.where("node = end")))
+        release(last)
+    halves = [now.where(F.col("second") == second).select("source", "target", F.col("path").alias(name)) for second, name in ((False, "p"), (True, "q"))]
+    middle = F.when(F.col("way").isNull(), F.array().cast("array<string>")).otherwise(F.array("way"))
+    path = F.concat(F.reverse("p"), middle, "q")
+    return met.join(halves[0], ["source", "target"]).join(halves[1], ["source", "target"]).select("source", "target", F.posexplode(path).alias("step", "edge_id"))
+
+
 def confidence(max_snap_m: Column, failed: Column, total: Column, detour: Column, uses_service: Column, hausdorff_m: Column) -> Column:
     """How well a pattern's line matches the rails, from 0 to 1."""
     share = F.when(F.coalesce(total, F.lit(0)) == 0, F.lit(1.0)).otherwise(failed / total)
