@@ -186,11 +186,13 @@ def rail_graph(spark, d):
     return edges.select("edge_id", F.round("length_m", 3).alias("length_m"), F.round("cost", 3).alias("cost"), "is_service")
 
 
-@query(f"WITH {PLACES} SELECT id FROM places WHERE lon + 0.3 >= 9.55 AND lon <= 10.45 AND lat BETWEEN 53.5 AND 54.45")
+@query(f"""WITH {PLACES}, edges AS (SELECT 'e-' || id AS id, lon AS x1, lat AS y1, lon + 0.4 AS x2, lat AS y2 FROM places UNION ALL SELECT 'n-' || id, lon, lat, lon, lat + 0.25 FROM places)
+SELECT id AS edge_id FROM edges WHERE greatest(x1, x2) >= 9.55 AND least(x1, x2) <= 10.45 AND greatest(y1, y2) >= 53.5 AND least(y1, y2) <= 54.45""")
 def corridor_filter(spark, d):
-    """Lines from each place to the east that meet a named corridor, whether or not they end in it."""
-    line = F.array(F.struct("lon", "lat"), F.struct((F.col("lon") + 0.3).alias("lon"), F.col("lat").alias("lat")))
-    return places(spark, d).where(rail.meets_box(line, rail.box_of(corridor="hamburg-kiel"))).select("id")
+    """Tracks from each place to the east and to the north that meet a named corridor, whether or not they end in it."""
+    track = lambda name, i, j: F.struct(F.concat(F.lit(name), "id").alias("id"), F.array(F.struct("lon", "lat"), F.struct((F.col("lon") + i).alias("lon"), (F.col("lat") + j).alias("lat"))).alias("line"))
+    tracks = places(spark, d).select(F.explode(F.array(track("e-", 0.4, 0.0), track("n-", 0.0, 0.25))).alias("t")).select("t.*", F.create_map(F.lit("railway"), F.lit("rail")).alias("tags"))
+    return rail.rail_edges(rail.rail_ways(tracks)).where(rail.meets_box(F.col("line"), rail.box_of(corridor="hamburg-kiel"))).select("edge_id")
 
 
 #: The iteration for the longitude on the auxiliary sphere written out, eight rounds of it.
